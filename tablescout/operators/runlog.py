@@ -93,12 +93,16 @@ def score_case(runs: DataFrame, criteria: dict | None = None) -> DataFrame:
     without such a function fails; a run listing none passes.
     """
     checks = {**CRITERIA, **(criteria or {})}
-    verdicts = F.create_map(*[c for name, check in checks.items() for c in (F.lit(name), check())])
-    results = F.transform(
-        F.coalesce("criteria", F.array().cast("array<string>")),
-        lambda name: F.struct(
-            name.alias("name"), F.coalesce(F.try_element_at(verdicts, name), F.lit(False)).alias("passed")
-        ),
+    listed = F.coalesce("criteria", F.array().cast("array<string>"))
+    # every check stands once in the plan; looking them up per listed name would repeat them all
+    verdicts = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.coalesce(check(), F.lit(False)).alias("passed"))
+        for name, check in checks.items()
+    ])
+    unknown = F.array_except(listed, F.array(*map(F.lit, checks)))
+    results = F.concat(
+        F.filter(verdicts, lambda r: F.array_contains(listed, r["name"])),
+        F.transform(unknown, lambda name: F.struct(name.alias("name"), F.lit(False).alias("passed"))),
     )
     return runs.withColumn("results", results).withColumn("passed", F.forall("results", lambda r: r["passed"]))
 
@@ -106,8 +110,8 @@ def score_case(runs: DataFrame, criteria: dict | None = None) -> DataFrame:
 def run_criteria(scored: DataFrame) -> DataFrame:
     """One row per run and criterion, runs that broke off excluded."""
     return scored.where(F.coalesce("error", F.lit("")) == "").select(
-        "case_id", F.explode("results").alias("r")
-    ).select("case_id", "r.*")
+        "case_id", F.explode("results").alias("verdict")
+    ).select("case_id", "verdict.name", "verdict.passed")
 
 
 def run_totals(scored: DataFrame) -> DataFrame:

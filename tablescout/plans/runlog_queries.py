@@ -79,9 +79,9 @@ def run_totals(spark, d):
 
 @query("run_latency", duckdb_cte("run_log") + """, ranked AS (
 SELECT latency_s AS v, row_number() OVER (ORDER BY latency_s) AS rn, count(*) OVER () AS n FROM run_log WHERE latency_s > 0),
-at AS (SELECT *, greatest(1, least((9 * (n + 1)) // 10, n - 1)) AS j FROM ranked),
+ranks AS (SELECT *, greatest(1, least((9 * (n + 1)) // 10, n - 1)) AS j FROM ranked),
 q AS (SELECT any_value(9 * (n + 1) - 10 * j) AS d, max(CASE WHEN rn = j THEN v END) AS lo,
-             max(CASE WHEN rn = j + 1 THEN v END) AS hi FROM at)
+             max(CASE WHEN rn = j + 1 THEN v END) AS hi FROM ranks)
 SELECT (SELECT round(avg(v), 2) FROM ranked) AS avg_latency_s, round((lo * (10 - d) + hi * d) / 10, 2) AS p90_latency_s,
        (SELECT round(sum(v), 2) FROM ranked) AS total_time_s FROM q
 """)
