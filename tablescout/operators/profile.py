@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,11 @@ def column_details(cat: DataFrame, table: str | None = None) -> DataFrame:
 
 def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per table; ``row_count`` shows an empty table as unknown, ``exact_rows`` as 0."""
-    out = None
-    for name, df in tables.items():
-        part = df.agg(F.count(F.lit(1)).alias("exact_rows")).select(F.lit(name).alias("table_name"), "exact_rows")
-        out = part if out is None else out.unionByName(part)
-    return out.select("table_name", F.nullif("exact_rows", F.lit(0)).alias("row_count"), "exact_rows")
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("exact_rows")).select(F.lit(name).alias("table_name"), "exact_rows")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.union, parts).select("table_name", F.nullif("exact_rows", F.lit(0)).alias("row_count"), "exact_rows")
 
 
 def _compact(df: DataFrame, column: str, max_chars: int | None) -> Column:
@@ -59,7 +60,7 @@ def _sketch_pairs(tables, pairs) -> dict[tuple[str, tuple[str, ...]], int]:
     for name in {t for t, _ in pairs}:
         mine = [cols for t, cols in pairs if t == name]
         row = tables[name].agg(*[
-            distinct_estimate(F.xxhash64(*cols)).alias(f"p{i}") for i, cols in enumerate(mine)
+            F.expr(distinct_estimate(f"xxhash64({', '.join(cols)})")).alias(f"p{i}") for i, cols in enumerate(mine)
         ]).first()
         out.update({(name, cols): row[i] for i, cols in enumerate(mine)})
     return out
@@ -104,17 +105,17 @@ def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width:
 
 def _verify(spark, tables, candidates, facts) -> DataFrame:
     """Candidates whose exact distinct count equals the row count."""
-    out = spark.createDataFrame([], "table_name STRING, key_columns STRING, width INT, n_rows BIGINT")
+    parts = [spark.createDataFrame([], "table_name STRING, key_columns STRING, width INT, n_rows BIGINT")]
     for t, cols in candidates:
         distinct = tables[t].select(*[
             _compact(tables[t], c, facts[t, c]["max_chars"]).alias(c) for c in cols
         ]).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
         n_rows = facts[t, cols[0]]["n_rows"]
-        out = out.unionByName(distinct.where(F.col("n_distinct") == n_rows).select(
-            F.lit(t).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-            F.lit(len(cols)).alias("width"), F.lit(n_rows).cast("bigint").alias("n_rows"),
+        parts.append(distinct.where(f"n_distinct = {n_rows}").selectExpr(
+            f"'{t}' AS table_name", f"'{','.join(cols)}' AS key_columns",
+            f"{len(cols)} AS width", "n_distinct AS n_rows",
         ))
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 def _suffix(column: str) -> str:

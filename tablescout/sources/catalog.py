@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +55,9 @@ def is_key_type(dt: T.DataType) -> bool:
     )
 
 
-def distinct_estimate(c):
+def distinct_estimate(expression: str) -> str:
     """Distinct count from one small binary sketch per task; 2**14 cells, 0.8 % standard error."""
-    return F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(14)))
+    return f"hll_sketch_estimate(hll_sketch_agg({expression}, 14))"
 
 
 def column_facts(tables: dict[str, DataFrame], sketches: bool = True) -> DataFrame:
@@ -65,32 +67,28 @@ def column_facts(tables: dict[str, DataFrame], sketches: bool = True) -> DataFra
     ``sketches``, an estimated distinct count (HyperLogLog, under 1 % standard error) of the
     columns whose type can make a key.
     """
-    out = None
+    parts = []
     for name, df in tables.items():
         facts = []
         for i, f in enumerate(df.schema.fields, 1):
-            c = F.col(f"`{f.name}`")
+            c = f"`{f.name}`"
             whole = isinstance(f.dataType, T.IntegralType)
             text = isinstance(f.dataType, T.StringType)
-            sketch = F.lit(None)
+            sketch = "NULL"
             if sketches and is_key_type(f.dataType):
-                sketch = distinct_estimate(c if whole or text else c.cast("string"))
-            facts.append(F.struct(
-                F.lit(i).alias("column_id"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("spark_type"),
-                F.count(F.lit(1)).alias("n_rows"),
-                (F.count(F.lit(1)) - F.count(c)).alias("n_nulls"),
-                (F.max(F.length(c)) if text else F.lit(None)).cast("int").alias("max_chars"),
-                (F.min(c) if whole else F.lit(None)).cast("bigint").alias("min_value"),
-                (F.max(c) if whole else F.lit(None)).cast("bigint").alias("max_value"),
-                sketch.cast("bigint").alias("n_distinct_est"),
-            ))
-        part = df.agg(F.array(*facts).alias("facts")).select(
-            F.lit(name).alias("table_name"), F.inline("facts")
+                sketch = distinct_estimate(c if whole or text else f"CAST({c} AS STRING)")
+            facts.append(f"""named_struct(
+                'column_id', {i}, 'column_name', '{f.name}',
+                'n_rows', count(1), 'n_nulls', count(1) - count({c}),
+                'max_chars', CAST({f"max(length({c}))" if text else "NULL"} AS INT),
+                'min_value', CAST({f"min({c})" if whole else "NULL"} AS BIGINT),
+                'max_value', CAST({f"max({c})" if whole else "NULL"} AS BIGINT),
+                'n_distinct_est', CAST({sketch} AS BIGINT))""")
+        parts.append(
+            df.agg(F.expr(f"array({', '.join(facts)})").alias("facts"))
+            .select(F.lit(name).alias("table_name"), F.inline("facts"))
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 def observed_catalog(cat: DataFrame, facts: DataFrame) -> DataFrame:
