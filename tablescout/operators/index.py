@@ -85,15 +85,14 @@ def schema_documents(cat: DataFrame, descriptions: DataFrame, knowledge: DataFra
 
 def incremental_actions(docs: DataFrame, existing: DataFrame | None, force: bool = False) -> DataFrame:
     """Every document with what happens to it: indexed, skipped (known id) or error (no text)."""
-    broken = F.coalesce(F.trim("text"), F.lit("")) == ""
-    if existing is None or force:
-        known = F.lit(False)
-        marked = docs
-    else:
-        marked = docs.join(existing.select("doc_id", F.lit(True).alias("_known")), "doc_id", "left")
+    # looked at before the join, so that counting actions moves ids and flags, not texts
+    marked = docs.withColumn("_broken", F.coalesce(F.trim("text"), F.lit("")) == "")
+    known = F.lit(False)
+    if existing is not None and not force:
+        marked = marked.join(existing.select("doc_id", F.lit(True).alias("_known")), "doc_id", "left")
         known = F.coalesce("_known", F.lit(False))
-    action = F.when(known, "skipped").when(broken, "error").otherwise("indexed")
-    return marked.withColumn("action", action).drop("_known")
+    action = F.when(known, "skipped").when(F.col("_broken"), "error").otherwise("indexed")
+    return marked.withColumn("action", action).drop("_known", "_broken")
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
