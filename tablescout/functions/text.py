@@ -63,6 +63,10 @@ def write_words(sql: Column, words: list[str] | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
 
 
+def has_write_word(sql: Column, words: list[str] | None = None) -> Column:
+    return sql.rlike(_words_pattern(words or WRITE_WORDS))
+
+
 def own_row_cap(sql: Column) -> Column:
     """The N of a leading ``SELECT TOP N``, else NULL."""
     return F.regexp_extract(sql, r"(?i)^\s*SELECT\s+TOP\s+(\d+)\s+", 1).try_cast("decimal(38,0)")

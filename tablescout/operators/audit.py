@@ -16,7 +16,7 @@ def find_mutations(log: DataFrame, sql: str = "sql") -> DataFrame:
 
 def audit_readonly(log: DataFrame, sql: str = "sql", is_safe: str | None = None) -> DataFrame:
     """``readonly`` as run scoring sees it; a row without SQL passes."""
-    clean = F.size(X.write_words(F.col(sql), X.SCORED_WRITE_WORDS)) == 0
+    clean = ~X.has_write_word(F.col(sql), X.SCORED_WRITE_WORDS)
     if is_safe:
         clean = clean & F.coalesce(F.col(is_safe), F.lit(False))
     return log.withColumn("readonly", F.when(F.col(sql).isNull(), F.lit(True)).otherwise(clean))

@@ -18,8 +18,10 @@ SKETCH_SLACK = 0.10  # more than ten standard errors of the sketch
 
 
 def catalog_tables(cat: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Tables with description and column count. ``descriptions``: (table_name, table_description)."""
-    counted = cat.groupBy("server", "database", "table_name").agg(F.count(F.lit(1)).alias("column_count"))
+    """Tables with description and column counts. ``descriptions``: (table_name, table_description)."""
+    counted = cat.groupBy("server", "database", "table_name").agg(
+        F.count(F.lit(1)).alias("column_count"), F.count_if("is_nullable").alias("nullable_columns")
+    )
     return counted.join(descriptions, "table_name", "left")
 
 
@@ -35,18 +37,23 @@ def column_details(cat: DataFrame, table: str | None = None) -> DataFrame:
 
 
 def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per table; ``row_count`` shows an empty table as unknown, ``exact_rows`` as 0."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("exact_rows")).select(F.lit(name).alias("table_name"), "exact_rows")
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.union, parts).select("table_name", F.nullif("exact_rows", F.lit(0)).alias("row_count"), "exact_rows")
+    """Rows per table; ``row_count`` shows an empty table as unknown, ``exact_rows`` as 0.
+
+    One scan without columns over all tables and one small shuffle.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(t,) for t in tables], "table_name STRING")
+    rows = reduce(DataFrame.union, [df.select(F.lit(t).alias("table_name")) for t, df in tables.items()])
+    counts = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
+    return names.join(counts, "table_name", "left").select(
+        "table_name", "row_count", F.coalesce("row_count", F.lit(0)).alias("exact_rows")
+    )
 
 
-def _compact(df: DataFrame, column: str, max_chars: int | None) -> Column:
-    """Long text is compared by its SHA-256, so that texts do not travel in the shuffle."""
+def _key_text(column: str, max_chars: int | None) -> Column:
+    """A value as text; long text by its SHA-256, so that texts do not travel in the shuffle."""
     c = F.col(f"`{column}`")
-    return F.unhex(F.sha2(c, 256)) if (max_chars or 0) > LONG_TEXT else c
+    return F.sha2(c, 256) if (max_chars or 0) > LONG_TEXT else c.cast("string")
 
 
 def known_facts(tables: dict[str, DataFrame]) -> dict[tuple[str, str], dict]:
@@ -55,15 +62,16 @@ def known_facts(tables: dict[str, DataFrame]) -> dict[tuple[str, str], dict]:
 
 
 def _sketch_pairs(tables, pairs) -> dict[tuple[str, tuple[str, ...]], int]:
-    """Estimated distinct counts of column pairs: one pass per table, one row back."""
-    out = {}
-    for name in {t for t, _ in pairs}:
-        mine = [cols for t, cols in pairs if t == name]
-        row = tables[name].agg(*[
-            F.expr(distinct_estimate(f"xxhash64({', '.join(cols)})")).alias(f"p{i}") for i, cols in enumerate(mine)
-        ]).first()
-        out.update({(name, cols): row[i] for i, cols in enumerate(mine)})
-    return out
+    """Estimated distinct counts of column pairs: one pass per table, one row per table back."""
+    parts, mine = [], {}
+    for name in sorted({t for t, _ in pairs}):
+        mine[name] = [cols for t, cols in pairs if t == name]
+        sketches = ", ".join(distinct_estimate(f"xxhash64({', '.join(cols)})") for cols in mine[name])
+        parts.append(tables[name].selectExpr(f"'{name}' AS table_name", f"array({sketches}) AS n"))
+    if not parts:
+        return {}
+    rows = reduce(DataFrame.union, parts).collect()
+    return {(r["table_name"], cols): n for r in rows for cols, n in zip(mine[r["table_name"]], r["n"])}
 
 
 def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width: int = 2, facts=None) -> DataFrame:
@@ -104,18 +112,23 @@ def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width:
 
 
 def _verify(spark, tables, candidates, facts) -> DataFrame:
-    """Candidates whose exact distinct count equals the row count."""
-    parts = [spark.createDataFrame([], "table_name STRING, key_columns STRING, width INT, n_rows BIGINT")]
-    for t, cols in candidates:
-        distinct = tables[t].select(*[
-            _compact(tables[t], c, facts[t, c]["max_chars"]).alias(c) for c in cols
-        ]).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
-        n_rows = facts[t, cols[0]]["n_rows"]
-        parts.append(distinct.where(f"n_distinct = {n_rows}").selectExpr(
-            f"'{t}' AS table_name", f"'{','.join(cols)}' AS key_columns",
-            f"{len(cols)} AS width", "n_distinct AS n_rows",
-        ))
-    return reduce(DataFrame.union, parts)
+    """Candidates whose exact distinct count equals the row count, all of them in one shuffle."""
+    out = "table_name STRING, key_columns STRING, width INT, n_rows BIGINT"
+    if not candidates:
+        return spark.createDataFrame([], out)
+    numbered = spark.createDataFrame(
+        [(i, t, ",".join(cols), len(cols), facts[t, cols[0]]["n_rows"]) for i, (t, cols) in enumerate(candidates)],
+        "candidate INT, " + out,
+    )
+    values = reduce(DataFrame.union, [
+        tables[t].select(
+            F.lit(i).alias("candidate"),
+            F.concat_ws("\u0001", *[_key_text(c, facts[t, c]["max_chars"]) for c in cols]).alias("value"),
+        )
+        for i, (t, cols) in enumerate(candidates)
+    ])
+    counts = values.distinct().groupBy("candidate").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return numbered.join(counts, "candidate").where("n_distinct = n_rows").drop("candidate", "n_distinct")
 
 
 def _suffix(column: str) -> str:
@@ -132,10 +145,10 @@ def inclusion_dependencies(
 ) -> DataFrame:
     """Whole-number columns whose every value occurs in a key column, ranked.
 
-    Pairs are first ruled out by value range. For the columns left, each distinct
-    (column, value) is shuffled once; values then shrink to the set of columns they occur
-    in, and only the few different sets are counted against each other. Ranked by shared
-    name suffix, then by the share of the key's values that is referred to.
+    Pairs are first ruled out by value range. For the columns left, each value is reduced,
+    map-side already, to the set of columns it occurs in, kept as bits; only the few
+    different sets are then counted against each other. Ranked by shared name suffix, then
+    by the share of the key's values that is referred to.
     """
     facts = facts or known_facts(tables)
     if key_columns is None:
@@ -157,22 +170,33 @@ def inclusion_dependencies(
         [(number[d], number[r], d[0], d[1], r[0], r[1], _suffix(d[1]) == _suffix(r[1])) for d, r in pairs],
         "dep INT, ref INT, dep_table STRING, dep_column STRING, ref_table STRING, ref_column STRING, same_suffix BOOLEAN",
     )
-    occurrences = None
-    for t in {c[0] for c in used}:
-        mine = [c[1] for c in used if c[0] == t]
-        cells = F.array(*[
-            F.struct(F.lit(number[t, c]).alias("col"), F.col(f"`{c}`").cast("bigint").alias("value")) for c in mine
-        ])
-        part = tables[t].select(F.inline(cells)).where("value IS NOT NULL").distinct()
-        occurrences = part if occurrences is None else occurrences.unionByName(part)
-    if occurrences is None:
-        occurrences = spark.createDataFrame([], "col INT, value BIGINT")
-    # a value occurs in at most as many columns as there are
-    per_value = occurrences.groupBy("value").agg(F.array_sort(F.collect_set("col")).alias("cols"))
-    per_set = per_value.groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
-    members = per_set.select("cols", "n", F.explode("cols").alias("dep"))
+    # the set of columns a value occurs in, as bits of as many 63-bit words as there are columns for
+    words = [f"w{i}" for i in range(len(used) // 63 + 1)]
+    parts = []
+    for t in sorted({c[0] for c in used}):
+        cells = [
+            ", ".join([f"CAST(`{c}` AS BIGINT) AS value"] + [
+                f"{1 << (number[t, c] % 63) if number[t, c] // 63 == i else 0}L AS {w}" for i, w in enumerate(words)
+            ])
+            for c in (c[1] for c in used if c[0] == t)
+        ]
+        parts.append(tables[t].select(F.expr(
+            "inline(array(" + ", ".join(f"struct({cell})" for cell in cells) + "))"
+        )).where("value IS NOT NULL"))
+    if not parts:
+        parts = [spark.range(0).selectExpr("id AS value", *[f"0L AS {w}" for w in words])]
+    per_value = reduce(DataFrame.union, parts).groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
+    per_set = per_value.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    columns_of_set = F.filter(
+        F.sequence(F.lit(0), F.lit(max(len(used) - 1, 0))),
+        lambda i: reduce(lambda a, b: a | b, [
+            (F.floor(i / 63) == n) & (F.getbit(F.col(w), (i % 63).cast("int")) == 1) for n, w in enumerate(words)
+        ]),
+    )
+    sets = per_set.select(columns_of_set.alias("cols"), "n")
+    members = sets.select("cols", "n", F.explode("cols").alias("dep"))
     matched = members.select("dep", "n", F.explode("cols").alias("ref")).groupBy("dep", "ref").agg(F.sum("n").alias("n_common"))
-    sizes = members.groupBy("dep").agg(F.sum("n").alias("n_values"))
+    sizes = matched.where("dep = ref").select("dep", F.col("n_common").alias("n_values"))
     return (
         pair_rows.join(matched, ["dep", "ref"])
         .join(sizes, "dep")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.stats import exclusive_p90_by
-from tablescout.functions.text import SCORED_WRITE_WORDS, write_words
+from tablescout.functions.text import SCORED_WRITE_WORDS, has_write_word
 
 # Names under which a tool shows up in a run.
 TOOL_ALIASES = {
@@ -66,7 +66,7 @@ def sql_executed() -> Column:
 
 
 def sql_readonly() -> Column:
-    clean = F.size(write_words(F.col("sql"), SCORED_WRITE_WORDS)) == 0
+    clean = ~has_write_word(F.col("sql"), SCORED_WRITE_WORDS)
     return F.when(F.col("sql").isNull(), F.lit(True)).otherwise(clean & F.coalesce("is_safe", F.lit(False)))
 
 

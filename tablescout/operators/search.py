@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 from tablescout.functions import text as X
 from tablescout.functions.vectors import TopK, similarity, unit_rows
 from tablescout.operators.skew import salted_join
+from tablescout.session import shared_dir
 
 TOP_K = 5
 MIN_SIMILARITY = 0.3
 QUERY_CELLS = 2_000_000  # query vectors sent to every task: at most this many numbers (16 MB)
 BLOCK_ROWS = 20_000
 CATALOG_CHARS = 32_000_000  # catalog text sent to every task
+MATCH_ROWS = 100_000  # keyword matches sent to every task
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
@@ -173,9 +175,10 @@ def keyword_search(keywords: DataFrame, tables: DataFrame, catalog_chars: int =
     everything = F.concat_ws(" ", "table_name", "description", F.array_join("columns", " "))
     chars = tables.agg(F.coalesce(F.sum(F.length(everything)), F.lit(0))).first()[0]
     if chars <= catalog_chars:
-        word = F.lower("keyword")
-        anywhere = F.contains(F.lower(F.concat_ws("\n", "table_name", "description", F.array_join("columns", "\n"))), word)
-        return _match(words.join(F.broadcast(tables), anywhere))
+        haystack = F.lower(F.concat_ws("\n", "table_name", "description", F.array_join("columns", "\n")))
+        side = F.broadcast(tables.withColumn("_all", haystack))
+        found = words.withColumn("_word", F.lower("keyword")).join(side, F.contains("_all", "_word"))
+        return _match(found.drop("_all", "_word"))
     return _match(_by_grams(words, tables))
 
 
@@ -226,11 +229,23 @@ def first_seen_dedup(scored: DataFrame, k: int = TOP_K, best: bool = False) -> D
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("seen")
 
 
-def keyword_hits(questions: DataFrame, tables: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Questions to ranked tables by keywords. Words asked in very many questions are salted."""
+def keyword_hits(questions: DataFrame, tables: DataFrame, k: int = TOP_K, match_rows: int = MATCH_ROWS) -> DataFrame:
+    """Questions to ranked tables by keywords.
+
+    The matches of the distinct keywords are checkpointed and measured. Up to ``match_rows``
+    rows and ``CATALOG_CHARS`` characters they are sent to every task, so the questions do not move; more are joined by keyword,
+    with words asked in very many questions salted.
+    """
+    shared_dir(questions.sparkSession)
     words = question_keywords(questions)
-    scored = keyword_score(keyword_search(words, tables))
-    return first_seen_dedup(salted_join(words, scored, ["keyword"], spread_by=["qid"]), k)
+    scored = keyword_score(keyword_search(words, tables)).checkpoint()
+    chars = F.sum(F.length("description") + F.length(F.array_join("columns", " ")))
+    size = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(chars, F.lit(0)).alias("chars")).first()
+    if size["n"] <= match_rows and size["chars"] <= CATALOG_CHARS:
+        found = words.join(F.broadcast(scored), "keyword")
+    else:
+        found = salted_join(words, scored, ["keyword"], spread_by=["qid"])
+    return first_seen_dedup(found, k)
 
 
 HIT_COLUMNS = ["qid", "rank", "server", "database", "table_name", "description", "score", "columns"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablescout.operators import profile as P
 from tablescout.plans import knowledge_data as K
 from tablescout.plans.registry import query
@@ -28,9 +26,7 @@ SELECT table_name, table_description, count(*) AS column_count, count_if(is_null
 FROM catalog LEFT JOIN descriptions USING (table_name) GROUP BY table_name, table_description
 """)
 def catalog_tables(spark, d):
-    cat = observed(spark, d)
-    nullable = cat.groupBy("table_name").agg(F.count_if("is_nullable").alias("nullable_columns"))
-    return P.catalog_tables(cat, K.descriptions(spark)).join(nullable, "table_name").select(
+    return P.catalog_tables(observed(spark, d), K.descriptions(spark)).select(
         "table_name", "table_description", "column_count", "nullable_columns"
     )
 
