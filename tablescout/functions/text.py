@@ -24,6 +24,7 @@ SCORED_WRITE_WORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "TRUNCATE", "ALTER",
 
 # White space as str.strip() sees it: the Unicode property plus the four separators.
 _SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def _words_pattern(words: list[str]) -> str:
@@ -34,12 +35,17 @@ def strip_ends(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def keywords(question: Column) -> Column:
     """Search words of a question; the whole question when none is left."""
-    tokens = F.split(F.translate(F.lower(question), "?,", "  "), rf"(?U){_SPACE}+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(question))
+    marks = "?," + _SPACES
+    tokens = F.split(F.translate(F.lower(question), marks, " " * len(marks)), " ")
+    kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(question)))
 
 
 def escape_like(value: Column) -> Column:

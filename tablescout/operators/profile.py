@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.text import format_type
-from tablescout.sources.catalog import column_facts, distinct_estimate, is_key_type
+from tablescout.sources.catalog import column_facts, distinct_estimates, is_key_type
 
 LONG_TEXT = 64
 SKETCH_SLACK = 0.10  # more than ten standard errors of the sketch
@@ -61,54 +61,43 @@ def known_facts(tables: dict[str, DataFrame]) -> dict[tuple[str, str], dict]:
     return {(r["table_name"], r["column_name"]): r.asDict() for r in column_facts(tables).collect()}
 
 
-def _sketch_pairs(tables, pairs) -> dict[tuple[str, tuple[str, ...]], int]:
-    """Estimated distinct counts of column pairs: one pass per table, one row per table back."""
-    parts, mine = [], {}
-    for name in sorted({t for t, _ in pairs}):
-        mine[name] = [cols for t, cols in pairs if t == name]
-        sketches = ", ".join(distinct_estimate(f"xxhash64({', '.join(cols)})") for cols in mine[name])
-        parts.append(tables[name].selectExpr(f"'{name}' AS table_name", f"array({sketches}) AS n"))
-    if not parts:
-        return {}
-    rows = reduce(DataFrame.union, parts).collect()
-    return {(r["table_name"], cols): n for r in rows for cols, n in zip(mine[r["table_name"]], r["n"])}
+def _span(fact: dict) -> int | None:
+    """How many values a whole-number column can have at most."""
+    return None if fact["min_value"] is None else fact["max_value"] - fact["min_value"] + 1
 
 
 def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width: int = 2, facts=None) -> DataFrame:
     """Columns, and pairs of whole-number columns without a key among them, that are unique and never NULL.
 
-    A first pass with constant-size state rules out what cannot be a key: NULLs, fewer
-    possible values than rows, or a sketch ten standard errors below the row count. What
-    is left is verified by an exact distinct count that reads only its own columns.
+    NULLs, or fewer possible values than rows, rule most columns out. A pass with small
+    sketches then drops those estimated more than ten standard errors below the row count.
+    What is left is verified by an exact distinct count that reads only its own columns.
     """
     facts = facts or known_facts(tables)
-    singles, keys = [], set()
-    for (t, c), f in facts.items():
-        dt = tables[t].schema[c].dataType
-        if not is_key_type(dt) or f["n_nulls"] or not f["n_rows"]:
-            continue
-        span = None if f["min_value"] is None else f["max_value"] - f["min_value"] + 1
-        if (span is not None and span < f["n_rows"]) or f["n_distinct_est"] < (1 - SKETCH_SLACK) * f["n_rows"]:
-            continue
-        singles.append((t, (c,)))
-    found = _verify(spark, tables, singles, facts)
+    full = [key for key, f in facts.items() if f["n_rows"] and not f["n_nulls"]]
+    singles = [
+        (t, (c,)) for t, c in full
+        if is_key_type(tables[t].schema[c].dataType) and (_span(facts[t, c]) or facts[t, c]["n_rows"]) >= facts[t, c]["n_rows"]
+    ]
+    found = _verify(spark, tables, _likely(tables, singles, facts), facts)
     if max_width < 2:
         return found
     keys = {(r["table_name"], r["key_columns"]) for r in found.select("table_name", "key_columns").collect()}
     pairs = []
-    for t, df in tables.items():
-        whole = [
-            f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.IntegralType) and not facts[t, f.name]["n_nulls"]
-            and facts[t, f.name]["n_rows"] and (t, f.name) not in keys
+    for t in tables:
+        whole = [c for name, c in full if name == t and _span(facts[t, c]) and (t, c) not in keys]
+        pairs += [
+            (t, (a, b)) for a, b in itertools.combinations(whole, 2)
+            if _span(facts[t, a]) * _span(facts[t, b]) >= facts[t, a]["n_rows"]
         ]
-        for a, b in itertools.combinations(whole, 2):
-            most = facts[t, a]["n_distinct_est"] * facts[t, b]["n_distinct_est"] * (1 + SKETCH_SLACK) ** 2
-            if most >= facts[t, a]["n_rows"]:
-                pairs.append((t, (a, b)))
-    sketched = _sketch_pairs(tables, pairs)
-    pairs = [(t, cols) for t, cols in pairs if sketched[t, cols] >= (1 - SKETCH_SLACK) * facts[t, cols[0]]["n_rows"]]
-    return found.unionByName(_verify(spark, tables, pairs, facts))
+    return found.unionByName(_verify(spark, tables, _likely(tables, pairs, facts), facts))
+
+
+def _likely(tables, candidates, facts):
+    estimates = distinct_estimates(tables, candidates)
+    return [
+        (t, cols) for t, cols in candidates if estimates[t, cols] >= (1 - SKETCH_SLACK) * facts[t, cols[0]]["n_rows"]
+    ]
 
 
 def _verify(spark, tables, candidates, facts) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.stats import exclusive_p90_by
-from tablescout.functions.text import SCORED_WRITE_WORDS, has_write_word
+from tablescout.functions.text import SCORED_WRITE_WORDS, has_write_word, let
 
 # Names under which a tool shows up in a run.
 TOOL_ALIASES = {
@@ -55,7 +55,8 @@ def tools_ok() -> Column:
 
 def terms_ok() -> Column:
     text = F.lower(F.concat(F.coalesce("answer", F.lit("")), F.lit(" "), F.coalesce("sql", F.lit(""))))
-    return F.coalesce(F.forall("expected_terms", lambda t: F.contains(text, F.lower(t))), F.lit(True))
+    found = let(text, lambda all_text: F.forall("expected_terms", lambda t: F.contains(all_text, F.lower(t))))
+    return F.coalesce(found, F.lit(True))
 
 
 def sql_executed() -> Column:
@@ -99,19 +100,26 @@ def score_case(runs: DataFrame, criteria: dict | None = None) -> DataFrame:
         F.struct(F.lit(name).alias("name"), F.coalesce(check(), F.lit(False)).alias("passed"))
         for name, check in checks.items()
     ])
-    unknown = F.array_except(listed, F.array(*map(F.lit, checks)))
-    results = F.concat(
-        F.filter(verdicts, lambda r: F.array_contains(listed, r["name"])),
-        F.transform(unknown, lambda name: F.struct(name.alias("name"), F.lit(False).alias("passed"))),
-    )
+    def listed_results(both):
+        unknown = F.array_except(both["listed"], F.array(*map(F.lit, checks)))
+        return F.concat(
+            F.filter(both["verdicts"], lambda r: F.array_contains(both["listed"], r["name"])),
+            F.transform(unknown, lambda name: F.struct(name.alias("name"), F.lit(False).alias("passed"))),
+        )
+
+    results = let(F.struct(listed.alias("listed"), verdicts.alias("verdicts")), listed_results)
     return runs.withColumn("results", results).withColumn("passed", F.forall("results", lambda r: r["passed"]))
 
 
 def run_criteria(scored: DataFrame) -> DataFrame:
-    """One row per run and criterion, runs that broke off excluded."""
+    """One row per run and criterion, runs that broke off excluded.
+
+    ``explode`` would have the optimizer test the size of ``results`` first and compute all
+    checks a second time for that; ``explode_outer`` does not.
+    """
     return scored.where(F.coalesce("error", F.lit("")) == "").select(
-        "case_id", F.explode("results").alias("verdict")
-    ).select("case_id", "verdict.name", "verdict.passed")
+        "case_id", F.explode_outer("results").alias("verdict")
+    ).select("case_id", "verdict.name", "verdict.passed").where("name IS NOT NULL")
 
 
 def run_totals(scored: DataFrame) -> DataFrame:

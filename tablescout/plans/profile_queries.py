@@ -18,7 +18,7 @@ def all_tables(spark, d):
 def observed(spark, d):
     tables = all_tables(spark, d)
     cat = C.catalog(spark, tables, K.SERVER, K.DATABASE, K.COLUMN_NOTES)
-    return C.observed_catalog(cat, C.column_facts(tables, sketches=False))
+    return C.observed_catalog(cat, C.column_facts(tables))
 
 
 @query("catalog_tables", "WITH " + K.catalog_sql() + ", " + K.descriptions_sql() + """

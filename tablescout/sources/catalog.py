@@ -60,12 +60,10 @@ def distinct_estimate(expression: str) -> str:
     return f"hll_sketch_estimate(hll_sketch_agg({expression}, 14))"
 
 
-def column_facts(tables: dict[str, DataFrame], sketches: bool = True) -> DataFrame:
+def column_facts(tables: dict[str, DataFrame]) -> DataFrame:
     """Observed facts, one row per column, from one map-side pass over each table.
 
-    Row count, NULL count, longest text, smallest and largest whole number and, with
-    ``sketches``, an estimated distinct count (HyperLogLog, under 1 % standard error) of the
-    columns whose type can make a key.
+    Row count, NULL count, longest text, smallest and largest whole number.
     """
     parts = []
     for name, df in tables.items():
@@ -74,16 +72,12 @@ def column_facts(tables: dict[str, DataFrame], sketches: bool = True) -> DataFra
             c = f"`{f.name}`"
             whole = isinstance(f.dataType, T.IntegralType)
             text = isinstance(f.dataType, T.StringType)
-            sketch = "NULL"
-            if sketches and is_key_type(f.dataType):
-                sketch = distinct_estimate(c if whole or text else f"CAST({c} AS STRING)")
             facts.append(f"""named_struct(
                 'column_id', {i}, 'column_name', '{f.name}',
                 'n_rows', count(1), 'n_nulls', count(1) - count({c}),
                 'max_chars', CAST({f"max(length({c}))" if text else "NULL"} AS INT),
                 'min_value', CAST({f"min({c})" if whole else "NULL"} AS BIGINT),
-                'max_value', CAST({f"max({c})" if whole else "NULL"} AS BIGINT),
-                'n_distinct_est', CAST({sketch} AS BIGINT))""")
+                'max_value', CAST({f"max({c})" if whole else "NULL"} AS BIGINT))""")
         parts.append(
             df.agg(F.expr(f"array({', '.join(facts)})").alias("facts"))
             .select(F.lit(name).alias("table_name"), F.inline("facts"))
@@ -91,6 +85,21 @@ def column_facts(tables: dict[str, DataFrame], sketches: bool = True) -> DataFra
     return reduce(DataFrame.union, parts)
 
 
+def distinct_estimates(tables: dict[str, DataFrame], wanted: list[tuple[str, tuple[str, ...]]]) -> dict:
+    """Estimated distinct counts of columns or column groups; one row per table comes back."""
+    parts, mine = [], {}
+    for name in sorted({t for t, _ in wanted}):
+        mine[name] = [cols for t, cols in wanted if t == name]
+        sketches = ", ".join(
+            distinct_estimate("xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")") for cols in mine[name]
+        )
+        parts.append(tables[name].selectExpr(f"'{name}' AS table_name", f"array({sketches}) AS n"))
+    if not parts:
+        return {}
+    rows = reduce(DataFrame.union, parts).collect()
+    return {(r["table_name"], cols): n for r in rows for cols, n in zip(mine[r["table_name"]], r["n"])}
+
+
 def observed_catalog(cat: DataFrame, facts: DataFrame) -> DataFrame:
     """Catalog whose nullability and text lengths are those seen in the data."""
     seen = facts.select("table_name", "column_name", "n_nulls", "max_chars")
