@@ -49,10 +49,24 @@ class TopK:
 
     def _codes(self, unit: np.ndarray) -> np.ndarray:
         """Bucket number per row and hash table: the signs of its projections read as bits."""
-        tables, bits, _ = self.planes.shape
-        signs = np.einsum("nd,tbd->ntb", unit, self.planes) > 0
+        tables, bits, dims = self.planes.shape
+        signs = (unit @ self.planes.reshape(-1, dims).T > 0).reshape(len(unit), tables, bits)
         return signs @ (1 << np.arange(bits))
 
+    def _colliding(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) pairs sharing a bucket, each once, found by lookup of the row's bucket."""
+        codes, n_queries = self._codes(unit), len(self.queries)
+        met = np.zeros(len(unit) * n_queries, dtype=bool)
+        for t in range(codes.shape[1]):
+            order = np.argsort(self.query_codes[:, t], kind="stable")
+            known = self.query_codes[order, t]
+            first = np.searchsorted(known, codes[:, t], "left")
+            n = np.searchsorted(known, codes[:, t], "right") - first
+            row = np.repeat(np.arange(len(unit)), n)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            met[row * n_queries + order[np.repeat(first, n) + nth]] = True
+        return np.divmod(np.flatnonzero(met), n_queries)
+
     def add(self, rows: pd.DataFrame, vectors) -> None:
         step = max(1, CELLS // max(1, len(self.queries)))
         for at in range(0, len(rows), step):
@@ -60,13 +74,14 @@ class TopK:
 
     def _add_chunk(self, rows: pd.DataFrame, unit: np.ndarray) -> None:
         # 12 digits, so that the last bits of different summation orders do not decide a rank
-        scores = np.round(unit @ self.queries.T, 12)
-        if self.planes is not None:
-            codes = self._codes(unit)
-            met = np.zeros(scores.shape, dtype=bool)
-            for t in range(codes.shape[1]):
-                met |= codes[:, t, None] == self.query_codes[None, :, t]
-            scores[~met] = -np.inf
+        if self.planes is None:
+            scores = np.round(unit @ self.queries.T, 12)
+        else:
+            row, query = self._colliding(unit)
+            scores = np.full((len(unit), len(self.queries)), -np.inf)
+            for at in range(0, len(row), 100_000):
+                r, q = row[at:at + 100_000], query[at:at + 100_000]
+                scores[r, q] = np.round(np.einsum("nd,nd->n", unit[r], self.queries[q]), 12)
         n = len(scores)
         kth = np.partition(scores, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(scores.shape[1], -np.inf)
         row, query = np.nonzero((scores >= np.maximum(kth, self.floor)) & np.isfinite(scores))

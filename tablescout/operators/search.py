@@ -61,7 +61,8 @@ def vector_top_k(
         if len(vectors):
             for batch in batches:
                 top.add(batch.drop(columns="embedding"), batch["embedding"])
-        yield _hits(top, qids, schema)
+        if top.best is not None:
+            yield _hits(top, qids, schema)
 
     return _rank(corpus.mapInPandas(local, schema), k)
 
@@ -73,7 +74,7 @@ def _hit_schema(queries, corpus, keep) -> T.StructType:
 
 def _hits(top: TopK, qids, schema) -> pd.DataFrame:
     if top.best is None:
-        return pd.DataFrame({f.name: [] for f in schema.fields})
+        return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
     best = top.best
     best = best.assign(qid=qids[best["_query"].to_numpy()]).rename(columns={"_cos": "cos"})
     return best[[f.name for f in schema.fields]]
@@ -107,7 +108,7 @@ def _blocked(queries, corpus, k, keep, block_queries, planes) -> DataFrame:
 
 def vector_top_k_approx(
     queries: DataFrame, corpus: DataFrame, dims: int, k: int = TOP_K, keep: list[str] | None = None,
-    tables: int = 16, bits: int = 4, seed: int = 7,
+    tables: int = 64, bits: int = 6, seed: int = 7,
 ) -> DataFrame:
     """Nearest rows among those sharing a hash bucket with the query in at least one table.
 
@@ -192,7 +193,9 @@ def _by_grams(words: DataFrame, tables: DataFrame) -> DataFrame:
     texts = F.concat(F.array("table_name", "description"), F.col("columns"))
     in_tables = (
         tables.select(*keys, F.explode(F.transform(texts, F.lower)).alias("t"))
-        .select(*keys, F.explode(F.concat(grams(F.col("t"), 1), grams(F.col("t"), 2), grams(F.col("t"), 3))).alias("gram"))
+        .select(*keys, F.explode(F.concat(
+            F.array(F.lit("")), grams(F.col("t"), 1), grams(F.col("t"), 2), grams(F.col("t"), 3)
+        )).alias("gram"))
         .distinct()
     )
     frequency = in_tables.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
