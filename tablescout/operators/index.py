@@ -114,8 +114,8 @@ def incremental_index(
         new = encode(new)
     if force or before is None:
         store.replace(new)
-    elif not new.isEmpty():
-        store.upsert(new)
+    else:
+        store.append(new)
     return action_counts(actions)
 
 

@@ -149,7 +149,10 @@ def table_schema_report(spark, d):
 
 
 @query("schema_docs_join", """
-SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+SELECT c_custkey, c_name, c_nationkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey
 """)
 def schema_docs_join(spark, d):
-    return P.schema_docs_join(load(spark, d, "region"), load(spark, d, "nation"), "r_regionkey", "n_regionkey")
+    """Customers stand for the column notes, nations for the table notes they belong to."""
+    parents = load(spark, d, "nation").select("n_nationkey", "n_name")
+    children = load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return P.schema_docs_join(parents, children, "n_nationkey", "c_nationkey")

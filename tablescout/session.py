@@ -29,10 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local-mode session without that setting gets a temporary folder.
     """
+    current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not spark.sparkContext.master.startswith("local"):

@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 
 
 class IndexStore:
-    """Documents keyed by ``doc_id`` under one folder of shared storage.
+    """Documents keyed by ``doc_id`` under one folder of shared storage, for one writer at a time.
 
-    Every write goes to a fresh generation folder; a row appended to ``generations`` makes it
-    current, so readers see the old index or the new one, never a half-written one.
+    Data folders are never changed. Every write makes a fresh folder; a row appended to
+    ``generations`` then names the folders that form the index, so readers see the old index
+    or the new one, never a half-written one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
-    def _current(self) -> tuple[int, str] | None:
+    def _current(self) -> tuple[int, list[str]]:
         try:
-            row = self.spark.read.parquet(f"{self.path}/generations").agg(F.max(F.struct("number", "folder"))).first()
+            row = self.spark.read.schema("number INT, folders ARRAY<STRING>").parquet(f"{self.path}/generations").agg(
+                F.max_by(F.struct("number", "folders"), "number")
+            ).first()
         except AnalysisException:
-            return None
-        return None if row[0] is None else (row[0]["number"], row[0]["folder"])
+            return 0, []
+        return (0, []) if row[0] is None else (row[0]["number"], row[0]["folders"])
+
+    def _publish(self, docs: DataFrame, keep: list[str]) -> None:
+        number = self._current()[0] + 1
+        folder = f"docs-{number}-{uuid.uuid4().hex}"
+        docs.write.parquet(f"{self.path}/{folder}")
+        row = self.spark.createDataFrame([(number, [*keep, folder])], "number INT, folders ARRAY<STRING>")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
 
     def read(self) -> DataFrame | None:
-        current = self._current()
-        return None if current is None else self.spark.read.parquet(f"{self.path}/{current[1]}")
+        folders = self._current()[1]
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
 
     def is_empty(self) -> bool:
         docs = self.read()
@@ -37,12 +47,11 @@ class IndexStore:
 
     def replace(self, docs: DataFrame) -> None:
         """Full rebuild: the given documents become the index."""
-        current = self._current()
-        number = 1 if current is None else current[0] + 1
-        folder = f"docs-{number}-{uuid.uuid4().hex}"
-        docs.write.parquet(f"{self.path}/{folder}")
-        row = self.spark.createDataFrame([(number, folder)], "number INT, folder STRING")
-        row.write.mode("append").parquet(f"{self.path}/generations")
+        self._publish(docs, [])
+
+    def append(self, docs: DataFrame) -> None:
+        """Add documents whose ids the index does not hold; what is stored is not rewritten."""
+        self._publish(docs, self._current()[1])
 
     def upsert(self, docs: DataFrame) -> None:
         """Documents of the same id are replaced, others kept."""
