@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.session import small_frame
 from tablescout.sources.sinks import IndexStore
 
 PASSAGE, QUERY = "passage: ", "query: "
@@ -124,7 +125,7 @@ def index_if_empty(
 ) -> DataFrame:
     """Build only an index that has no documents yet."""
     if not force and not store.is_empty():
-        return docs.sparkSession.createDataFrame([("already_built", 0)], "action STRING, n_documents BIGINT")
+        return small_frame(docs.sparkSession, [("already_built", 0)], "action STRING, n_documents BIGINT")
     return incremental_index(store, docs, encode, force)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.text import format_type
+from tablescout.session import small_frame
 from tablescout.sources.catalog import column_facts, distinct_estimates, is_key_type
 
 LONG_TEXT = 64
@@ -42,7 +43,7 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     One scan without columns over all tables and one small shuffle.
     """
     spark = next(iter(tables.values())).sparkSession
-    names = spark.createDataFrame([(t,) for t in tables], "table_name STRING")
+    names = small_frame(spark, [(t,) for t in tables], "table_name STRING")
     rows = reduce(DataFrame.union, [df.select(F.lit(t).alias("table_name")) for t, df in tables.items()])
     counts = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
     return names.join(counts, "table_name", "left").select(
@@ -82,7 +83,10 @@ def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width:
     found = _verify(spark, tables, _likely(tables, singles, facts), facts)
     if max_width < 2:
         return found
-    keys = {(r["table_name"], r["key_columns"]) for r in found.select("table_name", "key_columns").collect()}
+    # at most one row per column; kept, so that the checks do not run again with the pairs
+    rows = found.collect()
+    found = small_frame(spark, rows, found.schema)
+    keys = {(r["table_name"], r["key_columns"]) for r in rows}
     pairs = []
     for t in tables:
         whole = [c for name, c in full if name == t and _span(facts[t, c]) and (t, c) not in keys]
@@ -104,9 +108,8 @@ def _verify(spark, tables, candidates, facts) -> DataFrame:
     """Candidates whose exact distinct count equals the row count, all of them in one shuffle."""
     out = "table_name STRING, key_columns STRING, width INT, n_rows BIGINT"
     if not candidates:
-        return spark.createDataFrame([], out)
-    numbered = spark.createDataFrame(
-        [(i, t, ",".join(cols), len(cols), facts[t, cols[0]]["n_rows"]) for i, (t, cols) in enumerate(candidates)],
+        return small_frame(spark, [], out)
+    numbered = small_frame(spark, [(i, t, ",".join(cols), len(cols), facts[t, cols[0]]["n_rows"]) for i, (t, cols) in enumerate(candidates)],
         "candidate INT, " + out,
     )
     values = reduce(DataFrame.union, [
@@ -155,8 +158,7 @@ def inclusion_dependencies(
     ]
     used = sorted({c for p in pairs for c in p})
     number = {c: i for i, c in enumerate(used)}
-    pair_rows = spark.createDataFrame(
-        [(number[d], number[r], d[0], d[1], r[0], r[1], _suffix(d[1]) == _suffix(r[1])) for d, r in pairs],
+    pair_rows = small_frame(spark, [(number[d], number[r], d[0], d[1], r[0], r[1], _suffix(d[1]) == _suffix(r[1])) for d, r in pairs],
         "dep INT, ref INT, dep_table STRING, dep_column STRING, ref_table STRING, ref_column STRING, same_suffix BOOLEAN",
     )
     # the set of columns a value occurs in, as bits of as many 63-bit words as there are columns for

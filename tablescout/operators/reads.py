@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import needs_row_cap
 from tablescout.operators.audit import MAX_ROWS
+from tablescout.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ def bounded_read(spark: SparkSession, sql: str, args=None, max_rows: int = MAX_R
         query = as_subquery(spark, sql, args)
     except (AnalysisException, ParseException) as e:
         refused = (sql, "error", None, None, None, None, e.getCondition() or "REFUSED")
-        return BoundedResult(None, spark.createDataFrame([refused], STATUS_SCHEMA))
+        return BoundedResult(None, small_frame(spark, [refused], STATUS_SCHEMA))
     rows = query.limit(max_rows)
     seen = query.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"))
     row_count = F.least(F.col("n"), F.lit(max_rows))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tablescout.functions import text as X
 from tablescout.functions.vectors import TopK, similarity, unit_rows
 from tablescout.operators.skew import salted_join
-from tablescout.session import shared_dir
+from tablescout.session import shared_dir, small_frame
 
 TOP_K = 5
 MIN_SIMILARITY = 0.3
@@ -139,7 +139,9 @@ def extract_keywords(questions: DataFrame, text: str = "text") -> DataFrame:
 
 def question_keywords(questions: DataFrame) -> DataFrame:
     """One row per question and keyword, in order."""
-    return extract_keywords(questions).select("qid", F.posexplode("keywords").alias("seq", "keyword"))
+    # the outer form keeps the optimizer from testing the size of the list by building it again
+    words = extract_keywords(questions).select("qid", F.posexplode_outer("keywords").alias("seq", "keyword"))
+    return words.where("keyword IS NOT NULL")
 
 
 def searchable(cat: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -153,15 +155,13 @@ def searchable(cat: DataFrame, descriptions: DataFrame) -> DataFrame:
     )
 
 
-def _match(pairs: DataFrame) -> DataFrame:
-    """Keep (keyword, table) pairs where the keyword occurs, any case; count matching columns."""
+def _haystack():
+    return F.lower(F.concat_ws("\n", "table_name", "description", F.array_join("columns", "\n")))
+
+
+def _count_columns(pairs: DataFrame) -> DataFrame:
     word = F.lower("keyword")
-    out = pairs.withColumn(
-        "matching_columns", F.size(F.filter("columns", lambda c: F.contains(F.lower(c), word)))
-    )
-    return out.where(
-        (F.col("matching_columns") > 0) | F.contains(F.lower("table_name"), word) | F.contains(F.lower("description"), word)
-    )
+    return pairs.withColumn("matching_columns", F.size(F.filter("columns", lambda c: F.contains(F.lower(c), word))))
 
 
 def keyword_search(keywords: DataFrame, tables: DataFrame, catalog_chars: int = CATALOG_CHARS) -> DataFrame:
@@ -172,15 +172,23 @@ def keyword_search(keywords: DataFrame, tables: DataFrame, catalog_chars: int =
     characters is sent to every task; a larger one is reached by an equi join on the
     keyword's rarest group of up to three letters.
     """
-    words = keywords.select("keyword").distinct()
-    everything = F.concat_ws(" ", "table_name", "description", F.array_join("columns", " "))
-    chars = tables.agg(F.coalesce(F.sum(F.length(everything)), F.lit(0))).first()[0]
-    if chars <= catalog_chars:
-        haystack = F.lower(F.concat_ws("\n", "table_name", "description", F.array_join("columns", "\n")))
-        side = F.broadcast(tables.withColumn("_all", haystack))
-        found = words.withColumn("_word", F.lower("keyword")).join(side, F.contains("_all", "_word"))
-        return _match(found.drop("_all", "_word"))
-    return _match(_by_grams(words, tables))
+    words = keywords.select("keyword").distinct().withColumn("_word", F.lower("keyword"))
+    searched = tables.withColumn("_all", _haystack())
+    # names are joined by line breaks, so only a keyword with a break in it could match across two
+    anywhere = F.contains("_all", "_word")
+    apart = ~F.contains("_word", F.lit("\n")) | (
+        F.contains(F.lower("table_name"), F.col("_word")) | F.contains(F.lower("description"), F.col("_word"))
+        | F.exists("columns", lambda c: F.contains(F.lower(c), F.col("_word")))
+    )
+    if catalog_size(tables) <= catalog_chars:
+        pairs = words.join(F.broadcast(searched), anywhere & apart)
+    else:
+        pairs = _by_grams(words, searched).where(anywhere & apart)
+    return _count_columns(pairs).drop("_all", "_word")
+
+
+def catalog_size(tables: DataFrame) -> int:
+    return tables.agg(F.coalesce(F.sum(F.length(_haystack())), F.lit(0))).first()[0]
 
 
 def _by_grams(words: DataFrame, tables: DataFrame) -> DataFrame:
@@ -199,11 +207,11 @@ def _by_grams(words: DataFrame, tables: DataFrame) -> DataFrame:
         .distinct()
     )
     frequency = in_tables.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    low = F.lower("keyword")
+    low = F.col("_word")
     own = F.when(F.length(low) >= 3, grams(low, 3)).otherwise(F.array(low))
-    candidates = words.select("keyword", F.explode(F.array_distinct(own)).alias("gram"))
+    candidates = words.select("keyword", "_word", F.explode(F.array_distinct(own)).alias("gram"))
     # a group of letters no table has rules the keyword out
-    rarest = salted_join(candidates, frequency, ["gram"], "left", spread_by=["keyword"]).groupBy("keyword").agg(
+    rarest = salted_join(candidates, frequency, ["gram"], "left", spread_by=["keyword"]).groupBy("keyword", "_word").agg(
         F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")
     ).where("n > 0").drop("n")
     return salted_join(rarest, in_tables, ["gram"], spread_by=["keyword"]).drop("gram").join(tables, keys)
@@ -221,34 +229,39 @@ def first_seen_dedup(scored: DataFrame, k: int = TOP_K, best: bool = False) -> D
     """One row per question and table: the first seen in source, keyword, count, name order.
 
     Then the ``k`` best scores per question, earlier seen first on ties. ``best`` keeps the
-    highest score of a table instead of the first.
+    highest score of a table instead of the first. Both windows work on one shuffle by
+    question; a question has at most its keywords times the tables as rows.
     """
-    seen = F.struct("server", "database", "seq", (-F.col("matching_columns")).alias("less"), "table_name")
-    order = F.struct((-F.col("score")).alias("s"), seen.alias("o")) if best else seen
-    one = scored.groupBy("qid", "server", "database", "table_name").agg(
-        F.min_by(F.struct("description", "columns", "score", seen.alias("seen")), order).alias("hit")
-    ).select("qid", "server", "database", "table_name", "hit.*")
-    w = W.partitionBy("qid").orderBy(F.col("score").desc(), "seen")
-    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("seen")
+    seen = [F.col("server"), F.col("database"), F.col("seq"), F.col("matching_columns").desc(), F.col("table_name")]
+    by_score = F.col("score").desc()
+    per_table = W.partitionBy("qid", "server", "database", "table_name").orderBy(*([by_score] if best else []), *seen)
+    per_question = W.partitionBy("qid").orderBy(by_score, *seen)
+    one = scored.repartition("qid").withColumn("_nth", F.row_number().over(per_table)).where("_nth = 1").drop("_nth")
+    return one.withColumn("rank", F.row_number().over(per_question)).where(F.col("rank") <= k)
 
 
-def keyword_hits(questions: DataFrame, tables: DataFrame, k: int = TOP_K, match_rows: int = MATCH_ROWS) -> DataFrame:
+def keyword_hits(
+    questions: DataFrame, tables: DataFrame, k: int = TOP_K, match_rows: int = MATCH_ROWS, catalog_chars: int = CATALOG_CHARS
+) -> DataFrame:
     """Questions to ranked tables by keywords.
 
-    The matches of the distinct keywords are checkpointed and measured. Up to ``match_rows``
-    rows and ``CATALOG_CHARS`` characters they are sent to every task, so the questions do not move; more are joined by keyword,
-    with words asked in very many questions salted.
+    The matches of the distinct keywords, names and scores only, are checkpointed and
+    counted. Up to ``match_rows`` they are sent to every task, so the questions stay where
+    they are; more are joined by keyword, with words asked in very many questions salted.
+    Descriptions and columns are added to the final hits.
     """
     shared_dir(questions.sparkSession)
     words = question_keywords(questions)
-    scored = keyword_score(keyword_search(words, tables)).checkpoint()
-    chars = F.sum(F.length("description") + F.length(F.array_join("columns", " ")))
-    size = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(chars, F.lit(0)).alias("chars")).first()
-    if size["n"] <= match_rows and size["chars"] <= CATALOG_CHARS:
+    scored = keyword_score(keyword_search(words, tables, catalog_chars)).drop("description", "columns").checkpoint()
+    if scored.count() <= match_rows:
         found = words.join(F.broadcast(scored), "keyword")
     else:
         found = salted_join(words, scored, ["keyword"], spread_by=["qid"])
-    return first_seen_dedup(found, k)
+    ranked = first_seen_dedup(found, k).drop("seq", "keyword", "matching_columns")
+    keys = ["server", "database", "table_name"]
+    if catalog_size(tables) <= catalog_chars:
+        return ranked.join(F.broadcast(tables), keys)
+    return salted_join(ranked, tables, keys, spread_by=["qid"])
 
 
 HIT_COLUMNS = ["qid", "rank", "server", "database", "table_name", "description", "score", "columns"]
@@ -280,7 +293,7 @@ def search_with_fallback(
             except RuntimeError:
                 hits = by_keywords()
     except Exception as e:  # noqa: BLE001 - the answer to a batch is its status, not a crash
-        empty = spark.createDataFrame([], "qid BIGINT, rank INT, server STRING, database STRING, table_name STRING, "
+        empty = small_frame(spark, [], "qid BIGINT, rank INT, server STRING, database STRING, table_name STRING, "
                                           "description STRING, score DOUBLE, columns ARRAY<STRING>")
         status = questions.select("qid", F.lit("error").alias("status"), F.lit(str(e)[:200]).alias("error"))
         return empty, status

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.session import small_frame
 from tablescout.sources.tables import KNOWLEDGE_SCHEMA
 
 SERVER, DATABASE = "local", "main"
@@ -79,13 +80,14 @@ def columns_of(table: str) -> list[tuple[str, str]]:
 
 def knowledge(spark: SparkSession) -> DataFrame:
     rows = [
-        (t, biz, syn, rel, {k: (v, None) for k, v in enums.items()}, None) for t, biz, syn, rel, enums in KNOWLEDGE
+        (t, biz, syn, rel, [(k, {"description": v, "how_to_decode": None}) for k, v in enums.items()], None)
+        for t, biz, syn, rel, enums in KNOWLEDGE
     ]
-    return spark.createDataFrame(rows, KNOWLEDGE_SCHEMA)
+    return small_frame(spark, rows, KNOWLEDGE_SCHEMA)
 
 
 def descriptions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DESCRIPTIONS.items()), "table_name STRING, table_description STRING")
+    return small_frame(spark, list(DESCRIPTIONS.items()), "table_name STRING, table_description STRING")
 
 
 def sql_text(value) -> str:

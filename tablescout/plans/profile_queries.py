@@ -5,6 +5,7 @@ from __future__ import annotations
 from tablescout.operators import profile as P
 from tablescout.plans import knowledge_data as K
 from tablescout.plans.registry import query
+from tablescout.session import small_frame
 from tablescout.sources import catalog as C
 from tablescout.sources.tables import load
 
@@ -142,7 +143,7 @@ def table_schema_report(spark, d):
     keys = P.candidate_keys(spark, tables, max_width=1, facts=facts)
     key_columns = {(r["table_name"], r["key_columns"]) for r in keys.collect()}
     references = P.inclusion_dependencies(spark, tables, same_suffix_only=True, facts=facts, key_columns=key_columns)
-    requested = spark.createDataFrame([(t,) for t in REQUESTED], "table_name STRING")
+    requested = small_frame(spark, [(t,) for t in REQUESTED], "table_name STRING")
     return P.table_schema_report(
         observed(spark, d), P.table_row_counts(tables), keys, references, requested
     ).drop("default_value")

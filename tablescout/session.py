@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def get_session(app: str = "tablescout", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tablescout-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def small_frame(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
+    """A few rows from the driver as a local table.
+
+    Given as Arrow, Spark knows their size and can send them to the tasks by itself; rows
+    given as tuples would become an RDD of unknown size, joined by a shuffle.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)

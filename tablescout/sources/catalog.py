@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.session import small_frame
+
 CATALOG_SCHEMA = """
 server STRING, database STRING, table_name STRING, column_id INT, column_name STRING, data_type STRING,
 precision INT, scale INT, char_max_length STRING, is_nullable BOOLEAN, default_value STRING, description STRING
@@ -46,7 +48,7 @@ def catalog(
                 None if length is None else str(length), f.nullable,
                 f.metadata.get("default"), (notes or {}).get(f.name),
             ))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return small_frame(spark, rows, CATALOG_SCHEMA)
 
 
 def is_key_type(dt: T.DataType) -> bool:

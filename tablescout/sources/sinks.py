@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.session import small_frame
+
 
 class IndexStore:
     """Documents keyed by ``doc_id`` under one folder of shared storage, for one writer at a time.
@@ -34,7 +36,7 @@ class IndexStore:
         number = self._current()[0] + 1
         folder = f"docs-{number}-{uuid.uuid4().hex}"
         docs.write.parquet(f"{self.path}/{folder}")
-        row = self.spark.createDataFrame([(number, [*keep, folder])], "number INT, folders ARRAY<STRING>")
+        row = small_frame(self.spark, [(number, [*keep, folder])], "number INT, folders ARRAY<STRING>")
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
 
     def read(self) -> DataFrame | None:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.session import small_frame
+
 KNOWLEDGE_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
     T.StructField("business_description", T.StringType()),
@@ -94,8 +96,7 @@ def federate(
             continue
         status.append((s.server, s.database, s.table, "success", None))
         rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
-    report = spark.createDataFrame(
-        status, "server STRING, database STRING, table_name STRING, status STRING, error STRING"
+    report = small_frame(spark, status, "server STRING, database STRING, table_name STRING, status STRING, error STRING"
     )
     return rows, report
 
@@ -106,7 +107,7 @@ def load_knowledge(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.schema(KNOWLEDGE_SCHEMA).option("mode", "DROPMALFORMED").json(path, multiLine=True)
         return df.where("table_name IS NOT NULL")
     except AnalysisException:
-        return spark.createDataFrame([], KNOWLEDGE_SCHEMA)
+        return small_frame(spark, [], KNOWLEDGE_SCHEMA)
 
 
 def knowledge_entries(knowledge: DataFrame) -> DataFrame:

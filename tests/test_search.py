@@ -102,7 +102,7 @@ def questions(spark):
 
 
 def test_like_signs_are_literal(spark, tables):
-    words = spark.createDataFrame([("100%",), ("o%d",), ("o_status",)], "keyword STRING")
+    words = spark.createDataFrame([("100%",), ("o%d",), ("o_status",), ("o_id\no_status",)], "keyword STRING")
     got = {(r.keyword, r.table_name) for r in S.keyword_search(words, tables).collect()}
     assert got == {("100%", "100%_sure"), ("o_status", "orders")}
 
@@ -149,9 +149,9 @@ def reference_hits(questions, tables, k=5):
     return out
 
 
-@pytest.mark.parametrize("match_rows", [S.MATCH_ROWS, 0])
-def test_first_seen_order(questions, tables, match_rows):
-    got = S.keyword_hits(questions, tables, match_rows=match_rows)
+@pytest.mark.parametrize("match_rows, catalog_chars", [(S.MATCH_ROWS, S.CATALOG_CHARS), (0, S.CATALOG_CHARS), (0, 0)])
+def test_first_seen_order(questions, tables, match_rows, catalog_chars):
+    got = S.keyword_hits(questions, tables, match_rows=match_rows, catalog_chars=catalog_chars)
     assert set(rows(got, "qid", "rank", "server", "database", "table_name", "score")) == reference_hits(
         questions.collect(), tables.collect()
     )
