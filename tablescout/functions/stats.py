@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.session import small_frame
+
 # Positive values are binned by logarithm; one bin spans a factor of exp(1/BINS_PER_E).
 BINS_PER_E = 16384
+WANTED_ROWS = 10_000
 
 
 def exclusive_p90(sorted_values: Column) -> Column:
@@ -54,7 +57,10 @@ def exclusive_p90_by(df: DataFrame, value: str, by: list[str]) -> DataFrame:
         )
         .select(*by, "bin", "before", "n", "j")
     )
-    # at most two bins per group are wanted
+    # at most two bins per group are wanted; of up to WANTED_ROWS they travel as a local table
+    few = wanted.limit(WANTED_ROWS + 1).collect()
+    if len(few) <= WANTED_ROWS:
+        wanted = F.broadcast(small_frame(df.sparkSession, few, wanted.schema))
     counted = (
         binned.join(wanted, [*by, "bin"])
         .groupBy(*by, "bin", "before", "n", "j", "v")

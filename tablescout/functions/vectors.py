@@ -32,8 +32,15 @@ def mean_vectors(df: DataFrame, by: str, vector: str, dims: int) -> DataFrame:
     return df.groupBy(by).agg(F.array(*cells).alias(vector))
 
 
+def arrow_matrix(column) -> np.ndarray:
+    """Arrow list column of equally long lists as a matrix, without visiting the rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def unit_rows(vectors) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Vectors scaled to length 1; zero vectors stay zero."""
+    m = vectors if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else np.array([np.asarray(v) for v in vectors])
+    m = m.astype(np.float64)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
@@ -70,7 +77,7 @@ class TopK:
     def add(self, rows: pd.DataFrame, vectors) -> None:
         step = max(1, CELLS // max(1, len(self.queries)))
         for at in range(0, len(rows), step):
-            self._add_chunk(rows.iloc[at:at + step], unit_rows(vectors.iloc[at:at + step]))
+            self._add_chunk(rows.iloc[at:at + step], unit_rows(vectors[at:at + step]))
 
     def _add_chunk(self, rows: pd.DataFrame, unit: np.ndarray) -> None:
         # 12 digits, so that the last bits of different summation orders do not decide a rank

@@ -137,15 +137,12 @@ def run_totals(scored: DataFrame) -> DataFrame:
 
 def run_latency(runs: DataFrame) -> DataFrame:
     """Mean, total and exclusive 90 % quantile of the latencies above zero; 0 without any."""
-    timed = runs.where(F.col("latency_s") > 0)
-    means = timed.agg(F.avg("latency_s").alias("a"), F.sum("latency_s").alias("t"))
-    one = F.lit(1).alias("all_runs")
-    p90 = exclusive_p90_by(runs.select("latency_s", one), "latency_s", ["all_runs"])
-    return means.withColumn("all_runs", F.lit(1)).join(p90, "all_runs", "left").select(
-        F.round(F.coalesce("a", F.lit(0.0)), 2).alias("avg_latency_s"),
-        F.round(F.coalesce("p90", F.lit(0.0)), 2).alias("p90_latency_s"),
-        F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total_time_s"),
-    )
+    timed = runs.where(F.col("latency_s") > 0).select("latency_s", F.lit("all").alias("runs"))
+    p90 = exclusive_p90_by(timed, "latency_s", ["runs"]).select("p90").scalar()
+    return timed.agg(
+        F.round(F.coalesce(F.avg("latency_s"), F.lit(0.0)), 2).alias("avg_latency_s"),
+        F.round(F.coalesce(F.sum("latency_s"), F.lit(0.0)), 2).alias("total_time_s"),
+    ).select("avg_latency_s", F.round(F.coalesce(p90, F.lit(0.0)), 2).alias("p90_latency_s"), "total_time_s")
 
 
 def by_criterion(criteria_rows: DataFrame) -> DataFrame:

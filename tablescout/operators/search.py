@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablescout.functions import text as X
-from tablescout.functions.vectors import TopK, similarity, unit_rows
+from tablescout.functions.vectors import TopK, arrow_matrix, similarity, unit_rows
 from tablescout.operators.skew import salted_join
 from tablescout.session import shared_dir, small_frame
 
@@ -43,7 +45,8 @@ def vector_top_k(
     (query block × corpus block) groups of bounded size.
     """
     keep = keep or []
-    corpus = corpus.select("id", "embedding", *keep)
+    corpus = corpus.where("embedding IS NOT NULL").select("id", "embedding", *keep)
+    queries = queries.where("vector IS NOT NULL")
     first = queries.select("qid", "vector").first()
     if first is None:
         most = 0
@@ -56,15 +59,18 @@ def vector_top_k(
     vectors = unit_rows([r["vector"] for r in rows]) if rows else np.zeros((0, 1))
     schema = _hit_schema(queries, corpus, keep)
 
+    arrow_schema = to_arrow_schema(schema)
+
     def local(batches):
         top = TopK(vectors, k, "id", planes)
         if len(vectors):
             for batch in batches:
-                top.add(batch.drop(columns="embedding"), batch["embedding"])
+                if batch.num_rows:
+                    top.add(batch.select(["id", *keep]).to_pandas(), arrow_matrix(batch.column("embedding")))
         if top.best is not None:
-            yield _hits(top, qids, schema)
+            yield pa.RecordBatch.from_pandas(_hits(top, qids, schema), arrow_schema, preserve_index=False)
 
-    return _rank(corpus.mapInPandas(local, schema), k)
+    return _rank(corpus.mapInArrow(local, schema), k)
 
 
 def _hit_schema(queries, corpus, keep) -> T.StructType:
@@ -100,7 +106,7 @@ def _blocked(queries, corpus, k, keep, block_queries, planes) -> DataFrame:
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         top = TopK(unit_rows(q["vector"]) if len(q) else np.zeros((0, 1)), k, "id", planes)
         if len(q) and len(c):
-            top.add(c[["id", *keep]], c["embedding"])
+            top.add(c[["id", *keep]], c["embedding"].to_numpy())
         return _hits(top, q["qid"].to_numpy(dtype=object), schema)
 
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(pair, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.session import small_frame
+
 HOT_SHARE = 1000  # a key is hot above 1/1000 of the rows, so there are fewer than 1000 hot keys
 
 
@@ -12,7 +14,8 @@ def hot_keys(rows: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFram
     """Keys holding more than one ``share``-th of the rows; fewer than ``share`` of them exist."""
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_n") * share > total).select(*on)
+    known = counts.where(F.col("_n") * share > total)
+    return known.select(*on).dropna()
 
 
 def salted_join(
@@ -22,20 +25,27 @@ def salted_join(
     how: str = "inner",
     spread_by: list[str] | None = None,
     salts: int = 64,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
     """``left.join(right, on, how)`` for inner and left joins with hot keys on the left.
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread_by`` and the
-    matching right rows are repeated that often; all other rows keep salt 0. The hash is
-    computed from row values, so a recomputed task places its rows where they were.
+    The hot keys are looked up first, by a count map tasks combine. Rows of a hot key are
+    spread over ``salts`` tasks by a hash of ``spread_by`` and the matching right rows are
+    repeated that often; all other rows keep salt 0. The hash is computed from row values,
+    so a recomputed task places its rows where they were. Without hot keys this is the
+    plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on the left")
-    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
+    found = hot_keys(left, on, share)
+    rows = found.collect()  # fewer than ``share`` rows
+    if not rows:
+        return left.join(right, on, how)
+    hot = small_frame(left.sparkSession, rows, found.schema).withColumn("_hot", F.lit(True))
     spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, on, "left").withColumn(
+    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(0)
     ).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salted_right = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

@@ -33,13 +33,15 @@ def audit_readonly(spark, d):
 @query("audit_row_cap", duckdb_cte("query_log") + r""", parsed AS (
 SELECT event_id, sql, regexp_matches(sql, '(?i)^\s*SELECT\s+') AS is_select,
        TRY_CAST(nullif(regexp_extract(sql, '(?i)^\s*SELECT\s+TOP\s+(\d+)\s+', 1), '') AS BIGINT) AS own_cap FROM query_log)
-SELECT event_id, own_cap, is_select AND (own_cap IS NULL OR own_cap > 100) AS was_limited,
+SELECT event_id, coalesce(own_cap, -1) AS own_cap, is_select AND (own_cap IS NULL OR own_cap > 100) AS was_limited,
        CASE WHEN is_select AND (own_cap IS NULL OR own_cap > 100)
             THEN regexp_replace(sql, '(?i)^(\s*SELECT\s+)(TOP\s+\d+\s+)?', '\1TOP 100 ') ELSE sql END AS capped_sql
 FROM parsed
 """)
 def audit_row_cap(spark, d):
-    return A.audit_row_cap(view(spark, d, "query_log")).select("event_id", "own_cap", "was_limited", "capped_sql")
+    return A.audit_row_cap(view(spark, d, "query_log")).select(
+        "event_id", F.coalesce("own_cap", F.lit(-1)).alias("own_cap"), "was_limited", "capped_sql"
+    )
 
 
 @query("error_triage", duckdb_cte("query_log") + r"""
@@ -84,8 +86,8 @@ UNION ALL SELECT '{STATEMENTS[1]}', CASE WHEN count(*) > 0 THEN 'success' ELSE '
 UNION ALL SELECT '{STATEMENTS[2]}', 'success', 1, false, false FROM (SELECT max(o_totalprice) FROM orders)
 UNION ALL SELECT '{STATEMENTS[3].replace("'", "''")}', 'success', least(count(*), 100),
        false, count(*) > 100 FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT '{STATEMENTS[4]}', 'error', NULL, NULL, NULL
-UNION ALL SELECT '{STATEMENTS[5]}', 'error', NULL, NULL, NULL)
+UNION ALL SELECT '{STATEMENTS[4]}', 'error', 0, false, false
+UNION ALL SELECT '{STATEMENTS[5]}', 'error', 0, false, false)
 """)
 def bounded_read_status(spark, d):
     load(spark, d, "orders").createOrReplaceTempView("orders")
@@ -93,7 +95,7 @@ def bounded_read_status(spark, d):
     for text in STATEMENTS:
         one = R.bounded_read(spark, text).status.select("sql", "status", "row_count", "truncated", "more_rows")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.na.fill(0).na.fill(False)
 
 
 @query("scalar_read", "SELECT max(o_totalprice) AS value FROM orders")

@@ -129,11 +129,11 @@ first_keys AS (SELECT c.table_name, arg_min(c.column_name, c.column_id) AS pk FR
   JOIN single_keys k ON k.table_name = c.table_name AND k.key_columns = c.column_name GROUP BY c.table_name)
 SELECT r.table_name, CASE WHEN c.column_name IS NULL THEN 'empty' ELSE 'success' END AS status,
        CASE WHEN c.column_name IS NULL THEN concat('table ''', r.table_name, ''' not found') END AS message,
-       c.column_id, c.column_name, {TYPE_TEXT} AS type_text, c.is_nullable,
-       CASE WHEN c.column_name IS NOT NULL THEN coalesce(f.pk = c.column_name, false) END AS is_pk,
-       CASE WHEN c.column_name IS NOT NULL THEN EXISTS (SELECT 1 FROM inclusions i
-         WHERE i.same_suffix AND i.dep_table = c.table_name AND i.dep_column = c.column_name) END AS is_fk,
-       c.description, n.row_count
+       coalesce(c.column_id, 0) AS column_id, c.column_name, {TYPE_TEXT} AS type_text, coalesce(c.is_nullable, false) AS is_nullable,
+       coalesce(f.pk = c.column_name, false) AS is_pk,
+       EXISTS (SELECT 1 FROM inclusions i
+         WHERE i.same_suffix AND i.dep_table = c.table_name AND i.dep_column = c.column_name) AS is_fk,
+       c.description, coalesce(n.row_count, 0) AS row_count
 FROM requested r LEFT JOIN catalog c USING (table_name) LEFT JOIN counts n ON n.table_name = r.table_name
 LEFT JOIN first_keys f ON f.table_name = r.table_name
 """)
@@ -146,7 +146,7 @@ def table_schema_report(spark, d):
     requested = small_frame(spark, [(t,) for t in REQUESTED], "table_name STRING")
     return P.table_schema_report(
         observed(spark, d), P.table_row_counts(tables), keys, references, requested
-    ).drop("default_value")
+    ).drop("default_value").na.fill(0).na.fill(False)
 
 
 @query("schema_docs_join", """

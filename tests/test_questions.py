@@ -36,8 +36,9 @@ def test_salted_join_with_repeated_right_keys(facts, dims):
 
 def test_salted_join_spreads_the_hot_key(facts, dims):
     joined = salted_join(facts, dims, ["k"], spread_by=["id"], salts=16)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    even = salted_join(facts, dims, ["k"], spread_by=["id"], share=2)
+    assert "_salt" not in even._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_decode_needs_the_dictionary(spark):
