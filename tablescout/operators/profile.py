@@ -62,6 +62,19 @@ def known_facts(tables: dict[str, DataFrame]) -> dict[tuple[str, str], dict]:
     return {(r["table_name"], r["column_name"]): r.asDict() for r in column_facts(tables).collect()}
 
 
+def facts_frame(spark: SparkSession, facts: dict) -> DataFrame:
+    """Known facts as a table, for ``observed_catalog``."""
+    names = ["table_name", "column_name", "n_nulls", "max_chars"]
+    rows = [tuple(f[n] for n in names) for f in facts.values()]
+    return small_frame(spark, rows, "table_name STRING, column_name STRING, n_nulls BIGINT, max_chars INT")
+
+
+def related_tables(tables: dict[str, DataFrame], requested: list[str]) -> dict[str, DataFrame]:
+    """The requested tables and those sharing a column name (without table prefix) with them."""
+    asked = {_suffix(c) for t in requested if t in tables for c in tables[t].columns}
+    return {t: df for t, df in tables.items() if t in requested or asked & {_suffix(c) for c in df.columns}}
+
+
 def _span(fact: dict) -> int | None:
     """How many values a whole-number column can have at most."""
     return None if fact["min_value"] is None else fact["max_value"] - fact["min_value"] + 1

@@ -138,14 +138,17 @@ FROM requested r LEFT JOIN catalog c USING (table_name) LEFT JOIN counts n ON n.
 LEFT JOIN first_keys f ON f.table_name = r.table_name
 """)
 def table_schema_report(spark, d):
-    tables = all_tables(spark, d)
+    tables = P.related_tables(all_tables(spark, d), REQUESTED)
     facts = P.known_facts(tables)
     keys = P.candidate_keys(spark, tables, max_width=1, facts=facts)
+    keys = small_frame(spark, keys.collect(), keys.schema)
     key_columns = {(r["table_name"], r["key_columns"]) for r in keys.collect()}
     references = P.inclusion_dependencies(spark, tables, same_suffix_only=True, facts=facts, key_columns=key_columns)
-    requested = small_frame(spark, [(t,) for t in REQUESTED], "table_name STRING")
+    asked = {t: df for t, df in tables.items() if t in REQUESTED}
+    cat = C.catalog(spark, asked, K.SERVER, K.DATABASE, K.COLUMN_NOTES)
     return P.table_schema_report(
-        observed(spark, d), P.table_row_counts(tables), keys, references, requested
+        C.observed_catalog(cat, P.facts_frame(spark, facts)), P.table_row_counts(asked), keys, references,
+        small_frame(spark, [(t,) for t in REQUESTED], "table_name STRING"),
     ).drop("default_value").na.fill(0).na.fill(False)
 
 

@@ -14,7 +14,7 @@ from tablescout.streaming import events as E
 
 def event_stream(spark, d):
     schema = load(spark, d, "events").schema
-    return over(spark, "run_events", E.read_events(spark, schema, d, "events.parquet"))
+    return over(spark, "run_events", E.read_events(spark, schema, f"{d}/events.parquet"))
 
 
 def stamp(column):

@@ -251,9 +251,14 @@ def run_updates_to_end(stream: DataFrame, path: str, checkpoint: str, keys: list
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*")
 
 
-def read_events(spark: SparkSession, schema, folder: str, name: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Parquet folder as a stream, oldest files first."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+def read_events(spark: SparkSession, schema, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet file or folder as a stream, oldest files first.
+
+    A stream takes a plain path for a folder only, so the last name is given as a pattern
+    that matches just itself.
+    """
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}")
