@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import STOP_WORDS, escape_like
 from tablescout.functions.vectors import mean_vectors
-from tablescout.operators import questions as Q
 from tablescout.operators import search as S
 from tablescout.plans import knowledge_data as K
 from tablescout.plans.derived import duckdb_cte, view

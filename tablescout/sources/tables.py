@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +92,12 @@ def federate(
             df = shape(read_source(spark, s)).select(
                 F.lit(s.server).alias("server"), F.lit(s.database).alias("database"), "*"
             )
-        except (AnalysisException, PySparkException) as e:
+        except PySparkException as e:
             status.append((s.server, s.database, s.table, "error", e.getCondition() or "READ_FAILED"))
             continue
+        except Py4JJavaError as e:  # a driver that cannot connect
+            status.append((s.server, s.database, s.table, "error", str(e.java_exception)[:200]))
+            continue
         status.append((s.server, s.database, s.table, "success", None))
         rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
     report = small_frame(spark, status, "server STRING, database STRING, table_name STRING, status STRING, error STRING"

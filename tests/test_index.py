@@ -122,6 +122,8 @@ def test_federation_skips_what_cannot_be_read(spark, tmp_path):
     ])
     assert rows(out, "server", "id", "extra") == [("s1", 0, None), ("s1", 1, None), ("s1", 2, None), ("s2", 0, "x"), ("s2", 1, "x")]
     assert [(r.server, r.status) for r in status.collect()] == [("s1", "success"), ("s2", "error"), ("s2", "success")]
+    no_driver = T.Source("s", "d", "t", fmt="jdbc", options={"url": "jdbc:nothing:x"})
+    assert T.federate(spark, [no_driver])[1].first().status == "error"
     nothing, status = T.federate(spark, [T.Source("s", "d", "t", str(tmp_path / "gone"))])
     assert nothing is None and status.first().error == "PATH_NOT_FOUND"
 
