@@ -5,6 +5,7 @@ import pytest
 from conftest import SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tablescout.plans import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -20,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, sf_dir, duck, name):
     df = queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
