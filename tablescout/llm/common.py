@@ -84,7 +84,7 @@ class Rolling:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        self.base = int(rng.integers(2**40, 2**61)) * 8 + 5
         self.inverse = pow(self.base, -1, 2**64)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
@@ -102,7 +102,7 @@ class Rolling:
 
     @staticmethod
     def _series(factor: int, n: int) -> np.ndarray:
-        steps = np.full(n, factor, np.uint64)
+        steps = np.full(n, np.uint64(factor))
         steps[0] = 1
         return np.cumprod(steps)
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import simhash, suffixes
+from tablescout.llm import lm, packing, quality, simhash, suffixes
 from tablescout.llm.common import table
 
+HELD_OUT = "crc32(cast(doc_id AS string)) % {} = {}"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,7 +33,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document statistics, fixed rules and the verdict of trees fitted to the quality labels."""
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their components at 2 or fewer bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_context_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the mixed model and by unigrams; one document in seven is held out."""
+    return lm.scores(table(spark, sf_dir, "documents"), HELD_OUT.format(7, 2))
