@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import lm, packing, quality, simhash, suffixes
+from tablescout.llm import chat, language, licenses, lm, mixture, packing, quality, simhash, suffixes, vectors
 from tablescout.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % {} = {}"
@@ -55,3 +55,45 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by the mixed model and by unigrams; one document in seven is held out."""
     return lm.scores(table(spark, sf_dir, "documents"), HELD_OUT.format(7, 2))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; one in three is held out."""
+    return language.identified(table(spark, sf_dir, "documents"), HELD_OUT.format(3, 1))
+
+
+@query("op2_vector_dedup", """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT vec_id, b FROM reach JOIN links ON r = a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach GROUP BY vec_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between vectors of one label, and their components."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_licenses", licenses.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences carried by documents, with the best match."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_preferences")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in a pair of a chosen and a rejected one, formatted."""
+    return chat.formatted(chat.preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query("op10_mixing", mixture.oracle())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to smoothed source, language and topic margins."""
+    taken = mixture.mixed(table(spark, sf_dir, "documents"))
+    names = ("source", "lang", "topic")
+    return taken.select("doc_id", *(taken[f"mix_{n}"].alias(n) for n in names), taken.mix_tokens.cast("long").alias("tokens"), "probability")
