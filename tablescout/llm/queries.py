@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tablescout.llm import chat, language, licenses, lm, mixture, packing, quality, simhash, suffixes, vectors
 from tablescout.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % {} = {}"
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +41,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 tokens."""
-    return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
+    return packing.packed(table(spark, sf_dir, "documents"), packing.WORD_BPE)
 
 
 @query("op6_simhash")
@@ -97,3 +96,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixture.mixed(table(spark, sf_dir, "documents"))
     names = ("source", "lang", "topic")
     return taken.select("doc_id", *(taken[f"mix_{n}"].alias(n) for n in names), taken.mix_tokens.cast("long").alias("tokens"), "probability")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline.py`` one after another."""
+    return corpus_pipeline.run(spark, sf_dir)

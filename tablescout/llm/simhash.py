@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import byte_batches, word_spans, written
+from tablescout.llm.common import byte_batches, doc_key, word_spans, written
 from tablescout.llm.components import connected_components
 
 SEED = 42
@@ -93,6 +93,15 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.expr("a ^ b")) <= radius).distinct()
 
 
+def _grouped(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, simhash`` of every row, and ``simhash, root`` for every fingerprint."""
+    prints = written(simhash(docs.select("doc_id", "text", doc_key().alias("key")), width))
+    nodes = prints.select("simhash").distinct()
+    parts = connected_components(ball_links(nodes, radius))
+    joined = nodes.join(parts, nodes.simhash == parts.node, "left")
+    return prints, joined.select("simhash", F.coalesce("component", "simhash").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """Fingerprint and component of every row of ``docs(doc_id, text)``.
 
@@ -101,12 +110,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     linked like any other. Rows with a null ``doc_id`` take part; a component of only such rows has a null
     id. Repeated rows stay repeated. Copies meet as one fingerprint, so a group of any size is one node.
     """
-    prints = written(simhash(docs.select("doc_id", "text"), width))
-    least = prints.groupBy("simhash").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(ball_links(least, radius))
-    joined = least.join(parts, least.simhash == parts.node, "left")
-    joined = joined.select("simhash", F.coalesce("component", "simhash").alias("root"), "least")
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(ids, "root").select("simhash", "component_id")
+    prints, roots = _grouped(docs, width, radius)
+    least = prints.groupBy("simhash").agg(F.min("doc_id").alias("least")).join(roots, "simhash")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(ids, "root").select("simhash", "component_id")
     return prints.join(of, "simhash").select(
         "doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that with the smallest ``doc_id``.
+
+    Null ids come last; rows with equal ids are told apart by a hash of id and text, and of rows equal in both any one stays.
+    """
+    prints, roots = _grouped(docs, width, radius)
+    first = prints.groupBy("simhash").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"))
+    kept = first.join(roots, "simhash").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    return docs.withColumn("_key", doc_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)

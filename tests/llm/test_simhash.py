@@ -5,7 +5,7 @@ import xxhash
 from brute import WORD, components, frame, prose
 
 from tablescout.llm.components import connected_components
-from tablescout.llm.simhash import ball_links, fingerprints_of, near_duplicates
+from tablescout.llm.simhash import ball_links, fingerprints_of, near_duplicates, one_of_each
 
 
 def fingerprint(text, width=3):
@@ -74,3 +74,12 @@ def test_components_of_a_chain_a_star_and_a_ring(spark):
     nodes = {n for pair in links for n in pair if n is not None}
     want = components(nodes, [p for p in links if None not in p])
     assert got == {n: c for n, c in want.items() if n != c}
+
+
+def test_one_row_of_each_group_stays_as_it_is(spark):
+    a, b = prose(1, 400), prose(2, 400)
+    rows = [(5, a, "x"), (3, a, None), (3, a, None), (9, b, "y"), (None, b, "z"), (None, prose(3, 80), "n"), (7, prose(4, 90), "p"), (7, prose(5, 90), "q")]
+    docs = frame(spark, rows, "doc_id long, text string, key string")
+    got = sorted((tuple(r) for r in one_of_each(docs).collect()), key=repr)
+    assert got == sorted([rows[1], rows[3], *rows[5:]], key=repr)
+    assert one_of_each(docs.limit(0)).collect() == []
