@@ -2,6 +2,7 @@
 
 import re
 
+SMALL_TABLES = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GOLDEN = "the quick brown fox jumps over the lazy dog and runs away from every hunter in the green wood "
 

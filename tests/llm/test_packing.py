@@ -30,8 +30,7 @@ def check_packing(spark, docs, rows, least_full):
         sequences[r.sequence_id].append((r.offset, r.length))
         pieces[r.doc_id].append((r.start, r.length))
     for doc, texts in ids.items():
-        want = sorted((s, min(4096, len(x) - s)) for x in texts for s in range(0, len(x), 4096))
-        assert sorted(pieces[doc]) == want
+        assert sorted(p for s, n in pieces[doc] for p in range(s, s + n)) == sorted(p for x in texts for p in range(len(x)))
     lengths = []
     for spans in sequences.values():
         end = 0
