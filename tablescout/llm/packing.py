@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import sys
 import zlib
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ from tablescout.llm.common import byte_batches, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 4096
-GROUP = 512
+GROUP = 768
 END = 2
-CACHED = 400_000
+CACHED = 1_000_000
+# A remainder's last tokens are a piece of their own, so that windows have small pieces to even them out.
+TAIL_FROM, TAIL_TO = 32, 512
 
 # What the tokenizer cuts text into before merging; fixed by its file.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,11 +54,8 @@ class WordIds:
     def text(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, words = self.known, text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known.get(w) or self._word(w) for w in words])
+        known, new = self.known.get, self._word
+        return b"".join([known(w) or new(w) for w in text.split()])
 
     def _word(self, word: str) -> bytes:
         ids = b"".join([self.merged.get(p) or self._part(p) for p in self.parts.findall(word.lower())])
@@ -82,7 +82,7 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
-    """Documents as token ids with an end id, cut into full sequences and a remainder.
+    """Documents as token ids with an end id, cut into full sequences, a remainder and its tail.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens`` and ``place``, a hash of the text that deals
     pieces out to groups.
@@ -95,9 +95,12 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
             for i, text in enumerate(texts):
                 ids = ids_of(text.decode()) + END.to_bytes(4, "little")
                 n, crc = len(ids) // 4, zlib.crc32(ids)
-                for start in range(0, n, sequence):
-                    cut = ids[4 * start : 4 * (start + sequence)]
-                    rows.append((i, start, len(cut) // 4, zlib.crc32(cut), n, crc))
+                starts = list(range(0, n, sequence))
+                tail = TAIL_FROM + crc % (TAIL_TO - TAIL_FROM)
+                if n - starts[-1] > 2 * tail and n % sequence:
+                    starts.append(n - tail)
+                for start, end in zip(starts, [*starts[1:], n]):
+                    rows.append((i, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), n, crc))
             owner, *columns = np.array(rows, np.int64).T
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *map(pa.array, columns)],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
@@ -109,33 +112,57 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
 def differenced(sizes: list[int], ways: int) -> list[list[int]]:
     """Karmarkar-Karp: item numbers in ``ways`` parts of near-equal sums.
 
-    A partial partition is kept as its parts' sums, largest first. The two with the largest spread are merged
-    again and again, the largest part of one with the smallest of the other.
+    A partial partition is kept as its parts' sums, largest first, and as many tree nodes that hold the parts' items. The two
+    with the largest spread are merged again and again, the largest part of one with the smallest of the other.
     """
-    heap = []
+    n, heap = len(sizes), []
+    halves = np.zeros((2 * n, 2), np.int64)
     for i, size in enumerate(sizes):
-        sums = np.zeros(ways, np.int64)
-        sums[0] = size
-        heapq.heappush(heap, (-size, i, sums, [[i]] + [[] for _ in range(ways - 1)]))
+        sums, nodes = np.zeros(ways, np.int64), np.full(ways, -1)
+        sums[0], nodes[0] = size, i
+        heapq.heappush(heap, (-size, i, sums, nodes))
+    free = n
     while len(heap) > 1:
-        _, i, sums, parts = heapq.heappop(heap)
-        _, _, other, more = heapq.heappop(heap)
-        sums = sums + other[::-1]
-        parts = [p + q for p, q in zip(parts, reversed(more))]
+        _, i, sums, nodes = heapq.heappop(heap)
+        _, _, more, other = heapq.heappop(heap)
+        other = other[::-1]
+        both = np.flatnonzero((nodes >= 0) & (other >= 0))
+        new = np.arange(free, free + len(both))
+        halves[new, 0], halves[new, 1] = nodes[both], other[both]
+        free += len(both)
+        nodes = np.maximum(nodes, other)
+        nodes[both] = new
+        sums = sums + more[::-1]
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), i, sums, [parts[k] for k in order]))
-    return heap[0][3] if heap else []
+        heapq.heappush(heap, (int(sums[-1] - sums[0]), i, sums, nodes[order]))
+    parts = []
+    for node in heap[0][3].tolist() if heap else []:
+        items, open_ = [], [node] if node >= 0 else []
+        while open_:
+            node = open_.pop()
+            if node < n:
+                items.append(node)
+            else:
+                open_ += halves[node].tolist()
+        parts.append(items)
+    return parts
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Item numbers in as few near-equal windows as hold them; a further window whenever one runs over."""
-    ways = -(-sum(sizes) // capacity)
+    """Item numbers in few near-equal windows that hold them; their number rises whenever one runs over.
+
+    It rises at once to where the largest window would fit if it exceeded the mean as much again.
+    """
+    total = sum(sizes)
+    ways = -(-total // capacity)
     while True:
         parts = differenced(sizes, ways)
-        if all(sum(sizes[i] for i in p) <= capacity for p in parts):
+        largest = max((sum(sizes[i] for i in p) for p in parts), default=0)
+        if largest <= capacity:
             return [p for p in parts if p]
-        ways += 1
+        room = capacity - (largest - total / ways)
+        ways = max(ways + 1, math.floor(total / room) if room > capacity / 2 else 0)
 
 
 def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
@@ -143,7 +170,7 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group: int
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: the piece holds ids ``start`` to
     ``start + length`` of its document and lies at ``offset`` of its sequence. Full sequences are cut off
-    each document first; the pieces are dealt by a hash into groups with about ``group`` remainders, and each group
+    each document first, and a short tail off the remainder; the pieces are dealt by a hash into groups with about ``group`` remainders, and each group
     is packed by differencing. Only lengths are shuffled, from a written table, so the groups are the same if a task
     runs again. Null texts count as empty and give a piece with the end id.
     Null ids are kept; repeated rows are packed each.
