@@ -22,6 +22,14 @@ WRITE_WORDS = [
 # ... and the shorter list used when finished runs are scored.
 SCORED_WRITE_WORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "TRUNCATE", "ALTER", "CREATE"]
 
+# Patterns of the row cap and of error texts.
+CAPPED_SELECT = r"^\s*SELECT\s+TOP\s+(\d+)\s+"
+SELECT_START = r"^\s*SELECT\s+"
+CAP_PLACE = r"^(\s*SELECT\s+)(?:TOP\s+\d+\s+)?"
+RATE_LIMIT_MARKS = ["429", "rate limit", "too many requests", "ratelimit"]
+RETRY_AFTER = r"retry.?after[:\s]+([0-9]+(?:\.[0-9]+)?)"
+SECONDS = r"([0-9]+(?:\.[0-9]+)?)\s*s(?:ec(?:onds?)?)?"
+
 # White space as str.strip() sees it: the Unicode property plus the four separators.
 _SPACE = r"[\s\x1c-\x1f]"
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -75,41 +83,40 @@ def has_write_word(sql: Column, words: list[str] | None = None) -> Column:
 
 def own_row_cap(sql: Column) -> Column:
     """The N of a leading ``SELECT TOP N``, else NULL."""
-    return F.regexp_extract(sql, r"(?i)^\s*SELECT\s+TOP\s+(\d+)\s+", 1).try_cast("decimal(38,0)")
+    return F.regexp_extract(sql, "(?iU)" + CAPPED_SELECT, 1).try_cast("decimal(38,0)")
 
 
 def needs_row_cap(sql: Column, limit: int) -> Column:
     """True where a statement starting with SELECT has no TOP or one above the limit."""
     own = own_row_cap(sql)
-    return F.coalesce(sql.rlike(r"(?i)^\s*SELECT\s+") & (own.isNull() | (own > limit)), F.lit(False))
+    return F.coalesce(sql.rlike("(?iU)" + SELECT_START) & (own.isNull() | (own > limit)), F.lit(False))
 
 
 def with_row_cap(sql: Column, limit: int) -> Column:
     """Statement text with ``TOP limit`` put in (or lowered) where the cap is needed."""
-    capped = F.regexp_replace(sql, r"(?i)^(\s*SELECT\s+)(?:TOP\s+\d+\s+)?", f"$1TOP {limit} ")
+    capped = F.regexp_replace(sql, "(?iU)" + CAP_PLACE, f"$1TOP {limit} ")
     return F.when(needs_row_cap(sql, limit), capped).otherwise(sql)
 
 
 def is_rate_limit(message: Column) -> Column:
     low = F.lower(message)
-    marks = ["429", "rate limit", "too many requests", "ratelimit"]
     hit = F.lit(False)
-    for mark in marks:
+    for mark in RATE_LIMIT_MARKS:
         hit = hit | low.contains(mark)
     return F.coalesce(hit, F.lit(False))
 
 
 def retry_after(message: Column) -> Column:
     """Seconds to wait named in an error text, by the loose rule."""
-    named = F.regexp_extract(message, r"(?i)retry.?after[:\s]+([0-9]+(?:\.[0-9]+)?)", 1)
-    loose = F.regexp_extract(message, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*s(?:ec(?:onds?)?)?", 1)
+    named = F.regexp_extract(message, "(?i)" + RETRY_AFTER, 1)
+    loose = F.regexp_extract(message, "(?i)" + SECONDS, 1)
     return F.coalesce(named.try_cast("double"), loose.try_cast("double"))
 
 
 def retry_after_strict(message: Column) -> Column:
     """Same, but a bare number counts only when its unit is a whole word."""
-    named = F.regexp_extract(message, r"(?i)retry.?after[:\s]+([0-9]+(?:\.[0-9]+)?)", 1)
-    unit = F.regexp_extract(message, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*s(?:ec(?:onds?)?)?\b", 1)
+    named = F.regexp_extract(message, "(?i)" + RETRY_AFTER, 1)
+    unit = F.regexp_extract(message, "(?i)" + SECONDS + r"\b", 1)
     return F.coalesce(named.try_cast("double"), unit.try_cast("double"))
 
 

@@ -32,9 +32,12 @@ def mean_vectors(df: DataFrame, by: str, vector: str, dims: int) -> DataFrame:
     return df.groupBy(by).agg(F.array(*cells).alias(vector))
 
 
-def arrow_matrix(column) -> np.ndarray:
-    """Arrow list column of equally long lists as a matrix, without visiting the rows."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def arrow_matrix(column, dims: int) -> np.ndarray:
+    """Arrow list column of lists of ``dims`` numbers as a matrix, without visiting the rows."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != dims).any():
+        raise ValueError(f"vectors of {sorted(set(lengths.tolist()))} numbers among those of {dims}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -48,31 +51,10 @@ def unit_rows(vectors) -> np.ndarray:
 class TopK:
     """Best ``k`` rows per query over any number of batches; ties go to the smaller id."""
 
-    def __init__(self, queries: np.ndarray, k: int, id_col: str, planes: np.ndarray | None = None):
-        self.queries, self.k, self.id_col, self.planes = queries, k, id_col, planes
+    def __init__(self, queries: np.ndarray, k: int, id_col: str):
+        self.queries, self.k, self.id_col = queries, k, id_col
         self.best: pd.DataFrame | None = None
         self.floor = np.full(len(queries), -np.inf)
-        self.query_codes = None if planes is None else self._codes(queries)
-
-    def _codes(self, unit: np.ndarray) -> np.ndarray:
-        """Bucket number per row and hash table: the signs of its projections read as bits."""
-        tables, bits, dims = self.planes.shape
-        signs = (unit @ self.planes.reshape(-1, dims).T > 0).reshape(len(unit), tables, bits)
-        return signs @ (1 << np.arange(bits))
-
-    def _colliding(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, query) pairs sharing a bucket, each once, found by lookup of the row's bucket."""
-        codes, n_queries = self._codes(unit), len(self.queries)
-        met = np.zeros(len(unit) * n_queries, dtype=bool)
-        for t in range(codes.shape[1]):
-            order = np.argsort(self.query_codes[:, t], kind="stable")
-            known = self.query_codes[order, t]
-            first = np.searchsorted(known, codes[:, t], "left")
-            n = np.searchsorted(known, codes[:, t], "right") - first
-            row = np.repeat(np.arange(len(unit)), n)
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            met[row * n_queries + order[np.repeat(first, n) + nth]] = True
-        return np.divmod(np.flatnonzero(met), n_queries)
 
     def add(self, rows: pd.DataFrame, vectors) -> None:
         step = max(1, CELLS // max(1, len(self.queries)))
@@ -81,14 +63,7 @@ class TopK:
 
     def _add_chunk(self, rows: pd.DataFrame, unit: np.ndarray) -> None:
         # 12 digits, so that the last bits of different summation orders do not decide a rank
-        if self.planes is None:
-            scores = np.round(unit @ self.queries.T, 12)
-        else:
-            row, query = self._colliding(unit)
-            scores = np.full((len(unit), len(self.queries)), -np.inf)
-            for at in range(0, len(row), 100_000):
-                r, q = row[at:at + 100_000], query[at:at + 100_000]
-                scores[r, q] = np.round(np.einsum("nd,nd->n", unit[r], self.queries[q]), 12)
+        scores = np.round(unit @ self.queries.T, 12)
         n = len(scores)
         kth = np.partition(scores, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(scores.shape[1], -np.inf)
         row, query = np.nonzero((scores >= np.maximum(kth, self.floor)) & np.isfinite(scores))

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,15 +86,20 @@ def schema_documents(cat: DataFrame, descriptions: DataFrame, knowledge: DataFra
 
 
 def incremental_actions(docs: DataFrame, existing: DataFrame | None, force: bool = False) -> DataFrame:
-    """Every document with what happens to it: indexed, skipped (known id) or error (no text)."""
+    """Every document with what happens to it: indexed, skipped (known id) or error (no text).
+
+    Of several documents with one id in the batch, one is indexed and the others are skipped.
+    """
     # looked at before the join, so that counting actions moves ids and flags, not texts
     marked = docs.withColumn("_broken", F.coalesce(F.trim("text"), F.lit("")) == "")
     known = F.lit(False)
     if existing is not None and not force:
         marked = marked.join(existing.select("doc_id", F.lit(True).alias("_known")), "doc_id", "left")
         known = F.coalesce("_known", F.lit(False))
-    action = F.when(known, "skipped").when(F.col("_broken"), "error").otherwise("indexed")
-    return marked.withColumn("action", action).drop("_known", "_broken")
+    first = W.partitionBy("doc_id").orderBy("_broken", F.xxhash64(*docs.columns))
+    marked = marked.withColumn("_again", F.row_number().over(first) > 1)
+    action = F.when(known, "skipped").when(F.col("_broken"), "error").when(F.col("_again"), "skipped").otherwise("indexed")
+    return marked.withColumn("action", action).drop("_known", "_broken", "_again")
 
 
 def action_counts(actions: DataFrame) -> DataFrame:

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import itertools
-import re
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablescout.functions.text import format_type
 from tablescout.session import small_frame
-from tablescout.sources.catalog import column_facts, distinct_estimates, is_key_type
-
-LONG_TEXT = 64
-SKETCH_SLACK = 0.10  # more than ten standard errors of the sketch
+from tablescout.sources.catalog import column_facts
 
 
 def catalog_tables(cat: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -51,12 +47,6 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _key_text(column: str, max_chars: int | None) -> Column:
-    """A value as text; long text by its SHA-256, so that texts do not travel in the shuffle."""
-    c = F.col(f"`{column}`")
-    return F.sha2(c, 256) if (max_chars or 0) > LONG_TEXT else c.cast("string")
-
-
 def known_facts(tables: dict[str, DataFrame]) -> dict[tuple[str, str], dict]:
     """Facts of every column on the driver: as many rows as the schemas have columns."""
     return {(r["table_name"], r["column_name"]): r.asDict() for r in column_facts(tables).collect()}
@@ -69,151 +59,130 @@ def facts_frame(spark: SparkSession, facts: dict) -> DataFrame:
     return small_frame(spark, rows, "table_name STRING, column_name STRING, n_nulls BIGINT, max_chars INT")
 
 
-def related_tables(tables: dict[str, DataFrame], requested: list[str]) -> dict[str, DataFrame]:
-    """The requested tables and those sharing a column name (without table prefix) with them."""
-    asked = {_suffix(c) for t in requested if t in tables for c in tables[t].columns}
-    return {t: df for t, df in tables.items() if t in requested or asked & {_suffix(c) for c in df.columns}}
+def distinct_counts(tables: dict[str, DataFrame], wanted: list[tuple[str, tuple[str, ...]]]) -> dict[tuple[str, tuple[str, ...]], int]:
+    """Exact distinct counts of columns or column groups without NULLs: one scan of each table and one shuffle.
 
-
-def _span(fact: dict) -> int | None:
-    """How many values a whole-number column can have at most."""
-    return None if fact["min_value"] is None else fact["max_value"] - fact["min_value"] + 1
+    Every row gives each group's values as a SHA-256, once per task and value; one row per group comes back.
+    """
+    parts, number = [], {g: i for i, g in enumerate(wanted)}
+    for t in sorted({t for t, _ in wanted}):
+        cells = [F.struct(F.lit(number[t, cols]).alias("number"), F.unhex(F.sha2(F.to_json(F.struct(*cols)), 256)).alias("value"))
+                 for name, cols in wanted if name == t]
+        parts.append(tables[t].select(F.inline(F.array(*cells))))
+    if not parts:
+        return {}
+    counted = reduce(DataFrame.union, parts).distinct().groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {r["number"]: r["n"] for r in counted}
+    return {g: found.get(i, 0) for g, i in number.items()}
 
 
 def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width: int = 2, facts=None) -> DataFrame:
-    """Columns, and pairs of whole-number columns without a key among them, that are unique and never NULL.
+    """Columns, and groups of up to ``max_width`` columns that hold no smaller key, that are unique and never NULL.
 
-    NULLs, or fewer possible values than rows, rule most columns out. A pass with small
-    sketches then drops those estimated more than ten standard errors below the row count.
-    What is left is verified by an exact distinct count that reads only its own columns.
+    Columns of numbers, text, dates and times can be part of a key. Whole numbers with fewer possible values than rows are no key; all others
+    are counted exactly. A wider group is counted only if its columns' distinct counts multiply to the row count or more.
     """
     facts = facts or known_facts(tables)
-    full = [key for key, f in facts.items() if f["n_rows"] and not f["n_nulls"]]
-    singles = [
-        (t, (c,)) for t, c in full
-        if is_key_type(tables[t].schema[c].dataType) and (_span(facts[t, c]) or facts[t, c]["n_rows"]) >= facts[t, c]["n_rows"]
-    ]
-    found = _verify(spark, tables, _likely(tables, singles, facts), facts)
-    if max_width < 2:
-        return found
-    # at most one row per column; kept, so that the checks do not run again with the pairs
-    rows = found.collect()
-    found = small_frame(spark, rows, found.schema)
-    keys = {(r["table_name"], r["key_columns"]) for r in rows}
-    pairs = []
-    for t in tables:
-        whole = [c for name, c in full if name == t and _span(facts[t, c]) and (t, c) not in keys]
-        pairs += [
-            (t, (a, b)) for a, b in itertools.combinations(whole, 2)
-            if _span(facts[t, a]) * _span(facts[t, b]) >= facts[t, a]["n_rows"]
+    columns = {t: [c for name, c in facts if name == t and facts[t, c]["family"] and facts[t, c]["n_rows"] and not facts[t, c]["n_nulls"]] for t in tables}
+    counts = distinct_counts(tables, [(t, (c,)) for t, cs in columns.items() for c in cs])
+    rows = {t: facts[t, cs[0]]["n_rows"] for t, cs in columns.items() if cs}
+    keys = [(t, cols) for (t, cols), n in counts.items() if n == rows[t]]
+    for width in range(2, max_width + 1):
+        wanted = [
+            (t, group) for t, cs in columns.items() for group in itertools.combinations(cs, width)
+            if math.prod(counts[t, (c,)] for c in group) >= rows[t] and not any(t == k and set(cols) <= set(group) for k, cols in keys)
         ]
-    return found.unionByName(_verify(spark, tables, _likely(tables, pairs, facts), facts))
-
-
-def _likely(tables, candidates, facts):
-    estimates = distinct_estimates(tables, candidates)
-    return [
-        (t, cols) for t, cols in candidates if estimates[t, cols] >= (1 - SKETCH_SLACK) * facts[t, cols[0]]["n_rows"]
-    ]
+        keys += [(t, cols) for (t, cols), n in distinct_counts(tables, wanted).items() if n == rows[t]]
+    found = [(t, ",".join(cols), len(cols), rows[t]) for t, cols in keys]
+    return small_frame(spark, found, "table_name STRING, key_columns STRING, width INT, n_rows BIGINT")
 
 
-def _verify(spark, tables, candidates, facts) -> DataFrame:
-    """Candidates whose exact distinct count equals the row count, all of them in one shuffle."""
-    out = "table_name STRING, key_columns STRING, width INT, n_rows BIGINT"
-    if not candidates:
-        return small_frame(spark, [], out)
-    numbered = small_frame(spark, [(i, t, ",".join(cols), len(cols), facts[t, cols[0]]["n_rows"]) for i, (t, cols) in enumerate(candidates)],
-        "candidate INT, " + out,
-    )
-    values = reduce(DataFrame.union, [
-        tables[t].select(
-            F.lit(i).alias("candidate"),
-            F.concat_ws("\u0001", *[_key_text(c, facts[t, c]["max_chars"]) for c in cols]).alias("value"),
-        )
-        for i, (t, cols) in enumerate(candidates)
-    ])
-    counts = values.distinct().groupBy("candidate").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return numbered.join(counts, "candidate").where("n_distinct = n_rows").drop("candidate", "n_distinct")
+def shared_suffix(a, b):
+    """Whether two names end alike: equal, or one is the other after an underscore, or both are after their first."""
+    def tail(c):
+        return F.regexp_replace(c, "^[^_]*_", "")
 
+    return (a == b) | a.endswith(F.concat(F.lit("_"), b)) | b.endswith(F.concat(F.lit("_"), a)) | (
+        F.contains(a, F.lit("_")) & F.contains(b, F.lit("_")) & (tail(a) == tail(b)))
 
-def _suffix(column: str) -> str:
-    """Column name without a table prefix of one or two letters."""
-    return re.sub(r"^[a-z]{1,2}_", "", column)
 
+def inclusion_dependencies(spark: SparkSession, tables: dict[str, DataFrame], facts=None, key_columns: set[tuple[str, str]] | None = None) -> DataFrame:
+    """Columns whose every value occurs in a key column of the same kind (numbers, text, times), ranked.
 
-def inclusion_dependencies(
-    spark: SparkSession,
-    tables: dict[str, DataFrame],
-    same_suffix_only: bool = False,
-    facts=None,
-    key_columns: set[tuple[str, str]] | None = None,
-) -> DataFrame:
-    """Whole-number columns whose every value occurs in a key column, ranked.
-
-    Pairs are first ruled out by value range. For the columns left, each value is reduced,
-    map-side already, to the set of columns it occurs in, kept as bits; only the few
-    different sets are then counted against each other. Ranked by shared name suffix, then
-    by the share of the key's values that is referred to.
+    Pairs are first ruled out by the range of values. For the columns left, each value is reduced, map-side already, to the set of columns it
+    occurs in, kept as bits; only the few different sets are then counted against the pairs. Ranked by ``same_suffix`` (see ``shared_suffix``),
+    ``named`` (the column's name holds the referenced table's), and by the share of the key's values that is referred to.
     """
     facts = facts or known_facts(tables)
     if key_columns is None:
         keys = candidate_keys(spark, tables, max_width=1, facts=facts)
         key_columns = {(r["table_name"], r["key_columns"]) for r in keys.collect()}
-    whole = [
-        (t, f.name) for t, df in tables.items() for f in df.schema.fields
-        if isinstance(f.dataType, T.IntegralType) and facts[t, f.name]["min_value"] is not None
-    ]
-    pairs = [
-        (dep, ref) for dep in whole for ref in whole
-        if dep != ref and ref in key_columns
-        and facts[dep]["min_value"] >= facts[ref]["min_value"] and facts[dep]["max_value"] <= facts[ref]["max_value"]
-        and (not same_suffix_only or _suffix(dep[1]) == _suffix(ref[1]))
-    ]
-    used = sorted({c for p in pairs for c in p})
-    number = {c: i for i, c in enumerate(used)}
-    pair_rows = small_frame(spark, [(number[d], number[r], d[0], d[1], r[0], r[1], _suffix(d[1]) == _suffix(r[1])) for d, r in pairs],
-        "dep INT, ref INT, dep_table STRING, dep_column STRING, ref_table STRING, ref_column STRING, same_suffix BOOLEAN",
-    )
-    # the set of columns a value occurs in, as bits of as many 63-bit words as there are columns for
-    words = [f"w{i}" for i in range(len(used) // 63 + 1)]
+    names = ["family", "min_number", "max_number", "min_text", "max_text"]
+    listed = [(t, c, i, (t, c) in key_columns, *(f[n] for n in names)) for i, ((t, c), f) in enumerate(facts.items()) if f["family"]]
+    columns = small_frame(spark, listed, "t STRING, c STRING, i INT, is_key BOOLEAN, family STRING, min_number DECIMAL(38, 6), max_number DECIMAL(38, 6), "
+                                         "min_text STRING, max_text STRING")
+    dep, ref = columns.alias("d"), columns.where("is_key").alias("r")
+    within = """(d.t <> r.t OR d.c <> r.c) AND ((d.min_number >= r.min_number AND d.max_number <= r.max_number)
+        OR (d.min_text >= r.min_text AND d.max_text <= r.max_text))"""
+    pairs = dep.join(ref, F.expr("d.family = r.family AND " + within)).select(
+        F.col("d.i").alias("dep"), F.col("r.i").alias("ref"), F.col("d.t").alias("dep_table"), F.col("d.c").alias("dep_column"),
+        F.col("r.t").alias("ref_table"), F.col("r.c").alias("ref_column"))
+    pairs = small_frame(spark, pairs.collect(), pairs.schema)  # catalog rows only
+    used = sorted({i for r in pairs.collect() for i in (r["dep"], r["ref"])})
+    bit = {i: n for n, i in enumerate(used)}
+    words = [f"w{n}" for n in range(len(used) // 63 + 1)]
     parts = []
-    for t in sorted({c[0] for c in used}):
+    for t in tables:
         cells = [
-            ", ".join([f"CAST(`{c}` AS BIGINT) AS value"] + [
-                f"{1 << (number[t, c] % 63) if number[t, c] // 63 == i else 0}L AS {w}" for i, w in enumerate(words)
-            ])
-            for c in (c[1] for c in used if c[0] == t)
+            F.struct(F.lit(fam).alias("family"), _value(c, fam).alias("value"),
+                     *(F.lit(1 << (bit[i] % 63) if bit[i] // 63 == n else 0).cast("bigint").alias(w) for n, w in enumerate(words)))
+            for name, c, i, _, fam, *_ in listed if name == t and i in bit
         ]
-        parts.append(tables[t].select(F.expr(
-            "inline(array(" + ", ".join(f"struct({cell})" for cell in cells) + "))"
-        )).where("value IS NOT NULL"))
+        if cells:
+            parts.append(tables[t].select(F.inline(F.array(*cells))).where("value IS NOT NULL"))
     if not parts:
-        parts = [spark.range(0).selectExpr("id AS value", *[f"0L AS {w}" for w in words])]
-    per_value = reduce(DataFrame.union, parts).groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
-    per_set = per_value.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
-    columns_of_set = F.filter(
-        F.sequence(F.lit(0), F.lit(max(len(used) - 1, 0))),
-        lambda i: reduce(lambda a, b: a | b, [
-            (F.floor(i / 63) == n) & (F.getbit(F.col(w), (i % 63).cast("int")) == 1) for n, w in enumerate(words)
-        ]),
-    )
-    sets = per_set.select(columns_of_set.alias("cols"), "n")
-    members = sets.select("cols", "n", F.explode("cols").alias("dep"))
-    matched = members.select("dep", "n", F.explode("cols").alias("ref")).groupBy("dep", "ref").agg(F.sum("n").alias("n_common"))
-    sizes = matched.where("dep = ref").select("dep", F.col("n_common").alias("n_values"))
+        parts = [spark.range(0).selectExpr("'' AS family", "'' AS value", *[f"0L AS {w}" for w in words])]
+    per_value = reduce(DataFrame.union, parts).groupBy("family", "value").agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = per_value.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    members = F.filter(F.array(*[F.when(F.getbit(F.col(words[n // 63]), F.lit(n % 63)) == 1, i) for i, n in bit.items()] or [F.lit(None).cast("int")]), lambda x: x.isNotNull())
+    sets = sets.select(members.alias("cols"), "n")
+    of_dep = sets.select(F.explode("cols").alias("dep"), "cols", "n")
+    sizes = of_dep.groupBy("dep").agg(F.sum("n").alias("n_values"))
+    common = of_dep.join(pairs.select("dep", "ref"), "dep").where(F.array_contains("cols", F.col("ref"))).groupBy("dep", "ref").agg(F.sum("n").alias("n_common"))
+    named = F.contains(F.lower("dep_column"), F.lower("ref_table"))
     return (
-        pair_rows.join(matched, ["dep", "ref"])
+        pairs.join(common, ["dep", "ref"])
         .join(sizes, "dep")
         .join(sizes.select(F.col("dep").alias("ref"), F.col("n_values").alias("ref_values")), "ref")
         .where(F.col("n_common") == F.col("n_values"))
         .select(
-            "dep_table", "dep_column", "ref_table", "ref_column", "same_suffix", "n_values",
-            F.round(F.col("n_values") / F.col("ref_values"), 6).alias("coverage"),
+            "dep_table", "dep_column", "ref_table", "ref_column", shared_suffix(F.col("dep_column"), F.col("ref_column")).alias("same_suffix"),
+            named.alias("named"), "n_values", F.round(F.col("n_values") / F.col("ref_values"), 6).alias("coverage"),
         )
-        .orderBy(F.col("same_suffix").desc(), F.col("coverage").desc(), "dep_table", "dep_column", "ref_table", "ref_column")
+        .orderBy(F.col("same_suffix").desc(), F.col("named").desc(), F.col("coverage").desc(), "dep_table", "dep_column", "ref_table", "ref_column")
     )
 
 
+def _value(column: str, kind: str):
+    """A key value as text, equal for equal values of a kind whatever their types."""
+    c = F.col(f"`{column}`")
+    if kind == "number":
+        return c.cast("decimal(38, 6)").cast("string")
+    return c.cast("timestamp_ntz").cast("string") if kind == "time" else c.cast("string")
+
+
+def references(included: DataFrame) -> DataFrame:
+    """One referenced table per column that looks like a reference: ``dep_table, dep_column, ref_table, ref_column``.
+
+    A column refers if its name ends like the key's or holds the other table's name; of several, the first in rank. Columns of a table
+    do not refer to their own table.
+    """
+    rank = F.struct(F.col("same_suffix").cast("int") * -1, F.col("named").cast("int") * -1, -F.col("coverage"), "ref_table", "ref_column")
+    likely = included.where("(same_suffix OR named) AND dep_table <> ref_table")
+    return likely.groupBy("dep_table", "dep_column").agg(F.min_by(F.struct("ref_table", "ref_column"), rank).alias("r")).select(
+        "dep_table", "dep_column", "r.*")
+
+
 def orphan_check(tables: dict[str, DataFrame], relationships: list[tuple[str, str, str, str]]) -> DataFrame:
     """Rows breaking a relationship (child, child column, parent, parent column); NULL refers to nothing.
 
@@ -241,18 +210,17 @@ def table_schema_report(
 ) -> DataFrame:
     """Structure of the requested tables: columns with key flags and row count; a message if unknown.
 
-    A table's primary key is its first unique column; a reference is an inclusion
-    dependency between columns of one name suffix.
+    A table's primary key is its first unique column, or else its first group of unique columns; ``refers_to`` names the key column a
+    reference leads to, from ``references``.
     """
+    first = keys.groupBy("table_name").agg(F.min_by("key_columns", F.struct("width", "key_columns")).alias("key_columns"))
     single = keys.where("width = 1").select("table_name", F.col("key_columns").alias("column_name"))
-    first_key = (
-        cat.join(single, ["table_name", "column_name"])
-        .groupBy("table_name").agg(F.min_by("column_name", "column_id").alias("column_name"))
-        .withColumn("pk", F.lit(True))
-    )
-    fks = references.where("same_suffix").select(
-        F.col("dep_table").alias("table_name"), F.col("dep_column").alias("column_name"), F.lit(True).alias("fk")
-    ).distinct()
+    first_single = cat.join(single, ["table_name", "column_name"]).groupBy("table_name").agg(F.min_by("column_name", "column_id").alias("one"))
+    first_key = first.join(first_single, "table_name", "left").select(
+        "table_name", F.explode(F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.split("key_columns", ","))).alias("column_name"), F.lit(True).alias("pk"))
+    fks = references.select(
+        F.col("dep_table").alias("table_name"), F.col("dep_column").alias("column_name"), F.lit(True).alias("fk"),
+        F.concat_ws(".", "ref_table", "ref_column").alias("refers_to"))
     columns = (
         column_details(cat)
         .join(first_key, ["table_name", "column_name"], "left")
@@ -268,7 +236,7 @@ def table_schema_report(
             F.when(~known, F.concat(F.lit("table '"), "table_name", F.lit("' not found"))).alias("message"),
             "column_id", "column_name", "type_text", "is_nullable",
             F.when(known, F.coalesce("pk", F.lit(False))).alias("is_pk"),
-            F.when(known, F.coalesce("fk", F.lit(False))).alias("is_fk"),
+            F.when(known, F.coalesce("fk", F.lit(False))).alias("is_fk"), "refers_to",
             "default_value", "description", "row_count",
         )
     )

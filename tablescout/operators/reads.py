@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
@@ -24,13 +26,57 @@ class BoundedResult:
 STATUS_SCHEMA = "sql STRING, status STRING, columns STRING, row_count BIGINT, truncated BOOLEAN, more_rows BOOLEAN, error STRING"
 
 
+# Functions that call any method of the JVM.
+CALLS_OUT = {"reflect", "java_method", "try_reflect"}
+# Parts of a plan that run programs, or names that are only known once computed.
+REFUSED_NODES = ("ScriptTransformation", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier")
+
+
+class RefusedQuery(ValueError):
+    """The text is a query, but reaches beyond the tables and views of the session."""
+
+
+def _nodes(tree) -> Iterator[dict]:
+    if isinstance(tree, dict):
+        yield tree
+        tree = list(tree.values())
+    if isinstance(tree, list):
+        for part in tree:
+            yield from _nodes(part)
+
+
+def _names(text: str) -> list[str]:
+    return text.strip("[]").split(", ")
+
+
+def check_reach(spark: SparkSession, sql: str) -> None:
+    """Refuse a query that calls JVM methods, runs programs, or reads files by path.
+
+    The parsed text is looked at, before anything in it is resolved: a relation of several names must be a
+    table or view the session knows, so ``parquet.`/path` `` is none.
+    """
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON()
+    for node in _nodes(json.loads(parsed)):
+        kind = str(node.get("class", "")).rsplit(".", 1)[-1]
+        if kind.endswith(REFUSED_NODES):
+            raise RefusedQuery(kind)
+        if "Function" in kind and "nameParts" in node and _names(node["nameParts"])[-1].lower() in CALLS_OUT:
+            raise RefusedQuery(node["nameParts"])
+        if kind == "UnresolvedRelation":
+            names = _names(node["multipartIdentifier"])
+            if len(names) > 1 and not spark.catalog.tableExists(".".join(f"`{n.replace('`', '``')}`" for n in names)):
+                raise RefusedQuery(node["multipartIdentifier"])
+
+
 def as_subquery(spark: SparkSession, sql: str, args=None) -> DataFrame:
-    """Parse ``sql`` in a place where only a query can stand.
+    """Parse ``sql`` in a place where only a query can stand, see ``check_reach`` for what else is refused.
 
     Commands would run at once if given to ``spark.sql`` directly; as a subquery they are
     syntax errors. The line breaks keep a trailing comment from swallowing the bracket.
     """
-    return spark.sql(f"SELECT * FROM (\n{sql}\n) AS bounded", args=args)
+    wrapped = f"SELECT * FROM (\n{sql}\n) AS bounded"
+    check_reach(spark, wrapped)
+    return spark.sql(wrapped, args=args)
 
 
 def bounded_read(spark: SparkSession, sql: str, args=None, max_rows: int = MAX_ROWS) -> BoundedResult:
@@ -41,8 +87,9 @@ def bounded_read(spark: SparkSession, sql: str, args=None, max_rows: int = MAX_R
     """
     try:
         query = as_subquery(spark, sql, args)
-    except (AnalysisException, ParseException) as e:
-        refused = (sql, "error", None, None, None, None, e.getCondition() or "REFUSED")
+    except (AnalysisException, ParseException, RefusedQuery) as e:
+        condition = None if isinstance(e, RefusedQuery) else e.getCondition()
+        refused = (sql, "error", None, None, None, None, condition or "REFUSED")
         return BoundedResult(None, small_frame(spark, [refused], STATUS_SCHEMA))
     rows = query.limit(max_rows)
     seen = query.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,16 +15,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablescout.functions import text as X
-from tablescout.functions.vectors import TopK, arrow_matrix, similarity, unit_rows
-from tablescout.operators.skew import salted_join
-from tablescout.session import shared_dir, small_frame
+from tablescout.functions.vectors import TopK, arrow_matrix, cosine, similarity, unit_rows
+from tablescout.session import small_frame
 
 TOP_K = 5
 MIN_SIMILARITY = 0.3
-QUERY_CELLS = 2_000_000  # query vectors sent to every task: at most this many numbers (16 MB)
-BLOCK_ROWS = 20_000
-CATALOG_CHARS = 32_000_000  # catalog text sent to every task
-MATCH_ROWS = 100_000  # keyword matches sent to every task
+QUERY_CELLS = 2_000_000  # numbers in one block of query vectors (16 MB)
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
@@ -32,45 +31,41 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def vector_top_k(
-    queries: DataFrame, corpus: DataFrame, k: int = TOP_K, keep: list[str] | None = None,
-    planes: np.ndarray | None = None,
-) -> DataFrame:
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, keep: list[str] | None = None) -> DataFrame:
     """The ``k`` nearest corpus rows of every query by cosine, exact.
 
-    ``queries``: (qid, vector); ``corpus``: (id, embedding, further columns to ``keep``).
-    Each task scores its own corpus rows against all queries and hands on k rows per query,
-    so only the tasks' winners are shuffled. Query vectors are sent to the tasks if there
-    are at most ``QUERY_CELLS`` numbers of them; a larger query set is worked through in
-    (query block × corpus block) groups of bounded size.
+    ``queries``: (qid, vector); ``corpus``: (id, embedding, further columns to ``keep``); all vectors of one length.
+    Queries are cut by a hash into blocks of about ``QUERY_CELLS`` numbers, which is what a task holds at once. The corpus stays
+    where it is: it is read once for each block, each task scores its own rows against the block and hands on
+    k rows per query, so only the tasks' winners are shuffled. Null vectors are left out.
     """
     keep = keep or []
     corpus = corpus.where("embedding IS NOT NULL").select("id", "embedding", *keep)
-    queries = queries.where("vector IS NOT NULL")
-    first = queries.select("qid", "vector").first()
-    if first is None:
-        most = 0
-    else:
-        most = max(1, QUERY_CELLS // max(1, len(first["vector"])))
-    rows = queries.select("qid", "vector").limit(most + 1).collect() if most else []
-    if len(rows) > most:
-        return _rank(_blocked(queries, corpus, k, keep, most, planes), k)
+    queries = queries.where("vector IS NOT NULL").select("qid", "vector")
+    cells = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
+    blocks = max(1, -(-cells // QUERY_CELLS))
+    block_of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    parts = [_local_top_k(queries.where(block_of == b).collect(), queries, corpus, k, keep) for b in range(blocks)]
+    return _rank(reduce(DataFrame.union, parts), k)
+
+
+def _local_top_k(rows, queries: DataFrame, corpus: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """Best ``k`` corpus rows of every task for one block of queries."""
     qids = np.array([r["qid"] for r in rows], dtype=object)
     vectors = unit_rows([r["vector"] for r in rows]) if rows else np.zeros((0, 1))
     schema = _hit_schema(queries, corpus, keep)
-
     arrow_schema = to_arrow_schema(schema)
 
     def local(batches):
-        top = TopK(vectors, k, "id", planes)
+        top = TopK(vectors, k, "id")
         if len(vectors):
             for batch in batches:
                 if batch.num_rows:
-                    top.add(batch.select(["id", *keep]).to_pandas(), arrow_matrix(batch.column("embedding")))
+                    top.add(batch.select(["id", *keep]).to_pandas(), arrow_matrix(batch.column("embedding"), vectors.shape[1]))
         if top.best is not None:
             yield pa.RecordBatch.from_pandas(_hits(top, qids, schema), arrow_schema, preserve_index=False)
 
-    return _rank(corpus.mapInArrow(local, schema), k)
+    return corpus.mapInArrow(local, schema)
 
 
 def _hit_schema(queries, corpus, keep) -> T.StructType:
@@ -79,50 +74,47 @@ def _hit_schema(queries, corpus, keep) -> T.StructType:
 
 
 def _hits(top: TopK, qids, schema) -> pd.DataFrame:
-    if top.best is None:
-        return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
     best = top.best
     best = best.assign(qid=qids[best["_query"].to_numpy()]).rename(columns={"_cos": "cos"})
     return best[[f.name for f in schema.fields]]
 
 
-def _blocked(queries, corpus, k, keep, block_queries, planes) -> DataFrame:
-    """Every query block meets every corpus block in a group of its own, k rows per query leave it.
+def random_planes(tables: int, bits: int, dims: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables, bits, dims))
 
-    Ids are hashed to blocks, so block sizes do not depend on how the values are spread.
-    """
-    n_q = -(-queries.count() // block_queries)
-    n_c = -(-corpus.count() // BLOCK_ROWS)
-    schema = _hit_schema(queries, corpus, keep)
-
-    def blocks(df, key, own, own_n, other, other_n):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_n - 1).cast("bigint")))
-        )
 
-    left = blocks(queries.select("qid", "vector"), "qid", "_qb", n_q, "_cb", n_c)
-    right = blocks(corpus, "id", "_cb", n_c, "_qb", n_q)
+def buckets(df: DataFrame, vector: str, planes: np.ndarray) -> DataFrame:
+    """A row for each hash table, with the bucket of the row's vector in it: the signs of its projections read as bits."""
+    tables, bits, dims = planes.shape
 
-    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        top = TopK(unit_rows(q["vector"]) if len(q) else np.zeros((0, 1)), k, "id", planes)
-        if len(q) and len(c):
-            top.add(c[["id", *keep]], c["embedding"].to_numpy())
-        return _hits(top, q["qid"].to_numpy(dtype=object), schema)
+    def code(batches):
+        for batch in batches:
+            signs = (unit_rows(arrow_matrix(batch.column(vector), dims)) @ planes.reshape(-1, dims).T > 0).reshape(-1, tables, bits)
+            codes = signs @ (1 << np.arange(bits))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), pa.array(codes.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_codes"])
 
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(pair, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("_codes", T.ArrayType(T.LongType()))])
+    coded = df.where(F.col(vector).isNotNull()).mapInArrow(code, schema)
+    return coded.select(*df.columns, F.posexplode("_codes").alias("_table", "_bucket"))
 
 
 def vector_top_k_approx(
-    queries: DataFrame, corpus: DataFrame, dims: int, k: int = TOP_K, keep: list[str] | None = None,
-    tables: int = 64, bits: int = 6, seed: int = 7,
+    queries: DataFrame, corpus: DataFrame, planes: np.ndarray, k: int = TOP_K, keep: list[str] | None = None
 ) -> DataFrame:
     """Nearest rows among those sharing a hash bucket with the query in at least one table.
 
-    Buckets are the signs of projections on ``bits`` random directions. More tables find
-    more of the true neighbours; more bits look at fewer rows.
+    ``planes`` are random directions (tables, bits, dimensions). More tables find more of the true neighbours; more bits look at
+    fewer rows. Queries and corpus meet by an equi join on (table, bucket), where Spark splits hot buckets; every
+    (query, row) pair is scored once.
     """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-    return vector_top_k(queries, corpus, k, keep, planes)
+    keep = keep or []
+    asked = buckets(queries.select("qid", "vector"), "vector", planes).select("qid", "_table", "_bucket")
+    held = buckets(corpus.select("id", "embedding"), "embedding", planes).select("id", "_table", "_bucket")
+    pairs = asked.join(held, ["_table", "_bucket"]).select("qid", "id").distinct()
+    scored = pairs.join(queries.select("qid", "vector"), "qid").join(corpus.select("id", "embedding", *keep), "id")
+    scored = scored.withColumn("cos", F.round(cosine(F.col("vector"), F.col("embedding")), 12))
+    return _rank(scored.select("qid", "id", *keep, "cos"), k)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
@@ -161,40 +153,23 @@ def searchable(cat: DataFrame, descriptions: DataFrame) -> DataFrame:
     )
 
 
-def _haystack():
-    return F.lower(F.concat_ws("\n", "table_name", "description", F.array_join("columns", "\n")))
-
-
 def _count_columns(pairs: DataFrame) -> DataFrame:
     word = F.lower("keyword")
     return pairs.withColumn("matching_columns", F.size(F.filter("columns", lambda c: F.contains(F.lower(c), word))))
 
 
-def keyword_search(keywords: DataFrame, tables: DataFrame, catalog_chars: int = CATALOG_CHARS) -> DataFrame:
+def keyword_search(keywords: DataFrame, tables: DataFrame) -> DataFrame:
     """Tables whose name, description or a column contains the keyword.
 
     ``keywords``: a ``keyword`` column; each distinct one is looked up once, and the match is
-    taken literally (as LIKE with escaped wildcards). A catalog of at most ``catalog_chars``
-    characters is sent to every task; a larger one is reached by an equi join on the
-    keyword's rarest group of up to three letters.
+    taken literally (as LIKE with escaped wildcards). Keywords reach tables by an equi join on the keyword's rarest group of up to
+    three letters; of the tables so met, those that hold the whole keyword stay.
     """
     words = keywords.select("keyword").distinct().withColumn("_word", F.lower("keyword"))
-    searched = tables.withColumn("_all", _haystack())
-    # names are joined by line breaks, so only a keyword with a break in it could match across two
-    anywhere = F.contains("_all", "_word")
-    apart = ~F.contains("_word", F.lit("\n")) | (
-        F.contains(F.lower("table_name"), F.col("_word")) | F.contains(F.lower("description"), F.col("_word"))
-        | F.exists("columns", lambda c: F.contains(F.lower(c), F.col("_word")))
-    )
-    if catalog_size(tables) <= catalog_chars:
-        pairs = words.join(F.broadcast(searched), anywhere & apart)
-    else:
-        pairs = _by_grams(words, searched).where(anywhere & apart)
-    return _count_columns(pairs).drop("_all", "_word")
-
-
-def catalog_size(tables: DataFrame) -> int:
-    return tables.agg(F.coalesce(F.sum(F.length(_haystack())), F.lit(0))).first()[0]
+    word = F.col("_word")
+    holds = F.contains(F.lower("table_name"), word) | F.contains(F.lower("description"), word) | F.exists(
+        "columns", lambda c: F.contains(F.lower(c), word))
+    return _count_columns(_by_grams(words, tables).where(holds)).drop("_word")
 
 
 def _by_grams(words: DataFrame, tables: DataFrame) -> DataFrame:
@@ -217,10 +192,10 @@ def _by_grams(words: DataFrame, tables: DataFrame) -> DataFrame:
     own = F.when(F.length(low) >= 3, grams(low, 3)).otherwise(F.array(low))
     candidates = words.select("keyword", "_word", F.explode(F.array_distinct(own)).alias("gram"))
     # a group of letters no table has rules the keyword out
-    rarest = salted_join(candidates, frequency, ["gram"], "left", spread_by=["keyword"]).groupBy("keyword", "_word").agg(
+    rarest = candidates.join(frequency, "gram", "left").groupBy("keyword", "_word").agg(
         F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")
     ).where("n > 0").drop("n")
-    return salted_join(rarest, in_tables, ["gram"], spread_by=["keyword"]).drop("gram").join(tables, keys)
+    return rarest.join(in_tables, "gram").drop("gram").join(tables, keys)
 
 
 def keyword_score(matches: DataFrame) -> DataFrame:
@@ -235,39 +210,29 @@ def first_seen_dedup(scored: DataFrame, k: int = TOP_K, best: bool = False) -> D
     """One row per question and table: the first seen in source, keyword, count, name order.
 
     Then the ``k`` best scores per question, earlier seen first on ties. ``best`` keeps the
-    highest score of a table instead of the first. Both windows work on one shuffle by
-    question; a question has at most its keywords times the tables as rows.
+    highest score of a table instead of the first. The first of a table is found by an aggregate that map tasks
+    combine, and the ranking keeps ``k`` rows per question in every task before it moves them.
     """
-    seen = [F.col("server"), F.col("database"), F.col("seq"), F.col("matching_columns").desc(), F.col("table_name")]
-    by_score = F.col("score").desc()
-    per_table = W.partitionBy("qid", "server", "database", "table_name").orderBy(*([by_score] if best else []), *seen)
-    per_question = W.partitionBy("qid").orderBy(by_score, *seen)
-    one = scored.repartition("qid").withColumn("_nth", F.row_number().over(per_table)).where("_nth = 1").drop("_nth")
-    return one.withColumn("rank", F.row_number().over(per_question)).where(F.col("rank") <= k)
+    keys = ["qid", "server", "database", "table_name"]
+    seen = [F.col("seq"), -F.col("matching_columns")]
+    order = F.struct(*([-F.col("score")] if best else []), *seen)
+    rest = [c for c in scored.columns if c not in keys]
+    one = scored.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    one = one.select(*keys, "_first.*").select(scored.columns)
+    ranked = W.partitionBy("qid").orderBy(F.col("score").desc(), "server", "database", "seq", F.col("matching_columns").desc(), "table_name")
+    return one.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def keyword_hits(
-    questions: DataFrame, tables: DataFrame, k: int = TOP_K, match_rows: int = MATCH_ROWS, catalog_chars: int = CATALOG_CHARS
-) -> DataFrame:
+def keyword_hits(questions: DataFrame, tables: DataFrame, k: int = TOP_K) -> DataFrame:
     """Questions to ranked tables by keywords.
 
-    The matches of the distinct keywords, names and scores only, are checkpointed and
-    counted. Up to ``match_rows`` they are sent to every task, so the questions stay where
-    they are; more are joined by keyword, with words asked in very many questions salted.
-    Descriptions and columns are added to the final hits.
+    Names and scores of the distinct keywords' matches meet the questions by keyword; descriptions and columns are added to the
+    final hits. How the sides of each join are moved, and hot keywords split, is left to Spark's adaptive plan.
     """
-    shared_dir(questions.sparkSession)
     words = question_keywords(questions)
-    scored = keyword_score(keyword_search(words, tables, catalog_chars)).drop("description", "columns").checkpoint()
-    if scored.count() <= match_rows:
-        found = words.join(F.broadcast(scored), "keyword")
-    else:
-        found = salted_join(words, scored, ["keyword"], spread_by=["qid"])
-    ranked = first_seen_dedup(found, k).drop("seq", "keyword", "matching_columns")
-    keys = ["server", "database", "table_name"]
-    if catalog_size(tables) <= catalog_chars:
-        return ranked.join(F.broadcast(tables), keys)
-    return salted_join(ranked, tables, keys, spread_by=["qid"])
+    scored = keyword_score(keyword_search(words, tables)).drop("description", "columns")
+    ranked = first_seen_dedup(words.join(scored, "keyword"), k).drop("seq", "keyword", "matching_columns")
+    return ranked.join(tables, ["server", "database", "table_name"])
 
 
 HIT_COLUMNS = ["qid", "rank", "server", "database", "table_name", "description", "score", "columns"]
@@ -280,8 +245,8 @@ def search_with_fallback(
     """Vector search if the index holds documents, else keyword search; hits and status rows.
 
     ``questions``: (qid, text) and, unless ``encode`` adds it, ``vector``. A RuntimeError of the
-    vector path also leads to keywords, any other failure to status error. An empty vector
-    answer stays empty.
+    vector path, also one raised in a task that encodes the questions, leads to keywords, any other failure to status error.
+    The questions are encoded before this returns, so their failures are seen here. An empty vector answer stays empty.
     """
     def by_keywords():
         return keyword_hits(questions, tables, k).select(*HIT_COLUMNS)
@@ -296,12 +261,14 @@ def search_with_fallback(
                 corpus = index.withColumnRenamed("doc_id", "id")
                 found = vector_top_k(asked, corpus, k, ["server", "database", "table_name", "description", "columns"])
                 hits = similarity_filter(found, threshold).select(*HIT_COLUMNS)
-            except RuntimeError:
+            except (RuntimeError, PythonException) as e:
+                if isinstance(e, PythonException) and "RuntimeError" not in str(e):
+                    raise
                 hits = by_keywords()
     except Exception as e:  # noqa: BLE001 - the answer to a batch is its status, not a crash
         empty = small_frame(spark, [], "qid BIGINT, rank INT, server STRING, database STRING, table_name STRING, "
                                           "description STRING, score DOUBLE, columns ARRAY<STRING>")
-        status = questions.select("qid", F.lit("error").alias("status"), F.lit(str(e)[:200]).alias("error"))
+        status = questions.select("qid", F.lit("error").alias("status"), F.lit(str(e)).alias("error"))
         return empty, status
     counts = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     status = questions.select("qid").join(counts, "qid", "left").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescout.functions import text as X
 from tablescout.operators import audit as A
 from tablescout.operators import reads as R
 from tablescout.plans.derived import duckdb_cte, view
@@ -30,12 +31,12 @@ def audit_readonly(spark, d):
     return A.audit_readonly(view(spark, d, "query_log")).select("event_id", "readonly")
 
 
-@query("audit_row_cap", duckdb_cte("query_log") + r""", parsed AS (
-SELECT event_id, sql, regexp_matches(sql, '(?i)^\s*SELECT\s+') AS is_select,
-       TRY_CAST(nullif(regexp_extract(sql, '(?i)^\s*SELECT\s+TOP\s+(\d+)\s+', 1), '') AS BIGINT) AS own_cap FROM query_log)
+@query("audit_row_cap", duckdb_cte("query_log") + rf""", parsed AS (
+SELECT event_id, sql, regexp_matches(sql, '(?i){X.SELECT_START}') AS is_select,
+       TRY_CAST(nullif(regexp_extract(sql, '(?i){X.CAPPED_SELECT}', 1), '') AS BIGINT) AS own_cap FROM query_log)
 SELECT event_id, coalesce(own_cap, -1) AS own_cap, is_select AND (own_cap IS NULL OR own_cap > 100) AS was_limited,
        CASE WHEN is_select AND (own_cap IS NULL OR own_cap > 100)
-            THEN regexp_replace(sql, '(?i)^(\s*SELECT\s+)(TOP\s+\d+\s+)?', '\1TOP 100 ') ELSE sql END AS capped_sql
+            THEN regexp_replace(sql, '(?i){X.CAP_PLACE}', '\1TOP 100 ') ELSE sql END AS capped_sql
 FROM parsed
 """)
 def audit_row_cap(spark, d):
@@ -44,14 +45,16 @@ def audit_row_cap(spark, d):
     )
 
 
-@query("error_triage", duckdb_cte("query_log") + r"""
+MARKED_SQL = " OR ".join(f"contains(lower(error_text), '{m}')" for m in X.RATE_LIMIT_MARKS)
+
+
+@query("error_triage", duckdb_cte("query_log") + rf"""
 SELECT event_id,
-  coalesce(contains(lower(error_text), '429') OR contains(lower(error_text), 'rate limit')
-    OR contains(lower(error_text), 'too many requests') OR contains(lower(error_text), 'ratelimit'), false) AS rate_limited,
-  coalesce(TRY_CAST(nullif(regexp_extract(error_text, '(?i)retry.?after[:\s]+([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE),
-    TRY_CAST(nullif(regexp_extract(error_text, '(?i)([0-9]+(?:\.[0-9]+)?)\s*s(?:ec(?:onds?)?)?', 1), '') AS DOUBLE)) AS retry_after_s,
-  coalesce(TRY_CAST(nullif(regexp_extract(error_text, '(?i)retry.?after[:\s]+([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE),
-    TRY_CAST(nullif(regexp_extract(error_text, '(?i)([0-9]+(?:\.[0-9]+)?)\s*s(?:ec(?:onds?)?)?\b', 1), '') AS DOUBLE)) AS retry_after_strict_s
+  coalesce({MARKED_SQL}, false) AS rate_limited,
+  coalesce(TRY_CAST(nullif(regexp_extract(error_text, '(?i){X.RETRY_AFTER}', 1), '') AS DOUBLE),
+    TRY_CAST(nullif(regexp_extract(error_text, '(?i){X.SECONDS}', 1), '') AS DOUBLE)) AS retry_after_s,
+  coalesce(TRY_CAST(nullif(regexp_extract(error_text, '(?i){X.RETRY_AFTER}', 1), '') AS DOUBLE),
+    TRY_CAST(nullif(regexp_extract(error_text, '(?i){X.SECONDS}\b', 1), '') AS DOUBLE)) AS retry_after_strict_s
 FROM query_log WHERE error_text IS NOT NULL
 """)
 def error_triage(spark, d):

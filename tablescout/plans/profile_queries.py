@@ -16,10 +16,10 @@ def all_tables(spark, d):
     return {t: load(spark, d, t) for t in ALL_TABLES}
 
 
-def observed(spark, d):
+def observed(spark, d, wanted=("nulls", "chars")):
     tables = all_tables(spark, d)
     cat = C.catalog(spark, tables, K.SERVER, K.DATABASE, K.COLUMN_NOTES)
-    return C.observed_catalog(cat, C.column_facts(tables))
+    return C.observed_catalog(cat, C.column_facts(tables, wanted))
 
 
 @query("catalog_tables", "WITH " + K.catalog_sql() + ", " + K.descriptions_sql() + """
@@ -27,7 +27,7 @@ SELECT table_name, table_description, count(*) AS column_count, count_if(is_null
 FROM catalog LEFT JOIN descriptions USING (table_name) GROUP BY table_name, table_description
 """)
 def catalog_tables(spark, d):
-    return P.catalog_tables(observed(spark, d), K.descriptions(spark)).select(
+    return P.catalog_tables(observed(spark, d, ("nulls",)), K.descriptions(spark)).select(
         "table_name", "table_description", "column_count", "nullable_columns"
     )
 
@@ -36,7 +36,7 @@ def catalog_tables(spark, d):
 SELECT table_name, column_id, column_name, data_type, is_nullable, description FROM catalog
 """)
 def catalog_columns(spark, d):
-    return P.catalog_columns(observed(spark, d))
+    return P.catalog_columns(observed(spark, d, ("nulls",)))
 
 
 TYPE_TEXT = "CASE WHEN char_max_length IS NOT NULL THEN concat(data_type, '(', char_max_length, ')') ELSE data_type END"
@@ -72,9 +72,9 @@ def _single_keys_sql():
 def _pair_keys_sql():
     parts = []
     for t in ALL_TABLES:
-        whole = [c for c, kind in K.columns_of(t) if kind in ("int", "bigint")]
-        for i, a in enumerate(whole):
-            for b in whole[i + 1:]:
+        able = [c for c, kind in K.columns_of(t) if kind in KEY_KINDS]
+        for i, a in enumerate(able):
+            for b in able[i + 1:]:
                 parts.append(
                     f"SELECT '{t}', '{a},{b}', 2, count(*) FROM {t} HAVING count(DISTINCT ({a}, {b})) = count(*) "
                     f"AND count(DISTINCT {a}) < count(*) AND count(DISTINCT {b}) < count(*) "
@@ -88,19 +88,25 @@ def candidate_keys(spark, d):
     return P.candidate_keys(spark, all_tables(spark, d))
 
 
+FAMILIES = {"int": "number", "bigint": "number", "varchar": "text", "timestamp": "time"}
+
+
 def _inclusions_sql():
-    whole = [(t, c) for t in ALL_TABLES for c, kind in K.columns_of(t) if kind in ("int", "bigint")]
+    able = [(t, c, FAMILIES[kind]) for t in ALL_TABLES for c, kind in K.columns_of(t) if kind in FAMILIES]
     vals = " UNION ALL ".join(
-        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c in whole
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{kind}' AS k, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c, kind in able
     )
-    return f"""vals AS ({vals}), sizes AS (SELECT t, c, count(*) AS n FROM vals GROUP BY t, c),
-single_keys AS ({_single_keys_sql()}),
-inclusions AS (
+    tail = "regexp_replace({}, '^[^_]*_', '')"
+    return f"""vals AS MATERIALIZED ({vals}), sizes AS MATERIALIZED (SELECT t, c, count(*) AS n FROM vals GROUP BY t, c),
+single_keys AS MATERIALIZED ({_single_keys_sql()}),
+keyed AS MATERIALIZED (SELECT v.* FROM vals v JOIN single_keys k ON k.table_name = v.t AND k.key_columns = v.c),
+inclusions AS MATERIALIZED (
 SELECT a.t AS dep_table, a.c AS dep_column, b.t AS ref_table, b.c AS ref_column,
-       regexp_replace(a.c, '^[a-z][a-z]?_', '') = regexp_replace(b.c, '^[a-z][a-z]?_', '') AS same_suffix,
+       a.c = b.c OR ends_with(a.c, '_' || b.c) OR ends_with(b.c, '_' || a.c)
+         OR (contains(a.c, '_') AND contains(b.c, '_') AND {tail.format("a.c")} = {tail.format("b.c")}) AS same_suffix,
+       contains(lower(a.c), lower(b.t)) AS named,
        any_value(sa.n) AS n_values, round(any_value(sa.n) / any_value(sb.n), 6) AS coverage
-FROM vals a JOIN vals b ON a.v = b.v AND (a.t <> b.t OR a.c <> b.c)
-JOIN single_keys k ON k.table_name = b.t AND k.key_columns = b.c
+FROM vals a JOIN keyed b ON a.k = b.k AND a.v = b.v AND (a.t <> b.t OR a.c <> b.c)
 JOIN sizes sa ON sa.t = a.t AND sa.c = a.c JOIN sizes sb ON sb.t = b.t AND sb.c = b.c
 GROUP BY a.t, a.c, b.t, b.c HAVING count(*) = any_value(sa.n))"""
 
@@ -126,24 +132,24 @@ REQUESTED = ["orders", "lineitem", "labels", "payments"]
 requested AS {K.sql_values([(t,) for t in REQUESTED], "table_name")},
 counts AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, nullif(count(*), 0) AS row_count FROM {t}" for t in ALL_TABLES)}),
 first_keys AS (SELECT c.table_name, arg_min(c.column_name, c.column_id) AS pk FROM catalog c
-  JOIN single_keys k ON k.table_name = c.table_name AND k.key_columns = c.column_name GROUP BY c.table_name)
+  JOIN single_keys k ON k.table_name = c.table_name AND k.key_columns = c.column_name GROUP BY c.table_name),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dep_table, dep_column ORDER BY same_suffix DESC, named DESC, coverage DESC, ref_table, ref_column) AS nth
+  FROM inclusions WHERE (same_suffix OR named) AND dep_table <> ref_table),
+fks AS (SELECT dep_table AS table_name, dep_column AS column_name, ref_table || '.' || ref_column AS refers_to FROM ranked WHERE nth = 1)
 SELECT r.table_name, CASE WHEN c.column_name IS NULL THEN 'empty' ELSE 'success' END AS status,
        CASE WHEN c.column_name IS NULL THEN concat('table ''', r.table_name, ''' not found') END AS message,
        coalesce(c.column_id, 0) AS column_id, c.column_name, {TYPE_TEXT} AS type_text, coalesce(c.is_nullable, false) AS is_nullable,
-       coalesce(f.pk = c.column_name, false) AS is_pk,
-       EXISTS (SELECT 1 FROM inclusions i
-         WHERE i.same_suffix AND i.dep_table = c.table_name AND i.dep_column = c.column_name) AS is_fk,
+       coalesce(f.pk = c.column_name, false) AS is_pk, g.refers_to IS NOT NULL AS is_fk, g.refers_to,
        c.description, coalesce(n.row_count, 0) AS row_count
 FROM requested r LEFT JOIN catalog c USING (table_name) LEFT JOIN counts n ON n.table_name = r.table_name
-LEFT JOIN first_keys f ON f.table_name = r.table_name
+LEFT JOIN first_keys f ON f.table_name = r.table_name LEFT JOIN fks g ON g.table_name = c.table_name AND g.column_name = c.column_name
 """)
 def table_schema_report(spark, d):
-    tables = P.related_tables(all_tables(spark, d), REQUESTED)
+    tables = all_tables(spark, d)
     facts = P.known_facts(tables)
     keys = P.candidate_keys(spark, tables, max_width=1, facts=facts)
-    keys = small_frame(spark, keys.collect(), keys.schema)
     key_columns = {(r["table_name"], r["key_columns"]) for r in keys.collect()}
-    references = P.inclusion_dependencies(spark, tables, same_suffix_only=True, facts=facts, key_columns=key_columns)
+    references = P.references(P.inclusion_dependencies(spark, tables, facts=facts, key_columns=key_columns))
     asked = {t: df for t, df in tables.items() if t in REQUESTED}
     cat = C.catalog(spark, asked, K.SERVER, K.DATABASE, K.COLUMN_NOTES)
     return P.table_schema_report(

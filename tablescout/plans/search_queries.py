@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablescout.functions.text import STOP_WORDS, escape_like
@@ -53,9 +54,31 @@ def similarity_filter(spark, d):
     return S.similarity_filter(hits, THRESHOLD).select("qid", "rank", "id", "score")
 
 
-@query("vector_top_k_approx")
+TABLES, BITS = 8, 4
+
+
+def formula_planes() -> np.ndarray:
+    """Directions from a formula that SQL can repeat."""
+    t, b, i = np.meshgrid(np.arange(TABLES), np.arange(BITS), np.arange(DIMS), indexing="ij")
+    x = np.sin(12.9898 * (t + 1) + 78.233 * (b + 1) + 37.719 * (i + 1)) * 43758.5453
+    return x - np.floor(x) - 0.5
+
+
+@query("vector_top_k_approx", "WITH " + CENTROIDS_SQL + f""",
+cells_of AS (SELECT t, b, i, sin(12.9898 * (t + 1) + 78.233 * (b + 1) + 37.719 * (i + 1)) * 43758.5453 AS x
+  FROM range({TABLES}) r(t), range({BITS}) s(b), range({DIMS}) u(i)),
+planes AS (SELECT t, b, list(x - floor(x) - 0.5 ORDER BY i) AS plane FROM cells_of GROUP BY t, b),
+vectors AS (SELECT 'q' AS side, qid AS id, CAST(vector AS DOUBLE[]) AS v FROM centroids
+  UNION ALL SELECT 'c', vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings),
+codes AS (SELECT side, id, t, sum(CASE WHEN list_inner_product(v, plane) > 0 THEN 1 << b ELSE 0 END) AS code FROM vectors, planes GROUP BY side, id, t),
+pairs AS (SELECT DISTINCT q.id AS qid, c.id AS id FROM codes q JOIN codes c ON q.t = c.t AND q.code = c.code AND q.side = 'q' AND c.side = 'c'),
+scored AS (SELECT p.qid, p.id, round(list_cosine_similarity(q.v, c.v), 12) AS cos FROM pairs p
+  JOIN vectors q ON q.side = 'q' AND q.id = p.qid JOIN vectors c ON c.side = 'c' AND c.id = p.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM scored)
+SELECT qid, rank, id, greatest(0.0, least(1.0, round(1 - (1 - cos) / 2, 3))) AS score FROM ranked WHERE rank <= 5
+""")
 def vector_top_k_approx(spark, d):
-    hits = S.vector_top_k_approx(centroids(spark, d), corpus(spark, d), DIMS)
+    hits = S.vector_top_k_approx(centroids(spark, d), corpus(spark, d), formula_planes())
     return hits.select("qid", "rank", "id", "score")
 
 
@@ -90,12 +113,14 @@ MATCH_SQL = KEYWORDS_SQL + ", " + K.catalog_sql(observed=False) + ", " + K.descr
 words AS (SELECT qid, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) - 1 AS seq FROM asked),
 patterns AS (SELECT DISTINCT keyword, '%' || replace(replace(replace(keyword, '/', '//'), '%', '/%'), '_', '/_') || '%' AS pattern FROM words),
 tabs AS (SELECT DISTINCT table_name FROM catalog),
-matches AS (SELECT DISTINCT p.keyword, t.table_name, coalesce(e.table_description, '') AS description,
-    (SELECT string_agg(c.column_name, ', ' ORDER BY c.column_id) FROM catalog c WHERE c.table_name = t.table_name) AS columns_list,
-    (SELECT count(*) FROM catalog c WHERE c.table_name = t.table_name AND c.column_name ILIKE p.pattern ESCAPE '/') AS matching_columns
-  FROM patterns p, tabs t LEFT JOIN descriptions e ON e.table_name = t.table_name
-  WHERE t.table_name ILIKE p.pattern ESCAPE '/' OR e.table_description ILIKE p.pattern ESCAPE '/'
-     OR EXISTS (SELECT 1 FROM catalog c WHERE c.table_name = t.table_name AND c.column_name ILIKE p.pattern ESCAPE '/')),
+names AS (SELECT t.table_name, coalesce(any_value(e.table_description), '') AS description,
+    string_agg(c.column_name, ', ' ORDER BY c.column_id) AS columns_list
+  FROM tabs t JOIN catalog c USING (table_name) LEFT JOIN descriptions e USING (table_name) GROUP BY t.table_name),
+places AS (SELECT table_name, table_name AS said, 0 AS is_column FROM names UNION ALL SELECT table_name, description, 0 FROM names
+  UNION ALL SELECT table_name, column_name, 1 FROM catalog),
+counted AS (SELECT p.keyword, a.table_name, sum(a.is_column)::BIGINT AS matching_columns
+  FROM patterns p JOIN places a ON a.said ILIKE p.pattern ESCAPE '/' GROUP BY p.keyword, a.table_name),
+matches AS (SELECT keyword, table_name, description, columns_list, matching_columns FROM counted JOIN names USING (table_name)),
 scored AS (SELECT *, round(CASE WHEN contains(lower(table_name), lower(keyword)) THEN least(least(matching_columns / 5, 1.0) + 0.3, 1.0)
     ELSE least(matching_columns / 5, 1.0) END, 2) AS score FROM matches),
 seen AS (SELECT w.qid, w.seq, s.*, row_number() OVER (PARTITION BY w.qid, s.table_name

@@ -51,35 +51,38 @@ def catalog(
     return small_frame(spark, rows, CATALOG_SCHEMA)
 
 
-def is_key_type(dt: T.DataType) -> bool:
-    return isinstance(
-        dt, (T.IntegralType, T.StringType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    )
+def family(dt: T.DataType) -> str | None:
+    """Kinds of key columns whose values can be compared with each other."""
+    if isinstance(dt, (T.IntegralType, T.DecimalType)):
+        return "number"
+    if isinstance(dt, T.StringType):
+        return "text"
+    return "time" if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) else None
 
 
-def distinct_estimate(expression: str) -> str:
-    """Distinct count from one small binary sketch per task; 2**14 cells, 0.8 % standard error."""
-    return f"hll_sketch_estimate(hll_sketch_agg({expression}, 14))"
+FACTS = ("nulls", "chars", "bounds")
 
 
-def column_facts(tables: dict[str, DataFrame]) -> DataFrame:
+def column_facts(tables: dict[str, DataFrame], wanted: tuple[str, ...] = FACTS) -> DataFrame:
     """Observed facts, one row per column, from one map-side pass over each table.
 
-    Row count, NULL count, longest text, smallest and largest whole number.
+    Row count, and of the ``wanted`` ones: NULL count, longest text, smallest and largest value of key columns (numbers in
+    ``min_number, max_number``, others as text). A fact that is not wanted is NULL and not read for.
     """
     parts = []
     for name, df in tables.items():
         facts = []
         for i, f in enumerate(df.schema.fields, 1):
-            c = f"`{f.name}`"
-            whole = isinstance(f.dataType, T.IntegralType)
-            text = isinstance(f.dataType, T.StringType)
+            c, kind = f"`{f.name}`", family(f.dataType)
+            number, text = kind == "number" and "bounds" in wanted, kind in ("text", "time") and "bounds" in wanted
+            chars = isinstance(f.dataType, T.StringType) and "chars" in wanted
             facts.append(f"""named_struct(
-                'column_id', {i}, 'column_name', '{f.name}',
-                'n_rows', count(1), 'n_nulls', count(1) - count({c}),
-                'max_chars', CAST({f"max(length({c}))" if text else "NULL"} AS INT),
-                'min_value', CAST({f"min({c})" if whole else "NULL"} AS BIGINT),
-                'max_value', CAST({f"max({c})" if whole else "NULL"} AS BIGINT))""")
+                'column_id', {i}, 'column_name', '{f.name}', 'family', {f"'{kind}'" if kind else "CAST(NULL AS STRING)"},
+                'n_rows', count(1), 'n_nulls', {f"count(1) - count({c})" if "nulls" in wanted else "CAST(NULL AS BIGINT)"},
+                'max_chars', CAST({f"max(length({c}))" if chars else "NULL"} AS INT),
+                'min_number', CAST({f"min({c})" if number else "NULL"} AS DECIMAL(38, 6)),
+                'max_number', CAST({f"max({c})" if number else "NULL"} AS DECIMAL(38, 6)),
+                'min_text', CAST({f"min({c})" if text else "NULL"} AS STRING), 'max_text', CAST({f"max({c})" if text else "NULL"} AS STRING))""")
         parts.append(
             df.agg(F.expr(f"array({', '.join(facts)})").alias("facts"))
             .select(F.lit(name).alias("table_name"), F.inline("facts"))
@@ -87,21 +90,6 @@ def column_facts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def distinct_estimates(tables: dict[str, DataFrame], wanted: list[tuple[str, tuple[str, ...]]]) -> dict:
-    """Estimated distinct counts of columns or column groups; one row per table comes back."""
-    parts, mine = [], {}
-    for name in sorted({t for t, _ in wanted}):
-        mine[name] = [cols for t, cols in wanted if t == name]
-        sketches = ", ".join(
-            distinct_estimate("xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")") for cols in mine[name]
-        )
-        parts.append(tables[name].selectExpr(f"'{name}' AS table_name", f"array({sketches}) AS n"))
-    if not parts:
-        return {}
-    rows = reduce(DataFrame.union, parts).collect()
-    return {(r["table_name"], cols): n for r in rows for cols, n in zip(mine[r["table_name"]], r["n"])}
-
-
 def observed_catalog(cat: DataFrame, facts: DataFrame) -> DataFrame:
     """Catalog whose nullability and text lengths are those seen in the data."""
     seen = facts.select("table_name", "column_name", "n_nulls", "max_chars")

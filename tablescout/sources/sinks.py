@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescout.session import small_frame
@@ -28,7 +29,9 @@ class IndexStore:
             row = self.spark.read.schema("number INT, folders ARRAY<STRING>").parquet(f"{self.path}/generations").agg(
                 F.max_by(F.struct("number", "folders"), "number")
             ).first()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return 0, []
         return (0, []) if row[0] is None else (row[0]["number"], row[0]["folders"])
 
@@ -57,10 +60,16 @@ class IndexStore:
 
     def upsert(self, docs: DataFrame) -> None:
         """Documents of the same id are replaced, others kept."""
-        existing = self.read()
+        existing, docs = self.read(), one_per_id(docs)
         self.replace(docs if existing is None else upserted(existing, docs))
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """One document for each ``doc_id``: of several, the one whose values hash lowest."""
+    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    return docs.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+
+
 def upserted(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     kept = existing.join(incoming.select("doc_id"), "doc_id", "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)

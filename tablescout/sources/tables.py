@@ -96,7 +96,7 @@ def federate(
             status.append((s.server, s.database, s.table, "error", e.getCondition() or "READ_FAILED"))
             continue
         except Py4JJavaError as e:  # a driver that cannot connect
-            status.append((s.server, s.database, s.table, "error", str(e.java_exception)[:200]))
+            status.append((s.server, s.database, s.table, "error", str(e.java_exception)))
             continue
         status.append((s.server, s.database, s.table, "success", None))
         rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)

@@ -146,3 +146,12 @@ def test_run_results_are_kept_by_date(spark, tmp_path):
     save_run_summary(cases.agg(F.count("*").alias("total")), str(tmp_path / "summary"), model="none")
     r = spark.read.json(str(tmp_path / "summary")).first()
     assert (r.metrics.total, r.run_meta.model) == (2, "none")
+
+
+def test_equal_ids_in_one_batch_are_one_document(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one"), ("a", "two"), ("b", "three"), ("a", None)], "doc_id STRING, text STRING")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert rows(I.incremental_index(store, docs)) == [("error", 1), ("indexed", 2), ("skipped", 1)]
+    assert sorted(r.doc_id for r in store.read().collect()) == ["a", "b"]
+    store.upsert(spark.createDataFrame([("b", "x"), ("b", "y"), ("c", "z")], "doc_id STRING, text STRING"))
+    assert sorted(r.doc_id for r in store.read().collect()) == ["a", "b", "c"]

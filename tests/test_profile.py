@@ -36,8 +36,7 @@ def test_candidate_keys_against_brute_force(spark, tables):
             if data and all(r[c] is not None for r in data) and len({r[c] for r in data}) == len(data)
         }
         want |= {(name, c) for c in single}
-        whole = [c for c, t in df.dtypes if t in ("int", "bigint") and c not in single]
-        for a, b in itertools.combinations(whole, 2):
+        for a, b in itertools.combinations([c for c in df.columns if c not in single], 2):
             cells = [(r[a], r[b]) for r in data]
             if data and all(None not in c for c in cells) and len(set(cells)) == len(cells):
                 want.add((name, f"{a},{b}"))
@@ -45,18 +44,33 @@ def test_candidate_keys_against_brute_force(spark, tables):
     assert ("person", "p_note") in got and ("debt", "d_part,d_group") in got
 
 
+def test_keys_of_mixed_types_and_three_columns(spark):
+    cells = [(f"k{a}", b, c, (a * 7 + b + c) % 5) for a in range(3) for b in range(4) for c in range(5)]
+    t = spark.createDataFrame(cells, "name STRING, day INT, part INT, other INT").selectExpr("name", "DATE '2024-01-01' + day AS day", "part", "other")
+    pair = t.where("part = 0")
+    assert {r.key_columns for r in P.candidate_keys(spark, {"t": t}, max_width=3).collect()} >= {"name,day,part"}
+    assert P.candidate_keys(spark, {"t": t}).count() == 0
+    assert "name,day" in {r.key_columns for r in P.candidate_keys(spark, {"t": pair}).collect()}
+
+
 def test_inclusion_dependencies_against_brute_force(spark, tables):
+    tables = {**tables, "visit": tables["debt"].where("d_id <= 90").selectExpr("d_no % 50 AS v_no", "concat('x', d_id) AS note", "concat(repeat('x', 70), d_id) AS v_note")}
     got = {(r.dep_column, r.ref_column, r.coverage) for r in P.inclusion_dependencies(spark, tables).collect()}
-    values = {
-        (t, c): {r[0] for r in df.select(c).collect()} - {None}
-        for t, df in tables.items() for c, kind in df.dtypes if kind in ("int", "bigint")
-    }
-    keys = [("person", "p_id"), ("debt", "d_no")]
+    values = {(t, c): {r[0] for r in df.select(c).collect()} - {None} for t, df in tables.items() for c in df.columns}
+    keys = [("person", "p_id"), ("debt", "d_no"), ("person", "p_note")]
     want = {
         (d[1], r[1], round(len(values[d]) / len(values[r]), 6))
         for d in values for r in keys if d != r and values[d] and values[d] <= values[r]
     }
-    assert got == want
+    assert got == want and ("v_note", "p_note") in {g[:2] for g in got}
+
+
+def test_names_that_refer(spark):
+    bank = spark.createDataFrame([(i, f"b{i}") for i in range(1, 9)], "id INT, title STRING")
+    debt = spark.createDataFrame([(100 + i, 1 + i % 8, 1 + i % 4) for i in range(60)], "debt_no INT, bank_id INT, amount INT")
+    found = P.inclusion_dependencies(spark, {"bank": bank, "debt": debt})
+    assert [tuple(r) for r in P.references(found).collect()] == [("debt", "bank_id", "bank", "id")]
+    assert {(r.dep_column, r.same_suffix, r.named, r.coverage) for r in found.collect()} == {("bank_id", True, True, 1.0), ("amount", False, False, 0.5)}
 
 
 def test_many_columns_need_several_words(spark):
@@ -76,12 +90,12 @@ def test_schema_report(spark, tables):
     cat = C.observed_catalog(C.catalog(spark, tables, notes={"p_name": "full name"}), C.column_facts(tables))
     clean = {**tables, "debt": tables["debt"].where("d_id <= 100")}
     keys = P.candidate_keys(spark, tables, 1, facts)
-    refs = P.inclusion_dependencies(spark, clean, same_suffix_only=True)
+    refs = P.references(P.inclusion_dependencies(spark, clean))
     asked = spark.createDataFrame([("debt",), ("person",), ("nowhere",)], "table_name STRING")
     report = P.table_schema_report(cat, P.table_row_counts(tables), keys, refs, asked)
     got = {(r.table_name, r.column_name): r for r in report.collect()}
     assert got["debt", "d_no"].is_pk and not got["debt", "d_no"].is_fk
-    assert got["debt", "d_id"].is_fk and got["debt", "d_id"].is_nullable
+    assert got["debt", "d_id"].refers_to == "person.p_id" and got["debt", "d_id"].is_nullable
     assert got["person", "p_name"].type_text == "varchar(3)" and got["person", "p_name"].description == "full name"
     missing = got["nowhere", None]
     assert (missing.status, missing.message) == ("empty", "table 'nowhere' not found") and missing.is_pk is None

@@ -19,26 +19,27 @@ def dims(spark):
 
 
 def test_hot_keys_are_few(facts):
-    assert [r.k for r in hot_keys(facts, ["k"], share=10).collect()] == [1]
+    assert [tuple(r) for r in hot_keys(facts, ["k"], task_rows=300).collect()] == [(1, 5)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(facts, dims, how):
-    want = facts.join(dims, "k", how)
-    got = salted_join(facts, dims, ["k"], how, spread_by=["id"])
-    assert rows(got, "id", "k", "name") == rows(want, "id", "k", "name")
+@pytest.mark.parametrize("task_rows", [7, 300, 1_000_000])
+def test_salted_join_equals_plain_join(facts, dims, how, task_rows):
+    half = facts.withColumn("k", F.when(F.col("id") % 2 == 0, F.col("k")))  # half of the keys are NULL
+    for left in (facts, half):
+        want = left.join(dims, "k", how)
+        got = salted_join(left, dims, ["k"], how, spread_by=["id"], task_rows=task_rows)
+        assert rows(got, "id", "k", "name") == rows(want, "id", "k", "name")
 
 
 def test_salted_join_with_repeated_right_keys(facts, dims):
     twice = dims.unionAll(dims)
-    assert salted_join(facts, twice, ["k"]).count() == facts.join(twice, "k").count()
+    assert salted_join(facts, twice, ["k"], task_rows=100).count() == facts.join(twice, "k").count()
 
 
-def test_salted_join_spreads_the_hot_key(facts, dims):
-    joined = salted_join(facts, dims, ["k"], spread_by=["id"], salts=16)
-    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
-    even = salted_join(facts, dims, ["k"], spread_by=["id"], share=2)
-    assert "_salt" not in even._jdf.queryExecution().optimizedPlan().toString()
+def test_null_keys_are_not_shuffled(facts, dims):
+    plan = salted_join(facts, dims, ["k"], "left", spread_by=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(k" in plan and "isnotnull(k" in plan
 
 
 def test_decode_needs_the_dictionary(spark):

@@ -30,12 +30,18 @@ def test_status(spark, sql, status, count, truncated, more):
     "DROP VIEW numbers", "CREATE TABLE x (a INT)", "INSERT INTO numbers VALUES (1)", "SET a=b", "SELECT 1; DROP VIEW numbers",
     "SELECT 1) AS b; DROP VIEW numbers --", "FROM numbers INSERT INTO t SELECT *", "WITH c AS (SELECT 1) INSERT INTO t SELECT * FROM c",
     "SELECT nothing FROM numbers", "SELECT * FROM no_such_table", "/* open",
+    "SELECT java_method('java.lang.System', 'setProperty', 'tablescout', 'x')", "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+    "SELECT id FROM numbers WHERE id = (SELECT length(REFLECT('java.lang.System', 'setProperty', 'tablescout', 'x')))",
+    "WITH a AS (SELECT `try_reflect`('java.lang.System', 'setProperty', 'tablescout', 'x') AS v) SELECT * FROM a",
+    "SELECT * FROM numbers JOIN json.`/tmp` ON true", "SELECT TRANSFORM(id) USING 'cat' AS (x STRING) FROM numbers",
+    "SELECT * FROM IDENTIFIER('parquet.`/tmp`')",
 ])
 def test_refused(spark, sql):
     result = bounded_read(spark, sql)
     r = result.status.first()
     assert result.rows is None and r.status == "error" and r.error
     assert spark.catalog.tableExists("numbers")
+    assert spark._jvm.java.lang.System.getProperty("tablescout") is None
 
 
 def test_cap_holds_whatever_the_text_says(spark):

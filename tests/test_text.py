@@ -43,6 +43,8 @@ def test_audit_readonly(spark):
     ("WITH c AS (SELECT 1 AS a) SELECT * FROM c", 100, "WITH c AS (SELECT 1 AS a) SELECT * FROM c", False),
     ("  SELECT DISTINCT a FROM t", 5, "  SELECT TOP 5 DISTINCT a FROM t", True),
     ("SELECT TOP 99999999999999999999 * FROM t", 100, "SELECT TOP 100 * FROM t", True),
+    ("SELECT\u00a0* FROM t", 100, "SELECT\u00a0TOP 100 * FROM t", True),
+    ("\u00a0SELECT TOP\u2003500 a FROM t", 100, "\u00a0SELECT TOP 100 a FROM t", True),
     (None, 100, None, False),
 ])
 def test_row_cap(spark, sql, limit, capped, limited):
