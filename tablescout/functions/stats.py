@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescout.session import small_frame
-
 # Positive values are binned by logarithm; one bin spans a factor of exp(1/BINS_PER_E).
 BINS_PER_E = 16384
-WANTED_ROWS = 10_000
 
 
 def exclusive_p90(sorted_values: Column) -> Column:
@@ -37,8 +34,8 @@ def exclusive_p90_by(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exclusive 90 % quantile per group over positive values, exact, two passes.
 
     Pass 1 counts values per logarithmic bin, which map tasks combine. The cumulated counts
-    tell which bins hold the two wanted ranks. Pass 2 keeps only the values of those bins,
-    again counted per distinct value before they move. No group is ever sorted as a whole.
+    tell which bins hold the two wanted ranks. Pass 2 keeps only the values of those bins (at most two per group, joined as
+    Spark sees fit), again counted per distinct value before they move. No group is ever sorted as a whole.
     """
     positive = df.where(F.col(value) > 0).select(*by, F.col(value).cast("double").alias("v"))
     binned = positive.withColumn("bin", F.floor(F.log("v") * BINS_PER_E))
@@ -57,10 +54,6 @@ def exclusive_p90_by(df: DataFrame, value: str, by: list[str]) -> DataFrame:
         )
         .select(*by, "bin", "before", "n", "j")
     )
-    # at most two bins per group are wanted; of up to WANTED_ROWS they travel as a local table
-    few = wanted.limit(WANTED_ROWS + 1).collect()
-    if len(few) <= WANTED_ROWS:
-        wanted = F.broadcast(small_frame(df.sparkSession, few, wanted.schema))
     counted = (
         binned.join(wanted, [*by, "bin"])
         .groupBy(*by, "bin", "before", "n", "j", "v")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,7 @@ from tablescout.session import small_frame
 from tablescout.sources.sinks import IndexStore
 
 PASSAGE, QUERY = "passage: ", "query: "
+HASHED_WORD = r"[\p{L}\p{N}_]+"
 
 
 def doc_id():
@@ -140,6 +143,21 @@ def index_stats(index: DataFrame, **settings: str) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("total_documents")).select("*", *fixed)
 
 
+def encode_hashed(texts: DataFrame, key: str, prefix: str = PASSAGE, text: str = "text", dims: int = 64) -> DataFrame:
+    """``key`` and a unit ``embedding`` of hashed words of the prefixed text, by DataFrame functions that need no model and no fit.
+
+    A word goes to the bucket its MD5 names; a bucket weighs one plus the logarithm of its count. Words are counted map-side. Rows of one ``key`` are one text.
+    """
+    words = F.regexp_extract_all(F.lower(F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))), F.lit(HASHED_WORD), F.lit(0))
+    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dims
+    counted = texts.select(key, F.explode(words).alias("word")).groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    weighed = counted.select(key, "bucket", (1 + F.log("n")).alias("w")).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    cell = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+                       lambda b: F.coalesce(F.try_element_at("cells", b), F.lit(0.0)) / F.col("length"))
+    return weighed.select(key, cell.alias("embedding"))
+
+
 def encode_with(
     texts: DataFrame,
     encoder_factory: Callable[[], Callable[[list[str]], list[list[float]]]],
@@ -148,15 +166,18 @@ def encode_with(
 ) -> DataFrame:
     """Add ``embedding`` by a user's encoder, built once per task and fed whole batches."""
     schema = T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    names = [f.name for f in schema.fields]
 
-    def encode(batches: Iterator) -> Iterator:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_factory()
         for batch in batches:
-            vectors = encoder([prefix + (t or "") for t in batch[text]])
-            batch["embedding"] = [[float(x) for x in v] for v in vectors]
-            yield batch
+            texts_of = batch.column(names.index(text)).to_pylist()
+            vectors = np.asarray(encoder([prefix + (t or "") for t in texts_of]), np.float32).reshape(batch.num_rows, -1)
+            ends = pa.array(np.arange(batch.num_rows + 1) * vectors.shape[1], pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
 
-    return texts.mapInPandas(encode, schema)
+    return texts.mapInArrow(encode, schema)
 
 
 def fit_default_encoder(texts: DataFrame, text: str = "text", dims: int = 256) -> PipelineModel:

@@ -285,6 +285,11 @@ FOUND_HEADER = "Найденные таблицы (по поиску):"
 NOTHING_FOUND = "Информация о схеме БД не найдена."
 NO_RESULTS = "Результатов нет."
 NO_DATA = "Запрос выполнен, но данных не найдено."
+DETAIL_HEADER = "\nДетальная схема таблицы "
+TABLE, DESCRIPTION, NO_DESCRIPTION, COLUMNS = "  Таблица: ", "]\n  Описание: ", "нет", "\n  Колонки: "
+FOUND, SCHEMA, SCHEMA_COLUMNS, SCHEMA_ROWS = "Найденные таблицы: ", "Схема таблицы '", " колонок, ~", " строк"
+GENERATED, DATA, DATA_ROWS, DATA_CUT = "SQL сгенерирован. ", "Данные из БД (", " строк", ", обрезано до 5"
+EXECUTION_FAILED, AGENT_FAILED, ROW_MARK = "Ошибка выполнения запроса: ", "Ошибка агента: ", "  • "
 
 
 def _joined(parts, key, order, text, sep):
@@ -309,7 +314,7 @@ def schema_detail(columns: DataFrame) -> DataFrame:
     )
     lines = _joined(columns.withColumn("detail", line), "table_name", "column_id", "detail", "\n")
     return lines.withColumn(
-        "detail", F.concat(F.lit("\nДетальная схема таблицы "), "table_name", F.lit(":\n"), "detail")
+        "detail", F.concat(F.lit(DETAIL_HEADER), "table_name", F.lit(":\n"), "detail")
     )
 
 
@@ -319,9 +324,9 @@ def search_context(questions: DataFrame, hits: DataFrame, details: DataFrame | N
     ``details``: optional (qid, detail) with the structure of a table read for the question.
     """
     entry = F.concat(
-        F.lit("  Таблица: "), "table_name", F.lit(" ["), "database", F.lit("]\n  Описание: "),
-        F.when(F.coalesce("description", F.lit("")) != "", F.col("description")).otherwise("нет"),
-        F.lit("\n  Колонки: "), F.array_join(F.slice("columns", 1, 15), ", "),
+        F.lit(TABLE), "table_name", F.lit(" ["), "database", F.lit(DESCRIPTION),
+        F.when(F.coalesce("description", F.lit("")) != "", F.col("description")).otherwise(NO_DESCRIPTION),
+        F.lit(COLUMNS), F.array_join(F.slice("columns", 1, 15), ", "),
     )
     shown = hits.where(F.col("rank") <= 5).select("qid", "rank", entry.alias("found"))
     out = questions.select("qid").join(_joined(shown, "qid", "rank", "found", "\n"), "qid", "left")
@@ -342,7 +347,7 @@ def row_lines(rows: DataFrame, run: str, order_by: list, columns: list[str], sho
     pairs = F.concat_ws(", ", *[
         F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns
     ])
-    top = rows.select(run, F.concat(F.lit("  • "), pairs).alias("lines"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= shown)
+    top = rows.select(run, F.concat(F.lit(ROW_MARK), pairs).alias("lines"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= shown)
     texts = _joined(top, run, "_n", "lines", "\n")
     counts = rows.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
     return texts.join(counts, run).select(
@@ -356,23 +361,24 @@ def result_context(runs: DataFrame) -> DataFrame:
     has = set(runs.columns)
     parts = []
     if "tables_found" in has:
-        parts.append(F.when(F.col("tables_found") != "", F.concat(F.lit("Найденные таблицы: "), "tables_found")))
+        parts.append(F.when(F.col("tables_found") != "", F.concat(F.lit(FOUND), "tables_found")))
     if "schema_table" in has:
         parts.append(F.concat(
-            F.lit("Схема таблицы '"), "schema_table", F.lit("': "), F.col("schema_columns").cast("string"), F.lit(" колонок, ~"),
-            F.coalesce(F.col("schema_rows").cast("string"), F.lit("?")), F.lit(" строк"),
+            F.lit(SCHEMA), "schema_table", F.lit("': "), F.col("schema_columns").cast("string"), F.lit(SCHEMA_COLUMNS),
+            F.coalesce(F.col("schema_rows").cast("string"), F.lit("?")), F.lit(SCHEMA_ROWS),
         ))
     if "explanation" in has:
-        parts.append(F.concat(F.lit("SQL сгенерирован. "), "explanation"))
+        parts.append(F.concat(F.lit(GENERATED), "explanation"))
     if "exec_status" in has:
         data = F.concat(
-            F.lit("Данные из БД ("), F.col("row_count").cast("string"), F.lit(" строк"),
-            F.when(F.col("truncated"), ", обрезано до 5").otherwise(""), F.lit("):\n"), "lines",
+            F.lit(DATA), F.col("row_count").cast("string"), F.lit(DATA_ROWS),
+            F.when(F.col("truncated"), DATA_CUT).otherwise(""), F.lit("):\n"), "lines",
         )
-        failed = F.concat(F.lit("Ошибка выполнения запроса: "), "exec_message") if "exec_message" in has else F.lit(None)
-        parts.append(F.when(F.col("exec_status") == "success", data).when(F.col("exec_status") == "empty", NO_DATA).otherwise(failed))
+        failed = F.concat(F.lit(EXECUTION_FAILED), "exec_message") if "exec_message" in has else F.lit(None)
+        parts.append(F.when(F.col("exec_status") == "success", data).when(F.col("exec_status") == "empty", NO_DATA)
+                     .when(F.col("exec_status").isNotNull(), failed))
     if "error" in has:
-        parts.append(F.when(F.col("error") != "", F.concat(F.lit("Ошибка агента: "), "error")))
+        parts.append(F.when(F.col("error") != "", F.concat(F.lit(AGENT_FAILED), "error")))
     text = F.concat_ws("\n\n", *parts)
     return runs.withColumn("context", F.when(text != "", text).otherwise(NO_RESULTS))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablescout.operators import index as I
 from tablescout.operators import profile as P
 from tablescout.operators import runlog as L
+from tablescout.operators import search as S
 from tablescout.plans import knowledge_data as K
 from tablescout.plans.derived import duckdb_cte, view
 from tablescout.plans.profile_queries import ALL_TABLES, all_tables, observed
@@ -250,8 +251,36 @@ def index_stats(spark, d):
     return I.index_stats(documents(spark, d), collection="documents", encoder="hashed words").withColumn("knowledge_tables", n_known)
 
 
-@query("encode_passages")
+def _vectors_sql(source: str, key: str, prefix: str, name: str) -> str:
+    """CTEs that end in ``name(key, embedding)`` for the texts of ``source``."""
+    return f"""{name}_words AS (SELECT {key}, unnest(regexp_extract_all(lower('{prefix}' || coalesce(text, '')), '{I.HASHED_WORD}')) AS word FROM {source}),
+{name}_cells AS (SELECT {key}, ('0x' || substr(md5(word), 1, 8))::UBIGINT % 64 AS bucket, 1 + ln(count(*)) AS w FROM {name}_words GROUP BY ALL),
+{name}_lengths AS (SELECT {key}, sqrt(sum(w * w)) AS length FROM {name}_cells GROUP BY {key}),
+{name} AS (SELECT l.{key}, list(coalesce(c.w, 0) / l.length ORDER BY r.b) AS embedding FROM {name}_lengths l CROSS JOIN range(64) r(b)
+  LEFT JOIN {name}_cells c ON c.{key} = l.{key} AND c.bucket = r.b GROUP BY l.{key})"""
+
+
+@query("encode_passages", "WITH " + _vectors_sql("documents", "doc_id", I.PASSAGE, "vectors") + """
+SELECT doc_id, generate_subscripts(embedding, 1) - 1 AS cell, round(unnest(embedding), 6) AS value FROM vectors
+""")
 def encode_passages(spark, d):
-    docs = documents(spark, d).withColumn("text", F.concat(F.lit(I.PASSAGE), "text"))
-    encoded = I.encode_default(docs, I.fit_default_encoder(docs))
-    return encoded.select("doc_id", "lang", "embedding")
+    encoded = I.encode_hashed(documents(spark, d), "doc_id")
+    return encoded.select("doc_id", F.posexplode("embedding").alias("cell", "value")).select(
+        "doc_id", F.col("cell").cast("bigint").alias("cell"), F.round("value", 6).alias("value"))
+
+
+TEXT_THRESHOLD = 0.62
+
+
+@query("text_search", duckdb_cte("questions") + ", " + DOCS_SQL + ", " + _vectors_sql("docs", "doc_id", I.PASSAGE, "passages") + ", "
+       + _vectors_sql("questions", "qid", I.QUERY, "asked") + f""",
+pairs AS (SELECT qid, doc_id AS id, round(list_cosine_similarity(a.embedding, p.embedding), 12) AS cos FROM asked a, passages p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM pairs)
+SELECT qid, rank, id, greatest(0.0, least(1.0, round(1 - (1 - cos) / 2, 3))) AS score FROM ranked
+WHERE rank <= 5 AND greatest(0.0, least(1.0, round(1 - (1 - cos) / 2, 3))) >= {TEXT_THRESHOLD}
+""")
+def text_search(spark, d):
+    """Questions as texts to the nearest schema documents, both encoded, then the threshold."""
+    passages = I.encode_hashed(schema_docs(spark, d), "doc_id").withColumnRenamed("doc_id", "id")
+    asked = I.encode_hashed(view(spark, d, "questions"), "qid", I.QUERY).withColumnRenamed("embedding", "vector")
+    return S.similarity_filter(S.vector_top_k(asked, passages), TEXT_THRESHOLD).select("qid", "rank", "id", "score")

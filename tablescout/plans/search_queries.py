@@ -223,6 +223,30 @@ def result_context(spark, d):
     return S.result_context(runs).select("c_custkey", "context")
 
 
+# Runs that end in each of the ways a result text can have, by the customer's key.
+RUN_ENDS = """c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'orders (score=0.3), nation (score=0.2)' END AS tables_found,
+  CASE WHEN c_custkey % 6 = 1 THEN c_mktsegment END AS schema_table, c_custkey % 9 AS schema_columns,
+  CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 100 END AS schema_rows, CASE WHEN c_custkey % 6 = 2 THEN c_name END AS explanation,
+  CASE WHEN c_custkey % 6 = 3 THEN 'error' WHEN c_custkey % 6 = 4 THEN 'empty' END AS exec_status,
+  CASE WHEN c_custkey % 10 < 8 THEN c_name END AS exec_message, CASE WHEN c_custkey % 7 = 0 THEN 'late' WHEN c_custkey % 7 = 1 THEN '' END AS error"""
+SCHEMA_SQL = S.SCHEMA.replace("'", "''")
+
+
+@query("result_context_ends", f"""
+WITH runs AS (SELECT {RUN_ENDS} FROM customer),
+parts AS (SELECT c_custkey, concat_ws(chr(10) || chr(10), '{S.FOUND}' || tables_found,
+  '{SCHEMA_SQL}' || schema_table || chr(39) || ': ' || schema_columns || '{S.SCHEMA_COLUMNS}' || coalesce(schema_rows::VARCHAR, '?') || '{S.SCHEMA_ROWS}',
+  '{S.GENERATED}' || explanation, CASE exec_status WHEN 'empty' THEN '{S.NO_DATA}' WHEN 'error' THEN '{S.EXECUTION_FAILED}' || exec_message END,
+  CASE WHEN error <> '' THEN '{S.AGENT_FAILED}' || error END) AS text FROM runs)
+SELECT c_custkey, CASE WHEN text <> '' THEN text ELSE '{S.NO_RESULTS}' END AS context FROM parts
+""")
+def result_context_ends(spark, d):
+    """Texts of runs that found tables, read a schema, wrote SQL, failed, found nothing, or broke off."""
+    runs = spark.sql(f"SELECT {RUN_ENDS} FROM {{customer}}", customer=load(spark, d, "customer"))
+    empty = runs.withColumns({"lines": F.lit(None).cast("string"), "row_count": F.lit(0), "truncated": F.lit(False)})
+    return S.result_context(empty).select("c_custkey", "context")
+
+
 @query("collect_sources", MATCH_SQL + """, read AS (
 SELECT qid, 'orders' AS table_name FROM questions WHERE text LIKE 'Order%' UNION ALL
 SELECT qid, 'conversations' FROM questions WHERE text LIKE 'zzz%'),
