@@ -62,8 +62,8 @@ def raked_probabilities(cells: DataFrame, power: float = POWER, share: float = S
 
 
 def mixed(docs: DataFrame, power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of ``docs`` sampled so that source, language and topic margins come to their targets; ``probability`` and the
-    ``mix_`` columns are added.
+    """Rows of ``docs`` sampled so that source, language and topic margins come to their targets; columns
+    ``mix_source``, ``mix_lang``, ``mix_topic``, ``mix_tokens``, ``mix_number`` and ``mix_probability`` are added.
 
     ``docs`` needs ``doc_id, text, lang, source``. Tokens are words; the topic is a form of text (table, dialogue, or by length). Null sources and languages
     are values of their own. A row is taken if a number hashed from its id (its text where the id is null) is below the probability of its cell, so
@@ -72,9 +72,10 @@ def mixed(docs: DataFrame, power: float = POWER, share: float = SHARE, rounds: i
     rows = _labelled(docs)
     cells = rows.groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("w"))
     chances = raked_probabilities(written(cells), power, share, rounds)
-    chances = written(chances)
-    joined = rows.join(chances, MARGINS, "left").withColumn("probability", F.when(F.col("mix_tokens") > 0, F.col("probability")).otherwise(1.0))
-    return joined.where("mix_number < probability")
+    chances = written(chances.withColumnRenamed("probability", "mix_probability"))
+    joined = rows.join(chances, MARGINS, "left")
+    joined = joined.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.col("mix_probability")).otherwise(1.0))
+    return joined.where("mix_number < mix_probability")
 
 
 def oracle(power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> str:

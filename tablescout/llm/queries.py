@@ -95,7 +95,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sampled to smoothed source, language and topic margins."""
     taken = mixture.mixed(table(spark, sf_dir, "documents"))
     names = ("source", "lang", "topic")
-    return taken.select("doc_id", *(taken[f"mix_{n}"].alias(n) for n in names), taken.mix_tokens.cast("long").alias("tokens"), "probability")
+    return taken.select("doc_id", *(taken[f"mix_{n}"].alias(n) for n in names), taken.mix_tokens.cast("long").alias("tokens"), taken.mix_probability.alias("probability"))
 
 
 @query("pipeline")

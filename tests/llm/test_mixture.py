@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_same_rows_as_the_sql(spark):
     docs = frame(spark, ROWS, SCHEMA)
     names = {"mix_source": "source", "mix_lang": "lang", "mix_topic": "topic", "mix_tokens": "tokens"}
-    got = mixed(docs).select("doc_id", *MARGINS, "mix_tokens", "probability").collect()
+    got = mixed(docs).select("doc_id", *MARGINS, "mix_tokens", "mix_probability").collect()
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(ROWS, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64", "n_chars": "Int64"}))
     want = con.sql(oracle()).fetchall()
@@ -42,7 +42,7 @@ def test_margins_come_to_their_targets(spark):
 
 
 def test_rows_keep_their_columns(spark):
-    docs = frame(spark, [(1, "a b", "en", "s", "w", 1.5), (2, None, None, None, None, None)], "doc_id long, text string, lang string, source string, w string, total double")
+    docs = frame(spark, [(1, "a b", "en", "s", "w", 1.5), (2, None, None, None, None, None)], "doc_id long, text string, lang string, source string, w string, probability double")
     assert set(docs.columns) <= set(mixed(docs).columns)
     assert mixed(docs, share=1.0).select(docs.columns).count() == 2
     assert mixed(docs.limit(0)).collect() == []
