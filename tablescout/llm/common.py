@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablescout.session import shared_dir
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

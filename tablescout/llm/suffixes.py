@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +171,13 @@ def _window_rows(length: int):
     """Pass three: every window of the parts given, by its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        second = Rolling(2)
+        second, held = Rolling(2), []
+
+        def rows() -> pa.RecordBatch:
+            digit, body, key, start, many = map(np.concatenate, zip(*held))
+            held.clear()
+            return _rows(_WINDOWS, digit=digit, body=body, key=key, start=start, many=many)
+
         for part, texts in byte_batches(batches):
             columns = [part.column(n).to_pylist() for n in ("key", "digit", "start", "parts")]
             for key, digit, start, parts, text in zip(*columns, texts):
@@ -180,8 +187,11 @@ def _window_rows(length: int):
                         n = min(BATCH, p["start"] + p["windows"] - low)
                         buffer, at = whole[low - start : low - start + n + length - 1], np.arange(n)
                         body = second.of(second.prefix(buffer), at, at + length)
-                        yield _rows(_WINDOWS, digit=np.full(n, digit), body=body.view(np.int64), key=np.full(n, key),
-                                    start=at + low, many=np.full(n, p["many"]))
+                        held.append((np.full(n, digit), body.view(np.int64), np.full(n, key), at + low, np.full(n, p["many"])))
+                        if n >= BATCH // 8 or len(held) >= 2000:
+                            yield rows()
+        if held:
+            yield rows()
 
     return run
 
@@ -234,13 +244,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, bl
     return spans[0].union(spans[1]).union(spans[2])
 
 
-def _merged(spans: list[dict]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
+def _merged(lists: pa.ListArray) -> list[list[list[int]]]:
+    """For each list of spans the maximal runs they cover, in order; a text may have as many spans as bytes, so in numpy."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    spans = lists.flatten()
+    start, end = (pc.struct_field(spans, n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "end"))
+    out: list[list[list[int]]] = [[] for _ in range(len(lists))]
+    if not len(start):
+        return out
+    apart = int(end.max()) + 2
+    owner = np.repeat(np.arange(len(lists)), sizes) * apart
+    order = np.argsort(start + owner, kind="stable")
+    low, high = (start + owner)[order], np.maximum.accumulate((end + owner)[order])
+    first = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+    last = np.append(first[1:], len(low)) - 1
+    for i, s, e in zip((low[first] // apart).tolist(), (low[first] % apart).tolist(), (high[last] % apart).tolist()):
+        out[i].append([s, e])
     return out
 
 
@@ -262,10 +281,11 @@ def _whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``key`` and ``spans``, the list of repeated byte spans of its text (null: none)."""
-    keyed = docs.withColumn("key", doc_key())
-    spans = repeated_spans(keyed.select("key", "text"), length)
-    return keyed.join(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "key", "left")
+    """``docs`` with ``_spans``, the list of repeated byte spans of its text (null: none)."""
+    keyed = docs.withColumn("_key", doc_key())
+    spans = repeated_spans(keyed.select(F.col("_key").alias("key"), "text"), length)
+    spans = spans.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    return keyed.join(spans, "_key", "left").drop("_key")
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -278,7 +298,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_batches(batches):
-            spans = [_merged(s or []) for s in part.column("spans").to_pylist()]
+            spans = _merged(part.column("_spans"))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(map(len, texts), pa.int64()),
                 pa.array((sum(e - s for s, e in x) for x in spans), pa.int64()), pa.array(map(len, spans), pa.int64()),
@@ -286,7 +306,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans")
+    marked = with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "_spans")
     return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -300,10 +320,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_batches(batches):
             given, out = part.column("text"), []
-            for i, (text, spans) in enumerate(zip(texts, part.column("spans").to_pylist())):
-                whole = [_whole_characters(text, s, e) for s, e in _merged(spans or [])]
+            for i, (text, spans) in enumerate(zip(texts, _merged(part.column("_spans")))):
+                whole = [_whole_characters(text, s, e) for s, e in spans]
                 out.append(_kept(text, whole).decode() if given[i].is_valid else None)
             columns = [pa.array(out, pa.string()) if n == "text" else part.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_spans(docs, length).select(*names, "spans").mapInArrow(run, docs.schema)
+    return with_spans(docs, length).select(*names, "_spans").mapInArrow(run, docs.schema)
