@@ -206,7 +206,8 @@ def step_after_execution(exec_status: Column, retries: Column) -> Column:
 def route_audit(runs: DataFrame) -> DataFrame:
     """Expected next step at the three decision points against the step really taken.
 
-    ``*_taken`` is the step that follows (NULL if the run never got there); ``unchecked_rewrite``
+    ``*_taken`` is the step that follows (NULL if the run never got there). The last execution is held against the run's final status;
+    ``retries_ok`` holds every earlier one against its own: an error is followed by a rewrite as long as fewer than two were made. ``unchecked_rewrite``
     marks runs executing unsafe text, which the rules do not test again after a rewrite.
     """
     nodes = F.transform("steps", lambda s: F.split_part(s, F.lit(":"), F.lit(1)))
@@ -229,12 +230,24 @@ def route_audit(runs: DataFrame) -> DataFrame:
         following("execute_query", last=True).alias("after_exec_taken"),
     )
 
+    positions = F.sequence(F.lit(1), F.greatest(F.size("nodes"), F.lit(1)))
+    last = F.size("nodes") + 1 - F.array_position(F.reverse("nodes"), "execute_query")
+
+    def retried(i):
+        before = F.size(F.filter(F.slice("nodes", F.lit(1), i), lambda n: n == "fix_sql"))
+        status = F.split_part(F.try_element_at("steps", i), F.lit(":"), F.lit(2))
+        taken = F.coalesce(F.try_element_at("nodes", i + 1), F.lit(""))
+        early = F.coalesce(F.try_element_at("nodes", i) == "execute_query", F.lit(False)) & (i < last)
+        return ~early | (taken == step_after_execution(status, before))
+
+    out = out.withColumn("retries_ok", F.coalesce(F.forall(positions, retried), F.lit(True)))
+
     def agrees(point):
         taken = F.col(f"{point}_taken")
         return taken.isNull() | (taken == F.col(f"{point}_expected"))
 
     return out.select(
         "*",
-        (agrees("first") & agrees("after_sql") & agrees("after_exec")).alias("route_ok"),
+        (agrees("first") & agrees("after_sql") & agrees("after_exec") & F.col("retries_ok")).alias("route_ok"),
         (F.array_contains("nodes", "execute_query") & ~F.coalesce("is_safe", F.lit(True))).alias("unchecked_rewrite"),
     )

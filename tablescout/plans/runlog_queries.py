@@ -128,12 +128,16 @@ def derive_error(spark, d):
 SELECT case_id, category, sql_status, is_safe, exec_status, retry_count,
        unnest(steps) AS step, generate_subscripts(steps, 1) AS pos FROM run_log),
 seq AS (SELECT *, split_part(step, ':', 1) AS node,
-               lead(split_part(step, ':', 1)) OVER (PARTITION BY case_id ORDER BY pos) AS following FROM nodes),
+               lead(split_part(step, ':', 1)) OVER (PARTITION BY case_id ORDER BY pos) AS following,
+               count(*) FILTER (split_part(step, ':', 1) = 'fix_sql') OVER (PARTITION BY case_id ORDER BY pos) AS rewrites,
+               max(pos) FILTER (split_part(step, ':', 1) = 'execute_query') OVER (PARTITION BY case_id) AS last_run FROM nodes),
 taken AS (SELECT case_id, any_value(category) AS category, any_value(sql_status) AS sql_status, any_value(is_safe) AS is_safe,
        any_value(exec_status) AS exec_status, any_value(retry_count) AS retry_count,
        arg_min(following, pos) FILTER (node = 'classify_intent') AS first_taken,
        arg_min(following, pos) FILTER (node = 'generate_sql') AS after_sql_taken,
        arg_max(following, pos) FILTER (node = 'execute_query') AS after_exec_taken,
+       coalesce(bool_and(following = CASE WHEN split_part(step, ':', 2) = 'error' AND rewrites < 2 THEN 'fix_sql' ELSE 'format_response' END)
+         FILTER (node = 'execute_query' AND pos < last_run), true) AS retries_ok,
        bool_or(node = 'execute_query') AS executed FROM seq GROUP BY case_id),
 exp AS (SELECT *, CASE category WHEN 'navigation' THEN 'search_metadata' WHEN 'schema' THEN 'get_schema'
          WHEN 'script' THEN 'generate_sql' WHEN 'data' THEN 'generate_sql' WHEN 'unsafe' THEN 'unsafe_query'
@@ -142,12 +146,12 @@ exp AS (SELECT *, CASE category WHEN 'navigation' THEN 'search_metadata' WHEN 's
        CASE WHEN exec_status = 'error' AND retry_count < 2 THEN 'fix_sql' ELSE 'format_response' END AS after_exec_expected FROM taken)
 SELECT case_id, first_expected, first_taken, after_sql_expected, after_sql_taken, after_exec_expected, after_exec_taken,
        coalesce(first_taken = first_expected, true) AND coalesce(after_sql_taken = after_sql_expected, true)
-         AND coalesce(after_exec_taken = after_exec_expected, true) AS route_ok,
+         AND coalesce(after_exec_taken = after_exec_expected, true) AND retries_ok AS route_ok, retries_ok,
        executed AND NOT coalesce(is_safe, true) AS unchecked_rewrite
 FROM exp
 """)
 def route_audit(spark, d):
     return L.route_audit(view(spark, d, "run_log")).select(
         "case_id", "first_expected", "first_taken", "after_sql_expected", "after_sql_taken",
-        "after_exec_expected", "after_exec_taken", "route_ok", "unchecked_rewrite",
+        "after_exec_expected", "after_exec_taken", "route_ok", "retries_ok", "unchecked_rewrite",
     )

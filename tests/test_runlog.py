@@ -161,3 +161,15 @@ def test_route_audit_flags_wrong_turns(spark):
         run(3, steps=["classify_intent:data", "search_metadata"], is_safe=True),
     )
     assert rows(L.route_audit(df), "case_id", "route_ok", "unchecked_rewrite") == [(1, True, False), (2, False, True), (3, False, False)]
+
+
+def test_every_retry_is_held_against_its_own_status(spark):
+    start = ["classify_intent:data", "generate_sql:success"]
+    failed, fixed, done = "execute_query:error", "fix_sql:success", ["execute_query:success", "format_response"]
+    cases = [
+        ([*start, failed, fixed, *done], 1, True), ([*start, failed, *done], 0, False), ([*start, failed, fixed, failed, fixed, *done], 2, True),
+        ([*start, failed, fixed, failed, fixed, failed, fixed, *done], 3, False), ([*start, "execute_query:success", fixed, *done], 1, False),
+    ]
+    df = log(spark, *(run(i, steps=s, sql_status="success", is_safe=True, exec_status="success", retry_count=n) for i, (s, n, _) in enumerate(cases)))
+    got = {r.case_id: (r.retries_ok, r.route_ok) for r in L.route_audit(df).collect()}
+    assert [got[i] for i in sorted(got)] == [(ok, ok) for _, _, ok in cases]
