@@ -23,7 +23,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 4096
 GROUP = 768
 END = 2
-CACHED = 1_000_000
+CACHED = 300_000
 # A remainder's last tokens are a piece of their own, so that windows have small pieces to even them out.
 TAIL_FROM, TAIL_TO = 32, 512
 
