@@ -149,13 +149,13 @@ def identified(docs: DataFrame, held_out: str, rows: int = TRAIN_ROWS) -> DataFr
     """Language of every whole text of ``docs(doc_id, text, lang)``.
 
     ``held_out`` is an SQL condition over ``docs``; only other rows with a text and a language are learned from: their document
-    frequencies from all of them, the weights from at most ``rows``, those with the smallest hashes of their texts. Returns
+    frequencies from all of them, the weights from at most ``rows``, those with the smallest hashes of id and text. Returns
     ``doc_id, held_out, lang_pred, score``. ``lang_pred`` is ``und`` with score 0 for null texts, texts without
     a letter, and if there is nothing to learn from. ``lang`` is never read for a prediction. Repeated rows are learned from and judged each.
     """
     spark = docs.sparkSession
     held = docs.select("doc_id", "text", "lang", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    known = held.where("not held_out and text is not null and lang is not null").select("text", "lang")
+    known = held.where("not held_out and text is not null and lang is not null").select("doc_id", "text", "lang")
     counts = known.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found, total = counts.toArrow(), known.count()  # at most one row per slot
     frequency = np.zeros(1 << SLOT_BITS)
@@ -164,7 +164,9 @@ def identified(docs: DataFrame, held_out: str, rows: int = TRAIN_ROWS) -> DataFr
     languages = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sample = known.orderBy(F.xxhash64("text", "lang")).limit(rows)
+    place = F.xxhash64("doc_id", "text")
+    below = -(1 << 63) + min((1 << 64) - 1, rows * (1 << 64) // max(total, 1))  # hashes are even, so about ``rows`` lie below
+    sample = known.where(place <= below).orderBy(place).limit(rows).select("text", "lang")
     weights = _fit_in_a_task(sample, idf) if languages else None
     sent = spark.sparkContext.broadcast((idf, weights))
 
