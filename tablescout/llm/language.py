@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import byte_batches, mixed
+from tablescout.session import small_frame
 
 SLOT_BITS = 15
 ORDERS = (1, 2, 3)
@@ -24,12 +26,13 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Weights:
-    """Languages, slot weights with IDF in them (sparse rows are zero), biases and temperature."""
+    """Languages, slot weights with IDF in them (sparse rows are zero), biases, temperature, and logs of true over learned shares."""
 
     languages: list[str]
     slots: np.ndarray
     bias: np.ndarray
     temperature: float
+    prior: np.ndarray
 
 
 def slots_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +103,32 @@ def _normalised(owner: np.ndarray, slot: np.ndarray, count: np.ndarray, idf: np.
     return values / np.sqrt(np.maximum(np.bincount(owner, values**2, n), 1e-12))[owner]
 
 
-def fitted(texts: list[str], labels: list[str], idf: np.ndarray) -> Weights:
-    """Fit on texts in the given order; the last fifth is kept for the temperature."""
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many texts each language gives, ``rows`` in all: equal parts, and what small languages leave goes to the others."""
+    out, left = {}, rows
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def fitted(texts: list[str], labels: list[str], idf: np.ndarray, counts: dict[str, int]) -> Weights:
+    """Fit on texts in the given order; the last fifth of each language is kept for the temperature.
+
+    ``counts`` are the texts of each language in the whole table: the sample's shares are corrected to theirs.
+    """
     languages = sorted(set(labels))
     y = np.searchsorted(languages, labels)
-    cut = len(texts) - len(texts) // 5
+    sampled = np.bincount(y, minlength=len(languages))
+    place = np.zeros(len(y), np.int64)
+    for k in range(len(languages)):
+        place[y == k] = np.arange(sampled[k])
+    kept = place >= (sampled - sampled // 5)[y]
+    order = np.argsort(kept, kind="stable")
+    texts, y, cut = [texts[i] for i in order], y[order], int((~kept).sum())
+    true = np.array([counts[x] for x in languages], float)
+    weight = true / true.sum() / (sampled / sampled.sum())
+    prior = np.log(weight)
     model, bias = Follower(1 << SLOT_BITS, len(languages)), Follower(1, len(languages), l1=0)
     logits = []
     for turn in range(PASSES + 1):
@@ -125,12 +149,12 @@ def fitted(texts: list[str], labels: list[str], idf: np.ndarray) -> Weights:
             model.step(rows, x.T @ error)
             bias.step(np.array([0]), error.sum(0, keepdims=True))
     temperature = 1.0
-    if logits:
+    if cut < len(texts):
         held, target = np.concatenate(logits), y[cut:]
         tried = np.geomspace(0.05, 20, 121)
-        losses = [-np.log(np.maximum(_softmax(held / t)[np.arange(len(target)), target], 1e-12)).mean() for t in tried]
+        losses = [-np.average(np.log(np.maximum(_softmax(held / t + prior)[np.arange(len(target)), target], 1e-12)), weights=weight[target]) for t in tried]
         temperature = float(tried[int(np.argmin(losses))])
-    return Weights(languages, model.weights(slice(None)) * idf[:, None], bias.weights(slice(0, 1))[0], temperature)
+    return Weights(languages, model.weights(slice(None)) * idf[:, None], bias.weights(slice(0, 1))[0], temperature, prior)
 
 
 def predicted(texts: list[str], weights: Weights, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +164,7 @@ def predicted(texts: list[str], weights: Weights, idf: np.ndarray) -> tuple[np.n
     used = weights.slots.any(1)[slot]
     owner, slot, count = owner[used], slot[used], count[used]
     logit = np.stack([np.bincount(owner, count * weights.slots[slot, k], len(texts)) for k in range(len(weights.languages))], 1)
-    p = _softmax((logit / length[:, None] + weights.bias) / weights.temperature)
+    p = _softmax((logit / length[:, None] + weights.bias) / weights.temperature + weights.prior)
     best = p.argmax(1)
     return best, p[np.arange(len(p)), best]
 
@@ -149,7 +173,8 @@ def identified(docs: DataFrame, held_out: str, rows: int = TRAIN_ROWS) -> DataFr
     """Language of every whole text of ``docs(doc_id, text, lang)``.
 
     ``held_out`` is an SQL condition over ``docs``; only other rows with a text and a language are learned from: their document
-    frequencies from all of them, the weights from at most ``rows``, those with the smallest hashes of id and text. Returns
+    frequencies and the shares of the languages from all of them, the weights from at most ``rows`` (one for each language at least). Every language gives
+    as many texts, or all it has, those with the smallest hashes of id and text; the true shares come in as priors. Returns
     ``doc_id, held_out, lang_pred, score``. ``lang_pred`` is ``und`` with score 0 for null texts, texts without
     a letter, and if there is nothing to learn from. ``lang`` is never read for a prediction. Repeated rows are learned from and judged each.
     """
@@ -161,13 +186,17 @@ def identified(docs: DataFrame, held_out: str, rows: int = TRAIN_ROWS) -> DataFr
     frequency = np.zeros(1 << SLOT_BITS)
     frequency[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((total + 1) / (frequency + 1)) + 1
-    languages = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    languages = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     place = F.xxhash64("doc_id", "text")
-    below = -(1 << 63) + min((1 << 64) - 1, rows * (1 << 64) // max(total, 1))  # hashes are even, so about ``rows`` lie below
-    sample = known.where(place <= below).orderBy(place).limit(rows).select("text", "lang")
-    weights = _fit_in_a_task(sample, idf) if languages else None
+    # hashes are even: enough lie below a bound for each language, of which its quota is taken
+    shares = [(lang, n, -(1 << 63) + min((1 << 64) - 1, (n + 6 * math.isqrt(n) + 10) * (1 << 64) // languages[lang])) for lang, n in quotas(languages, rows).items()]
+    bounds = F.broadcast(small_frame(spark, shares, "lang string, quota long, below long"))
+    sample = known.withColumn("place", place).join(bounds, "lang").where("place <= below")
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    sample = sample.withColumn("number", number).where("number <= quota").orderBy("place", "text").select("text", "lang")
+    weights = _fit_in_a_task(sample, idf, languages) if languages else None
     sent = spark.sparkContext.broadcast((idf, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +217,7 @@ def identified(docs: DataFrame, held_out: str, rows: int = TRAIN_ROWS) -> DataFr
     return read.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def _fit_in_a_task(sample: DataFrame, idf: np.ndarray) -> tuple:
+def _fit_in_a_task(sample: DataFrame, idf: np.ndarray, counts: dict[str, int]) -> tuple:
     """Weights as plain values, fitted by one task to the bounded sample."""
     sent = sample.sparkSession.sparkContext.broadcast(idf)
 
@@ -197,10 +226,10 @@ def _fit_in_a_task(sample: DataFrame, idf: np.ndarray) -> tuple:
         for b in batches:
             texts += b.column("text").to_pylist()
             labels += b.column("lang").to_pylist()
-        w = fitted(texts, labels, sent.value)
-        yield pa.RecordBatch.from_arrays([pa.array([w.languages]), pa.array([w.slots.tobytes()]), pa.array([w.bias.tobytes()]), pa.array([w.temperature])],
-                                         names=["languages", "slots", "bias", "temperature"])
+        w = fitted(texts, labels, sent.value, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([w.languages]), pa.array([w.slots.tobytes()]), pa.array([w.bias.tobytes()]), pa.array([w.temperature]),
+                                          pa.array([w.prior.tobytes()])], names=["languages", "slots", "bias", "temperature", "prior"])
 
-    row = sample.coalesce(1).mapInArrow(run, "languages array<string>, slots binary, bias binary, temperature double").first()
+    row = sample.coalesce(1).mapInArrow(run, "languages array<string>, slots binary, bias binary, temperature double, prior binary").first()
     slots = np.frombuffer(row.slots).reshape(1 << SLOT_BITS, -1)
-    return row.languages, slots, np.frombuffer(row.bias), row.temperature
+    return row.languages, slots, np.frombuffer(row.bias), row.temperature, np.frombuffer(row.prior)

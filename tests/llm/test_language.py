@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from brute import frame
 
-from tablescout.llm.language import SLOT_BITS, Follower, identified, slots_of
+from tablescout.llm.language import SLOT_BITS, Follower, identified, quotas, slots_of
 
 HELD = "crc32(cast(doc_id AS string)) % 3 = 1"
 
@@ -64,3 +64,17 @@ def test_follower_finds_sparse_weights():
     w = model.weights(slice(None))[:, 0]
     assert w[0] > 0.5 and w[1] < -0.2 and w[0] == pytest.approx(-2 * w[1], rel=0.4)
     assert np.abs(w[2:]).max() < 0.2 * abs(w[1])
+
+
+def test_rare_language_is_learned(spark):
+    few = "ez da hau etxe bat baina gizon handia dago han eta hemen"
+    rows = [(i, f"the house of that man is big and this one stands here {i % 97}", "en") for i in range(3000)]
+    rows += [(5000 + i, f"{few} {i}", "eu") for i in range(12)] + [(6000 + i, few[i:], None) for i in range(0, 30, 3)]
+    got = identified(frame(spark, rows, "doc_id long, text string, lang string"), "doc_id >= 6000", rows=40).collect()
+    assert {r.lang_pred for r in got if r.doc_id >= 6000} == {"eu"}
+    assert {r.lang_pred for r in got if r.doc_id < 3000} == {"en"}
+
+
+def test_quotas():
+    assert quotas({"a": 5, "b": 1000, "c": 1000}, 101) == {"a": 5, "b": 48, "c": 48}
+    assert quotas({"a": 10, "b": 10}, 1) == {"a": 1, "b": 1} and quotas({}, 9) == {}
