@@ -170,7 +170,7 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group: int
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: the piece holds ids ``start`` to
     ``start + length`` of its document and lies at ``offset`` of its sequence. Full sequences are cut off
-    each document first, and a short tail off the remainder; the pieces are dealt by a hash into groups with about ``group`` remainders, and each group
+    each document first, and a short tail off the remainder; the pieces are dealt by a hash (of their row too where id and text are repeated) into groups with about ``group`` remainders, and each group
     is packed by differencing. Only lengths are shuffled, from a written table, so the groups are the same if a task
     runs again. Null texts count as empty and give a piece with the end id.
     Null ids are kept; repeated rows are packed each.
@@ -194,7 +194,10 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group: int
 
     cut = written(pieces(docs, tokenizer, sequence))
     bins = max(1, round(cut.where("start = 0").count() / group))
-    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "doc_tokens", "place", "start")
+    same = ["doc_id", "doc_tokens", "place", "start"]
+    repeated = cut.groupBy(*same).count().where("count > 1 and doc_id is not null").select(*same, F.lit(True).alias("repeated"))
+    dealt = cut.withColumn("row", F.monotonically_increasing_id()).join(repeated, same, "left")
+    spread = F.xxhash64(F.coalesce("doc_id", "row"), "doc_tokens", "place", "start", F.when(F.col("repeated"), F.col("row")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return cut.withColumn("bin", F.pmod(spread, F.lit(bins))).groupBy("bin").applyInArrow(fill, schema)
+    return dealt.select(*cut.columns, F.pmod(spread, F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(fill, schema)

@@ -79,3 +79,10 @@ def test_differencing_by_hand():
 def test_windows_rise_until_all_fit():
     assert sorted(map(sorted, windows([3000, 3000, 3000], 4096))) == [[0], [1], [2]]
     assert windows([], 4096) == []
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    docs = frame(spark, [(1, prose(5, 30))] * 400)
+    got = packed(docs, PATH, group=40).collect()
+    groups = {r.sequence_id >> 32 for r in got}
+    assert len(got) >= 400 and sum(r.length for r in got) == 400 * got[0].doc_tokens and len(groups) >= 8
