@@ -36,29 +36,28 @@ def raked_probabilities(cells: DataFrame, power: float = POWER, share: float = S
 
     The target of a value is its token share to the ``power``, normalised over the margin. Weights are scaled to the targets of
     one margin after another, ``rounds`` times over. Probabilities are proportional to raked over given weight; those that would pass 1 stay at 1 and
-    the others rise, ``FILLS`` times, until ``share`` of all tokens is expected.
+    the others rise, ``FILLS`` times, until ``share`` of all tokens is expected. Totals are aggregates, windows only go over the values of a margin.
     """
-    everything = Window.partitionBy("all")
-    cells = cells.where("w > 0").withColumn("all", F.lit(0))
-    cells = cells.withColumn("total", F.sum("w").over(everything)).withColumn("raked", F.col("w"))
+    cells = cells.where("w > 0")
+    total = cells.agg(F.sum("w")).first()[0] or 0.0
+    cells = cells.withColumn("raked", F.col("w"))
     for m in MARGINS:
-        part = F.sum("w").over(Window.partitionBy(m))
-        # each value counts once: its cells share it in proportion to their weight
-        cells = cells.withColumn("p", F.pow(part, F.lit(power))).withColumn("q", F.col("p") * F.col("w") / part)
-        cells = cells.withColumn(f"to_{m}", F.col("p") / F.sum("q").over(everything) * F.col("total"))
-    cells = written(cells.drop("p", "q"))
+        part = F.pow(F.sum("w"), F.lit(power)).alias("part")
+        whole = cells.groupBy(m).agg(part).agg(F.sum("part")).first()[0] or 1.0
+        cells = cells.withColumn(f"to_{m}", F.pow(F.sum("w").over(Window.partitionBy(m)), F.lit(power)) / F.lit(whole) * F.lit(total))
+    cells = written(cells)
     for _ in range(rounds):
         for m in MARGINS:
             now = F.sum("raked").over(Window.partitionBy(m))
             cells = cells.withColumn("raked", F.col("raked") * F.col(f"to_{m}") / now)
-    cells = written(cells.select(*MARGINS, "w", "total", "all", (F.col("raked") / F.col("w")).alias("r"))).withColumn("s", F.lit(share) * 1.0)
+    cells = written(cells.select(*MARGINS, "w", (F.col("raked") / F.col("w")).alias("r")))
+    s = float(share)
     for _ in range(FILLS):
-        full = F.col("s") * F.col("r") >= 1
-        left = F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("r"))).over(everything)
-        taken = F.sum(F.when(full, F.col("w")).otherwise(0.0)).over(everything)
-        cells = cells.withColumn("next", F.when(left > 0, (F.lit(share) * F.col("total") - taken) / left).otherwise(F.col("s")))
-        cells = cells.withColumn("s", F.greatest("s", "next")).drop("next")
-    return cells.select(*MARGINS, F.round(F.least(F.lit(1.0), F.col("s") * F.col("r")), 9).alias("probability"))
+        full = F.lit(s) * F.col("r") >= 1
+        left, taken = cells.agg(F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("r"))), F.sum(F.when(full, F.col("w")).otherwise(0.0))).first()
+        if left:
+            s = max(s, (share * total - taken) / left)
+    return cells.select(*MARGINS, F.round(F.least(F.lit(1.0), F.lit(s) * F.col("r")), 9).alias("probability"))
 
 
 def mixed(docs: DataFrame, power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:

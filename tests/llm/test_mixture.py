@@ -46,3 +46,9 @@ def test_rows_keep_their_columns(spark):
     assert set(docs.columns) <= set(mixed(docs).columns)
     assert mixed(docs, share=1.0).select(docs.columns).count() == 2
     assert mixed(docs.limit(0)).collect() == []
+
+
+def test_no_window_over_all_cells(spark):
+    cells = frame(spark, [("a", "b", "c", 2.0), ("a", "d", "c", 1.0)], "mix_source string, mix_lang string, mix_topic string, w double")
+    plan = raked_probabilities(cells)._jdf.queryExecution().toString()
+    assert "Window" not in plan
