@@ -32,11 +32,12 @@ MARGINS = ["mix_source", "mix_lang", "mix_topic"]
 
 
 def raked_probabilities(cells: DataFrame, power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """Probability per cell of ``cells(mix_source, mix_lang, mix_topic, w)`` that brings the margins to their targets.
+    """Probability per cell of ``cells(mix_source, mix_lang, mix_topic, w)`` that brings the margins to their targets, or towards them.
 
     The target of a value is its token share to the ``power``, normalised over the margin. Weights are scaled to the targets of
     one margin after another, ``rounds`` times over. Probabilities are proportional to raked over given weight; those that would pass 1 stay at 1 and
-    the others rise, ``FILLS`` times, until ``share`` of all tokens is expected. Totals are aggregates, windows only go over the values of a margin.
+    the others rise, ``FILLS`` times, until ``share`` of all tokens is expected. The margins reach their targets only up to a share of one over the largest raked
+    over given weight; beyond it the share comes first, and ``margins`` tells what is reached. Totals are aggregates, windows only go over the values of a margin.
     """
     cells = cells.where("w > 0")
     total = cells.agg(F.sum("w")).first()[0] or 0.0
@@ -60,8 +61,23 @@ def raked_probabilities(cells: DataFrame, power: float = POWER, share: float = S
     return cells.select(*MARGINS, F.round(F.least(F.lit(1.0), F.lit(s) * F.col("r")), 9).alias("probability"))
 
 
+def margins(docs: DataFrame, power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """Token shares of every value: ``margin, value, given, target, reached``, the last as expected of ``mixed`` with the same arguments."""
+    cells = written(_labelled(docs).groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("w")))
+    cells = written(cells.join(raked_probabilities(cells, power, share, rounds), MARGINS))
+    total, kept = cells.agg(F.sum("w"), F.sum(F.col("w") * F.col("probability"))).first()
+    out = None
+    for m in MARGINS:
+        values = cells.groupBy(F.col(m).alias("value")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("probability")).alias("kept"))
+        whole = values.agg(F.sum(F.pow("w", F.lit(power)))).first()[0]
+        part = values.select(F.lit(m.removeprefix("mix_")).alias("margin"), "value", (F.col("w") / F.lit(total)).alias("given"),
+                             (F.pow("w", F.lit(power)) / F.lit(whole)).alias("target"), (F.col("kept") / F.lit(kept)).alias("reached"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def mixed(docs: DataFrame, power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of ``docs`` sampled so that source, language and topic margins come to their targets; columns
+    """Rows of ``docs`` sampled so that source, language and topic margins come to their targets, or as near as ``share`` lets them (``margins``); columns
     ``mix_source``, ``mix_lang``, ``mix_topic``, ``mix_tokens``, ``mix_number`` and ``mix_probability`` are added.
 
     ``docs`` needs ``doc_id, text, lang, source``. Tokens are words; the topic is a form of text (table, dialogue, or by length). Null sources and languages

@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 from brute import frame, prose
 
-from tablescout.llm.mixture import MARGINS, mixed, oracle, raked_probabilities
+from tablescout.llm.mixture import MARGINS, SHARE, margins, mixed, oracle, raked_probabilities
 
 ROWS = [(i, prose(i, 5 + i % 90), ["en", "de", None][i % 3] if i % 7 else "en", ["a", "b", "c", None][min(3, i % 9)], i) for i in range(400)]
 ROWS += [(7, prose(7, 30), "en", "a", 1), (7, prose(7, 30), "en", "a", 1), (None, "one two", "fr", "a", 2), (None, None, None, None, None), (900, None, "en", "a", 0), (901, "", "xx", "z", 0)]
@@ -48,6 +48,25 @@ def test_rows_keep_their_columns(spark):
     assert mixed(docs.limit(0)).collect() == []
 
 
+def test_reached_margins_at_the_registered_share(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {(r.margin, r.value): r for r in margins(docs).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    # every text's expected tokens, from the rows' probabilities in SQL, whether taken or not
+    everything = oracle().replace("WHERE u < probability", "")
+    for m, key in (("source", "source"), ("lang", "lang"), ("topic", "topic")):
+        rows = con.sql(f"SELECT {key}, sum(tokens), sum(tokens * probability) FROM ({everything}) GROUP BY 1 HAVING sum(tokens) > 0").fetchall()
+        given, kept, powers = sum(r[1] for r in rows), sum(r[2] for r in rows), sum(r[1] ** 0.7 for r in rows)
+        assert abs(kept / given - SHARE) < 1e-6
+        for value, w, k in rows:
+            r = got.pop((m, value))
+            assert abs(r.given - w / given) + abs(r.target - w**0.7 / powers) + abs(r.reached - k / kept) < 1e-6
+    assert not got
+    held = {(r.margin, r.value): r for r in margins(docs, share=0.02).collect()}
+    assert all(abs(r.reached - r.target) < 2e-3 for r in held.values())
+
+
 def test_no_window_over_all_cells(spark):
     cells = frame(spark, [("a", "b", "c", 2.0), ("a", "d", "c", 1.0)], "mix_source string, mix_lang string, mix_topic string, w double")
     plan = raked_probabilities(cells)._jdf.queryExecution().toString()
