@@ -5,10 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent.parent))
 
-from tablescout.session import get_session  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
+from helpers import SMALL  # noqa: E402
 
+from tablescout.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,7 +23,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SMALL
-
-
-def rows(df, *columns):
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tablescout.operators import profile as P
 from tablescout.sources import catalog as C

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tablescout.operators.reads import bounded_read, scalar_read
 

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tablescout.plans import QUERIES

@@ -2,7 +2,7 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tablescout.plans.derived import over, view
