@@ -9,6 +9,7 @@ from helpers import SMALL  # noqa: E402
 
 from tablescout.session import get_session  # noqa: E402
 
+
 @pytest.fixture(scope="session")
 def spark():
     session = get_session(
