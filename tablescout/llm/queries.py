@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tablescout.llm import chat, language, licenses, lm, mixture, packing, quality, simhash, suffixes, vectors
+from tablescout.llm import chat, divergence, language, licenses, lm, mixture, packing, quality, repair, simhash, suffixes, toxicity, vectors
 from tablescout.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % {} = {}"
@@ -98,6 +98,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", *(taken[f"mix_{n}"].alias(n) for n in names), taken.mix_tokens.cast("long").alias("tokens"), taken.mix_probability.alias("probability"))
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores by the nearest labelled documents; one in three is held out."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), HELD_OUT.format(3, 1))
+
+
+@query("op12_divergence", divergence.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that mark each source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` one after another."""
