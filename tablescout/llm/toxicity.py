@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.common import byte_batches, written
 
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 6_000
 TERMS = 1 << 15
 MIN_EXAMPLES = 3
 CHI_SQUARE = 15.0
@@ -53,6 +53,11 @@ def terms_of(text: bytes) -> dict[bytes, int]:
     return counts | more
 
 
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``begin`` to ``begin + size`` of every pair, one after another."""
+    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Index:
     """Block-max inverted index over the unit vectors of the examples."""
 
@@ -79,39 +84,36 @@ class Index:
         Cosines are rounded to ``DIGITS`` digits, and so are bounds, so that blocks of equal bounds can be left by their numbers.
         ``without`` are example numbers to pass over.
         """
-        spans = [np.arange(self.entries[t], self.entries[t + 1]) for t in terms]
-        sizes = [len(s) for s in spans]
-        if not sum(sizes):
+        sizes = self.entries[terms + 1] - self.entries[terms]
+        if not sizes.sum():
             return np.zeros(0, np.int64), np.zeros(0)
-        entry, factor = np.concatenate(spans), np.repeat(weights, sizes)
-        blocks, at = np.unique(self.where[entry], return_inverse=True)
-        bound = np.round(np.bincount(at, factor * self.most[entry]) + 10.0 ** -DIGITS / 100, DIGITS)
-        ranked = np.argsort(-bound, kind="stable")
-        place = np.empty(len(blocks), np.int64)
-        place[ranked] = np.arange(len(blocks))
-        by_place = np.argsort(place[at], kind="stable")
-        entry, factor, at = entry[by_place], factor[by_place], place[at][by_place]
-        starts = np.searchsorted(at, np.arange(len(blocks) + 1))
+        entry, factor = _ranges(self.entries[terms], sizes), np.repeat(weights, sizes)
+        where = self.where[entry]
+        bound = np.round(np.bincount(where, factor * self.most[entry]) + 10.0 ** -DIGITS / 100, DIGITS)
+        ranked = np.argsort(-bound, kind="stable")  # of equal bounds the smallest number comes first
+        ranked = ranked[: np.count_nonzero(bound > 10.0 ** -DIGITS / 2)]
         numbers, cosines = np.zeros(0, np.int64), np.zeros(0)
-        low, few = 0, 1
-        while low < len(blocks):
-            ahead = ranked[low]  # of equal bounds the smallest number comes first
-            if len(cosines) >= k and (bound[ahead], -blocks[ahead] * self.block) < (cosines[k - 1], -numbers[k - 1]):
+        low, few, chosen = 0, 4, np.zeros(len(bound), bool)
+        while low < len(ranked):
+            ahead = ranked[low]
+            if len(cosines) >= k and (bound[ahead], -ahead * self.block) < (cosines[k - 1], -numbers[k - 1]):
                 break
-            high = min(low + few, len(blocks))
-            part = slice(starts[low], starts[high])
-            counts = self.end[entry[part]] - self.begin[entry[part]]
-            post = np.repeat(self.begin[entry[part]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            found, of = np.unique(self.owner[post], return_inverse=True)
-            cos = np.round(np.bincount(of, np.repeat(factor[part], counts) * self.weight[post]), DIGITS)
+            now = ranked[low : low + few]
+            chosen[:] = False
+            chosen[now] = True
+            mine = chosen[where]
+            some = entry[mine]
+            counts = self.end[some] - self.begin[some]
+            post = _ranges(self.begin[some], counts)
+            cos = np.round(np.bincount(self.owner[post], np.repeat(factor[mine], counts) * self.weight[post]), DIGITS)
             if without is not None:
-                stay = ~np.isin(found, without)
-                found, cos = found[stay], cos[stay]
-            numbers, cosines = np.concatenate((numbers, found)), np.concatenate((cosines, cos))
+                cos[without[without < len(cos)]] = 0
+            found = np.flatnonzero(cos)
+            numbers, cosines = np.concatenate((numbers, found)), np.concatenate((cosines, cos[found]))
             best = np.lexsort((numbers, -cosines))[:k]
             numbers, cosines = numbers[best], cosines[best]
-            self.looked += high - low
-            low, few = high, min(2 * few, 64)
+            self.looked += len(now)
+            low, few = low + few, min(2 * few, 64)
         return numbers, cosines
 
 
