@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import written
+from tablescout.llm.common import free_name, written
 
 ROUNDS = 8
 FILLS = 6
@@ -29,6 +29,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 
 MARGINS = ["mix_source", "mix_lang", "mix_topic"]
+ADDED = [*MARGINS, "mix_tokens", "mix_number", "mix_probability"]
 
 
 def raked_probabilities(cells: DataFrame, power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
@@ -82,15 +83,18 @@ def mixed(docs: DataFrame, power: float = POWER, share: float = SHARE, rounds: i
 
     ``docs`` needs ``doc_id, text, lang, source``. Tokens are words; the topic is a form of text (table, dialogue, or by length). Null sources and languages
     are values of their own. A row is taken if a number hashed from its id (its text where the id is null) is below the probability of its cell, so
-    every run takes the same rows and repeated rows go together. Texts without a word weigh nothing and are always taken.
+    every run takes the same rows and repeated rows go together. Texts without a word weigh nothing and are always taken. Columns of ``docs`` that are called like an added
+    one are kept as they are, and that one is not added.
     """
-    rows = _labelled(docs)
+    own = {c: free_name(docs, f"{c}_") for c in docs.columns if c in ADDED}
+    rows = _labelled(docs.withColumnsRenamed(own))
     cells = rows.groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("w"))
     chances = raked_probabilities(written(cells), power, share, rounds)
     chances = written(chances.withColumnRenamed("probability", "mix_probability"))
     joined = rows.join(chances, MARGINS, "left")
     joined = joined.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.col("mix_probability")).otherwise(1.0))
-    return joined.where("mix_number < mix_probability")
+    taken = joined.where("mix_number < mix_probability")
+    return taken.select(*(taken[own.get(c, c)].alias(c) for c in docs.columns), *(c for c in ADDED if c not in own))
 
 
 def oracle(power: float = POWER, share: float = SHARE, rounds: int = ROUNDS) -> str:

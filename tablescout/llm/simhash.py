@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import byte_batches, doc_key, word_spans, written
+from tablescout.llm.common import byte_batches, doc_key, free_name, word_spans, written
 from tablescout.llm.components import connected_components
 
 SEED = 42
@@ -125,5 +125,7 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """
     prints, roots = _grouped(docs, width, radius)
     first = prints.groupBy("simhash").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"))
-    kept = first.join(roots, "simhash").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    return docs.withColumn("_key", doc_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    kept = first.join(roots, "simhash").groupBy("root").agg(F.min("first").alias("first"))
+    key = free_name(docs, "_key")
+    kept = kept.select(F.col("first.key").alias(key))
+    return docs.withColumn(key, doc_key()).join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)

@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import Rolling, byte_batches, doc_key, mixed, removed, written
+from tablescout.llm.common import Rolling, byte_batches, doc_key, free_name, mixed, removed, word_spans, written
 
 LENGTH = 400
 DIGIT = 200
 BLOCK = 16
 BATCH = 1 << 20
+PASSAGE = 50
+WORD_BYTES = 4
 
 _RUNS = "key long, digit long, body long, start long, windows long, again boolean"
 _TEXTS = "key long, digit long, start long, windows long, many boolean, periodic boolean, text binary"
@@ -280,12 +282,18 @@ def _whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``_spans``, the list of repeated byte spans of its text (null: none)."""
-    keyed = docs.withColumn("_key", doc_key())
-    spans = repeated_spans(keyed.select(F.col("_key").alias("key"), "text"), length)
-    spans = spans.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return keyed.join(spans, "_key", "left").drop("_key")
+def with_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, str]:
+    """``docs`` with the list of repeated byte spans of its text (null: none) in one more column, and that column's name."""
+    return _with_spans(docs, lambda keyed: repeated_spans(keyed, length))
+
+
+def _with_spans(docs: DataFrame, spans_of) -> tuple[DataFrame, str]:
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, doc_key())
+    column = free_name(keyed, "_spans")
+    spans = spans_of(keyed.select(F.col(key).alias("key"), "text"))
+    spans = spans.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(column))
+    return keyed.join(spans, key, "left").drop(key), column
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -298,7 +306,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_batches(batches):
-            spans = _merged(part.column("_spans"))
+            spans = _merged(part.column("spans"))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(map(len, texts), pa.int64()),
                 pa.array((sum(e - s for s, e in x) for x in spans), pa.int64()), pa.array(map(len, spans), pa.int64()),
@@ -306,7 +314,8 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "_spans")
+    marked, column = with_spans(docs.select("doc_id", "text"), length)
+    marked = marked.select("doc_id", "text", F.col(column).alias("spans"))
     return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -315,15 +324,62 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character that lies only partly in a removed span stays. Null texts stay null.
     """
+    def whole(texts: list[bytes], lists: list[list[list[int]]]) -> list[list[tuple[int, int]]]:
+        return [[_whole_characters(t, s, e) for s, e in spans] for t, spans in zip(texts, lists)]
+
+    return _cut(docs, *with_spans(docs, length), whole)
+
+
+def _cut(docs: DataFrame, marked: DataFrame, column: str, spans_of) -> DataFrame:
+    """``docs`` without the byte spans that ``spans_of`` makes of the texts and the merged lists in ``column``."""
     names = docs.columns
+    at = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_batches(batches):
-            given, out = part.column("text"), []
-            for i, (text, spans) in enumerate(zip(texts, _merged(part.column("_spans")))):
-                whole = [_whole_characters(text, s, e) for s, e in spans]
-                out.append(_kept(text, whole).decode() if given[i].is_valid else None)
-            columns = [pa.array(out, pa.string()) if n == "text" else part.column(n) for n in names]
+            given, lists = part.column(part.schema.get_field_index("text")), _merged(part.column(at))
+            out = [_kept(t, s).decode() if g.is_valid else None for g, t, s in zip(given, texts, spans_of(texts, lists))]
+            columns = [pa.array(out, pa.string()) if n == "text" else c for n, c in zip(names, part.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_spans(docs, length).select(*names, "_spans").mapInArrow(run, docs.schema)
+    return marked.select(*names, column).mapInArrow(run, docs.schema)
+
+
+def _word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as binary: ``WORD_BYTES`` bytes of a hash for each word."""
+    rolling = Rolling(3)
+    for part, texts in byte_batches(batches):
+        joined, starts, ends, owner = word_spans(texts)
+        sums = rolling.prefix(np.frombuffer(joined, np.uint8))
+        words = (rolling.of(sums, starts, ends) >> np.uint64(64 - 8 * WORD_BYTES)).astype("<u4")
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("key"), pa.array([words[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["key", "text"])
+
+
+def without_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """``docs`` without passages of ``words`` or more words that occur anywhere else as well, word for word; other columns as they are.
+
+    The radix passes run over texts of ``WORD_BYTES``-byte hashes of words, so a window is ``words`` hashes long and neither white space nor
+    the length of words matters. Every word of a repeated window is cut, in all places, with the white space between them; overlaps
+    count, and windows are judged on the texts as given. Passages never cross rows; they may repeat within one. Words are
+    ``[^\\x20\\x09-\\x0D]+``, compared with their case. Null texts stay null, empty ones empty; rows equal in id and text are copies
+    of each other like any others. An empty table stays empty. Texts are read whole, in one task each.
+    """
+    length = words * WORD_BYTES
+
+    def spans_of(keyed: DataFrame) -> DataFrame:
+        hashed = written(keyed.mapInArrow(_word_texts, "key long, text binary"))
+        return repeated_spans(hashed, length, length // 2, min(BLOCK, length // 6))
+
+    def whole(texts: list[bytes], lists: list[list[list[int]]]) -> list[list[tuple[int, int]]]:
+        _, starts, ends, owner = word_spans(texts)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        first = np.searchsorted(owner, np.arange(len(texts)))
+        out = []
+        for i, spans in enumerate(lists):
+            rounded = ((first[i] - (-s // WORD_BYTES), first[i] + e // WORD_BYTES - 1) for s, e in spans)
+            out.append([(int(starts[a] - offsets[i]), int(ends[b] - offsets[i])) for a, b in rounded])
+        return out
+
+    return _cut(docs, *_with_spans(docs, spans_of), whole)

@@ -71,3 +71,13 @@ def test_no_window_over_all_cells(spark):
     cells = frame(spark, [("a", "b", "c", 2.0), ("a", "d", "c", 1.0)], "mix_source string, mix_lang string, mix_topic string, w double")
     plan = raked_probabilities(cells)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_columns_called_like_added_ones(spark):
+    rows = [(i, "word " * (i % 9), "en", f"s{i % 3}", -i) for i in range(60)]
+    df = frame(spark, rows, "doc_id long, text string, lang string, source string, mix_tokens long")
+    plain = mixed(df.drop("mix_tokens"))
+    got = mixed(df)
+    assert {r.doc_id: r.mix_tokens for r in got.collect()} == {r.doc_id: -r.doc_id for r in plain.collect()}
+    assert sorted(got.columns) == sorted(plain.columns)
+    assert mixed(df.limit(0)).collect() == []

@@ -83,3 +83,9 @@ def test_one_row_of_each_group_stays_as_it_is(spark):
     got = sorted((tuple(r) for r in one_of_each(docs).collect()), key=repr)
     assert got == sorted([rows[1], rows[3], *rows[5:]], key=repr)
     assert one_of_each(docs.limit(0)).collect() == []
+
+
+def test_a_column_called_like_the_key(spark):
+    df = frame(spark, [(1, "a b c", "x"), (2, "a b c", "y"), (3, "d", None)], "doc_id long, text string, _key string")
+    assert sorted(map(tuple, one_of_each(df).collect())) == [(1, "a b c", "x"), (3, "d", None)]
+    assert one_of_each(df.limit(0)).collect() == []

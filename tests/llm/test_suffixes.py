@@ -2,8 +2,9 @@ import hashlib
 from collections import defaultdict
 
 import pytest
-from brute import GOLDEN, frame, prose
+from brute import GOLDEN, WORD, frame, prose
 
+from tablescout.llm import suffixes
 from tablescout.llm.suffixes import repeat_report, without_repeats
 
 
@@ -74,3 +75,52 @@ def test_cut_texts_keep_columns_and_whole_characters(spark):
     docs = frame(spark, rows, "doc_id long, text string, key string, spans int")
     got = sorted(tuple(r) for r in without_repeats(docs).collect())
     assert got == [(1, "aab", "k", 3), (2, "xcc", None, None), (3, None, "n", 1)]
+
+
+def without_passages(texts, n=50):
+    """Windows of n words of all texts counted one by one; words in repeated ones go, with the space between them."""
+    words = {i: list(WORD.finditer(t)) for i, t in texts.items()}
+    places = defaultdict(int)
+    for found in words.values():
+        for p in range(len(found) - n + 1):
+            places[tuple(w.group() for w in found[p : p + n])] += 1
+    out = {}
+    for i, t in texts.items():
+        found, gone = words[i], set()
+        for p in range(len(found) - n + 1):
+            if places[tuple(w.group() for w in found[p : p + n])] > 1:
+                gone.update(range(p, p + n))
+        cut, kept, at = sorted(gone), [], 0
+        for k in cut:
+            if k - 1 not in gone:
+                kept.append(t[at : found[k].start()])
+            at = found[k].end()
+        out[i] = "".join(kept) + t[at:]
+    return out
+
+
+@pytest.mark.parametrize("words", [50, 24, 131])
+def test_every_passage_of_every_text(spark, words):
+    parts = [prose(100 + i, k).split() for i, k in enumerate((23, 24, 49, 50, 51, 55, 60, 70, 131, 400))]
+    texts = {i: prose(i, 20 + i).replace(" ", " \n" if i % 2 else "  ") + " " + " ".join(parts[i % 10]) + " " + prose(300 + i, i) for i in range(40)}
+    texts |= {50: "x " * 49, 51: "y " * 50, 52: "z " * 51, 53: "", 54: " \t", 55: "ab ba " * 200, 56: GOLDEN * 12, 57: "é" * 90 + " " + " ".join(parts[6])}
+    df = frame(spark, [(i, t, "k", 7, "s") for i, t in texts.items()], "doc_id long, text string, _key string, _spans int, key string")
+    got = suffixes.without_passages(df, words)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == without_passages(texts, words)
+    assert {(r._key, r._spans, r.key) for r in got.collect()} == {("k", 7, "s")}
+
+
+def test_passages_of_nulls_copies_and_very_long_texts(spark):
+    long = prose(7, 120_000)
+    rows = [(1, None), (None, None), (2, long), (3, "front " + long[300_000:400_000]), (None, prose(8, 60)), (None, prose(8, 60)), (4, prose(9, 60)), (4, prose(9, 60))]
+    got = suffixes.without_passages(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "-") for r in got if r.doc_id not in (2, 3)) == [(0, "-"), (0, "-"), (0, "-"), (1, "-"), (4, "-"), (4, "-")]
+    assert next(len(r.text) for r in got if r.doc_id == 3) < 30
+    assert suffixes.without_passages(frame(spark, [])).collect() == []
+
+
+def test_spans_of_clashing_columns(spark):
+    shared = prose(1, 300)
+    df = frame(spark, [(1, shared + "a", 5, "x"), (2, "b" + shared, 6, None)], "doc_id long, text string, _spans int, _key string")
+    assert sorted(map(tuple, without_repeats(df).collect())) == [(1, "a", 5, "x"), (2, "b", 6, None)]
