@@ -28,8 +28,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 400 bytes that start twice are cut out of all documents; ``n_chars`` follows the text."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Passages of 50 or more words that occur twice are cut out of all documents, word for word; ``n_chars`` follows the text.
+
+    Null texts stay null, with a null count; a text that is nothing but repeated passages stays as an empty one.
+    """
+    return suffixes.without_passages(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
