@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,14 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 4096
 GROUP = 768
 END = 2
-CACHED = 300_000
+CACHED = 250_000
 # A remainder's last tokens are a piece of their own, so that windows have small pieces to even them out.
 TAIL_FROM, TAIL_TO = 32, 512
 
 # What the tokenizer cuts text into before merging; fixed by its file.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Beyond these, lower case or composed forms may need more than one word, so whole texts go to the tokenizer.
-_PLAIN = regex.compile(r"[\x00-\x1b\x20-ɏ‐-‧€]*+")
+_ODD = re.compile(r"[^\x00-\x1b\x20-ɏ‐-‧€]")
 
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, place long"
 
@@ -45,32 +46,35 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = regex.compile(_PARTS)
-        self.known: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        # words and their parts, in lower case; when the young are CACHED, the old ones not met since are forgotten
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def text(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if "<|" in text or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, new = self.known.get, self._word
-        return b"".join([known(w) or new(w) for w in text.split()])
-
-    def _word(self, word: str) -> bytes:
-        ids = b"".join([self.merged.get(p) or self._part(p) for p in self.parts.findall(word.lower())])
-        if len(self.known) >= CACHED:
-            self.known.clear()
-        self.known[word] = ids
+        known, new = self.young.get, self._ids
+        return b"".join([known(w) or new(w) for w in text.lower().split()])
+
+    def _ids(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self._merged(word)
+            else:
+                parts = [word[:-1], word[-1]] if word[:-1].isalpha() and word[-1] in ".,;:!?" else self.parts.findall(word)
+                ids = b"".join([self.young.get(p) or self._ids(p) for p in parts]) if len(parts) > 1 else self._merged(word)
+        if len(self.young) >= CACHED:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
         return ids
 
-    def _part(self, part: str) -> bytes:
+    def _merged(self, part: str) -> bytes:
         shown = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        if len(self.merged) >= CACHED:
-            self.merged.clear()
-        self.merged[part] = ids
-        return ids
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
 
 
 def word_ids(path: str) -> WordIds:
