@@ -1,6 +1,7 @@
 """Views derived from the given tables, in SQL both Spark and DuckDB read.
 
-``{name}`` stands for a given table, ``{no_items}`` for an empty list literal.
+``{name}`` stands for a given table, ``{no_items}`` for an empty list literal, ``{q}`` for the
+quotes of a name.
 """
 
 from __future__ import annotations
@@ -124,6 +125,18 @@ SELECT event_id, ts, user_id,
 FROM {events}
 """
 
+EVENT_DETAILS = """
+SELECT r.*,
+       CASE event_id % 4 WHEN 0 THEN 'navigation' WHEN 1 THEN 'schema' WHEN 2 THEN 'data' END AS query_type,
+       CASE WHEN event_id % 3 = 0 THEN '0.5' ELSE '0.95' END AS confidence,
+       repeat(concat('because ', event_id, ' '), CAST(event_id % 40 AS INT)) AS reasoning,
+       split(substring('customer,orders,lineitem,part,supplier,nation,region', 1, CAST(8 + event_id % 44 AS INT)), ',') AS tables,
+       CASE WHEN event_id % 6 > 0 THEN 'orders' END AS {q}table{q}, event_id % 9 AS n_columns,
+       concat(' SELECT ', repeat('custkey, ', CAST(event_id % 90 AS INT)), event_id, ' FROM orders ') AS sql,
+       event_id % 5 > 0 AS is_safe, event_id % 3 AS attempt, event_id % 7 = 0 AS truncated
+FROM ({run_events}) AS r
+""".replace("{run_events}", RUN_EVENTS)
+
 VIEWS = {
     "query_log": QUERY_LOG,
     "code_dict": CODE_DICT,
@@ -131,6 +144,7 @@ VIEWS = {
     "questions": QUESTIONS,
     "run_log": RUN_LOG,
     "run_events": RUN_EVENTS,
+    "event_details": EVENT_DETAILS,
 }
 
 
@@ -141,13 +155,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def over(spark: SparkSession, name: str, events: DataFrame) -> DataFrame:
     """The same view over a given events DataFrame, batch or streaming."""
-    text = VIEWS[name].replace("{no_items}", "array()")
+    text = VIEWS[name].replace("{no_items}", "array()").replace("{q}", "`")
     return spark.sql(text, events=events)
 
 
 def duckdb_cte(*names: str) -> str:
     """``WITH`` clause giving the views to a DuckDB query."""
     parts = [
-        f"{n} AS ({VIEWS[n].replace('{no_items}', '[]').replace('{events}', 'events')})" for n in names
+        f"{n} AS ({VIEWS[n].replace('{no_items}', '[]').replace('{q}', chr(34)).replace('{events}', 'events')})" for n in names
     ]
     return "WITH " + ",\n".join(parts)

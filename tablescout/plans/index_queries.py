@@ -169,7 +169,7 @@ FROM column_lines c LEFT JOIN descriptions d USING (table_name) LEFT JOIN knowle
 
 
 def schema_docs(spark, d):
-    return I.schema_documents(observed(spark, d), K.descriptions(spark), K.knowledge(spark))
+    return I.schema_documents(observed(spark, d, ("nulls",)), K.descriptions(spark), K.knowledge(spark))
 
 
 @query("schema_documents", "WITH " + DOCS_SQL + "SELECT doc_id, text, table_name, description, columns FROM docs")
@@ -182,7 +182,7 @@ SELECT table_name, column_name, is_nullable, coalesce(biz, '') AS business_descr
        coalesce(n_rel, 0) AS n_relationships FROM catalog LEFT JOIN knowledge USING (table_name)
 """)
 def knowledge_enrich(spark, d):
-    return I.knowledge_enrich(observed(spark, d), K.knowledge(spark)).select(
+    return I.knowledge_enrich(observed(spark, d, ("nulls",)), K.knowledge(spark)).select(
         "table_name", "column_name", "is_nullable", "business_description",
         F.size("synonyms").alias("n_synonyms"), F.size("relationships").alias("n_relationships"),
     )

@@ -12,9 +12,16 @@ from tablescout.sources.tables import load
 from tablescout.streaming import events as E
 
 
-def event_stream(spark, d):
+def event_stream(spark, d, name="run_events"):
     schema = load(spark, d, "events").schema
-    return over(spark, "run_events", E.read_events(spark, schema, f"{d}/events.parquet"))
+    return over(spark, name, E.read_events(spark, schema, f"{d}/events.parquet"))
+
+
+def worked_off(spark, stream, name):
+    """What an append-mode stream of another session emits, as a batch of this one."""
+    path = fresh_path(spark, name)
+    E.run_to_end(stream, path, fresh_path(spark, f"{name}-state"))
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def stamp(column):
@@ -50,9 +57,39 @@ def event_project(spark, d):
     return out.select("event_id", "type", "node", "label", "kind", "tool", "status", F.array_join(pairs, ";").alias("detail"))
 
 
+def _shown_sql(text, limit):
+    trimmed = f"regexp_replace({text}, '^{WS}|{WS}$', '', 'g')"
+    return f"CASE WHEN length({trimmed}) <= {limit} THEN {trimmed} ELSE concat(regexp_replace(substring({trimmed}, 1, {limit}), '{WS}$', ''), ' …') END"
+
+
 WS = r"[\s\x0B\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def _details_sql(*pairs):
+    return "concat(" + ", ';', ".join(f"'{k}=', coalesce(CAST({v} AS VARCHAR), 'NULL')" for k, v in pairs) + ")"
+
+
+STATUS = ("status", "status")
+
+
+@query("event_details", duckdb_cte("event_details") + f"""
+SELECT event_id, node, CASE node
+  WHEN 'classify_intent' THEN {_details_sql(("query_type", "query_type"), ("confidence", "confidence"), ("reasoning", _shown_sql("reasoning", 240)))}
+  WHEN 'search_metadata' THEN {_details_sql(("found", "n_found"), ("tables", "array_to_string(tables[1:5], ', ')"))}
+  WHEN 'get_schema' THEN {_details_sql(("table", '"table"'), ("columns", "n_columns"), STATUS)}
+  WHEN 'generate_sql' THEN {_details_sql(("sql", _shown_sql("sql", 600)), ("is_safe", "is_safe"), STATUS)}
+  WHEN 'fix_sql' THEN {_details_sql(("attempt", "attempt"), ("sql", _shown_sql("sql", 600)), STATUS)}
+  WHEN 'execute_query' THEN {_details_sql(STATUS, ("row_count", "n_found"), ("truncated", "truncated"), ("error", "message"))}
+  ELSE '' END AS detail FROM event_details WHERE NOT ({TERMINAL_SQL})
+""")
+def event_details(spark, d):
+    """Steps of events that carry everything a step shows, read as a stream."""
+    steps = E.event_project(event_stream(spark, d, "event_details"))
+    out = E.run_to_end(steps, fresh_path(spark, "details"), fresh_path(spark, "details-state"))
+    pairs = F.transform(F.map_entries("detail"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("NULL"))))
+    return out.select("event_id", "node", F.array_join(pairs, ";").alias("detail"))
+
+
 @query("event_truncate", f"""
 WITH trimmed AS (SELECT doc_id, regexp_replace(text, '^{WS}|{WS}$', '', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 600 THEN t ELSE concat(regexp_replace(substring(t, 1, 600), '{WS}$', ''), ' …') END AS short FROM trimmed
@@ -84,11 +121,25 @@ WHERE last_ts + INTERVAL {GAP_MINUTES} MINUTE <= (SELECT max(ts) FROM run_events
 """)
 def run_summary_stream(spark, d):
     """Runs the watermark has closed by the end of the stream."""
-    runs = E.run_summary_stream(event_stream(spark, d), GAP_MINUTES)
-    out = E.run_to_end(runs, fresh_path(spark, "runs"), fresh_path(spark, "runs-state"))
+    runs = E.run_summary_stream(event_stream(E.stream_session(spark), d), GAP_MINUTES)
+    out = worked_off(spark, runs, "runs")
     return out.withColumn("run_start", stamp("run_start")).select(*RUN_COLUMNS)
 
 
+@query("run_final_stream", RUNS_SQL + f""", told AS (
+SELECT user_id, run, string_agg(node, '>' ORDER BY ts, event_id) AS steps, max_by(node, (ts, event_id)) FILTER (terminal) AS final_node,
+       max_by(message, (ts, event_id)) FILTER (message IS NOT NULL) AS message FROM numbered GROUP BY user_id, run)
+SELECT user_id, run_start, CASE WHEN final_reached THEN 'final' ELSE 'error' END AS type, final_node,
+       CASE WHEN NOT final_reached THEN coalesce(message, '{E.NO_ANSWER}') END AS message, steps, elapsed_ms, tool_calls
+FROM runs JOIN told USING (user_id, run) WHERE last_ts + INTERVAL {GAP_MINUTES} MINUTE <= (SELECT max(ts) FROM run_events) - INTERVAL 1 DAY
+""")
+def run_final_stream(spark, d):
+    """The closing event of every run the watermark has passed, by timers of keyed state."""
+    runs = E.run_final_stream(event_stream(E.stream_session(spark), d), GAP_MINUTES)
+    out = worked_off(spark, runs, "finals")
+    return out.withColumns({"run_start": stamp("run_start"), "steps": F.array_join("steps", ">")})
+
+
 @query("run_summary", RUNS_SQL + f"SELECT {', '.join(RUN_COLUMNS)} FROM runs")
 def run_summary(spark, d):
     return E.run_summary(view(spark, d, "run_events"), GAP_MINUTES).withColumn("run_start", stamp("run_start")).select(*RUN_COLUMNS)
@@ -113,12 +164,26 @@ def run_completion(spark, d):
     )
 
 
-@query("run_metrics_stream", duckdb_cte("run_events") + f"""
+METRICS_SQL = duckdb_cte("run_events") + f"""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, {case_sql(E.NODE_KIND)} AS kind, count(*) AS n_events,
        count_if({STATUS_SQL} = 'error') AS n_errors, round(count_if({STATUS_SQL} = 'error') / count(*), 4) AS error_rate
 FROM run_events GROUP BY 1, 2
-""")
+"""
+
+
+@query("run_metrics_stream", METRICS_SQL)
 def run_metrics_stream(spark, d):
     counts = E.run_metrics_stream(event_stream(spark, d))
     out = E.run_updates_to_end(counts, fresh_path(spark, "live"), fresh_path(spark, "live-state"), ["window_start", "kind"])
     return out.withColumn("window_start", stamp("window_start"))
+
+
+@query("run_metrics_redelivered", METRICS_SQL)
+def run_metrics_redelivered(spark, d):
+    """The same counts from a stream that delivers every event twice, in no order."""
+    events, path = load(spark, d, "events"), fresh_path(spark, "twice")
+    events.union(events).repartition(4, "user_id").write.parquet(path)
+    twice = over(spark, "run_events", E.read_events(spark, events.schema, path))
+    counts = E.run_metrics_stream(twice, delivered_once=False)
+    out = E.run_updates_to_end(counts, fresh_path(spark, "live"), fresh_path(spark, "live-state"), ["window_start", "kind"])
+    return out.withColumn("window_start", stamp("window_start"))

@@ -7,10 +7,14 @@ what one user does without a pause of ``gap_minutes``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import pairwise
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tablescout.functions.text import truncate
 
@@ -46,6 +50,7 @@ NODE_KIND = {
     "unsafe_query": "router",
 }
 TERMINAL_NODES = ["format_response", "handle_unknown", "unsafe_query"]
+NO_ANSWER = "Агент не вернул финальный ответ"
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -79,25 +84,40 @@ def step_status() -> Column:
 
 
 def event_project(events: DataFrame) -> DataFrame:
-    """Display steps: label, kind, tool, status and a detail map; terminal nodes are left out."""
-    node = F.col("node")
+    """Display steps: label, kind, tool, status and a detail map; terminal nodes are left out.
+
+    Details a step shows beyond ``status``, ``n_found`` and ``message`` come from further columns where the events have them:
+    ``query_type, confidence, reasoning`` of a classification, ``tables`` (names, five are shown) of a search, ``table, n_columns`` of a
+    structure, ``sql, is_safe, attempt`` of generated or repaired SQL, ``truncated`` of an execution.
+    """
+    node, have = F.col("node"), set(events.columns)
 
     def entry(key, value):
         return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
 
+    def more(key, column, shown=lambda c: c):
+        return [entry(key, shown(F.col(column)))] if column in have else []
+
     reported = entry("status", F.col("status"))
     found = entry("found", F.col("n_found"))
     error = entry("error", truncate(F.col("message"), 200))
-    detail = F.map_from_entries(
-        F.when(node == "search_metadata", F.array(found))
-        .when(node == "execute_query", F.array(reported, entry("row_count", F.col("n_found")), error))
-        .when(node.isin("get_schema", "generate_sql", "fix_sql"), F.array(reported))
-        .otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    )
+    sql = more("sql", "sql", lambda c: truncate(c, 600))
+    steps = {
+        "classify_intent": [*more("query_type", "query_type"), *more("confidence", "confidence"), *more("reasoning", "reasoning", lambda c: truncate(c, 240))],
+        "search_metadata": [found, *more("tables", "tables", lambda c: F.array_join(F.slice(c, 1, 5), ", "))],
+        "get_schema": [*more("table", "table"), *more("columns", "n_columns"), reported],
+        "generate_sql": [*sql, *more("is_safe", "is_safe"), reported],
+        "fix_sql": [*more("attempt", "attempt"), *sql, reported],
+        "execute_query": [reported, entry("row_count", F.col("n_found")), *more("truncated", "truncated"), error],
+    }
+    detail = F.array().cast("array<struct<key:string,value:string>>")
+    for name, entries in steps.items():
+        if entries:
+            detail = F.when(node == name, F.array(*entries)).otherwise(detail)
     return events.where(~is_terminal()).select(
         "event_id", "ts", "user_id", F.lit("step").alias("type"), "node",
         F.coalesce(_lookup(NODE_LABELS, node), node).alias("label"), kind_of().alias("kind"), tool_of().alias("tool"),
-        step_status().alias("status"), detail.alias("detail"),
+        step_status().alias("status"), F.map_from_entries(detail).alias("detail"),
     )
 
 
@@ -121,10 +141,9 @@ def run_summary_stream(events: DataFrame, gap_minutes: int = GAP_MINUTES, delay:
     """Per closed run: steps, tool calls, elapsed time, whether an answer was reached.
 
     For streams: ``ts`` becomes an instant, because watermarks need one, and a run is emitted
-    once the watermark has passed its end. Each task first merges the sessions among its own
+    once the watermark has passed its end. In a ``stream_session`` each task first merges the sessions among its own
     rows, so a very busy user reaches the shuffle as a few partial runs, not row by row.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
         timed.withWatermark("ts", delay)
@@ -210,12 +229,103 @@ def run_completion(summaries: DataFrame) -> DataFrame:
     )
 
 
-def run_metrics_stream(events: DataFrame, width: str = "1 day", delay: str = DELAY) -> DataFrame:
-    """Live event counts and error rates per time window and node kind."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams, with the state store and the local merge of sessions they need; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    return own
+
+
+_OPEN = "micros BIGINT, event_id BIGINT, node STRING, message STRING, terminal BOOLEAN, tool BOOLEAN"
+_CLOSED = "user_id BIGINT, start BIGINT, stop BIGINT, type STRING, final_node STRING, message STRING, steps ARRAY<STRING>, tool_calls BIGINT"
+
+
+class _OpenRuns(StatefulProcessor):
+    """The events of a user's open runs, and a timer for the end of each run.
+
+    New events are appended to the state without reading it. It is read when the watermark passes the end of a run;
+    closed runs leave it, so it holds what a user did within the delay of the watermark and the gap.
+    """
+
+    def __init__(self, gap_micros: int):
+        self.gap = gap_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _OPEN)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = sorted((r["micros"], r["event_id"], r["node"], r["message"], r["terminal"], r["tool"]) for r in rows if r["micros"] is not None)
+        if new:
+            self.open.appendList(new)
+            for run in self._runs(new):
+                self.handle.registerTimer(self._end(run))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        left = []
+        for run in self._runs(sorted(tuple(r) for r in self.open.get())):
+            if self._end(run) <= timerValues.getCurrentWatermarkInMs():
+                yield self._closed(key, run)
+            else:
+                left += run
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+    def _end(self, run: list[tuple]) -> int:
+        return -(-(run[-1][0] + self.gap) // 1000)
+
+    def _runs(self, events: list[tuple]) -> list[list[tuple]]:
+        cuts = [i for i, (a, b) in enumerate(pairwise(events), 1) if b[0] - a[0] >= self.gap]
+        return [events[a:b] for a, b in pairwise([0, *cuts, len(events)]) if a < b]
+
+    @staticmethod
+    def _closed(key: tuple, run: list[tuple]) -> Row:
+        answers = [e for e in run if e[4]]
+        failures = [e[3] for e in run if e[3] is not None]
+        return Row(
+            user_id=key[0], start=run[0][0], stop=run[-1][0], type="final" if answers else "error", final_node=answers[-1][2] if answers else None,
+            message=None if answers else (failures[-1] if failures else NO_ANSWER), steps=[e[2] for e in run], tool_calls=sum(e[5] for e in run),
+        )
+
+
+def run_final_stream(events: DataFrame, gap_minutes: int = GAP_MINUTES, delay: str = DELAY) -> DataFrame:
+    """Exactly one ``final`` or ``error`` row for each run, when the watermark has passed its end.
+
+    For streams of a ``stream_session``. A run that answered is ``final``, with the last terminal node; one that never did is
+    ``error``, with the last message of its events or, if none has one, ``NO_ANSWER``. The row has the run's steps in order of time and event, elapsed
+    time and tool calls. Events without a time are left out. The state of a user is the events of the last ``delay`` and gap; timers close
+    runs whether or not the user ever comes back.
+    """
+    timed = events.select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("bigint").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        "event_id", "node", "message", is_terminal().alias("terminal"), (~is_terminal() & tool_of().isNotNull()).alias("tool"))
+    rows = timed.withWatermark("ts", delay).groupBy("user_id").transformWithState(
+        _OpenRuns(gap_minutes * 60_000_000), T.StructType.fromDDL(_CLOSED), "append", "EventTime")
+    return rows.select(
+        "user_id", F.timestamp_micros("start").alias("run_start"), "type", "final_node", "message", "steps",
+        F.floor((F.col("stop") - F.col("start")) / 1000).alias("elapsed_ms"), "tool_calls")
+
+
+def run_metrics_stream(events: DataFrame, width: str = "1 day", delay: str = DELAY, delivered_once: bool = True) -> DataFrame:
+    """Live event counts and error rates per time window and node kind.
+
+    ``delivered_once=False`` drops events whose ``event_id`` came before. Ids are held for ``delay`` of event time after their event, which
+    is as long as a second delivery can come without being late itself.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    if not delivered_once:
+        timed = timed.dropDuplicatesWithinWatermark(["event_id"])
     return (
-        timed.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"), kind_of().alias("kind"))
+        timed.groupBy(F.window("ts", width).alias("w"), kind_of().alias("kind"))
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.count_if(step_status() == "error").alias("n_errors"),

@@ -29,7 +29,7 @@ def stream(spark, staged):
 
 @pytest.mark.parametrize("gap", [30, 360])
 def test_closed_runs_equal_batch_runs(spark, sf_dir, staged, tmp_path, gap):
-    out = E.run_to_end(E.run_summary_stream(stream(spark, staged), gap), str(tmp_path / "out"), str(tmp_path / "state"))
+    out = E.run_to_end(E.run_summary_stream(stream(E.stream_session(spark), staged), gap), str(tmp_path / "out"), str(tmp_path / "state"))
     events = view(spark, sf_dir, "run_events")
     last = events.agg(F.max("ts").cast("timestamp").alias("m")).first().m
     batch = E.run_summary(events, gap)
@@ -96,3 +96,95 @@ def test_live_counts_over_several_batches(spark, sf_dir, staged, tmp_path):
     out = E.run_updates_to_end(live, str(tmp_path / "out"), str(tmp_path / "state"), ["window_start", "kind"])
     batch = E.run_metrics_stream(view(spark, sf_dir, "run_events"))
     assert rows(out) == rows(batch, *out.columns)
+
+
+def plain_runs(events, gap, delay):
+    """Runs of every user one event at a time: the closing rows, and when they may be told."""
+    out, last = [], max(e.ts for e in events)
+    by_user = {}
+    for e in sorted(events, key=lambda e: (e.ts, e.event_id)):
+        by_user.setdefault(e.user_id, []).append(e)
+    for user, own in by_user.items():
+        runs = [[own[0]]]
+        for a, b in zip(own, own[1:]):
+            if b.ts - a.ts >= gap:
+                runs.append([])
+            runs[-1].append(b)
+        for run in runs:
+            if run[-1].ts + gap <= last - delay:
+                answers = [e.node for e in run if e.node in E.TERMINAL_NODES]
+                failed = [e.message for e in run if e.message is not None]
+                message = None if answers else failed[-1] if failed else E.NO_ANSWER
+                elapsed = (run[-1].ts - run[0].ts) // timedelta(milliseconds=1)
+                tools = sum(e.node in E.TOOL_NODES for e in run)
+                out.append((user, run[0].ts, "final" if answers else "error", answers[-1] if answers else None, message, [e.node for e in run], elapsed, tools))
+    return sorted(out, key=repr)
+
+
+def finals(out):
+    return rows(out, "user_id", F.col("run_start").cast("timestamp_ntz"), "type", "final_node", "message", "steps", "elapsed_ms", "tool_calls")
+
+
+@pytest.mark.parametrize("gap", [30, 360])
+def test_every_run_ends_with_one_event(spark, sf_dir, staged, tmp_path, gap):
+    before = dict(spark.conf.getAll)
+    out = E.run_to_end(E.run_final_stream(stream(E.stream_session(spark), staged), gap), str(tmp_path / "out"), str(tmp_path / "state"))
+    events = view(spark, sf_dir, "run_events").collect()
+    want = plain_runs(events, timedelta(minutes=gap), timedelta(days=1))
+    assert finals(out) == want
+    assert {w[2] for w in want} == {"final", "error"}
+    assert dict(spark.conf.getAll) == before
+
+
+def test_runs_of_late_users_and_hot_ones(spark, tmp_path):
+    """A user who never comes back, one whose events come out of order over two batches, events without a time, and a hot user."""
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, node STRING, status STRING, n_found BIGINT, message STRING"
+    start = datetime(2024, 1, 1)
+    at = [(1, 0, 1, "search_metadata"), (2, 0, 2, "execute_query"), (3, 20, 2, "get_schema"), (4, 70, 3, "format_response"), (5, 10, 2, "fix_sql"), (6, 5, 2, "format_response")]
+    at += [(100 + i, i / 100, 9, "execute_query") for i in range(2000)] + [(9999, 3000, 4, "classify_intent")]
+    made = [(i, start + timedelta(minutes=m), u, n, "success", 1, None) for i, m, u, n in at] + [(7, None, 2, "get_schema", "success", 1, "x")]
+    for k, part in enumerate([made[:4] + made[6:1000], made[4:6] + made[1000:-2], made[-2:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        file = next(f for f in os.listdir(tmp_path / f"in{k}") if f.endswith(".parquet"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.link(tmp_path / f"in{k}" / file, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k * 60,) * 2)
+    own = E.stream_session(spark)
+    events = E.read_events(own, spark.createDataFrame([], schema).schema, str(tmp_path / "in"), files_per_batch=1)
+    out = E.run_to_end(E.run_final_stream(events, 30, "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+    timed = [r for r in spark.createDataFrame(made, schema).collect() if r.ts is not None]
+    assert finals(out) == plain_runs(timed, timedelta(minutes=30), timedelta(hours=1))
+    assert {r.user_id: (r.type, len(r.steps)) for r in out.collect()} == {1: ("error", 1), 2: ("final", 4), 3: ("final", 1), 9: ("error", 2000)}
+
+
+def test_events_delivered_twice_count_once(spark, sf_dir, staged, tmp_path):
+    schema, folder = staged
+    os.makedirs(tmp_path / "in")
+    for k, name in enumerate(["0", "1", "0", "2", "1", "3", "2"]):
+        os.link(f"{folder}/{name}.parquet", tmp_path / "in" / f"{k}.parquet")
+    twice = over(spark, "run_events", E.read_events(spark, schema, str(tmp_path / "in"), files_per_batch=7))
+    live = E.run_metrics_stream(twice, delivered_once=False)
+    out = E.run_updates_to_end(live, str(tmp_path / "out"), str(tmp_path / "state"), ["window_start", "kind"])
+    batch = E.run_metrics_stream(view(spark, sf_dir, "run_events"))
+    assert rows(out) == rows(batch, *out.columns)
+
+
+def test_details_of_every_step(spark):
+    names = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, node STRING, status STRING, n_found BIGINT, message STRING, query_type STRING, confidence DOUBLE, reasoning STRING, " \
+            "tables ARRAY<STRING>, `table` STRING, n_columns INT, sql STRING, is_safe BOOLEAN, attempt INT, truncated BOOLEAN"
+    common = ("success", 7, "m" * 300, "data", 0.9, "r" * 300, list("abcdefg"), "debt", 3, " S" * 400, True, 2, False)
+    nodes = ["classify_intent", "search_metadata", "get_schema", "generate_sql", "fix_sql", "execute_query", "format_response", "other"]
+    df = spark.createDataFrame([(i, None, 1, n, *common) for i, n in enumerate(nodes)], names)
+    got = {r.node: r.detail for r in E.event_project(df).collect()}
+    sql = ("S " * 300).strip() + " …"
+    assert got == {
+        "classify_intent": {"query_type": "data", "confidence": "0.9", "reasoning": "r" * 240 + " …"},
+        "search_metadata": {"found": "7", "tables": "a, b, c, d, e"},
+        "get_schema": {"table": "debt", "columns": "3", "status": "success"},
+        "generate_sql": {"sql": sql, "is_safe": "true", "status": "success"},
+        "fix_sql": {"attempt": "2", "sql": sql, "status": "success"},
+        "execute_query": {"status": "success", "row_count": "7", "truncated": "false", "error": "m" * 200 + " …"},
+        "other": {},
+    }
+    nulls = df.select("event_id", "ts", "user_id", "node", *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns[4:]))
+    assert all(v is None for r in E.event_project(nulls).collect() for v in r.detail.values())
