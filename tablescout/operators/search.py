@@ -2,81 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablescout.functions import text as X
-from tablescout.functions.vectors import TopK, arrow_matrix, cosine, similarity, unit_rows
+from tablescout.functions.vectors import arrow_matrix, cosine, unit_rows
+from tablescout.operators.nearest import TOP_K, _rank, vector_top_k
 from tablescout.session import small_frame
 
-TOP_K = 5
 MIN_SIMILARITY = 0.3
-QUERY_CELLS = 2_000_000  # numbers in one block of query vectors (16 MB)
-
-
-def _rank(hits: DataFrame, k: int) -> DataFrame:
-    """Global top k of the hits kept by the tasks, with rank and rounded score."""
-    w = W.partitionBy("qid").orderBy(F.col("cos").desc(), F.col("id"))
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn(
-        "score", similarity(F.col("cos"))
-    )
-
-
-def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, keep: list[str] | None = None) -> DataFrame:
-    """The ``k`` nearest corpus rows of every query by cosine, exact.
-
-    ``queries``: (qid, vector); ``corpus``: (id, embedding, further columns to ``keep``); all vectors of one length.
-    Queries are cut by a hash into blocks of about ``QUERY_CELLS`` numbers, which is what a task holds at once. The corpus stays
-    where it is: it is read once for each block, each task scores its own rows against the block and hands on
-    k rows per query, so only the tasks' winners are shuffled. Null vectors are left out.
-    """
-    keep = keep or []
-    corpus = corpus.where("embedding IS NOT NULL").select("id", "embedding", *keep)
-    queries = queries.where("vector IS NOT NULL").select("qid", "vector")
-    cells = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
-    blocks = max(1, -(-cells // QUERY_CELLS))
-    block_of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    parts = [_local_top_k(queries.where(block_of == b).collect(), queries, corpus, k, keep) for b in range(blocks)]
-    return _rank(reduce(DataFrame.union, parts), k)
-
-
-def _local_top_k(rows, queries: DataFrame, corpus: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """Best ``k`` corpus rows of every task for one block of queries."""
-    qids = np.array([r["qid"] for r in rows], dtype=object)
-    vectors = unit_rows([r["vector"] for r in rows]) if rows else np.zeros((0, 1))
-    schema = _hit_schema(queries, corpus, keep)
-    arrow_schema = to_arrow_schema(schema)
-
-    def local(batches):
-        top = TopK(vectors, k, "id")
-        if len(vectors):
-            for batch in batches:
-                if batch.num_rows:
-                    top.add(batch.select(["id", *keep]).to_pandas(), arrow_matrix(batch.column("embedding"), vectors.shape[1]))
-        if top.best is not None:
-            yield pa.RecordBatch.from_pandas(_hits(top, qids, schema), arrow_schema, preserve_index=False)
-
-    return corpus.mapInArrow(local, schema)
-
-
-def _hit_schema(queries, corpus, keep) -> T.StructType:
-    kept = [corpus.schema[c] for c in ["id", *keep]]
-    return T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *kept, T.StructField("cos", T.DoubleType())])
-
-
-def _hits(top: TopK, qids, schema) -> pd.DataFrame:
-    best = top.best
-    best = best.assign(qid=qids[best["_query"].to_numpy()]).rename(columns={"_cos": "cos"})
-    return best[[f.name for f in schema.fields]]
 
 
 def random_planes(tables: int, bits: int, dims: int, seed: int = 7) -> np.ndarray:
@@ -235,6 +176,12 @@ def keyword_hits(questions: DataFrame, tables: DataFrame, k: int = TOP_K) -> Dat
     return ranked.join(tables, ["server", "database", "table_name"])
 
 
+def _raised(error: PythonException) -> str | None:
+    """Class of the exception a task ended with: the last line of its traceback names it, after whatever led to it."""
+    lines = re.findall(r"^(?:\w+\.)*(\w+(?:Error|Exception))(?=:|\s*$)", str(error), re.MULTILINE)
+    return lines[-1] if lines else None
+
+
 HIT_COLUMNS = ["qid", "rank", "server", "database", "table_name", "description", "score", "columns"]
 
 
@@ -262,7 +209,7 @@ def search_with_fallback(
                 found = vector_top_k(asked, corpus, k, ["server", "database", "table_name", "description", "columns"])
                 hits = similarity_filter(found, threshold).select(*HIT_COLUMNS)
             except (RuntimeError, PythonException) as e:
-                if isinstance(e, PythonException) and "RuntimeError" not in str(e):
+                if isinstance(e, PythonException) and _raised(e) != "RuntimeError":
                     raise
                 hits = by_keywords()
     except Exception as e:  # noqa: BLE001 - the answer to a batch is its status, not a crash

@@ -4,6 +4,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tablescout.functions.vectors import cosine
+from tablescout.operators import nearest
 from tablescout.operators import search as S
 from tablescout.sources import catalog as C
 
@@ -44,13 +45,52 @@ def test_top_k_is_exact(frames, vectors, k):
     assert found(S.vector_top_k(*frames, k=k, keep=["tag"])) == brute(vectors, k)
 
 
-def test_large_query_sets_go_by_blocks(frames, vectors, monkeypatch):
-    monkeypatch.setattr(S, "QUERY_CELLS", 16)  # about two query vectors per block
-    hits = S.vector_top_k(*frames, k=5, keep=["tag"])
+@pytest.mark.parametrize(("numbers", "cells"), [(400, None), (400, 1), (10**6, 7), (10**6, 40), (64, 200)])
+def test_large_sides_go_by_cells_and_parts(frames, vectors, monkeypatch, numbers, cells):
+    monkeypatch.setattr(nearest, "NUMBERS", numbers)  # so many vector numbers fit a task
+    hits = S.vector_top_k(*frames, k=5, keep=["tag"], cells=cells)
     assert found(hits) == brute(vectors, 5)
     assert all(r.tag == f"t{r.id}" for r in hits.collect())
 
 
+def clusters(spark, n, spread, dims=16, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((25, dims))
+    rows = centres[np.arange(n) % 25] + spread * rng.standard_normal((n, dims))
+    asked = centres[np.arange(60) % 25] + spread * rng.standard_normal((60, dims))
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id BIGINT, embedding ARRAY<DOUBLE>")
+    q = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(asked)], "qid STRING, vector ARRAY<DOUBLE>")
+    return c, q, (rows, asked)
+
+
+def test_few_cells_are_looked_into_on_clustered_rows(spark):
+    c, q, vectors = clusters(spark, 2000, 0.1)
+    cells = nearest.cells_of(c, cells=25)
+    hits, visited = nearest.search(q, cells)
+    assert found(hits) == brute(vectors, 5)
+    assert len(cells.rows) >= 15
+    looked = [len(r._cells) for r in visited.collect()]
+    assert len(looked) == 60 and sum(looked) / 60 < 0.2 * len(cells.rows)
+
+
+def test_one_query_and_one_row_many_times(spark, monkeypatch):
+    """A third of both sides is one vector; zero, null and infinite vectors on both sides."""
+    monkeypatch.setattr(nearest, "NUMBERS", 300)
+    c, q, (rows_, asked) = clusters(spark, 300, 0.5, dims=4)
+    rows_[::3], asked[::3] = rows_[0], rows_[0]
+    rows_[5], asked[5] = 0, 0
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows_)] + [(900, None), (901, [float("nan")] * 4), (902, [float("inf"), 0.0, 0.0, 0.0])], c.schema)
+    q = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(asked)] + [("null", None), ("nan", [float("nan")] * 4)], q.schema)
+    unit, ask = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (rows_, asked))
+    want = set()
+    for i, a in enumerate(ask):
+        cos = np.round(unit @ a, 12)
+        want |= {(f"q{i}", r + 1, int(x)) for r, x in enumerate(np.lexsort((np.arange(len(cos)), -cos))[:3])}
+    assert found(S.vector_top_k(q, c, k=3, cells=6)) == want
+    only_zero = c.where("id = 5")
+    assert {(r.qid, r.id, r.score) for r in S.vector_top_k(q, only_zero, k=2, cells=3).collect()} == {(f"q{i}", 5, 0.5) for i in range(60)}
+
+
 def test_no_queries_no_corpus(frames):
     q, c = frames
     assert S.vector_top_k(q.limit(0), c).count() == 0
