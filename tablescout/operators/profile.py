@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.functions.text import format_type
+from tablescout.operators.keys import _comparable, candidate_keys, known_facts
 from tablescout.session import small_frame
-from tablescout.sources.catalog import column_facts
 
 
 def catalog_tables(cat: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -47,11 +45,6 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def known_facts(tables: dict[str, DataFrame]) -> dict[tuple[str, str], dict]:
-    """Facts of every column on the driver: as many rows as the schemas have columns."""
-    return {(r["table_name"], r["column_name"]): r.asDict() for r in column_facts(tables).collect()}
-
-
 def facts_frame(spark: SparkSession, facts: dict) -> DataFrame:
     """Known facts as a table, for ``observed_catalog``."""
     names = ["table_name", "column_name", "n_nulls", "max_chars"]
@@ -59,44 +52,6 @@ def facts_frame(spark: SparkSession, facts: dict) -> DataFrame:
     return small_frame(spark, rows, "table_name STRING, column_name STRING, n_nulls BIGINT, max_chars INT")
 
 
-def distinct_counts(tables: dict[str, DataFrame], wanted: list[tuple[str, tuple[str, ...]]]) -> dict[tuple[str, tuple[str, ...]], int]:
-    """Exact distinct counts of columns or column groups without NULLs: one scan of each table and one shuffle.
-
-    Every row gives each group's values as a SHA-256, once per task and value; one row per group comes back.
-    """
-    parts, number = [], {g: i for i, g in enumerate(wanted)}
-    for t in sorted({t for t, _ in wanted}):
-        cells = [F.struct(F.lit(number[t, cols]).alias("number"), F.unhex(F.sha2(F.to_json(F.struct(*cols)), 256)).alias("value"))
-                 for name, cols in wanted if name == t]
-        parts.append(tables[t].select(F.inline(F.array(*cells))))
-    if not parts:
-        return {}
-    counted = reduce(DataFrame.union, parts).distinct().groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()
-    found = {r["number"]: r["n"] for r in counted}
-    return {g: found.get(i, 0) for g, i in number.items()}
-
-
-def candidate_keys(spark: SparkSession, tables: dict[str, DataFrame], max_width: int = 2, facts=None) -> DataFrame:
-    """Columns, and groups of up to ``max_width`` columns that hold no smaller key, that are unique and never NULL.
-
-    Columns of numbers, text, dates and times can be part of a key. Whole numbers with fewer possible values than rows are no key; all others
-    are counted exactly. A wider group is counted only if its columns' distinct counts multiply to the row count or more.
-    """
-    facts = facts or known_facts(tables)
-    columns = {t: [c for name, c in facts if name == t and facts[t, c]["family"] and facts[t, c]["n_rows"] and not facts[t, c]["n_nulls"]] for t in tables}
-    counts = distinct_counts(tables, [(t, (c,)) for t, cs in columns.items() for c in cs])
-    rows = {t: facts[t, cs[0]]["n_rows"] for t, cs in columns.items() if cs}
-    keys = [(t, cols) for (t, cols), n in counts.items() if n == rows[t]]
-    for width in range(2, max_width + 1):
-        wanted = [
-            (t, group) for t, cs in columns.items() for group in itertools.combinations(cs, width)
-            if math.prod(counts[t, (c,)] for c in group) >= rows[t] and not any(t == k and set(cols) <= set(group) for k, cols in keys)
-        ]
-        keys += [(t, cols) for (t, cols), n in distinct_counts(tables, wanted).items() if n == rows[t]]
-    found = [(t, ",".join(cols), len(cols), rows[t]) for t, cols in keys]
-    return small_frame(spark, found, "table_name STRING, key_columns STRING, width INT, n_rows BIGINT")
-
-
 def shared_suffix(a, b):
     """Whether two names end alike: equal, or one is the other after an underscore, or both are after their first."""
     def tail(c):
@@ -127,14 +82,15 @@ def inclusion_dependencies(spark: SparkSession, tables: dict[str, DataFrame], fa
     pairs = dep.join(ref, F.expr("d.family = r.family AND " + within)).select(
         F.col("d.i").alias("dep"), F.col("r.i").alias("ref"), F.col("d.t").alias("dep_table"), F.col("d.c").alias("dep_column"),
         F.col("r.t").alias("ref_table"), F.col("r.c").alias("ref_column"))
-    pairs = small_frame(spark, pairs.collect(), pairs.schema)  # catalog rows only
-    used = sorted({i for r in pairs.collect() for i in (r["dep"], r["ref"])})
+    listed_pairs = pairs.collect()  # catalog rows only
+    pairs = small_frame(spark, listed_pairs, pairs.schema)
+    used = sorted({i for r in listed_pairs for i in (r["dep"], r["ref"])})
     bit = {i: n for n, i in enumerate(used)}
     words = [f"w{n}" for n in range(len(used) // 63 + 1)]
     parts = []
     for t in tables:
         cells = [
-            F.struct(F.lit(fam).alias("family"), _value(c, fam).alias("value"),
+            F.struct(F.lit(fam).alias("family"), _comparable(c, fam).alias("value"),
                      *(F.lit(1 << (bit[i] % 63) if bit[i] // 63 == n else 0).cast("bigint").alias(w) for n, w in enumerate(words)))
             for name, c, i, _, fam, *_ in listed if name == t and i in bit
         ]
@@ -163,14 +119,6 @@ def inclusion_dependencies(spark: SparkSession, tables: dict[str, DataFrame], fa
     )
 
 
-def _value(column: str, kind: str):
-    """A key value as text, equal for equal values of a kind whatever their types."""
-    c = F.col(f"`{column}`")
-    if kind == "number":
-        return c.cast("decimal(38, 6)").cast("string")
-    return c.cast("timestamp_ntz").cast("string") if kind == "time" else c.cast("string")
-
-
 def references(included: DataFrame) -> DataFrame:
     """One referenced table per column that looks like a reference: ``dep_table, dep_column, ref_table, ref_column``.
 

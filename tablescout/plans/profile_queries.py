@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
+from tablescout.operators import keys as Y
 from tablescout.operators import profile as P
 from tablescout.plans import knowledge_data as K
 from tablescout.plans.registry import query
@@ -88,6 +91,57 @@ def candidate_keys(spark, d):
     return P.candidate_keys(spark, all_tables(spark, d))
 
 
+WIDEST = 3
+
+
+def _wide_keys_sql(tables=ALL_TABLES):
+    """Groups of up to ``WIDEST`` columns that are unique and hold no smaller unique group."""
+    parts = []
+    for t in tables:
+        able = [c for c, kind in K.columns_of(t) if kind in KEY_KINDS]
+        for width in range(1, WIDEST + 1):
+            for group in combinations(able, width):
+                present = " AND ".join(f"count({c}) = count(*)" for c in group)
+                parts.append(f"SELECT '{t}' AS table_name, {list(group)} AS cols, count(*) AS n_rows FROM {t} "
+                             f"HAVING count(DISTINCT ({', '.join(group)},)) = count(*) AND count(*) > 0 AND {present}")
+    return f"""unique_groups AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+wide_keys AS (SELECT table_name, array_to_string(cols, ',') AS key_columns, CAST(len(cols) AS INT) AS width, n_rows FROM unique_groups u
+  WHERE NOT EXISTS (SELECT 1 FROM unique_groups s WHERE s.table_name = u.table_name AND len(s.cols) < len(u.cols) AND list_has_all(u.cols, s.cols)))"""
+
+
+@query("candidate_keys_wide", "WITH " + _wide_keys_sql() + " SELECT * FROM wide_keys")
+def candidate_keys_wide(spark, d):
+    """Keys of up to three columns."""
+    return P.candidate_keys(spark, all_tables(spark, d), max_width=WIDEST)
+
+
+ANSWERS = "SELECT conv_id AS a_conv, turn AS a_turn, length(text) AS a_length FROM conversations WHERE role = 'assistant'"
+
+
+def _answer_references_sql(first, second):
+    return f"""SELECT 'answers' AS dep_table, '{first},{second}' AS dep_columns, 'conversations' AS ref_table, 'conv_id,turn' AS ref_columns,
+  count(DISTINCT ({first}, {second})) AS n_values,
+  round(count(DISTINCT ({first}, {second})) / (SELECT count(DISTINCT (conv_id, turn)) FROM conversations), 6) AS coverage
+FROM (SELECT * FROM answers WHERE {first} IS NOT NULL AND {second} IS NOT NULL)
+WHERE EXISTS (SELECT 1 FROM wide_keys WHERE key_columns = 'conv_id,turn')
+HAVING count(*) > 0 AND count(*) = count(*) FILTER (WHERE EXISTS (SELECT 1 FROM conversations WHERE conv_id = {first} AND turn = {second}))"""
+
+
+@query("composite_references", f"""WITH {_wide_keys_sql(["conversations"])}, answers AS ({ANSWERS})
+{" UNION ALL ".join(_answer_references_sql(*pair) for pair in permutations(["a_conv", "a_turn", "a_length"], 2))}
+""")
+def composite_references(spark, d):
+    """Answers, derived from the conversations, refer to these by conversation and turn."""
+    conversations = load(spark, d, "conversations")
+    answers = conversations.where("role = 'assistant'").selectExpr("conv_id AS a_conv", "turn AS a_turn", "length(text) AS a_length")
+    given = {"conversations": conversations, "answers": answers}
+    facts = P.known_facts(given, ("nulls", "bounds"))
+    keys = P.candidate_keys(spark, {"conversations": conversations}, facts={k: f for k, f in facts.items() if k[0] == "conversations"})
+    keys = keys.where("key_columns = 'conv_id,turn'")
+    included = P.inclusion_dependencies(spark, given, facts, Y.key_parts(keys))
+    return Y.composite_references(spark, given, keys, included, facts)
+
+
 FAMILIES = {"int": "number", "bigint": "number", "varchar": "text", "timestamp": "time"}
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from helpers import rows
 
+from tablescout.operators import keys as Y
 from tablescout.operators import profile as P
 from tablescout.sources import catalog as C
 
@@ -53,6 +54,66 @@ def test_keys_of_mixed_types_and_three_columns(spark):
     assert "name,day" in {r.key_columns for r in P.candidate_keys(spark, {"t": pair}).collect()}
 
 
+def smallest_keys(data, columns):
+    """Keys of any width by trying all groups."""
+    found = []
+    for width in range(1, len(columns) + 1):
+        for group in itertools.combinations(range(len(columns)), width):
+            if not any(set(f) <= set(group) for f in found) and len({tuple(r[i] for i in group) for r in data}) == len(data):
+                found.append(group)
+    return {",".join(columns[i] for i in g) for g in found}
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("sampled", [1, 20, 500])
+def test_keys_of_any_width_against_brute_force(spark, seed, sampled):
+    rng = random.Random(seed)
+    columns = ["a", "b", "c", "d", "e"]
+    data = list({tuple(rng.randrange(n) for n in (4, 9, 3, 12, 200)) for _ in range(300)})
+    t = spark.createDataFrame(data, ", ".join(f"{c} INT" for c in columns))
+    got = {r.key_columns for r in P.candidate_keys(spark, {"t": t}, max_width=None, sampled=sampled).collect()}
+    assert got == smallest_keys(data, columns) and got
+    narrow = {r.key_columns for r in P.candidate_keys(spark, {"t": t}, max_width=2, sampled=sampled).collect()}
+    assert narrow == {g for g in got if g.count(",") < 2}
+
+
+def test_repeated_rows_leave_no_key(spark):
+    t = spark.createDataFrame([(i, i % 3) for i in range(50)] + [(7, 1)], "a INT, b INT")
+    assert P.candidate_keys(spark, {"t": t}, max_width=None).isEmpty()
+    assert P.candidate_keys(spark, {"t": t.where("a < 0"), "u": t.selectExpr("CAST(NULL AS INT) AS n")}, max_width=None).isEmpty()
+
+
+def test_most_columns_are_never_counted(spark):
+    """Twenty columns of repeating values, one id, and a hot value in a third of the rows."""
+    repeating = [f"pmod(xxhash64(id, {i}), {50 + 400 * i}) AS c{i}" for i in range(20)]
+    t = spark.range(20_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id DIV 2 END AS hot", *repeating)
+    counted = []
+    found = {r.key_columns for r in P.candidate_keys(spark, {"t": t}, max_width=1, counted=counted).collect()}
+    assert found == {"id"} and counted == [("t", ("id",))]
+
+
+def test_references_by_groups_of_columns(spark, tables):
+    parts = spark.createDataFrame([(g, p, g * 10 + p) for g in range(6) for p in range(4) if (g, p) != (5, 3)], "g INT, p BIGINT, v INT")
+    good = spark.createDataFrame([(i % 5, i % 4, None if i % 7 else 3) for i in range(60)] + [(None, 9, 1)], "s_g INT, s_p INT, s_x INT")
+    bad = good.selectExpr("CASE WHEN s_g = 4 THEN 5 ELSE s_g END AS b_g", "s_p AS b_p").where("b_p <> 9")
+    given = {"parts": parts, "good": good, "bad": bad}
+    keys = P.candidate_keys(spark, {"parts": parts}, max_width=2)
+    assert {r.key_columns for r in keys.collect()} == {"v", "g,p"}
+    included = P.inclusion_dependencies(spark, given, key_columns=Y.key_parts(keys))
+    got = {(r.dep_table, r.dep_columns, r.ref_columns): (r.n_values, r.coverage) for r in Y.composite_references(spark, given, keys, included).collect()}
+    values = {t: [tuple(r) for r in df.collect()] for t, df in given.items()}
+    held = {(g, p) for g, p, _ in values["parts"]}
+    want = {}
+    for t in ("good", "bad"):
+        for i, j in itertools.permutations(range(len(given[t].columns)), 2):
+            pairs = {(r[i], r[j]) for r in values[t] if None not in (r[i], r[j])}
+            columns = [{r[k] for r in values[t]} - {None} for k in (i, j)]
+            if pairs and pairs <= held and all(c <= {h[k] for h in held} for k, c in enumerate(columns)):
+                want[t, f"{given[t].columns[i]},{given[t].columns[j]}", "g,p"] = (len(pairs), round(len(pairs) / len(held), 6))
+    assert got == want
+    assert Y.composite_references(spark, given, keys.where("width > 9"), included).isEmpty()
+
+
 def test_inclusion_dependencies_against_brute_force(spark, tables):
     tables = {**tables, "visit": tables["debt"].where("d_id <= 90").selectExpr("d_no % 50 AS v_no", "concat('x', d_id) AS note", "concat(repeat('x', 70), d_id) AS v_note")}
     got = {(r.dep_column, r.ref_column, r.coverage) for r in P.inclusion_dependencies(spark, tables).collect()}
