@@ -246,3 +246,69 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, keep: li
         fields = [T.StructField("qid", queries.schema["qid"].dataType), *(corpus.schema[c] for c in ["id", *(keep or [])]), T.StructField("cos", T.DoubleType())]
         return _rank(small_frame(queries.sparkSession, [], T.StructType(fields)), k)
     return search(queries, built, k)[0]
+
+
+def _probed(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
+    """``qid, vector, _cells``: the ``probes`` cells whose pivots are nearest, of those that hold rows; zero vectors ask the first ones."""
+    numbers = np.array(sorted(c for c in cells.rows if c != ZERO) or [ZERO], dtype=np.int32)
+    pivots, dims, wanted = cells.pivots[numbers], cells.dims, max(1, min(probes, len(numbers)))
+
+    def run(batches):
+        for batch in batches:
+            given = arrow_matrix(batch.column("vector"), dims)
+            finite = np.isfinite(given).all(axis=1)
+            unit = unit_rows(np.where(finite[:, None], given, 0))
+            out = np.zeros((len(unit), wanted), np.int32)
+            for p in _parts(unit, len(pivots)):
+                out[p] = numbers[np.argsort(-(unit[p] @ pivots.T), axis=1, kind="stable")[:, :wanted]]
+            ends = pa.array(np.arange(len(out) + 1) * wanted, pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(out.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("vector"), lists], names=["qid", "vector", "_cells"]).filter(pa.array(finite))
+
+    schema = T.StructType([queries.schema["qid"], queries.schema["vector"], T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    return queries.where("vector IS NOT NULL").select("qid", "vector").mapInArrow(run, schema)
+
+
+def search_probed(queries: DataFrame, cells: Cells, probes: int, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+    """Nearest rows among those of the ``probes`` learned cells nearest to each query, and the cells each query looked into.
+
+    ``queries``: (qid, vector); ``cells`` from ``cells_of`` serve any number of searches. Every row lies in one cell, so a pair is scored once at
+    most. More probes find more of the true neighbours; as many as there are cells give the exact result, but for zero vectors of the corpus,
+    which are looked at only if there are no others. Queries with null vectors or numbers that are not finite have no hits.
+    """
+    probed = stored(_probed(queries, cells, probes))
+    asks = probed.select("qid", "vector", F.explode("_cells").alias("_cell"))
+    counts = probed.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
+    return _rank(_meet(asks, counts, cells, k), k), probed.select("qid", "_cells")
+
+
+def scored_share(visits: DataFrame, cells: Cells) -> float:
+    """Share of all pairs of queries and rows that a search looked at; ``visits``: ``qid, _cells``."""
+    rows = small_frame(visits.sparkSession, sorted(cells.rows.items()), "_cell INT, n BIGINT")
+    looked = visits.select(F.explode("_cells").alias("_cell")).join(rows, "_cell").agg(F.sum("n").alias("n")).first()["n"]
+    total = visits.count() * sum(cells.rows.values())
+    return (looked or 0) / total if total else 0.0
+
+
+def probes_for(queries: DataFrame, cells: Cells, recall: float = 0.95, k: int = TOP_K, asked: int = 200) -> int:
+    """Fewest probes that find this share of the exact ``k`` nearest rows of a sample of ``queries``: about ``asked``, chosen by a hash of ``qid``.
+
+    Every exact hit needs as many probes as its cell's place among the cells nearest to its query; the answer is the quantile of these places.
+    On unclustered vectors it comes near the number of cells, which tells that an index saves little there. 1 without queries or rows.
+    """
+    queries = queries.where("vector IS NOT NULL").select("qid", "vector")
+    total = queries.count()
+    if not total or not cells.rows:
+        return 1
+    few = stored(queries.where(F.pmod(F.xxhash64("qid", F.lit(5)), F.lit(max(1, total // asked))) == 0))
+    places = _probed(few, cells, len(cells.rows)).select("qid", F.posexplode("_cells").alias("place", "_cell"))
+    hits = search(few, cells, k)[0].select("qid", "id").join(cells.placed.select("id", "_cell"), "id")
+    # rows of zeros have no place; they count as found last
+    needed = hits.join(places, ["qid", "_cell"], "left").groupBy(F.coalesce("place", F.lit(len(cells.rows) - 1)).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r["place"], r["n"]) for r in needed.collect())  # a row for each cell at most
+    wanted, seen = recall * sum(n for _, n in found), 0
+    for place, n in found:
+        seen += n
+        if seen >= wanted:
+            return place + 1
+    return 1

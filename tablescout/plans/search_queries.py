@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import STOP_WORDS, escape_like
 from tablescout.functions.vectors import mean_vectors
+from tablescout.operators import nearest as N
 from tablescout.operators import search as S
 from tablescout.plans import knowledge_data as K
 from tablescout.plans.derived import duckdb_cte, view
@@ -82,6 +83,19 @@ def vector_top_k_approx(spark, d):
     return hits.select("qid", "rank", "id", "score")
 
 
+CELLS, RECALL = 32, 0.95
+
+
+@query("vector_top_k_cells")
+def vector_top_k_cells(spark, d):
+    """Every hundredth vector searched in as many of its nearest learned cells as a sample of queries needs; the exact search is ``vector_top_k``."""
+    rows = corpus(spark, d)
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    cells = N.cells_of(rows, ["label"], CELLS, DIMS)
+    hits, _ = N.search_probed(queries, cells, N.probes_for(queries, cells, RECALL))
+    return hits.select("qid", "rank", "id", "label", "score")
+
+
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 KEYWORDS_SQL = duckdb_cte("questions") + rf""", tokens AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tablescout.functions.vectors import cosine
 from tablescout.operators import nearest
 from tablescout.operators import search as S
+from tablescout.plans import search_queries as Q
 from tablescout.sources import catalog as C
 
 
@@ -254,3 +255,40 @@ def test_result_context(spark):
     assert got[2] == "Данные из БД (1 строк):\n  • k: 1, v: x\n\nОшибка агента: late"
     assert got[3] == "Запрос выполнен, но данных не найдено."
     assert got[4] == "Ошибка выполнения запроса: bad column"
+
+
+def _gaussian(spark, n, centres=None, seed=5):
+    rng = np.random.default_rng(seed)
+    data = rng.standard_normal((n, 16))
+    if centres is not None:
+        data = centres[rng.integers(0, len(centres), n)] + 0.05 * data
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id INT, embedding ARRAY<DOUBLE>")
+
+
+@pytest.mark.parametrize("clustered, most", [(True, 0.25), (False, 0.8)])
+def test_learned_cells_recall_and_share(spark, clustered, most):
+    centres = np.random.default_rng(1).standard_normal((24, 16)) if clustered else None
+    corpus = _gaussian(spark, 3000, centres)
+    queries = corpus.where("id % 30 = 0").selectExpr("id AS qid", "embedding AS vector")
+    cells = nearest.cells_of(corpus, cells=24)
+    hits, visits = nearest.search_probed(queries, cells, nearest.probes_for(queries, cells, 0.96))
+    exact = S.vector_top_k(queries, corpus)
+    assert S.recall(hits, exact).first()["recall"] >= 0.95
+    assert nearest.scored_share(visits, cells) <= most
+    every, _ = nearest.search_probed(queries, cells, probes=10_000)
+    assert rows(every, "qid", "rank", "id") == rows(exact, "qid", "rank", "id")
+
+
+def test_learned_cells_with_awkward_vectors(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0])], "id INT, embedding ARRAY<DOUBLE>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("inf"), 1.0])], "qid INT, vector ARRAY<DOUBLE>")
+    hits, visits = nearest.search_probed(queries, nearest.cells_of(corpus, cells=2), probes=1)
+    assert rows(hits, "qid", "id") == [(1, 1), (2, 1)] and visits.count() == 2
+    zeros = nearest.cells_of(corpus.where("id = 2"), cells=2)
+    assert rows(nearest.search_probed(queries, zeros, probes=1)[0], "qid", "id") == [(1, 2), (2, 2)]
+
+
+def test_registered_learned_cells_recall(spark, sf_dir):
+    corpus = Q.corpus(spark, sf_dir)
+    queries = corpus.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    assert S.recall(Q.vector_top_k_cells(spark, sf_dir), S.vector_top_k(queries, corpus)).first()["recall"] >= 0.9
