@@ -6,12 +6,15 @@ large share of the rows is reduced map-side and never travels row by row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescout.functions.text import blank_concat
 from tablescout.operators.skew import salted_join
+from tablescout.session import shared_dir
 
 
 def point_lookup(df: DataFrame, key: str, value, *columns: str) -> DataFrame:
@@ -137,3 +140,57 @@ def parent_chain_totals(lineitem: DataFrame, orders: DataFrame, customer: DataFr
         .agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     )
     return per_nation.join(nation.select("n_nationkey", "n_name"), "n_nationkey")
+
+
+def hierarchy(rows: DataFrame, key: str, parent: str) -> DataFrame:
+    """Where every row of a parent table ends: (id, root, depth, status).
+
+    ``status`` is ``root`` (no parent), ``linked`` (leads to a root), ``orphan`` (its parent does not exist), ``under_orphan`` (leads to
+    an orphan), ``cycle`` (on a cycle, its own parent included) or ``into_cycle``. ``root`` is the row where the chain ends and ``depth`` the
+    number of steps to it; both are NULL for the last two. Rows without a key are left out; of rows with equal keys the
+    one with the smallest parent counts, rows without a parent last.
+
+    Pointer doubling: in every round each open row jumps to the ancestor of its ancestor, so a chain of n rows takes log2(n)
+    rounds. Rows that reached their end leave the rounds. After as many rounds as chains can be long, open rows lead into cycles, and
+    as doubling maps a cycle onto itself, the rows they point to are all rows on cycles. Rounds are cut by checkpoints in the shared folder.
+    """
+    shared_dir(rows.sparkSession)
+    links = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(parent).alias("parent"))
+    known = links.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    nodes = salted_join(links, known, ["parent"], "left", spread_by=["id"]).checkpoint()
+    # where a row points, how many steps that is, and whether it ends there
+    ends = F.col("parent").isNull() | F.col("known").isNull()
+    state = nodes.select(
+        "id", F.when(ends, F.col("id")).otherwise(F.col("parent")).alias("at"),
+        F.when(ends, 0).otherwise(1).cast("bigint").alias("depth"), ends.alias("closed"),
+    )
+    closed, open_, left = [state.where("closed")], state.where("NOT closed"), nodes.count()
+    targets = state
+    reach = 1
+    while reach < left and not open_.isEmpty():
+        step = targets.select(
+            F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("closed").alias("done")
+        )
+        jumped = salted_join(open_, step, ["at"], "inner", spread_by=["id"]).select(
+            "id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done").alias("closed")
+        ).checkpoint()
+        closed.append(jumped.where("closed"))
+        open_ = jumped.where("NOT closed")
+        targets = reduce(DataFrame.unionByName, [*closed, open_])
+        reach *= 2
+    own = nodes.select(
+        "id", F.when(F.col("parent").isNull(), "root").when(F.col("known").isNull(), "orphan").alias("own")
+    )
+    ended = reduce(DataFrame.unionByName, closed)
+    kinds = own.where("own IS NOT NULL").select(F.col("id").alias("at"), "own")
+    found = salted_join(ended, kinds, ["at"], "inner", spread_by=["id"]).select(
+        "id", F.col("at").alias("root"), "depth",
+        F.when(F.col("depth") == 0, F.col("own")).when(F.col("own") == "root", "linked").otherwise("under_orphan").alias("status"),
+    )
+    on_cycle = open_.select(F.col("at").alias("id")).distinct().withColumn("on", F.lit(True))
+    nothing = F.lit(None)
+    astray = open_.join(on_cycle, "id", "left").select(
+        "id", nothing.cast(links.schema["id"].dataType).alias("root"), nothing.cast("bigint").alias("depth"),
+        F.when(F.col("on"), "cycle").otherwise("into_cycle").alias("status"),
+    )
+    return found.unionByName(astray)

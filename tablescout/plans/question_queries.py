@@ -182,3 +182,31 @@ JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name
 def parent_chain(spark, d):
     out = Q.parent_chain_totals(*[load(spark, d, t) for t in ("lineitem", "orders", "customer", "nation")])
     return out.select("n_nationkey", "n_name", F.col("n").alias("n_lines"), F.round("v", 2).alias("revenue"))
+
+
+# Orders hang on the customer's order before, except: every 23rd customer's first order hangs on the last one, so these
+# orders go round; every 17th order hangs on one that does not exist.
+PREVIOUS_ORDER = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 = 0 THEN -o_orderkey
+  WHEN o_custkey % 23 = 0 THEN coalesce(lag(o_orderkey) OVER w, max(o_orderkey) OVER (PARTITION BY o_custkey))
+  ELSE lag(o_orderkey) OVER w END AS parent
+FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
+
+
+@query("parent_hierarchy", "WITH RECURSIVE nodes AS (" + PREVIOUS_ORDER.replace("{orders}", "orders") + """),
+above(id, up) AS (SELECT id, parent FROM nodes WHERE parent IN (SELECT id FROM nodes)
+  UNION SELECT a.id, n.parent FROM above a JOIN nodes n ON n.id = a.up WHERE n.parent IN (SELECT id FROM nodes)),
+ends AS (SELECT id, parent FROM nodes WHERE parent IS NULL OR parent NOT IN (SELECT id FROM nodes)),
+ended AS (SELECT a.id, e.id AS root, e.parent AS beyond FROM above a JOIN ends e ON e.id = a.up),
+steps AS (SELECT id, count(*) AS depth, bool_or(up = id) AS circular FROM above GROUP BY id)
+SELECT n.id, coalesce(e.root, t.id) AS root,
+  CASE WHEN t.id IS NOT NULL THEN 0 WHEN e.id IS NOT NULL THEN s.depth END AS depth,
+  CASE WHEN t.id IS NOT NULL THEN CASE WHEN n.parent IS NULL THEN 'root' ELSE 'orphan' END
+    WHEN e.id IS NOT NULL THEN CASE WHEN e.beyond IS NULL THEN 'linked' ELSE 'under_orphan' END
+    WHEN s.circular THEN 'cycle' ELSE 'into_cycle' END AS status
+FROM nodes n LEFT JOIN ends t ON t.id = n.id LEFT JOIN ended e ON e.id = n.id LEFT JOIN steps s ON s.id = n.id
+""")
+def parent_hierarchy(spark, d):
+    """Every order with the order its chain of earlier orders starts from, broken and circular chains told apart."""
+    nodes = spark.sql(PREVIOUS_ORDER, orders=load(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    return Q.hierarchy(nodes, "id", "parent")

@@ -76,3 +76,30 @@ def test_group_limit_runs_before_the_shuffle(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     plan = Q.latest_n_per_key(orders, "o_custkey", "o_orderdate", "o_orderkey", 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def walked(links):
+    """Plain walk up from every row."""
+    out = {}
+    for key in links:
+        at, seen = key, []
+        while at not in seen and links[at] is not None and links[at] in links:
+            seen.append(at)
+            at = links[at]
+        if at in seen:
+            out[key] = (None, None, "cycle" if at == key else "into_cycle")
+        else:
+            root = links[at] is None
+            out[key] = (at, len(seen), ("root" if root else "orphan") if at == key else "linked" if root else "under_orphan")
+    return out
+
+
+def test_hierarchy_as_walked(spark):
+    links = {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 99, 6: 5, 7: 6, 8: 8, 9: 8, 10: 11, 11: 12, 12: 10, 13: 12, 14: 13, 15: None}
+    links |= {i: i - 1 if i > 100 else 4 for i in range(100, 170)}  # a long chain
+    links |= {i: 3 for i in range(200, 500)}  # one parent of many
+    df = spark.createDataFrame([*links.items(), (None, 0), (15, None)], "k INT, p INT")
+    assert {r.id: (r.root, r.depth, r.status) for r in Q.hierarchy(df, "k", "p").collect()} == walked(links)
+    assert Q.hierarchy(df.limit(0), "k", "p").count() == 0
+    pair = spark.createDataFrame([(1, 2), (2, 1)], "k INT, p INT")
+    assert [r.status for r in Q.hierarchy(pair, "k", "p").collect()] == ["cycle", "cycle"]
