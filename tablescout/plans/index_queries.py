@@ -17,7 +17,7 @@ from tablescout.plans.registry import query
 from tablescout.plans.runlog_queries import SCORED
 from tablescout.session import shared_dir
 from tablescout.sources.sinks import IndexStore, save_run_results, upserted
-from tablescout.sources.tables import Source, federate, knowledge_entries, load, load_cases, read_source
+from tablescout.sources.tables import Source, federate, knowledge_entries, load, load_cases, read_knowledge, read_source
 
 
 def fresh_path(spark, name):
@@ -97,6 +97,50 @@ def source_knowledge(spark, d):
     return out
 
 
+# One knowledge entry for each customer, every 7th cut short, every 11th with a name in place of a list, every 13th without its table.
+@query("source_knowledge_file", """
+SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN NULL ELSE c_name END AS table_name,
+  CASE WHEN c_custkey % 7 = 0 THEN 'malformed' WHEN c_custkey % 11 = 0 THEN 'bad_field' WHEN c_custkey % 13 = 0 THEN 'unnamed' ELSE 'ok' END AS status,
+  CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 = 0 THEN 'synonyms' END AS problem,
+  CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 THEN c_mktsegment END AS synonyms
+FROM customer
+""")
+def source_knowledge_file(spark, d):
+    """Entries written as lines, some of them broken, and read back: the usable ones with their synonyms, all with a status."""
+    path = fresh_path(spark, "knowledge")
+    key = F.col("c_custkey")
+    name = F.when(key % 13 != 0, F.col("c_name"))
+    good = F.to_json(F.struct(name.alias("table_name"), F.array("c_mktsegment").alias("synonyms")))
+    odd = F.to_json(F.struct(name.alias("table_name"), F.col("c_mktsegment").alias("synonyms")))
+    line = F.when(key % 11 == 0, odd).otherwise(good)
+    line = F.when(key % 7 == 0, F.substring(line, 1, 20)).otherwise(line)
+    load(spark, d, "customer").select(line.alias("value")).write.text(path)
+    entries, status = read_knowledge(spark, path, multi_line=False)
+    used = entries.select("table_name", F.array_join("synonyms", ",").alias("synonyms"))
+    ok = status.where("status = 'ok'").join(used, "table_name").select("table_name", "status", "problem", "synonyms")
+    return ok.unionByName(status.where("status <> 'ok'").select("table_name", "status", "problem"), allowMissingColumns=True)
+
+
+@query("sink_index_buckets", """
+SELECT doc_id % 3 = 0 AS renewed, count(*) AS n_documents, sum(length(coalesce(text, ''))) AS n_chars, 0 AS rewritten_elsewhere
+FROM documents GROUP BY 1
+""")
+def sink_index_buckets(spark, d):
+    """All documents indexed, a third upserted bucket by bucket, then compacted; buckets without incoming ids keep their folders."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    docs = documents(spark, d)
+    store.replace(docs.withColumn("version", F.lit("old")))
+    before = set(store.parts())
+    store.upsert(docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")))
+    touched = {r[0] for r in docs.where("doc_id % 3 = 0").select(store.bucket().alias("b")).distinct().collect()}  # at most 64
+    elsewhere = len({p for p in before - set(store.parts()) if p[0] not in touched})
+    store.compact()
+    return store.read().groupBy((F.col("version") == "new").alias("renewed")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"),
+        F.lit(elsewhere).alias("rewritten_elsewhere"),
+    )
+
+
 @query("source_cases", duckdb_cte("run_log") + """
 SELECT CAST(case_id AS VARCHAR) AS id, category, expected_type AS expected_query_type,
        array_to_string(expected_tools, ',') AS expected_tools, len(criteria) AS n_criteria FROM run_log WHERE category = 'data'

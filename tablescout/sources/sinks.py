@@ -2,49 +2,81 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import Counter
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.session import small_frame
 
 
+BUCKET = "_index_bucket"
+PARTS = "ARRAY<STRUCT<bucket: INT, folder: STRING>>"
+
+
 class IndexStore:
     """Documents keyed by ``doc_id`` under one folder of shared storage, for one writer at a time.
 
-    Data folders are never changed. Every write makes a fresh folder; a row appended to
-    ``generations`` then names the folders that form the index, so readers see the old index
-    or the new one, never a half-written one.
+    A document's bucket is a hash of its id. Every write makes a fresh folder with a subfolder for each bucket it
+    touches, and none is changed afterwards. A row appended to ``generations`` then names the subfolders that form the index,
+    so readers see the old index or the new one, never a half-written one. An upsert rewrites the buckets of the
+    incoming ids only. ``buckets`` is fixed by the first write; choose it so that one bucket is cheap to rewrite (about
+    1 GB): the list of subfolders is what the driver holds.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark = spark
         self.path = path
+        self.buckets = buckets
+
+    def bucket(self, buckets: int | None = None) -> Column:
+        """Bucket of a row by its ``doc_id``."""
+        return F.pmod(F.xxhash64("doc_id"), F.lit(buckets or self.buckets)).cast("int")
 
-    def _current(self) -> tuple[int, list[str]]:
+    def _current(self) -> Row | None:
+        layout = f"number INT, buckets INT, columns STRING, parts {PARTS}"
         try:
-            row = self.spark.read.schema("number INT, folders ARRAY<STRING>").parquet(f"{self.path}/generations").agg(
-                F.max_by(F.struct("number", "folders"), "number")
-            ).first()
+            found = self.spark.read.schema(layout).parquet(f"{self.path}/generations")
+            return found.agg(F.max_by(F.struct("*"), "number")).first()[0]
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return 0, []
-        return (0, []) if row[0] is None else (row[0]["number"], row[0]["folders"])
+            return None
 
-    def _publish(self, docs: DataFrame, keep: list[str]) -> None:
-        number = self._current()[0] + 1
+    def _write(self, docs: DataFrame, number: int, buckets: int) -> tuple[str, list[int]]:
+        """Documents in a fresh folder by bucket; its name and the buckets it has."""
         folder = f"docs-{number}-{uuid.uuid4().hex}"
-        docs.write.parquet(f"{self.path}/{folder}")
-        row = small_frame(self.spark, [(number, [*keep, folder])], "number INT, folders ARRAY<STRING>")
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
+        placed = docs.withColumn(BUCKET, self.bucket(buckets)).hint("rebalance", F.col(BUCKET))  # large buckets are split over tasks
+        placed.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        written = self.spark.read.schema(f"{BUCKET} INT").parquet(f"{self.path}/{folder}")
+        return folder, sorted(r[0] for r in written.select(BUCKET).distinct().collect())  # names of subfolders
+
+    def _publish(self, docs: DataFrame, keep: list[tuple[int, str]], now: Row | None, columns: T.StructType) -> None:
+        number, buckets = (now["number"] + 1, now["buckets"]) if now else (1, self.buckets)
+        folder, filled = self._write(docs, number, buckets)
+        row = (number, buckets, columns.json(), [{"bucket": b, "folder": f} for b, f in [*keep, *((b, folder) for b in filled)]])
+        frame = small_frame(self.spark, [row], f"number INT, buckets INT, columns STRING, parts {PARTS}")
+        frame.coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
+
+    def _rows(self, now: Row, parts: list[tuple[int, str]]) -> DataFrame:
+        columns = T.StructType.fromJson(json.loads(now["columns"]))
+        if not parts:
+            return small_frame(self.spark, [], columns)
+        return self.spark.read.schema(columns).parquet(*[f"{self.path}/{f}/{BUCKET}={b}" for b, f in parts])
+
+    def parts(self) -> list[tuple[int, str]]:
+        """Buckets and the folders that hold their documents."""
+        now = self._current()
+        return [(p["bucket"], p["folder"]) for p in now["parts"]] if now else []
 
     def read(self) -> DataFrame | None:
-        folders = self._current()[1]
-        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
+        now = self._current()
+        return None if now is None else self._rows(now, [(p["bucket"], p["folder"]) for p in now["parts"]])
 
     def is_empty(self) -> bool:
         docs = self.read()
@@ -52,16 +84,46 @@ class IndexStore:
 
     def replace(self, docs: DataFrame) -> None:
         """Full rebuild: the given documents become the index."""
-        self._publish(docs, [])
+        self._publish(docs, [], self._current(), docs.schema)
 
     def append(self, docs: DataFrame) -> None:
         """Add documents whose ids the index does not hold; what is stored is not rewritten."""
-        self._publish(docs, self._current()[1])
+        now = self._current()
+        self._publish(docs, self.parts(), now, _all_columns(now, docs))
 
     def upsert(self, docs: DataFrame) -> None:
-        """Documents of the same id are replaced, others kept."""
-        existing, docs = self.read(), one_per_id(docs)
-        self.replace(docs if existing is None else upserted(existing, docs))
+        """Documents of the same id are replaced, others kept; buckets without incoming ids keep their files.
+
+        The incoming documents are written by bucket first, so they are computed once. Columns only one side has are
+        NULL for the other. Of several incoming documents with one id, ``one_per_id`` says which stays.
+        """
+        now = self._current()
+        if now is None:
+            return self.replace(one_per_id(docs))
+        folder, touched = self._write(one_per_id(docs), now["number"] + 1, now["buckets"])
+        stale = [(b, f) for b, f in self.parts() if b in touched]
+        incoming = self.spark.read.schema(docs.schema).parquet(f"{self.path}/{folder}")
+        keep = [(b, f) for b, f in self.parts() if b not in touched]
+        merged = upserted(self._rows(now, stale), incoming)
+        self._publish(merged, keep, now, _all_columns(now, docs))
+
+    def compact(self) -> None:
+        """Rewrite the buckets that have come to lie in several folders."""
+        now = self._current()
+        if now is None:
+            return
+        parts = self.parts()
+        several = {b for b, n in Counter(b for b, _ in parts).items() if n > 1}
+        if several:
+            columns = T.StructType.fromJson(json.loads(now["columns"]))
+            docs = self._rows(now, [p for p in parts if p[0] in several])
+            self._publish(docs, [p for p in parts if p[0] not in several], now, columns)
+
+
+def _all_columns(now: Row | None, docs: DataFrame) -> T.StructType:
+    """Stored columns, then those only the new documents have."""
+    stored = T.StructType.fromJson(json.loads(now["columns"])) if now else T.StructType()
+    return T.StructType([*stored.fields, *(f for f in docs.schema.fields if f.name not in stored.names)])
 
 
 def one_per_id(docs: DataFrame) -> DataFrame:

@@ -114,6 +114,42 @@ def load_knowledge(spark: SparkSession, path: str) -> DataFrame:
         return small_frame(spark, [], KNOWLEDGE_SCHEMA)
 
 
+def read_knowledge(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Knowledge entries that can be used, and one status row for every entry in the file.
+
+    The file is a JSON array, or with ``multi_line=False`` one entry on each line. Status rows are (entry, table_name,
+    status, problem). ``entry`` counts from 0 in an array; lines have no order in a distributed read and carry NULL.
+    Status is ``ok``; ``malformed`` (no JSON, or no object); ``unnamed`` (no ``table_name``); or ``bad_field`` (a field that is not of
+    its type, named in ``problem``). An array that is no JSON as a whole is one malformed entry. Blank lines are no entries. Only ``ok``
+    entries are returned as rows of ``KNOWLEDGE_SCHEMA``. A missing file raises the reader's error.
+    """
+    text = spark.read.text(path, wholetext=multi_line).where("trim(value) <> ''")
+    if multi_line:
+        whole = text.select(F.try_parse_json("value").alias("v"))
+        listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array(F.col("v")))
+        entries = whole.select(F.posexplode(listed).alias("entry", "v"))
+    else:
+        entries = text.select(F.lit(None).cast("int").alias("entry"), F.try_parse_json("value").alias("v"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    fields = KNOWLEDGE_SCHEMA.fields
+    values = {f.name: F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()) for f in fields}
+    raw = {f.name: F.try_variant_get("v", f"$.{f.name}", "variant") for f in fields}
+    wrong = F.array_compact(F.array(*[
+        F.when(raw[n].isNotNull() & ~F.is_variant_null(raw[n]) & values[n].isNull(), F.lit(n)) for n in values
+    ]))
+    checked = entries.select("entry", is_object.alias("is_object"), wrong.alias("wrong"), *[values[n].alias(n) for n in values])
+    status = (
+        F.when(~F.col("is_object"), "malformed").when(F.size("wrong") > 0, "bad_field")
+        .when(F.col("table_name").isNull(), "unnamed").otherwise("ok")
+    )
+    judged = checked.withColumn("status", status)
+    problem = F.when(F.col("status") == "bad_field", F.array_join("wrong", ","))
+    return (
+        judged.where("status = 'ok'").select(*values),
+        judged.select("entry", "table_name", "status", problem.alias("problem")),
+    )
+
+
 def knowledge_entries(knowledge: DataFrame) -> DataFrame:
     """Synonyms, relationships and enum fields as (table_name, kind, entry) rows."""
     def tagged(kind, values):

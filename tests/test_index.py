@@ -155,3 +155,60 @@ def test_equal_ids_in_one_batch_are_one_document(spark, tmp_path):
     assert sorted(r.doc_id for r in store.read().collect()) == ["a", "b"]
     store.upsert(spark.createDataFrame([("b", "x"), ("b", "y"), ("c", "z")], "doc_id STRING, text STRING"))
     assert sorted(r.doc_id for r in store.read().collect()) == ["a", "b", "c"]
+
+
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=8)
+    store.upsert(spark.range(200).select(F.col("id").cast("string").alias("doc_id"), F.lit("old").alias("text")))
+    before = store.parts()
+    files = {p: sorted(f.name for f in (tmp_path / "index" / p[1] / f"_index_bucket={p[0]}").iterdir()) for p in before}
+    assert sorted(b for b, _ in before) == list(range(8))
+    one = spark.createDataFrame([("7", "new", 1)], "doc_id STRING, text STRING, rank INT")
+    hit = one.select(store.bucket()).first()[0]
+    store.upsert(one)
+    after = store.parts()
+    assert sorted(set(before) - set(after)) == [p for p in before if p[0] == hit] and len(after) == 8
+    assert {p: sorted(f.name for f in (tmp_path / "index" / p[1] / f"_index_bucket={p[0]}").iterdir()) for p in before} == files
+    got = {r.doc_id: (r.text, r["rank"]) for r in store.read().collect()}
+    assert got == {**{str(i): ("old", None) for i in range(200)}, "7": ("new", 1)}
+
+
+def test_compaction_and_empty_writes(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2)
+    docs = spark.range(20).select(F.col("id").cast("string").alias("doc_id"), F.lit("x").alias("text"))
+    store.replace(docs.limit(0))
+    assert store.is_empty() and store.read().columns == ["doc_id", "text"]
+    store.append(docs)
+    store.append(docs.withColumn("doc_id", F.concat(F.lit("b"), "doc_id")))
+    assert len(store.parts()) == 4
+    store.upsert(docs.limit(0))
+    assert len(store.parts()) == 4
+    stored = rows(store.read())
+    store.compact()
+    assert len(store.parts()) == 2 and rows(store.read()) == stored and len(stored) == 40
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=5)  # the first write's number counts
+    store.upsert(docs.withColumn("text", F.lit("y")))
+    assert {b for b, _ in store.parts()} == {0, 1}
+    assert sorted(r.text for r in store.read().collect()) == ["x"] * 20 + ["y"] * 20
+
+
+def test_broken_knowledge_entries_are_reported(spark, tmp_path):
+    path = tmp_path / "knowledge.json"
+    entries = [
+        {"table_name": "debt", "synonyms": ["owed"], "enum_fields": {"status": {"description": "code"}}}, {"synonyms": ["x"]},
+        {"table_name": "a", "synonyms": "owed"}, 5, None, {"table_name": "b", "synonyms": None, "more": 1},
+    ]
+    path.write_text(json.dumps(entries), encoding="utf-8")
+    known, status = T.read_knowledge(spark, str(path))
+    assert rows(known, "table_name", "synonyms") == [("b", None), ("debt", ["owed"])]
+    assert rows(T.knowledge_entries(known)) == [("debt", "enum", "status"), ("debt", "synonym", "owed")]
+    assert rows(status) == sorted([
+        (0, "debt", "ok", None), (1, None, "unnamed", None), (2, "a", "bad_field", "synonyms"), (3, None, "malformed", None),
+        (4, None, "malformed", None), (5, "b", "ok", None),
+    ], key=repr)
+    path.write_text("[{ not json", encoding="utf-8")
+    known, status = T.read_knowledge(spark, str(path))
+    assert known.count() == 0 and rows(status, "status") == [("malformed",)]
+    path.write_text('{"table_name": "a"}\n\n{"table_name": \n', encoding="utf-8")
+    known, status = T.read_knowledge(spark, str(path), multi_line=False)
+    assert rows(known, "table_name") == [("a",)] and rows(status, "status") == [("malformed",), ("ok",)]
