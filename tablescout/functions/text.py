@@ -72,9 +72,12 @@ def truncate(text: Column, limit: int = 600) -> Column:
 
 def write_words(sql: Column, words: list[str] | None = None) -> Column:
     """Sorted distinct write statements found as whole words, any case."""
-    pattern = F.lit(_words_pattern(words or WRITE_WORDS))
-    found = F.regexp_extract_all(sql, pattern, F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
+    return F.array_sort(F.array_distinct(F.transform(all_write_words(sql, words), F.upper)))
+
+
+def all_write_words(sql: Column, words: list[str] | None = None) -> Column:
+    """Write statements found as whole words, any case, as often and as they stand."""
+    return F.regexp_extract_all(sql, F.lit(_words_pattern(words or WRITE_WORDS)), F.lit(1))
 
 
 def has_write_word(sql: Column, words: list[str] | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.stats import exclusive_p90_by
-from tablescout.functions.text import SCORED_WRITE_WORDS, has_write_word, let
+from tablescout.functions.text import SCORED_WRITE_WORDS, all_write_words, has_write_word, let
 
 # Names under which a tool shows up in a run.
 TOOL_ALIASES = {
@@ -111,6 +111,66 @@ def score_case(runs: DataFrame, criteria: dict | None = None) -> DataFrame:
     return runs.withColumn("results", results).withColumn("passed", F.forall("results", lambda r: r["passed"]))
 
 
+def _listed(items: Column) -> Column:
+    """An array of strings as a Python list is shown: single quotes, double ones around a text that holds only single ones."""
+    def shown(x):
+        escaped = F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+        single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        double = F.concat(F.lit('"'), escaped, F.lit('"'))
+        return F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), double).otherwise(single)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, shown), ", "), F.lit("]"))
+
+
+def criterion_detail() -> dict[str, Column]:
+    """Why each known criterion of a run passed or failed, as text."""
+    none = F.array().cast("array<string>")
+    tools, steps = F.coalesce("tools_used", none), F.coalesce("steps", none)
+    wanted, terms = F.coalesce("expected_tools", none), F.coalesce("expected_terms", none)
+    aliases = F.create_map(*[c for t, names in TOOL_ALIASES.items() for c in (F.lit(t), F.array(*map(F.lit, names)))])
+    missing = F.filter(wanted, lambda t: ~F.arrays_overlap(F.coalesce(F.try_element_at(aliases, t), F.array(t)), tools))
+    text = F.lower(F.concat(F.coalesce("answer", F.lit("")), F.lit(" "), F.coalesce("sql", F.lit(""))))
+    unmet = F.filter(terms, lambda t: ~F.contains(text, F.lower(t)))
+    broken = F.filter(steps, lambda s: F.endswith(s, F.lit(":error")))
+    got = F.coalesce("got_type", F.lit("none"))
+    written = F.concat(F.lit("steps="), _listed(steps))
+    # fixed values: the wording of the details
+    return {
+        "correct_classification": F.when(classification_ok(), got).otherwise(
+            F.concat(F.lit("got="), got, F.lit(", expected="), F.coalesce("expected_type", F.lit("None")))),
+        "correct_tool_call": F.when(F.size(wanted) == 0, "no tools expected").otherwise(F.concat(
+            F.when(F.size(missing) > 0, F.concat(F.lit("missing="), _listed(missing), F.lit(", "))).otherwise(""),
+            F.lit("tools_used="), _listed(tools))),
+        "answer_contains_expected_terms": F.when(F.size(terms) == 0, "no terms expected")
+        .when(F.size(unmet) > 0, F.concat(F.lit("missing_terms="), _listed(unmet)))
+        .otherwise(F.concat(F.lit("found="), _listed(terms))),
+        "sql_executed": written,
+        "sql_not_executed": written,
+        "sql_readonly": F.when(F.col("sql").isNull(), "no SQL generated").when(sql_readonly(), "ok").otherwise(
+            F.concat(F.lit("forbidden_keywords="), _listed(F.transform(all_write_words(F.col("sql"), SCORED_WRITE_WORDS), F.upper)))),
+        "no_unhandled_error": F.when(no_error(), "no errors")
+        .when(F.size(broken) > 0, F.concat(F.lit("error_steps="), _listed(broken)))
+        .otherwise(F.concat(F.lit("state.error="), F.substring(_listed(F.array("error")), F.lit(2), F.length(_listed(F.array("error"))) - 2))),
+    }
+
+
+def criterion_details(scored: DataFrame, criteria: dict | None = None) -> DataFrame:
+    """One row per run and listed criterion of ``score_case``: (case_id, name, passed, detail), runs that broke off included.
+
+    ``criteria`` are those given to ``score_case``; they have no detail (NULL). A criterion nobody knows says so. The text of a detail is worked out
+    for the criteria a run lists only.
+    """
+    rows = scored.select("*", F.explode_outer("results").alias("_verdict")).where("_verdict IS NOT NULL")
+    detail = F.lit(None).cast("string")
+    for name, why in criterion_detail().items():
+        detail = F.when(F.col("_verdict.name") == name, why).otherwise(detail)
+    unknown = ~F.col("_verdict.name").isin(*CRITERIA, *(criteria or {}))
+    return rows.select(
+        "case_id", "_verdict.name", "_verdict.passed",
+        F.when(unknown, F.concat(F.lit("unknown criterion: "), F.col("_verdict.name"))).otherwise(detail).alias("detail"),
+    )
+
+
 def run_criteria(scored: DataFrame) -> DataFrame:
     """One row per run and criterion, runs that broke off excluded.
 

@@ -68,6 +68,36 @@ def score_case(spark, d):
     )
 
 
+def _shown(items: str) -> str:
+    return f"concat('[', array_to_string(list_transform({items}, lambda s: concat(chr(39), s, chr(39))), ', '), ']')"
+
+
+MISSING_TOOLS = CHECKS["correct_tool_call"].removeprefix("len(").removesuffix(") = 0")
+MISSING_TERMS = CHECKS["answer_contains_expected_terms"].removeprefix("len(").removesuffix(") = 0")
+ERROR_STEPS = "list_filter(steps, lambda s: ends_with(s, ':error'))"
+WRITES = r"list_transform(regexp_extract_all(sql, '(?i)\b(INSERT|UPDATE|DELETE|DROP|TRUNCATE|ALTER|CREATE)\b', 1), lambda w: upper(w))"
+DETAILS = {
+    "correct_classification": f"""CASE WHEN {CHECKS["correct_classification"]} THEN coalesce(got_type, 'none')
+        ELSE concat('got=', coalesce(got_type, 'none'), ', expected=', expected_type) END""",
+    "correct_tool_call": f"""CASE WHEN len(expected_tools) = 0 THEN 'no tools expected' ELSE concat(CASE WHEN len({MISSING_TOOLS}) > 0
+        THEN concat('missing=', {_shown(MISSING_TOOLS)}, ', ') ELSE '' END, 'tools_used=', {_shown("tools_used")}) END""",
+    "answer_contains_expected_terms": f"""CASE WHEN len(expected_terms) = 0 THEN 'no terms expected' WHEN len({MISSING_TERMS}) > 0
+        THEN concat('missing_terms=', {_shown(MISSING_TERMS)}) ELSE concat('found=', {_shown("expected_terms")}) END""",
+    "sql_executed": f"concat('steps=', {_shown('steps')})",
+    "sql_not_executed": f"concat('steps=', {_shown('steps')})",
+    "sql_readonly": f"""CASE WHEN sql IS NULL THEN 'no SQL generated' WHEN {CHECKS["sql_readonly"]} THEN 'ok'
+        ELSE concat('forbidden_keywords=', {_shown(WRITES)}) END""",
+    "no_unhandled_error": f"""CASE WHEN {CHECKS["no_unhandled_error"]} THEN 'no errors' WHEN len({ERROR_STEPS}) > 0
+        THEN concat('error_steps=', {_shown(ERROR_STEPS)}) ELSE concat('state.error=', chr(39), error, chr(39)) END""",
+}
+DETAIL = "CASE name " + " ".join(f"WHEN '{n}' THEN ({sql})" for n, sql in DETAILS.items()) + " ELSE concat('unknown criterion: ', name) END"
+
+
+@query("criterion_details", SCORED + f"SELECT case_id, name, {VERDICT} AS passed, {DETAIL} AS detail FROM listed")
+def criterion_details(spark, d):
+    return L.criterion_details(scored(spark, d))
+
+
 @query("run_totals", SCORED + """
 SELECT count(*) AS total, count_if(passed AND error IS NULL) AS passed,
        count_if(NOT passed AND error IS NULL) AS failed, count_if(error IS NOT NULL) AS errors,

@@ -86,6 +86,34 @@ def test_score_case_unknown_criterion_and_empty_list(spark):
     assert rows(L.run_criteria(scored))[0] == (2, "tone", False)
 
 
+def test_details_tell_why(spark):
+    every = list(L.CRITERIA)
+    df = log(
+        spark,
+        run(1, criteria=[*every, "tone", "polite"], expected_tools=["sql_tool", "it's"], tools_used=["execute_query"],
+            expected_terms=["Debt", "x"], answer="debts", sql="drop table a; DROP b", is_safe=True, steps=["a:ok", "b:error"]),
+        run(2, criteria=every, got_type=None, sql="SELECT 1", is_safe=True, error="it broke"),
+        run(3),
+    )
+    polite = {"polite": lambda: F.lit(False)}
+    got = {(r.case_id, r.name): (r.passed, r.detail) for r in L.criterion_details(L.score_case(df, polite), polite).collect()}
+    steps = "steps=['a:ok', 'b:error']"
+    assert got == {
+        (1, "correct_classification"): (True, "data"),
+        (1, "correct_tool_call"): (False, """missing=["it's"], tools_used=['execute_query']"""),
+        (1, "answer_contains_expected_terms"): (False, "missing_terms=['x']"),
+        (1, "sql_executed"): (False, steps), (1, "sql_not_executed"): (True, steps),
+        (1, "sql_readonly"): (False, "forbidden_keywords=['DROP', 'DROP']"),
+        (1, "no_unhandled_error"): (False, "error_steps=['b:error']"),
+        (1, "tone"): (False, "unknown criterion: tone"), (1, "polite"): (False, None),
+        (2, "correct_classification"): (False, "got=none, expected=data"),
+        (2, "correct_tool_call"): (True, "no tools expected"),
+        (2, "answer_contains_expected_terms"): (True, "no terms expected"),
+        (2, "sql_executed"): (False, "steps=[]"), (2, "sql_not_executed"): (True, "steps=[]"),
+        (2, "sql_readonly"): (True, "ok"), (2, "no_unhandled_error"): (False, "state.error='it broke'"),
+    }
+
+
 def metrics(spark, *runs):
     scored = L.score_case(log(spark, *runs))
     return L.run_totals(scored).first(), scored
