@@ -151,8 +151,9 @@ def hierarchy(rows: DataFrame, key: str, parent: str) -> DataFrame:
     one with the smallest parent counts, rows without a parent last.
 
     Pointer doubling: in every round each open row jumps to the ancestor of its ancestor, so a chain of n rows takes log2(n)
-    rounds. Rows that reached their end leave the rounds. After as many rounds as chains can be long, open rows lead into cycles, and
-    as doubling maps a cycle onto itself, the rows they point to are all rows on cycles. Rounds are cut by checkpoints in the shared folder.
+    rounds. Rows that reached their end leave the rounds. Round k ends all rows up to 2^k steps from their end, and a longer chain has
+    rows of every such length, so once a round ends none, all open rows lead into cycles. The rows they point to are then fewer from
+    round to round, until a jump only permutes them: these are the rows on cycles. Rounds are cut by checkpoints in the shared folder.
     """
     shared_dir(rows.sparkSession)
     links = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(parent).alias("parent"))
@@ -164,10 +165,10 @@ def hierarchy(rows: DataFrame, key: str, parent: str) -> DataFrame:
         "id", F.when(ends, F.col("id")).otherwise(F.col("parent")).alias("at"),
         F.when(ends, 0).otherwise(1).cast("bigint").alias("depth"), ends.alias("closed"),
     )
-    closed, open_, left = [state.where("closed")], state.where("NOT closed"), nodes.count()
-    targets = state
-    reach = 1
-    while reach < left and not open_.isEmpty():
+    targets, closed, open_ = state, [state.where("closed")], state.where("NOT closed")
+    pointed = F.count_distinct(F.when(~F.col("closed"), F.col("at")))
+    left = state.agg(pointed).first()[0]
+    while left:
         step = targets.select(
             F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("closed").alias("done")
         )
@@ -177,7 +178,10 @@ def hierarchy(rows: DataFrame, key: str, parent: str) -> DataFrame:
         closed.append(jumped.where("closed"))
         open_ = jumped.where("NOT closed")
         targets = reduce(DataFrame.unionByName, [*closed, open_])
-        reach *= 2
+        ended, now = jumped.agg(F.count_if("closed"), pointed).first()
+        if not ended and now == left:
+            break
+        left = now
     own = nodes.select(
         "id", F.when(F.col("parent").isNull(), "root").when(F.col("known").isNull(), "orphan").alias("own")
     )
