@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tablescout.functions.text import format_type
 from tablescout.operators.keys import _comparable, candidate_keys, known_facts
@@ -134,23 +135,36 @@ def references(included: DataFrame) -> DataFrame:
 def orphan_check(tables: dict[str, DataFrame], relationships: list[tuple[str, str, str, str]]) -> DataFrame:
     """Rows breaking a relationship (child, child column, parent, parent column); NULL refers to nothing.
 
-    Child rows are counted per key value before they meet the parent, so a key shared by
-    very many rows is one row in the join.
+    One pass: each table is read once and gives a row for every relationship it is child or parent in, and equal
+    keys of a relationship are added up map-side. A key shared by very many rows is one row for each task in the only shuffle
+    of keys. Whole numbers are compared as such, whatever their width; other columns by their text.
     """
-    out = None
-    for child, fk, parent, pk in relationships:
-        keys = tables[child].where(F.col(fk).isNotNull()).groupBy(F.col(fk).cast("bigint").alias("k")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        parents = tables[parent].select(F.col(pk).cast("bigint").alias("k"), F.lit(True).alias("found")).distinct()
-        missing = F.col("found").isNull()
-        part = keys.join(parents, "k", "left").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_refs"),
-            F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("n_orphan_rows"),
-            F.count_if(missing).alias("n_orphan_keys"),
-        ).select(F.lit(f"{child}.{fk}").alias("child"), F.lit(f"{parent}.{pk}").alias("parent"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if not relationships:
+        raise ValueError("no relationships to check")
+
+    def whole(table: str, column: str) -> bool:
+        return isinstance(tables[table].schema[column].dataType, IntegralType)
+
+    marks: dict[str, list[Column]] = {}
+    for i, (child, fk, parent, pk) in enumerate(relationships):
+        both = whole(child, fk) and whole(parent, pk)
+        for table, column, is_child in ((child, fk, True), (parent, pk, False)):
+            number = F.col(column).cast("bigint") if both else F.lit(None).cast("bigint")
+            text = F.lit(None).cast("string") if both else F.col(column).cast("string")
+            marks.setdefault(table, []).append(F.struct(
+                F.lit(i).alias("rel"), number.alias("number"), text.alias("text"), F.lit(is_child).alias("is_child")))
+    tagged = [tables[t].select(F.inline(F.array(*each))).where("number IS NOT NULL OR text IS NOT NULL") for t, each in marks.items()]
+    keys = reduce(DataFrame.unionByName, tagged).groupBy("rel", "number", "text").agg(
+        F.count_if("is_child").alias("n"), F.bool_and("is_child").alias("missing"))
+    lost = F.col("missing") & (F.col("n") > 0)
+    counted = keys.groupBy("rel").agg(
+        F.sum("n").alias("n_refs"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("n_orphan_rows"),
+        F.count_if(lost).alias("n_orphan_keys"))
+    spark = counted.sparkSession
+    named = small_frame(spark, [(i, f"{c}.{fk}", f"{p}.{pk}") for i, (c, fk, p, pk) in enumerate(relationships)],
+                        "rel INT, child STRING, parent STRING")
+    return named.join(counted, "rel", "left").select(
+        "child", "parent", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_refs", "n_orphan_rows", "n_orphan_keys")])
 
 
 def table_schema_report(

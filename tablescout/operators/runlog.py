@@ -237,6 +237,28 @@ def by_category(scored: DataFrame) -> DataFrame:
     )
 
 
+def run_metrics(scored: DataFrame) -> DataFrame:
+    """All metrics of a run as one row: totals, headline rates, latencies, and ``by_category`` and ``by_criterion`` as maps.
+
+    Maps hold one entry for each category and criterion. Runs without a category come under the empty name. Without any run all
+    counts are 0 and the maps empty.
+    """
+    checked = run_criteria(scored)
+
+    def by(groups: DataFrame, name: str, *values: str) -> DataFrame:
+        entry = F.struct(F.coalesce(name, F.lit("")).alias("key"), F.struct(*values).alias("value"))
+        return groups.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
+
+    one = run_totals(scored).withColumnRenamed("pass_rate", "overall_pass_rate")
+    parts = [headline_rates(checked), run_latency(scored)]
+    parts += [by(by_category(scored), "category", "total", "passed", "pass_rate", "avg_latency").withColumnRenamed("m", "by_category"),
+              by(by_criterion(checked), "name", "pass_rate", "passed", "total").withColumnRenamed("m", "by_criterion")]
+    for part in parts:
+        whole = part.select(F.struct("*")).scalar()  # one row each
+        one = one.withColumn("_part", whole).select("*", "_part.*").drop("_part")
+    return one
+
+
 def derive_error(runs: DataFrame) -> DataFrame:
     """First of: SQL writing error, execution error, schema message."""
     def text(message, fallback):

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.operators import runlog as L
 from tablescout.plans.derived import duckdb_cte, view
 from tablescout.plans.registry import query
+from tablescout.session import shared_dir
+from tablescout.sources.sinks import save_run
 
 EXECUTED = "len(list_filter(steps, lambda s: starts_with(s, 'execute_query') AND NOT contains(s, 'no_sql'))) > 0"
 
@@ -98,49 +104,56 @@ def criterion_details(spark, d):
     return L.criterion_details(scored(spark, d))
 
 
-@query("run_totals", SCORED + """
-SELECT count(*) AS total, count_if(passed AND error IS NULL) AS passed,
+RUN_TOTALS = """SELECT count(*) AS total, count_if(passed AND error IS NULL) AS passed,
        count_if(NOT passed AND error IS NULL) AS failed, count_if(error IS NOT NULL) AS errors,
-       round(count_if(passed AND error IS NULL) / count(*), 4) AS pass_rate FROM scored
-""")
+       round(count_if(passed AND error IS NULL) / count(*), 4) AS pass_rate FROM scored"""
+
+
+@query("run_totals", SCORED + RUN_TOTALS)
 def run_totals(spark, d):
     return L.run_totals(scored(spark, d))
 
 
-@query("run_latency", duckdb_cte("run_log") + """, ranked AS (
+LATENCY_RANKS = """, ranked AS (
 SELECT latency_s AS v, row_number() OVER (ORDER BY latency_s) AS rn, count(*) OVER () AS n FROM run_log WHERE latency_s > 0),
 ranks AS (SELECT *, greatest(1, least((9 * (n + 1)) // 10, n - 1)) AS j FROM ranked),
 q AS (SELECT any_value(9 * (n + 1) - 10 * j) AS d, max(CASE WHEN rn = j THEN v END) AS lo,
              max(CASE WHEN rn = j + 1 THEN v END) AS hi FROM ranks)
-SELECT (SELECT round(avg(v), 2) FROM ranked) AS avg_latency_s, round((lo * (10 - d) + hi * d) / 10, 2) AS p90_latency_s,
-       (SELECT round(sum(v), 2) FROM ranked) AS total_time_s FROM q
-""")
+"""
+LATENCY = """SELECT (SELECT round(avg(v), 2) FROM ranked) AS avg_latency_s, round((lo * (10 - d) + hi * d) / 10, 2) AS p90_latency_s,
+       (SELECT round(sum(v), 2) FROM ranked) AS total_time_s FROM q"""
+
+
+@query("run_latency", duckdb_cte("run_log") + LATENCY_RANKS + LATENCY)
 def run_latency(spark, d):
     return L.run_latency(view(spark, d, "run_log"))
 
 
-@query("by_criterion", SCORED + """
-SELECT name, round(avg(CASE WHEN passed THEN 1 ELSE 0 END), 4) AS pass_rate, count_if(passed) AS passed, count(*) AS total
-FROM run_criteria GROUP BY name
-""")
+BY_CRITERION = """SELECT name, round(avg(CASE WHEN passed THEN 1 ELSE 0 END), 4) AS pass_rate, count_if(passed) AS passed, count(*) AS total
+FROM run_criteria GROUP BY name"""
+
+
+@query("by_criterion", SCORED + BY_CRITERION)
 def by_criterion(spark, d):
     return L.by_criterion(L.run_criteria(scored(spark, d)))
 
 
-@query("headline_rates", SCORED + """
-SELECT round(coalesce(avg(CASE WHEN name = 'correct_classification' THEN passed::INT END), 0), 4) AS classification_accuracy,
+HEADLINE_RATES = """SELECT round(coalesce(avg(CASE WHEN name = 'correct_classification' THEN passed::INT END), 0), 4) AS classification_accuracy,
        round(coalesce(avg(CASE WHEN name = 'correct_tool_call' THEN passed::INT END), 0), 4) AS tool_call_accuracy,
-       round(coalesce(avg(CASE WHEN name = 'sql_readonly' THEN passed::INT END), 1), 4) AS sql_safety_rate FROM run_criteria
-""")
+       round(coalesce(avg(CASE WHEN name = 'sql_readonly' THEN passed::INT END), 1), 4) AS sql_safety_rate FROM run_criteria"""
+
+
+@query("headline_rates", SCORED + HEADLINE_RATES)
 def headline_rates(spark, d):
     return L.headline_rates(L.run_criteria(scored(spark, d)))
 
 
-@query("by_category", SCORED + """
-SELECT category, count(*) AS total, count_if(passed AND error IS NULL) AS passed,
+BY_CATEGORY = """SELECT category, count(*) AS total, count_if(passed AND error IS NULL) AS passed,
        round(count_if(passed AND error IS NULL) / count(*), 4) AS pass_rate,
-       round(coalesce(avg(CASE WHEN latency_s > 0 THEN latency_s END), 0), 2) AS avg_latency FROM scored GROUP BY category
-""")
+       round(coalesce(avg(CASE WHEN latency_s > 0 THEN latency_s END), 0), 2) AS avg_latency FROM scored GROUP BY category"""
+
+
+@query("by_category", SCORED + BY_CATEGORY)
 def by_category(spark, d):
     return L.by_category(scored(spark, d))
 
@@ -185,3 +198,52 @@ def route_audit(spark, d):
         "case_id", "first_expected", "first_taken", "after_sql_expected", "after_sql_taken",
         "after_exec_expected", "after_exec_taken", "route_ok", "retries_ok", "unchecked_rewrite",
     )
+
+
+def _pairs(section: str, prefix: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}', {prefix} || '{c}', CAST({c} AS DOUBLE) FROM {section}" for c in columns)
+
+
+STORED_METRICS = """STRUCT<total BIGINT, passed BIGINT, failed BIGINT, errors BIGINT, overall_pass_rate DOUBLE, classification_accuracy DOUBLE,
+tool_call_accuracy DOUBLE, sql_safety_rate DOUBLE, avg_latency_s DOUBLE, p90_latency_s DOUBLE, total_time_s DOUBLE,
+by_category MAP<STRING, STRUCT<total BIGINT, passed BIGINT, pass_rate DOUBLE, avg_latency DOUBLE>>,
+by_criterion MAP<STRING, STRUCT<pass_rate DOUBLE, passed BIGINT, total BIGINT>>>"""
+SINGLE = {
+    "totals": ["total", "passed", "failed", "errors", "pass_rate"],
+    "rates": ["classification_accuracy", "tool_call_accuracy", "sql_safety_rate"],
+    "latency": ["avg_latency_s", "p90_latency_s", "total_time_s"],
+}
+
+
+@query("sink_run_file", SCORED + LATENCY_RANKS + f""", totals AS ({RUN_TOTALS}), rates AS ({HEADLINE_RATES}), latency AS ({LATENCY}),
+by_category AS ({BY_CATEGORY}), by_criterion AS ({BY_CRITERION}),
+pairs(section, name, value) AS ({" UNION ALL ".join(_pairs(t, "''", c) for t, c in SINGLE.items())}
+  UNION ALL {_pairs("by_category", "category || '.'", ["total", "passed", "pass_rate", "avg_latency"])}
+  UNION ALL {_pairs("by_criterion", "name || '.'", ["total", "passed", "pass_rate"])}
+  UNION ALL SELECT 'cases', name || '.' || passed, count(*) FROM all_criteria GROUP BY name, passed)
+SELECT section, CASE WHEN name = 'pass_rate' THEN 'overall_pass_rate' ELSE name END AS name, value FROM pairs
+""")
+def sink_run_file(spark, d):
+    """A run written with its metadata, metrics and case results with details, and read back as (section, name, value)."""
+    runs = scored(spark, d)
+    details = L.criterion_details(runs).groupBy("case_id").agg(
+        F.collect_list(F.struct("name", "passed", "detail")).alias("criteria_details"))  # the criteria one run lists
+    cases = runs.select("case_id", "category", "passed", "latency_s", "error").join(details, "case_id", "left")
+    folder = save_run(cases, L.run_metrics(runs), f"{shared_dir(spark)}/run-file-{uuid.uuid4().hex}", source="run_log")
+    stored = spark.read.schema("metrics " + STORED_METRICS).json(f"{folder}/summary").select("metrics.*")
+
+    def rows(section, pairs):
+        pair = F.array(*[F.struct(n.alias("name"), v.cast("double").alias("value")) for n, v in pairs])
+        return lambda df: df.select(F.lit(section).alias("section"), F.inline(pair))
+
+    parts = []
+    for section, columns in SINGLE.items():
+        columns = [c.replace("pass_rate", "overall_pass_rate") for c in columns]
+        parts.append(rows(section, [(F.lit(c), F.col(c)) for c in columns])(stored))
+    for section, columns in (("by_category", ["total", "passed", "pass_rate", "avg_latency"]), ("by_criterion", ["total", "passed", "pass_rate"])):
+        each = stored.select(F.explode(section))
+        parts.append(rows(section, [(F.concat("key", F.lit("." + c)), F.col(f"value.{c}")) for c in columns])(each))
+    kept = spark.read.schema("case_id BIGINT, criteria_details ARRAY<STRUCT<name STRING, passed BOOLEAN, detail STRING>>").json(f"{folder}/case_results")
+    parts.append(kept.select(F.inline("criteria_details")).groupBy(F.concat_ws(".", "name", F.col("passed").cast("string")).alias("name")).agg(
+        F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("cases").alias("section"), "name", "value"))
+    return reduce(DataFrame.unionByName, parts)

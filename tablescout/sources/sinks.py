@@ -146,3 +146,14 @@ def save_run_summary(metrics: DataFrame, path: str, **run_meta: str) -> None:
     """One row of run metadata and metrics as JSON."""
     meta = F.struct(*[F.lit(v).alias(k) for k, v in run_meta.items()])
     metrics.select(meta.alias("run_meta"), F.struct("*").alias("metrics")).write.mode("append").json(path)
+
+
+def save_run(cases: DataFrame, metrics: DataFrame, path: str, **run_meta: str) -> str:
+    """A run in a folder of its own below ``path``: ``case_results`` as JSON lines, then ``summary`` with metadata and metrics.
+
+    The summary is written last, so a folder that has one is whole. Returns the folder.
+    """
+    folder = f"{path}/run-{uuid.uuid4().hex}"
+    cases.write.json(f"{folder}/case_results")
+    save_run_summary(metrics, f"{folder}/summary", **run_meta)
+    return folder

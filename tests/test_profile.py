@@ -167,3 +167,19 @@ def test_declared_types_in_catalog(spark):
     cat = P.column_details(C.catalog(spark, {"t": df}))
     assert [r.type_text for r in cat.orderBy("column_id").collect()] == ["decimal(18,2)", "timestamp", "varchar"]
     assert [r.column_name for r in P.catalog_columns(cat, "t").orderBy("column_id").collect()] == ["a", "b", "c"]
+
+
+def test_orphans_in_one_pass(spark):
+    tables = {
+        "child": spark.createDataFrame([(1, "x", 5), (1, "y", 9), (7, None, None), (None, "z", 9)], "a INT, b STRING, up SMALLINT"),
+        "parent": spark.createDataFrame([(1, "x"), (1, "x"), (None, "q")], "k BIGINT, t STRING"),
+        "empty": spark.createDataFrame([], "k INT"),
+    }
+    links = [("child", "a", "parent", "k"), ("child", "b", "parent", "t"), ("child", "up", "child", "a"), ("child", "a", "empty", "k"),
+             ("empty", "k", "parent", "k"), ("child", "a", "parent", "t")]
+    found = P.orphan_check(tables, links)
+    got = {(r.child, r.parent): (r.n_refs, r.n_orphan_rows, r.n_orphan_keys) for r in found.collect()}
+    assert got == {
+        ("child.a", "parent.k"): (3, 1, 1), ("child.b", "parent.t"): (3, 2, 2), ("child.up", "child.a"): (3, 3, 2),
+        ("child.a", "empty.k"): (3, 3, 2), ("empty.k", "parent.k"): (0, 0, 0), ("child.a", "parent.t"): (3, 3, 2),
+    }

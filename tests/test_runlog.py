@@ -201,3 +201,19 @@ def test_every_retry_is_held_against_its_own_status(spark):
     df = log(spark, *(run(i, steps=s, sql_status="success", is_safe=True, exec_status="success", retry_count=n) for i, (s, n, _) in enumerate(cases)))
     got = {r.case_id: (r.retries_ok, r.route_ok) for r in L.route_audit(df).collect()}
     assert [got[i] for i in sorted(got)] == [(ok, ok) for _, _, ok in cases]
+
+
+def test_all_metrics_in_one_row(spark):
+    _, scored = metrics(
+        spark, run(1, criteria=["no_unhandled_error"], latency_s=2.0), run(2, criteria=["sql_readonly"], sql="DROP x", category=None),
+        run(3, error="gone"),
+    )
+    m = L.run_metrics(scored).first().asDict(recursive=True)
+    assert (m["total"], m["passed"], m["failed"], m["errors"], m["overall_pass_rate"]) == (3, 1, 1, 1, 0.3333)
+    assert (m["classification_accuracy"], m["sql_safety_rate"], m["total_time_s"]) == (0.0, 0.0, 4.0)
+    assert m["by_category"] == {
+        "data": {"total": 2, "passed": 1, "pass_rate": 0.5, "avg_latency": 1.5}, "": {"total": 1, "passed": 0, "pass_rate": 0.0, "avg_latency": 1.0}}
+    assert m["by_criterion"] == {
+        "no_unhandled_error": {"pass_rate": 1.0, "passed": 1, "total": 1}, "sql_readonly": {"pass_rate": 0.0, "passed": 0, "total": 1}}
+    m = L.run_metrics(scored.limit(0)).first()
+    assert (m.total, m.p90_latency_s, m.by_category, m.by_criterion) == (0, 0.0, {}, {})
