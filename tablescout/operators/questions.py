@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.text import blank_concat
 from tablescout.operators.skew import salted_join
-from tablescout.session import shared_dir
+from tablescout.session import kept
 
 
 def point_lookup(df: DataFrame, key: str, value, *columns: str) -> DataFrame:
@@ -153,12 +153,11 @@ def hierarchy(rows: DataFrame, key: str, parent: str) -> DataFrame:
     Pointer doubling: in every round each open row jumps to the ancestor of its ancestor, so a chain of n rows takes log2(n)
     rounds. Rows that reached their end leave the rounds. Round k ends all rows up to 2^k steps from their end, and a longer chain has
     rows of every such length, so once a round ends none, all open rows lead into cycles. The rows they point to are then fewer from
-    round to round, until a jump only permutes them: these are the rows on cycles. Rounds are cut by checkpoints in the shared folder.
+    round to round, until a jump only permutes them: these are the rows on cycles. Every round is a table in the shared folder.
     """
-    shared_dir(rows.sparkSession)
     links = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(parent).alias("parent"))
     known = links.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    nodes = salted_join(links, known, ["parent"], "left", spread_by=["id"]).checkpoint()
+    nodes = kept(salted_join(links, known, ["parent"], "left", spread_by=["id"]))
     # where a row points, how many steps that is, and whether it ends there
     ends = F.col("parent").isNull() | F.col("known").isNull()
     state = nodes.select(
@@ -172,9 +171,9 @@ def hierarchy(rows: DataFrame, key: str, parent: str) -> DataFrame:
         step = targets.select(
             F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("closed").alias("done")
         )
-        jumped = salted_join(open_, step, ["at"], "inner", spread_by=["id"]).select(
+        jumped = kept(salted_join(open_, step, ["at"], "inner", spread_by=["id"]).select(
             "id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done").alias("closed")
-        ).checkpoint()
+        ))
         closed.append(jumped.where("closed"))
         open_ = jumped.where("NOT closed")
         targets = reduce(DataFrame.unionByName, [*closed, open_])

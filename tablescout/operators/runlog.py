@@ -154,21 +154,30 @@ def criterion_detail() -> dict[str, Column]:
     }
 
 
-def criterion_details(scored: DataFrame, criteria: dict | None = None) -> DataFrame:
-    """One row per run and listed criterion of ``score_case``: (case_id, name, passed, detail), runs that broke off included.
+def with_details(scored: DataFrame, criteria: dict | None = None) -> DataFrame:
+    """``score_case`` rows whose ``results`` also say why: (name, passed, detail).
 
-    ``criteria`` are those given to ``score_case``; they have no detail (NULL). A criterion nobody knows says so. The text of a detail is worked out
-    for the criteria a run lists only.
+    ``criteria`` are those given to ``score_case``; they have no detail (NULL). A criterion nobody knows says so.
     """
-    rows = scored.select("*", F.explode_outer("results").alias("_verdict")).where("_verdict IS NOT NULL")
-    detail = F.lit(None).cast("string")
-    for name, why in criterion_detail().items():
-        detail = F.when(F.col("_verdict.name") == name, why).otherwise(detail)
-    unknown = ~F.col("_verdict.name").isin(*CRITERIA, *(criteria or {}))
-    return rows.select(
-        "case_id", "_verdict.name", "_verdict.passed",
-        F.when(unknown, F.concat(F.lit("unknown criterion: "), F.col("_verdict.name"))).otherwise(detail).alias("detail"),
-    )
+    known = criterion_detail()
+    own = F.array(*map(F.lit, [*known, *(criteria or {})]))
+
+    def explained(both):
+        def detail(r):
+            unknown = F.concat(F.lit("unknown criterion: "), r["name"])
+            return F.when(F.array_contains(own, r["name"]), F.try_element_at(both["why"], r["name"])).otherwise(unknown)
+
+        return F.transform(both["results"], lambda r: F.named_struct(
+            F.lit("name"), r["name"], F.lit("passed"), r["passed"], F.lit("detail"), detail(r)))
+
+    why = F.create_map(*[c for name, text in known.items() for c in (F.lit(name), text)])
+    return scored.withColumn("results", let(F.struct(F.col("results").alias("results"), why.alias("why")), explained))
+
+
+def criterion_details(scored: DataFrame, criteria: dict | None = None) -> DataFrame:
+    """One row per run and listed criterion: (case_id, name, passed, detail), runs that broke off included."""
+    return with_details(scored, criteria).select("case_id", F.explode_outer("results").alias("verdict")).select(
+        "case_id", "verdict.name", "verdict.passed", "verdict.detail").where("name IS NOT NULL")
 
 
 def run_criteria(scored: DataFrame) -> DataFrame:

@@ -225,11 +225,8 @@ SELECT section, CASE WHEN name = 'pass_rate' THEN 'overall_pass_rate' ELSE name
 """)
 def sink_run_file(spark, d):
     """A run written with its metadata, metrics and case results with details, and read back as (section, name, value)."""
-    runs = scored(spark, d)
-    details = L.criterion_details(runs).groupBy("case_id").agg(
-        F.collect_list(F.struct("name", "passed", "detail")).alias("criteria_details"))  # the criteria one run lists
-    cases = runs.select("case_id", "category", "passed", "latency_s", "error").join(details, "case_id", "left")
-    folder = save_run(cases, L.run_metrics(runs), f"{shared_dir(spark)}/run-file-{uuid.uuid4().hex}", source="run_log")
+    cases = L.with_details(scored(spark, d)).select("case_id", "category", "passed", "latency_s", "error", "results")
+    folder = save_run(cases, L.run_metrics, f"{shared_dir(spark)}/run-file-{uuid.uuid4().hex}", source="run_log")
     stored = spark.read.schema("metrics " + STORED_METRICS).json(f"{folder}/summary").select("metrics.*")
 
     def rows(section, pairs):
@@ -243,7 +240,7 @@ def sink_run_file(spark, d):
     for section, columns in (("by_category", ["total", "passed", "pass_rate", "avg_latency"]), ("by_criterion", ["total", "passed", "pass_rate"])):
         each = stored.select(F.explode(section))
         parts.append(rows(section, [(F.concat("key", F.lit("." + c)), F.col(f"value.{c}")) for c in columns])(each))
-    kept = spark.read.schema("case_id BIGINT, criteria_details ARRAY<STRUCT<name STRING, passed BOOLEAN, detail STRING>>").json(f"{folder}/case_results")
-    parts.append(kept.select(F.inline("criteria_details")).groupBy(F.concat_ws(".", "name", F.col("passed").cast("string")).alias("name")).agg(
+    kept = spark.read.schema("case_id BIGINT, results ARRAY<STRUCT<name STRING, passed BOOLEAN, detail STRING>>").json(f"{folder}/case_results")
+    parts.append(kept.select(F.inline("results")).groupBy(F.concat_ws(".", "name", F.col("passed").cast("string")).alias("name")).agg(
         F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("cases").alias("section"), "name", "value"))
     return reduce(DataFrame.unionByName, parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read from there, which cuts their lineage."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_frame(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
     """A few rows from the driver as a local table.
 

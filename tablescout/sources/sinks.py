@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -148,12 +149,14 @@ def save_run_summary(metrics: DataFrame, path: str, **run_meta: str) -> None:
     metrics.select(meta.alias("run_meta"), F.struct("*").alias("metrics")).write.mode("append").json(path)
 
 
-def save_run(cases: DataFrame, metrics: DataFrame, path: str, **run_meta: str) -> str:
+def save_run(cases: DataFrame, metrics: Callable[[DataFrame], DataFrame], path: str, **run_meta: str) -> str:
     """A run in a folder of its own below ``path``: ``case_results`` as JSON lines, then ``summary`` with metadata and metrics.
 
-    The summary is written last, so a folder that has one is whole. Returns the folder.
+    The metrics are worked out from the stored cases, so these are computed once. The summary is written
+    last: a folder that has one is whole. Returns the folder.
     """
     folder = f"{path}/run-{uuid.uuid4().hex}"
     cases.write.json(f"{folder}/case_results")
-    save_run_summary(metrics, f"{folder}/summary", **run_meta)
+    stored = cases.sparkSession.read.schema(cases.schema).json(f"{folder}/case_results")
+    save_run_summary(metrics(stored), f"{folder}/summary", **run_meta)
     return folder
