@@ -7,6 +7,7 @@ what one user does without a pause of ``gap_minutes``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -239,15 +240,19 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-_OPEN = "micros BIGINT, event_id BIGINT, node STRING, message STRING, terminal BOOLEAN, tool BOOLEAN"
+_OPEN = "events STRING"
+_EVENTS_A_ROW = 1000  # of state
 _CLOSED = "user_id BIGINT, start BIGINT, stop BIGINT, type STRING, final_node STRING, message STRING, steps ARRAY<STRING>, tool_calls BIGINT"
 
 
 class _OpenRuns(StatefulProcessor):
-    """The events of a user's open runs, and a timer for the end of each run.
+    """The events of a user's open runs, and a timer for the earliest end among them.
 
-    New events are appended to the state without reading it. It is read when the watermark passes the end of a run;
-    closed runs leave it, so it holds what a user did within the delay of the watermark and the gap.
+    New events are appended to the state without reading it, as JSON lists of ``micros, event_id, node, message, terminal, tool``: a state
+    row for each event would be converted and sent by itself, which took most of the time. It is read when the watermark passes that end: all closed runs
+    leave it at once and the timer moves to the next end, so that a user costs a call for each watermark that closes runs, not
+    for each run. The state holds what a user did within the delay of the watermark and the gap. A run that grows by later
+    events ends later than its timer, never earlier.
     """
 
     def __init__(self, gap_micros: int):
@@ -258,37 +263,42 @@ class _OpenRuns(StatefulProcessor):
         self.open = handle.getListState("open", _OPEN)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        new = sorted((r["micros"], r["event_id"], r["node"], r["message"], r["terminal"], r["tool"]) for r in rows if r["micros"] is not None)
+        new = sorted(r[-6:] for r in rows if r[-6] is not None)
         if new:
-            self.open.appendList(new)
-            for run in self._runs(new):
-                self.handle.registerTimer(self._end(run))
+            self.open.appendList(self._packed(new))
+            self.handle.registerTimer(self._end(self._runs(new)[0]))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        left = []
-        for run in self._runs(sorted(tuple(r) for r in self.open.get())):
-            if self._end(run) <= timerValues.getCurrentWatermarkInMs():
-                yield self._closed(key, run)
-            else:
-                left += run
-        if left:
-            self.open.put(left)
-        else:
+        events, now = sorted(e for (part,) in self.open.get() for e in json.loads(part)), timerValues.getCurrentWatermarkInMs()
+        runs = self._runs(events)
+        closed = [run for run in runs if self._end(run) <= now]
+        left = events[sum(map(len, closed)) :]
+        if left and closed:
+            self.open.put(self._packed(left))
+        elif closed:
             self.open.clear()
+        if left:
+            self.handle.registerTimer(self._end(runs[len(closed)]))
+        for run in closed:
+            yield self._closed(key, run)
 
     def close(self) -> None:
         pass
 
-    def _end(self, run: list[tuple]) -> int:
+    @staticmethod
+    def _packed(events: list) -> list[tuple[str]]:
+        return [(json.dumps(events[low : low + _EVENTS_A_ROW]),) for low in range(0, len(events), _EVENTS_A_ROW)]
+
+    def _end(self, run: list) -> int:
         return -(-(run[-1][0] + self.gap) // 1000)
 
-    def _runs(self, events: list[tuple]) -> list[list[tuple]]:
+    def _runs(self, events: list) -> list[list]:
         cuts = [i for i, (a, b) in enumerate(pairwise(events), 1) if b[0] - a[0] >= self.gap]
         return [events[a:b] for a, b in pairwise([0, *cuts, len(events)]) if a < b]
 
     @staticmethod
-    def _closed(key: tuple, run: list[tuple]) -> Row:
+    def _closed(key: tuple, run: list) -> Row:
         answers = [e for e in run if e[4]]
         failures = [e[3] for e in run if e[3] is not None]
         return Row(

@@ -188,3 +188,50 @@ def test_details_of_every_step(spark):
     }
     nulls = df.select("event_id", "ts", "user_id", "node", *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns[4:]))
     assert all(v is None for r in E.event_project(nulls).collect() for v in r.detail.values())
+
+
+class _Kept:
+    """State and timers of one user in memory."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.calls += 1
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_calls_of_a_user_do_not_grow_with_their_runs():
+    gap, hour = 60_000_000, 3_600_000_000
+    kept, runs = _Kept(), E._OpenRuns(gap)
+    runs.init(kept)
+    fields = ("ts", "user_id", "micros", "event_id", "node", "message", "terminal", "tool")
+    made = [E.Row(*fields)(None, 1, i * hour, i, "get_schema", None, False, True) for i in range(300)]
+    for part in (made[150:], made[:150]):
+        assert list(runs.handleInputRows((1,), iter(part), kept)) == []
+    assert kept.calls == 2 and len(kept.rows) == 2  # before: 300 of each
+    out = []
+    for kept.now in (100 * hour // 1000, 299 * hour // 1000, 400 * hour // 1000):
+        for at in sorted(t for t in kept.timers if t <= kept.now):
+            kept.timers.discard(at)
+            out += runs.handleExpiredTimer((1,), kept, None)
+        assert bool(kept.timers) == bool(kept.rows)
+    assert [r.start for r in out] == [i * hour for i in range(300)] and kept.calls <= 5
