@@ -5,12 +5,13 @@ rank. Others are coded by an escape, the bits of how often they were met, and th
 never met are one symbol, as for add-one unigrams, and can be spelled by the bits of their bytes on top of that. The bits of ranks and of the
 escape are predicted from the class of the text, the last word, the last two words, and the last word with the class, each with the bits of the word so far; the last three are
 hashed contexts. The bits of bytes are predicted from hashed contexts of the bytes before. The predictions are added up in the logistic domain by weights chosen by a gate
-and learned online, and for bytes the sum is refined by the shares of ones met before. A text also tells its class, one of 16,
+and learned (for bytes online), and for bytes the sum is refined by the shares of ones met before. A text also tells its class, one of 16,
 by its commonest kind of non-ASCII character; the class is paid for once.
 
 Counts of all contexts come from all training texts: words are counted by Spark, and each different word gives its bits
-once, with its count. The contexts of words are counted over all training texts in turn; the weights of their predictions are learned from a bounded
-sample of these. Every occurrence is learned as if it were new, without itself: a word met once counts as unknown. Tables and
+once, with its count. The contexts of words are counted over all training texts in turn. The weights of their predictions are learned
+from all of these as well: a second pass counts every occurrence by the levels of its predictions, and the weights are those under which these
+counts are likeliest. Every occurrence is learned as if it were new, without itself: a word met once counts as unknown. Tables and
 weights have a fixed size; only the words themselves grow with the corpus, and they stay distributed.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,15 @@ CLASSES = 16
 WORDS_AT_ONCE = 20_000
 ESCAPE_DEPTH = RANK_BITS - 6  # the buckets are the last ranks, behind as many bits that are all set
 PAST = 3
+FIRST_BITS = 18
 PAST_BITS = 19
 PAST_GATES = RANK_BITS * 16
-LEARNED_ROWS = 8_000
-LEARNERS = 2  # parts of that sample, each learned in one task
-LEARNED_AT_ONCE = 4_096
+GROUPS = [0, 4, 8, ESCAPE_DEPTH, ESCAPE_DEPTH + 4, RANK_BITS]  # of bits of a rank
+WORDS_IN_TURN = 16_384  # worked on at once
+LEVEL_EDGES = np.array([-4.5, -2.5, -1.2, -0.2, 0.2, 1.2, 2.5, 4.5])
+LEVELS = len(LEVEL_EDGES) + 1  # of a prediction, by which occurrences are counted
+CELLS = LEVELS * 4 * LEVELS * 4 * LEVELS * LEVELS * 2  # of a depth
+FIRM = 20.0  # occurrences by which the weights to begin with count
 
 _COUNTED = "word string, class long, train long, texts long"
 
@@ -134,32 +140,34 @@ class _Sequence:
         return _Sequence(owner, hashes, classes, [last, two, mixed(last + classes.astype(np.uint64) + np.uint64(1))])
 
 
-def _steps(sequence: _Sequence, ranks: np.ndarray):
-    """For each bit of the ranks (-1: escape): the words that have it, the node above it, the bit, and a function that gives slots of some of the words."""
+def _steps(sequence: _Sequence, ranks: np.ndarray, part: slice):
+    """Groups of bits of the ranks (-1: escape) of some of the words: depths, the words that have them, and by depth and word the nodes, the bits and the slots for each context.
+
+    Slots of a group lie within neighbours, in an order of their own for each context, so that a context is hashed once for a group
+    and read from one or two lines of the cache.
+    """
+    ranks = ranks[part]
     ranks = np.where(ranks < 0, COMMON_RANKS, ranks)
-    for depth in range(RANK_BITS):
-        rows = np.arange(len(ranks)) if depth < ESCAPE_DEPTH else np.flatnonzero(ranks < COMMON_RANKS)
-        node = (ranks >> (RANK_BITS - depth)) | (1 << depth)
-        bit = (ranks >> (RANK_BITS - 1 - depth)) & 1
-        spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    past = [p[part] for p in sequence.past]
+    for low, high in pairwise(GROUPS):
+        rows = slice(None) if high <= ESCAPE_DEPTH else np.flatnonzero(ranks < COMMON_RANKS)
+        own, depth = ranks[rows], np.arange(low, high)[:, None]
+        spread = ((own >> (RANK_BITS - low)) | (1 << low)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        below = own >> (RANK_BITS - 1 - depth)
+        bit, above, span = below & 1, below >> 1, 1 << (depth - low)
+        place = (above & (span - 1)) | span
+        slots = [(mixed(p[rows] + spread) >> np.uint64(64 - PAST_BITS)).astype(np.int64) ^ place for p in past]
+        yield depth, rows, above | (1 << depth), bit, slots
 
-        def slots(some: np.ndarray, spread=spread) -> list[np.ndarray]:
-            return [(mixed(past[some] + spread[some]) >> np.uint64(64 - PAST_BITS)).astype(np.int64) for past in sequence.past]
 
-        yield depth, rows, node, bit, slots
+def _all_so_far(here: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """By depth and word, whether it holds here, at all depths above, and before."""
+    return np.broadcast_to(before, here.shape) if here.all() else np.logical_and.accumulate(here, axis=0) & before
 
 
-def _past_inputs(depth: int, base: np.ndarray, slots: list[np.ndarray], past: np.ndarray, bit: np.ndarray | None = None):
-    """Inputs, gates, and how often the last word was met before this node; given a bit, without one occurrence of it."""
-    columns, sure = [base], []
-    for j, slot in enumerate(slots):
-        n0, n1 = past[j, slot, 0], past[j, slot, 1]
-        if bit is not None:
-            n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-        columns.append(stretched(n0, n1))
-        sure.append(n0 + n1)
-    gate = depth * 16 + confidence(sure[0]) * 4 + confidence(sure[1])
-    return np.stack([*columns, np.full(len(base), 0.3)], 1), gate, sure[0]
+def _parts(n: int) -> Iterator[slice]:
+    for low in range(0, n, WORDS_IN_TURN):
+        yield slice(low, low + WORDS_IN_TURN)
 
 
 def _past_mixer() -> Mixer:
@@ -208,14 +216,18 @@ class Model:
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
         """Places of words in the common list, -1 for others."""
-        return _found(self.hashes, hashes)
+        return _found(self.hashes, hashes, self.first)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return _first(self.hashes)
 
     @cached_property
     def stretched_past(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Flat nodes, stretched prediction of every slot, confidence of the slots of the last and the last two words, and the weights by input, in single precision."""
+        """Flat nodes, stretched prediction of every slot, confidence of the slots of the last and the last two words, and the weights by input, that of the constant with it, in single precision."""
         seen = self.past[:, :, 0] + self.past[:, :, 1]
         steps = [confidence(n).astype(np.uint8) for n in seen[:2]]
-        weights = np.ascontiguousarray(self.past_mixer.weights.T.astype(np.float32))
+        weights = np.ascontiguousarray((self.past_mixer.weights * ([1.0] * (PAST + 1) + [0.3])).T.astype(np.float32))
         return self.nodes.ravel(), [stretched(n[:, 0], n[:, 1]).astype(np.float32) for n in self.past], steps, weights
 
     def in_turn(self, sequence: _Sequence, at: np.ndarray) -> np.ndarray:
@@ -224,27 +236,31 @@ class Model:
         Where the last word was never met before the bits so far, the class alone predicts the others.
         """
         ranks = np.where(at >= 0, self.places_of[at], -1) if len(self.places_of) else at
-        nodes, stretch, steps, weights = self.stretched_past
-        odds, open_ = np.ones(len(ranks)), np.ones(len(ranks), bool)  # one over the probability
-        home = sequence.classes * self.nodes.shape[1]
-        for depth, rows, node, bit, slots in _steps(sequence, ranks):
-            p = nodes.take(home[rows] + node[rows])
-            at_open = np.flatnonzero(open_[rows])
-            if len(at_open):
-                some = rows[at_open]
-                where = slots(some)
-                sure = steps[0].take(where[0]).astype(np.int64)
-                gate = depth * 16 + sure * 4 + steps[1].take(where[1])
-                logit = weights[0].take(gate) * p[at_open] + weights[-1].take(gate) * np.float32(0.3)
-                for j, slot in enumerate(where):
-                    logit += weights[1 + j].take(gate) * stretch[j].take(slot)
-                met = sure > 0
-                p[at_open[met]] = logit[met]
-                open_[some] = met
-            p = np.minimum(np.maximum(np.where(bit[rows] == 1, -p, p), np.float32(-LIMIT)), np.float32(LIMIT))
-            odds[rows] *= 1 + np.exp(p)
+        odds = np.ones(len(ranks))  # one over the probability
+        for part in _parts(len(ranks)):
+            odds[part] = self._odds(sequence, ranks, part)
         return -np.log10(odds)
 
+    def _odds(self, sequence: _Sequence, ranks: np.ndarray, part: slice) -> np.ndarray:
+        nodes, stretch, steps, weights = self.stretched_past
+        home = sequence.classes[part] * self.nodes.shape[1]
+        odds, open_ = np.ones(len(home)), np.ones(len(home), bool)
+        for depth, rows, node, bit, slots in _steps(sequence, ranks, part):
+            p, sure = nodes.take(home[rows] + node), steps[0].take(slots[0])
+            still = _all_so_far(sure > 0, open_[rows])
+            gate = depth * 16 + (sure * np.uint8(4) + steps[1].take(slots[1]))
+            logit = weights[0].take(gate) * p
+            for j, slot in enumerate(slots):
+                logit += weights[1 + j].take(gate) * stretch[j].take(slot)
+            logit += weights[-1].take(gate)
+            if not still.all():
+                logit = np.where(still, logit, p)
+            logit *= (1 - 2 * bit).astype(np.float32)
+            np.minimum(np.maximum(logit, np.float32(-LIMIT), out=logit), np.float32(LIMIT), out=logit)
+            odds[rows] *= np.prod(1 + np.exp(logit, out=logit), axis=0, dtype=np.float64)
+            open_[rows] = still[-1]
+        return odds
+
     def rare(self, counts: np.ndarray, own: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 probability, after the escape, of uncommon words met ``counts`` times, ``own`` times of these in texts of the class."""
         at = _bucket(counts)
@@ -263,12 +279,23 @@ class Model:
         return total
 
 
-def _found(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _first(sorted_hashes: np.ndarray) -> np.ndarray:
+    """Where hashes with the same first bits begin among the sorted ones."""
+    return np.searchsorted(sorted_hashes >> np.uint64(64 - FIRST_BITS), np.arange((1 << FIRST_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
+
+def _found(sorted_hashes: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where the hashes stand among the sorted ones, -1 for others."""
-    if not len(sorted_hashes):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == hashes, at, -1)
+    out, top = np.full(len(hashes), -1), (hashes >> np.uint64(64 - FIRST_BITS)).astype(np.int64)
+    at, end = first.take(top), first.take(top + 1)
+    left = np.flatnonzero(at < end)
+    at, end = at[left], end[left]
+    while len(left):
+        hit = sorted_hashes.take(at) == hashes[left]
+        out[left[hit]] = at[hit]
+        more = ~hit & (at + 1 < end)
+        left, at, end = left[more], at[more] + 1, end[more]
+    return out
 
 
 def _node_logits(probabilities: np.ndarray) -> np.ndarray:
@@ -282,53 +309,140 @@ def _node_logits(probabilities: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(ranks_of):
+    """Texts of a part as a sequence of words with their ranks, -1 for others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Sequence, np.ndarray]]:
+        hashes, places_of = ranks_of
+        rolling, first = Rolling(6), _first(hashes)
+        for _, texts in byte_batches(batches):
+            sequence = _Sequence.of(_Batch.of(texts, rolling))
+            at = _found(hashes, sequence.hashes, first)
+            yield sequence, np.where(at >= 0, places_of[at], -1) if len(places_of) else at
+
+    return run
+
+
+def _sums(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(totals)
+    for low in range(0, len(at), 200_000):
+        some = at[low : low + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some].astype(np.int64))], names=["at", "n"])
+
+
+_ONE = np.int32(1)
+
+
 def _past_counts(ranks_of):
     """Counts of bits by slot over one part of the training texts; slots count on over the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, places_of), rolling = ranks_of(), Rolling(6)
         size = 2 << PAST_BITS
-        totals = np.zeros(PAST * size, np.int64)
-        for _, texts in byte_batches(batches):
-            sequence = _Sequence.of(_Batch.of(texts, rolling))
-            at = _found(hashes, sequence.hashes)
-            for _, rows, _, bit, slots in _steps(sequence, np.where(at >= 0, places_of[at], -1) if len(places_of) else at):
-                for j, slot in enumerate(slots(rows)):
-                    np.add.at(totals, j * size + 2 * slot + bit[rows], 1)
-        at = np.flatnonzero(totals)
-        for low in range(0, len(at), 200_000):
-            some = at[low : low + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], names=["at", "n"])
+        totals, new, words = np.zeros((PAST, size), np.int64), np.zeros((PAST, size), np.int32), 0
+        for sequence, ranks in _places(ranks_of())(batches):
+            for part in _parts(len(ranks)):
+                for _, _, _, bit, slots in _steps(sequence, ranks, part):
+                    for count, slot in zip(new, slots):
+                        np.add.at(count, (2 * slot + bit).ravel(), _ONE)
+                words += WORDS_IN_TURN
+                if words >= 1 << 26:  # a word adds at most one for each bit
+                    totals += new
+                    new[:], words = 0, 0
+        totals += new
+        yield from _sums(totals.ravel())
 
     return run
 
 
-def _past_weights(known_of):
-    """Weights of preceding words learned online over one part of the sample, to be averaged over the parts."""
+def _level(x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEVEL_EDGES, x, "right")
+
+
+def _without_one(past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts (slot, bit): what a slot predicts, and how often it was met, without one occurrence of the bit; by slot and bit."""
+    n0, n1 = past[:, 0], past[:, 1]
+    less0, less1 = np.maximum(n0 - 1, 0), np.maximum(n1 - 1, 0)
+    x = np.stack([stretched(less0, n1), stretched(n0, less1)], 1).ravel()
+    return x, np.stack([less0 + n1, n0 + less1], 1).ravel()
+
+
+def _past_codes(past: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each context: the level of an occurrence of a bit in a slot, for the first two with how often it was met; and the mean prediction of each level over all occurrences."""
+    codes, means = [], np.zeros((PAST, LEVELS))
+    for j, counts in enumerate(past):
+        x, met = _without_one(counts)
+        level, n = _level(x), counts.ravel().astype(float)
+        means[j] = np.bincount(level, x * n, LEVELS) / np.maximum(np.bincount(level, n, LEVELS), 1)
+        codes.append((level + LEVELS * confidence(met) if j < 2 else level).astype(np.uint8))
+    return codes, means
+
+
+def _past_cells(known_of):
+    """Occurrences of bits in one part of the training texts, by depth, the levels of their predictions, how often the last and the last two words were met, and the bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, places_of, nodes, past), rolling, mixer = known_of(), Rolling(6), _past_mixer()
-        seen = np.zeros(PAST_GATES)
-        for _, texts in byte_batches(batches):
-            sequence = _Sequence.of(_Batch.of(texts, rolling))
-            at = _found(hashes, sequence.hashes)
-            open_ = np.ones(len(at), bool)
-            for depth, rows, node, bit, slots in _steps(sequence, np.where(at >= 0, places_of[at], -1) if len(places_of) else at):
-                some = rows[open_[rows]]
-                base = nodes[sequence.classes[some], node[some]].astype(float)
-                inputs, gate, met = _past_inputs(depth, base, slots(some), past, bit[some])
-                open_[some] = met > 0
-                inputs, gate, own = inputs[met > 0], gate[met > 0], bit[some][met > 0]
-                for low in range(0, len(own), LEARNED_AT_ONCE):
-                    part = slice(low, low + LEARNED_AT_ONCE)
-                    mixer.learn(inputs[part], gate[part], own[part], np.ones(len(own[part])))
-                seen += np.bincount(gate, minlength=PAST_GATES)
-        values = np.concatenate(((mixer.weights * seen[:, None]).ravel(), seen))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "n"])
+        ranks_of, levels, codes = known_of()
+        width, flat = levels.shape[1], levels.ravel()
+        totals = np.zeros(RANK_BITS * CELLS, np.int64)
+        for sequence, ranks in _places(ranks_of)(batches):
+            for part in _parts(len(ranks)):
+                home = sequence.classes[part] * width
+                open_ = np.ones(len(home), bool)
+                for depth, rows, node, bit, slots in _steps(sequence, ranks, part):
+                    last, two, homely = (code.take(2 * slot + bit) for code, slot in zip(codes, slots))
+                    # words go on while the last word was met without this occurrence
+                    still = _all_so_far(last >= LEVELS, open_[rows])
+                    cell = depth * LEVELS + homely
+                    for size, level in ((4 * LEVELS, two), (4 * LEVELS, last), (LEVELS, flat.take(home[rows] + node)), (2, bit)):
+                        cell *= size
+                        cell += level
+                    np.add.at(totals, cell.ravel() if still.all() else cell[still], 1)
+                    open_[rows] = still[-1]
+        yield from _sums(totals)
 
     return run
 
 
+def _past_weights(cells: np.ndarray, base_means: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Weights of the predictions for each gate: those under which the bits of all counted occurrences are likeliest, by Newton's method."""
+    weights = _past_mixer().weights
+    at = np.flatnonzero(cells)
+    n, depth, code = cells[at], at // CELLS, at % CELLS
+    parts = []
+    for size in (2, LEVELS, LEVELS, 4, LEVELS, 4, LEVELS):
+        parts.append(code % size)
+        code = code // size
+    bit, own, last, met, two, met_two, homely = parts
+    inputs = np.stack([base_means[depth, own], means[0, last], means[1, two], means[2, homely], np.full(len(n), 0.3)], 1)
+    gate = depth * 16 + met * 4 + met_two
+    order = np.argsort(gate, kind="stable")
+    ends = np.searchsorted(gate[order], np.arange(PAST_GATES + 1))
+    for g, (low, high) in enumerate(pairwise(ends)):
+        rows, start, w = order[low:high], weights[g].copy(), weights[g].copy()
+        if low == high:
+            continue
+        x, y, m = inputs[rows], bit[rows], n[rows]
+
+        def loss(w, x=x, y=y, m=m, start=start):
+            z = np.clip(x @ w, -LIMIT, LIMIT)
+            return (m * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + FIRM / 2 * ((w - start) ** 2).sum()
+
+        now = loss(w)
+        for _ in range(20):
+            p = squashed(x @ w)
+            slope = x.T @ (m * (p - y)) + FIRM * (w - start)
+            step = np.linalg.solve((x * (m * p * (1 - p))[:, None]).T @ x + FIRM * np.eye(len(w)), slope)
+            while (then := loss(w - step)) > now and np.abs(step).max() > 1e-6:
+                step = step / 2
+            if then >= now:
+                break
+            w, now, gain = w - step, then, now - then
+            if gain < 1e-6 * now:
+                break
+        weights[g] = w
+    return weights
+
+
 def _bucket(counts: np.ndarray) -> np.ndarray:
     """Counts to 8 by themselves, larger ones by powers of two."""
     return np.where(counts <= 8, counts, 6 + np.floor(np.log2(np.maximum(counts, 1)))).astype(np.int64)
@@ -338,6 +452,13 @@ def _bucket_of(count):
     return F.when(count <= 8, count).otherwise(6 + F.floor(F.log2(count.cast("double")))).cast("int")
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and how often each is there."""
+    rows = rows[np.lexsort(rows.T)]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))))
+    return rows[first], np.diff(np.append(first, len(rows)))
+
+
 def _rank_model(counts: np.ndarray) -> np.ndarray:
     """log10 probabilities of ranks for each class, from counts (class, rank).
 
@@ -351,43 +472,35 @@ def _rank_model(counts: np.ndarray) -> np.ndarray:
             level = level.reshape(-1, 2).sum(1)
         nodes.append(levels[::-1])
     mixer = Mixer(RANK_BITS * 4, 3)
-    rng = np.random.default_rng(8)
 
-    def events(cls: int, depth: int, bit: np.ndarray | None):
-        """Inputs and gates at all nodes of a depth; given a bit, without one occurrence of it."""
+    def events(parts: list[np.ndarray], depth: int, bit: int | None):
+        """Inputs and gates at nodes with these counts in the class and in all; given a bit, without one occurrence of it."""
         out, gate = [], None
-        for source in (cls, CLASSES):
-            n = nodes[source][depth]
+        for n in parts:
             n0, n1 = (n[:, 0], n[:, 1]) if bit is None else (np.maximum(n[:, 0] - (bit == 0), 0), np.maximum(n[:, 1] - (bit == 1), 0))
             out.append(stretched(n0, n1))
             gate = confidence(n0 + n1) if gate is None else gate
         return np.stack([*out, np.full(len(out[0]), 0.3)], 1), gate + 4 * depth
 
     present = [c for c in range(CLASSES) if counts[c].sum()]
+    learned = []  # all nodes, those with equal counts at once
+    for cls in present:
+        for depth in range(RANK_BITS):
+            for value in (0, 1):
+                rows = np.flatnonzero(nodes[cls][depth][:, value])
+                if len(rows):
+                    both = np.concatenate([nodes[s][depth][rows] for s in (cls, CLASSES)], 1)
+                    both, many = _distinct(both)
+                    inputs, gate = events([both[:, :2], both[:, 2:]], depth, value)
+                    learned.append((inputs, gate, value, both[:, value] * many))
     for _ in range(40):
-        for cls in present:
-            for depth in range(RANK_BITS):
-                for value in (0, 1):
-                    weight = nodes[cls][depth][:, value]
-                    rows = np.flatnonzero(weight)
-                    if len(rows) > 2048:
-                        rows = rng.choice(rows, 2048, replace=False)
-                    if not len(rows):
-                        continue
-                    inputs, gate = events(cls, depth, np.full(len(weight), value)) if len(weight) <= 4096 else (None, None)
-                    if inputs is None:
-                        part = [(nodes[s][depth][rows, 0], nodes[s][depth][rows, 1]) for s in (cls, CLASSES)]
-                        part = [(np.maximum(a - (value == 0), 0), np.maximum(b - (value == 1), 0)) for a, b in part]
-                        inputs = np.stack([*(stretched(a, b) for a, b in part), np.full(len(rows), 0.3)], 1)
-                        gate = confidence(part[0][0] + part[0][1]) + 4 * depth
-                    else:
-                        inputs, gate = inputs[rows], gate[rows]
-                    mixer.learn(inputs, gate, np.full(len(rows), value), weight[rows].astype(float))
+        for inputs, gate, value, weight in learned:
+            mixer.learn(inputs, gate, np.full(len(gate), value), weight.astype(float))
     out = np.zeros((CLASSES, 1 << RANK_BITS))
     for cls in range(CLASSES):
         total = np.zeros(1)
         for depth in range(RANK_BITS):
-            inputs, gate = events(cls, depth, None)
+            inputs, gate = events([nodes[s][depth] for s in (cls, CLASSES)], depth, None)
             p = np.clip(squashed(mixer.mix(inputs, gate)), 1e-6, 1 - 1e-6)
             total = (total[:, None] + np.log10(np.stack([1 - p, p], 1))).ravel()
         out[cls] = total
@@ -502,22 +615,28 @@ def trained(counts: DataFrame, texts: DataFrame) -> tuple[Model, DataFrame]:
     hashes = _word_hashes(words, Rolling(6)) if words else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     nodes, bucket = _node_logits(probabilities), probabilities[:, COMMON_RANKS:]
-    del probabilities, by_rank
+    del probabilities
     ranked = spark.sparkContext.broadcast((hashes[order], order))
     tasks = spark.sparkContext.defaultParallelism  # one table for each, as a table is as large as the counts of many texts
     size = PAST * 2 << PAST_BITS
-    past = _gathered(texts.select("text").coalesce(tasks).mapInArrow(_past_counts(lambda: ranked.value), "at int, n long"), size)
+    texts = texts.select("text").coalesce(tasks)
+    past = _gathered(texts.mapInArrow(_past_counts(lambda: ranked.value), "at int, n long"), size)
     past = past.reshape(PAST, -1, 2).astype(np.float32)
-    n_texts = texts.count()
-    below = -(1 << 63) + min((1 << 64) - 1, LEARNED_ROWS * (1 << 64) // max(n_texts, 1))
-    # a fixed number of learners, each with its texts in a fixed order, so that the weights do not depend on the cluster
-    sample = texts.where(F.xxhash64("key") <= below).repartition(LEARNERS, "key").sortWithinPartitions("key").select("text")
-    known_past = spark.sparkContext.broadcast((hashes[order], order, nodes, past))
-    learned = _gathered(sample.mapInArrow(_past_weights(lambda: known_past.value), "at long, n double"), PAST_GATES * (PAST + 3))
-    sums, seen = np.split(learned, [PAST_GATES * (PAST + 2)])
-    past_mixer = _past_mixer()
-    past_mixer.weights[seen > 0] = sums.reshape(PAST_GATES, -1)[seen > 0] / seen[seen > 0, None]
+    # every occurrence in all training texts by its cell, so that the weights depend neither on a sample nor on the cluster
+    codes, means = _past_codes(past)
+    levels = _level(nodes)
+    base_means = np.zeros((RANK_BITS, LEVELS))
+    for depth in range(RANK_BITS):
+        at = slice(1 << depth, 2 << depth)
+        met, level = by_rank.reshape(CLASSES, 1 << depth, -1).sum(2).ravel(), levels[:, at].ravel()
+        base_means[depth] = np.bincount(level, met * nodes[:, at].ravel(), LEVELS) / np.maximum(np.bincount(level, met, LEVELS), 1)
+    del by_rank
+    known_past = spark.sparkContext.broadcast(((hashes[order], order), levels.astype(np.uint8), codes))
+    occurrences = _gathered(texts.mapInArrow(_past_cells(lambda: known_past.value), "at int, n long"), RANK_BITS * CELLS)
     known_past.destroy()
+    past_mixer = _past_mixer()
+    past_mixer.weights = _past_weights(occurrences, base_means, means)
+    del occurrences, codes, levels
 
     escape = np.log10((10**bucket).sum(1))
     model = Model(tokens, distinct, hashes[order], rows.column("c").to_numpy()[order].astype(np.int64), bucket, escape, places, at_home, order, nodes, past, past_mixer,

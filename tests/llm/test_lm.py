@@ -120,3 +120,36 @@ def test_words_in_turn_add_up():
     turn = lm._Sequence(np.zeros(n, int), np.zeros(n, np.uint64), np.zeros(n, int), [np.full(n, k, np.uint64) for k in (5, 6, 7)])
     model = lm.Model(0, 0, *[np.zeros(0)] * 6, np.arange(n - 1), nodes, past, mixer, past, mixer, None)
     assert (10 ** model.in_turn(turn, np.append(np.arange(n - 1), -1))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_weights_are_learned_from_every_training_text(spark, monkeypatch):
+    given, learn = [], lm._past_weights
+    monkeypatch.setattr(lm, "_past_weights", lambda cells, *means: given.append(cells) or learn(cells, *means))
+    rows = [(i, prose(i // 2, 40)) for i in range(60)]  # in copies, so that every last word was met elsewhere
+    lm.scores(frame(spark, rows), "doc_id >= 50").collect()
+    n_tokens = sum(len(tokens(x)) for i, x in rows if i < 50)
+    assert given[0].reshape(lm.RANK_BITS, -1).sum(1)[: lm.ESCAPE_DEPTH].tolist() == [n_tokens] * lm.ESCAPE_DEPTH
+
+
+def test_rank_model_learns_from_every_node(monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = np.zeros((lm.CLASSES, 1 << lm.RANK_BITS))
+    counts[1, :20000] = rng.integers(1, 9, 20000)
+    monkeypatch.setattr(np.random, "default_rng", None)  # nothing is drawn
+    assert (10 ** lm._rank_model(counts)[1]).sum() == pytest.approx(1)
+
+
+def test_weights_make_the_counted_bits_likeliest():
+    rng = np.random.default_rng(6)
+    means = np.stack([np.linspace(-4, 4, lm.LEVELS)] * lm.PAST)
+    base_means = np.stack([means[0]] * lm.RANK_BITS)
+    want, cells = np.array([0.3, 0.8, -0.2, 0.5, 0.4]), np.zeros(lm.RANK_BITS * lm.CELLS)
+    level = rng.integers(0, lm.LEVELS, (4, 200_000))
+    x = np.stack([*means[0][level], np.full(level.shape[1], 0.3)], 1)
+    bit = rng.random(len(x)) < squashed(x @ want)
+    n = lm.LEVELS
+    at = ((((level[3] * 4 + 2) * n + level[2]) * 4 + 1) * n + level[1]) * n + level[0]
+    np.add.at(cells, 3 * lm.CELLS + 2 * at + bit, 1)
+    weights = lm._past_weights(cells, base_means, means)
+    assert weights[3 * 16 + 1 * 4 + 2] == pytest.approx(want, abs=0.05)
+    assert (np.delete(weights, 3 * 16 + 6, 0) == lm._past_mixer().weights[0]).all()
