@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import Rolling, byte_batches, doc_key, mixed, word_spans, written
-from tablescout.llm.mixing_model import CONTEXTS, GATES, LIMIT, SLOT_BITS, STEPS, Mixer, Refinement, Spelling, confidence, inputs_of, squashed, stretched
+from tablescout.llm.mixing_model import CONTEXTS, GATES, LIMIT, SLOT_BITS, STEPS, Mixer, Refinement, Spelling, confidence, inputs_of, predictions, squashed, stretched
 
 RANK_BITS = 17
 BUCKETS = 64
@@ -37,6 +37,7 @@ COMMON_RANKS = COMMON
 COMMON_FROM = 8
 CLASSES = 16
 WORDS_AT_ONCE = 20_000
+WORDS_HELD = 600_000  # counted rows of a task before they are added up
 ESCAPE_DEPTH = RANK_BITS - 6  # the buckets are the last ranks, behind as many bits that are all set
 PAST = 3
 FIRST_BITS = 18
@@ -99,20 +100,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     The end of a text counts as the empty word.
     """
 
+    def merged(held: list[tuple]) -> tuple:
+        keys, words, classes, train, texts = zip(*held)
+        _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        sums = [np.bincount(where, np.concatenate(n), len(first)).astype(np.int64) for n in (train, texts)]
+        return pa.concat_arrays(words).take(pa.array(first)), np.concatenate(classes)[first], *sums
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(6)
+        rolling, held = Rolling(6), []
+
+        def rows() -> pa.RecordBatch:
+            columns = merged(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "class", "train", "texts"])
+
         for part, texts in byte_batches(batches):
             b = _Batch.of(texts, rolling)
             train = part.column("train").to_numpy(zero_copy_only=False)
             own = b.classes[b.owner]
-            _, first, where = np.unique(b.hashes + mixed(own.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
+            keys, first, where = np.unique(b.hashes + mixed(own.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
             counts = [np.bincount(where, train[b.owner], len(first)).astype(np.int64), np.bincount(where, minlength=len(first))]
             ends = np.unique(b.classes)
             closed = [np.array([w[b.classes == c].sum() for c in ends], np.int64) for w in (train, np.ones(len(train)))]
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([b.words(first), pa.array([""] * len(ends), pa.string())]),
-                pa.array(np.concatenate((own[first], ends))), *(pa.array(np.concatenate(x)) for x in zip(counts, closed)),
-            ], names=["word", "class", "train", "texts"])
+            held.append((
+                np.concatenate((keys, _EMPTY + mixed(ends.astype(np.uint64) + np.uint64(1)))),
+                pa.concat_arrays([b.words(first), pa.array([""] * len(ends), pa.string())]), np.concatenate((own[first], ends)),
+                *(np.concatenate(x) for x in zip(counts, closed)),
+            ))
+            if sum(len(h[0]) for h in held) >= WORDS_HELD:
+                yield rows()
+        if held:
+            yield rows()
 
     found = docs.select("text", "train").mapInArrow(run, _COUNTED)
     return found.groupBy("word", "class").agg(F.sum("train").alias("train"), F.sum("texts").alias("texts"))
@@ -268,11 +286,15 @@ class Model:
         place = np.where(own > 0, self.at_home[classes] / np.maximum(within, 1), 0) + (1 - self.at_home[classes]) / np.maximum(all_of, 1)
         return self.bucket[classes, at] - self.escape[classes] + np.where(counts > 0, np.log10(place), 0)
 
+    @cached_property
+    def found(self) -> tuple[list[np.ndarray], np.ndarray]:
+        return predictions(self.tables)
+
     def spelled(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
         """log10 probability of the bytes of each word and their end, in a text of the class."""
         spelling, total = Spelling(words, classes, Rolling(7)), np.zeros(len(words))
         for bit, slots, head in spelling.bits():
-            inputs, known = inputs_of(slots, self.tables)
+            inputs, known = inputs_of(slots, self.found)
             gate = head + 256 * known
             p = self.refinement.refined(self.mixer.mix(inputs, gate), gate)
             total += np.bincount(spelling.word, np.log10(np.where(bit == 1, p, 1 - p)), len(words))
@@ -535,13 +557,13 @@ def _mixer_rows(tables_of):
     """Weights and shares of ones learned online over one part of the words, to be averaged over the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, mixer, rolling = tables_of(), Mixer(GATES, CONTEXTS + 1), Rolling(7)
+        found, mixer, rolling = predictions(tables_of(), True), Mixer(GATES, CONTEXTS + 1), Rolling(7)
         seen, ones, cells = np.zeros(GATES), np.zeros(4 * STEPS), np.zeros(4 * STEPS)
         for words, classes, weight in _spelled_words(batches):
             spelling = Spelling(words, classes, rolling)
             n = weight[spelling.word].astype(float)
             for bit, slots, head in spelling.bits():
-                inputs, known = inputs_of(slots, tables, bit)
+                inputs, known = inputs_of(slots, found, bit)
                 gate = head + 256 * known
                 logit = mixer.learn(inputs, gate, bit, n)
                 cell = Refinement.cell(logit, gate)

@@ -41,7 +41,11 @@ class Mixer:
         self.squares = np.full((gates, inputs), 1e-3)
 
     def mix(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", inputs, self.weights[gate]), -LIMIT, LIMIT)
+        weights = np.ascontiguousarray(self.weights.T)
+        logit = weights[0].take(gate) * inputs[:, 0]
+        for j in range(1, inputs.shape[1]):
+            logit += weights[j].take(gate) * inputs[:, j]
+        return np.clip(logit, -LIMIT, LIMIT)
 
     def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> np.ndarray:
         logit = self.mix(inputs, gate)
@@ -108,16 +112,30 @@ class Spelling:
             yield bit, slots, head.astype(np.int64)
 
 
-def inputs_of(slots: list[np.ndarray], tables: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions of the contexts with a constant, and a gate from how well the last four bytes are known.
+def _predictions(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return stretched(n0, n1).astype(np.float32)
 
-    With ``bit`` each context leaves the present occurrence out of its counts, as it would be for a new text.
+
+def predictions(tables: np.ndarray, without_one: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Stretched prediction of every slot of each context, and how well the slots of the last four bytes are known.
+
+    ``without_one`` gives them by slot and bit, for a present occurrence of the bit that is left out of the counts, as it would be
+    for a new text.
     """
-    columns, known = [], None
-    for j, slot in enumerate(slots):
-        n0, n1 = tables[j, slot, 0], tables[j, slot, 1]
-        if bit is not None:
-            n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-        columns.append(stretched(n0, n1))
-        known = n0 + n1 if j == 3 else known
-    return np.stack([*columns, np.full(len(slots[0]), 0.3)], 1), confidence(known)
+    found, known = [], None
+    for j, (n0, n1) in enumerate((t[:, 0], t[:, 1]) for t in tables):
+        if without_one:
+            less0, less1 = np.maximum(n0 - 1, 0), np.maximum(n1 - 1, 0)
+            found.append(np.stack([_predictions(less0, n1), _predictions(n0, less1)], 1).ravel())
+            known = np.stack([less0 + n1, n0 + less1], 1).ravel() if j == 3 else known
+        else:
+            found.append(_predictions(n0, n1))
+            known = n0 + n1 if j == 3 else known
+    return found, confidence(known).astype(np.uint8)
+
+
+def inputs_of(slots: list[np.ndarray], found: tuple[list[np.ndarray], np.ndarray], bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of the contexts with a constant, and a gate from how well the last four bytes are known; with ``bit`` from those without one."""
+    at = slots if bit is None else [2 * slot + bit for slot in slots]
+    columns = [x.take(spot) for x, spot in zip(found[0], at)]
+    return np.stack([*columns, np.full(len(slots[0]), 0.3)]).T, found[1].take(at[3]).astype(np.int64)
