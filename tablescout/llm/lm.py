@@ -45,6 +45,8 @@ PAST_BITS = 19
 PAST_GATES = RANK_BITS * 16
 GROUPS = [0, 4, 8, ESCAPE_DEPTH, ESCAPE_DEPTH + 4, RANK_BITS]  # of bits of a rank
 WORDS_IN_TURN = 16_384  # worked on at once
+TEXT_AT_ONCE = 1 << 20  # bytes, as the hashes of a text take about 40 times its bytes
+BLOCK = 1 << 12  # counts in a row
 LEVEL_EDGES = np.array([-4.5, -2.5, -1.2, -0.2, 0.2, 1.2, 2.5, 4.5])
 LEVELS = len(LEVEL_EDGES) + 1  # of a prediction, by which occurrences are counted
 CELLS = LEVELS * 4 * LEVELS * 4 * LEVELS * LEVELS * 2  # of a depth
@@ -114,7 +116,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "class", "train", "texts"])
 
-        for part, texts in byte_batches(batches):
+        for part, texts in byte_batches(batches, limit=TEXT_AT_ONCE):
             b = _Batch.of(texts, rolling)
             train = part.column("train").to_numpy(zero_copy_only=False)
             own = b.classes[b.owner]
@@ -159,23 +161,22 @@ class _Sequence:
 
 
 def _steps(sequence: _Sequence, ranks: np.ndarray, part: slice):
-    """Groups of bits of the ranks (-1: escape) of some of the words: depths, the words that have them, and by depth and word the nodes, the bits and the slots for each context.
+    """Groups of bits of the ranks (-1: escape) of some of the words: depths, the words that have them, by depth and word the bits so far behind a one, of the rank
+    and of the group, and the place of the group in the table of each context.
 
-    Slots of a group lie within neighbours, in an order of their own for each context, so that a context is hashed once for a group
-    and read from one or two lines of the cache.
+    Without their last bit, bits behind a one are a node. Slots of a group lie within neighbours, in an order of their own for each context, so that a context is hashed once for a group
+    and read from one or two lines of the cache: place ^ node is a slot, and 2 * place ^ bits that of a bit.
     """
     ranks = ranks[part]
-    ranks = np.where(ranks < 0, COMMON_RANKS, ranks)
+    ranks = np.where(ranks < 0, COMMON_RANKS, ranks) | (1 << RANK_BITS)
     past = [p[part] for p in sequence.past]
     for low, high in pairwise(GROUPS):
-        rows = slice(None) if high <= ESCAPE_DEPTH else np.flatnonzero(ranks < COMMON_RANKS)
+        rows = slice(None) if high <= ESCAPE_DEPTH else np.flatnonzero(ranks < COMMON_RANKS + (1 << RANK_BITS))
         own, depth = ranks[rows], np.arange(low, high)[:, None]
-        spread = ((own >> (RANK_BITS - low)) | (1 << low)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        below = own >> (RANK_BITS - 1 - depth)
-        bit, above, span = below & 1, below >> 1, 1 << (depth - low)
-        place = (above & (span - 1)) | span
-        slots = [(mixed(p[rows] + spread) >> np.uint64(64 - PAST_BITS)).astype(np.int64) ^ place for p in past]
-        yield depth, rows, above | (1 << depth), bit, slots
+        spread = (own >> (RANK_BITS - low)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        bits, one = own >> (RANK_BITS - 1 - depth), 2 << (depth - low)
+        places = [(mixed(p[rows] + spread) >> np.uint64(64 - PAST_BITS)).view(np.int64) for p in past]
+        yield depth, rows, bits, (bits & (one - 1)) | one, places
 
 
 def _all_so_far(here: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -216,18 +217,24 @@ class Model:
     mixer: Mixer
     refinement: Refinement
 
-    def plain(self) -> dict:
-        """The fields as numbers and arrays, as broadcasts are read where this package may be missing."""
-        own = {f.name: getattr(self, f.name) for f in fields(self)}
-        return {**own, "mixer": self.mixer.weights, "past_mixer": self.past_mixer.weights, "refinement": (self.refinement.ones, self.refinement.seen)}
+    def plain(self, *names: str) -> dict:
+        """Some fields and tables as numbers and arrays, as broadcasts are read where this package may be missing."""
+        own = {name: getattr(self, name) for name in names}
+        own |= {"mixer": self.mixer.weights} if "mixer" in names else {}
+        return own | ({"refinement": (self.refinement.ones, self.refinement.seen)} if "refinement" in names else {})
 
     @staticmethod
     def of(plain: dict) -> Model:
-        mixer = Mixer(GATES, CONTEXTS + 1)
-        mixer.weights = plain["mixer"]
-        past_mixer = _past_mixer()
-        past_mixer.weights = plain["past_mixer"]
-        return Model(**{**plain, "mixer": mixer, "past_mixer": past_mixer, "refinement": Refinement(*plain["refinement"])})
+        own = dict.fromkeys((f.name for f in fields(Model))) | plain
+        if "mixer" in plain:
+            own["mixer"] = Mixer(GATES, CONTEXTS + 1)
+            own["mixer"].weights = plain["mixer"]
+        if "refinement" in plain:
+            own["refinement"] = Refinement(*plain["refinement"])
+        tables = {name: own.pop(name) for name in ("stretched_past", "found") if name in own}
+        model = Model(**own)
+        vars(model).update(tables)
+        return model
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
@@ -241,12 +248,13 @@ class Model:
         return _first(self.hashes)
 
     @cached_property
-    def stretched_past(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Flat nodes, stretched prediction of every slot, confidence of the slots of the last and the last two words, and the weights by input, that of the constant with it, in single precision."""
+    def stretched_past(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+        """Flat nodes, stretched prediction of every slot, confidence of the slots of the last word (four times) and the last two words, and by gate the weights and what the constant gives, in single precision."""
         seen = self.past[:, :, 0] + self.past[:, :, 1]
-        steps = [confidence(n).astype(np.uint8) for n in seen[:2]]
-        weights = np.ascontiguousarray((self.past_mixer.weights * ([1.0] * (PAST + 1) + [0.3])).T.astype(np.float32))
-        return self.nodes.ravel(), [stretched(n[:, 0], n[:, 1]).astype(np.float32) for n in self.past], steps, weights
+        steps = [confidence(seen[0]).astype(np.uint8) * np.uint8(4), confidence(seen[1]).astype(np.uint8)]
+        weights = self.past_mixer.weights.astype(np.float32)
+        constant = (self.past_mixer.weights[:, -1] * 0.3).astype(np.float32)
+        return self.nodes.ravel(), [stretched(n[:, 0], n[:, 1]).astype(np.float32) for n in self.past], steps, np.ascontiguousarray(weights[:, :-1]), constant
 
     def in_turn(self, sequence: _Sequence, at: np.ndarray) -> np.ndarray:
         """log10 probability of each word (its place in the common list, -1: the escape) after the words before it.
@@ -260,22 +268,34 @@ class Model:
         return -np.log10(odds)
 
     def _odds(self, sequence: _Sequence, ranks: np.ndarray, part: slice) -> np.ndarray:
-        nodes, stretch, steps, weights = self.stretched_past
-        home = sequence.classes[part] * self.nodes.shape[1]
+        nodes, stretch, steps, weights, constant = self.stretched_past
+        weights = weights.view(np.complex128).ravel()  # the four of a gate are read at once
+        home = sequence.classes[part] * (1 << RANK_BITS)
         odds, open_ = np.ones(len(home)), np.ones(len(home), bool)
-        for depth, rows, node, bit, slots in _steps(sequence, ranks, part):
-            p, sure = nodes.take(home[rows] + node), steps[0].take(slots[0])
-            still = _all_so_far(sure > 0, open_[rows])
-            gate = depth * 16 + (sure * np.uint8(4) + steps[1].take(slots[1]))
-            logit = weights[0].take(gate) * p
+        for depth, rows, bits, within, places in _steps(sequence, ranks, part):
+            node = within >> 1
+            slots = [place ^ node for place in places]
+            np.right_shift(bits, 1, out=node)
+            node += home[rows]
+            p, gate = nodes.take(node), steps[0].take(slots[0])
+            still = _all_so_far(gate > 0, open_[rows])
+            gate += steps[1].take(slots[1])
+            gate = depth * 16 + gate
+            weight = weights.take(gate).view(np.float32).reshape(*gate.shape, PAST + 1)
+            logit = weight[:, :, 0] * p
             for j, slot in enumerate(slots):
-                logit += weights[1 + j].take(gate) * stretch[j].take(slot)
-            logit += weights[-1].take(gate)
+                logit += weight[:, :, 1 + j] * stretch[j].take(slot)
+            logit += constant.take(gate)
             if not still.all():
                 logit = np.where(still, logit, p)
-            logit *= (1 - 2 * bit).astype(np.float32)
-            np.minimum(np.maximum(logit, np.float32(-LIMIT), out=logit), np.float32(LIMIT), out=logit)
-            odds[rows] *= np.prod(1 + np.exp(logit, out=logit), axis=0, dtype=np.float64)
+            np.clip(logit, np.float32(-LIMIT), np.float32(LIMIT), out=logit)
+            turned = bits.astype(np.uint32)
+            turned <<= np.uint32(31)  # the sign changes with the bit
+            turned ^= logit.view(np.uint32)
+            np.exp(turned.view(np.float32), out=logit)
+            logit += np.float32(1)
+            for factor in logit:
+                odds[rows] *= factor
             open_[rows] = still[-1]
         return odds
 
@@ -337,7 +357,7 @@ def _places(ranks_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Sequence, np.ndarray]]:
         hashes, places_of = ranks_of
         rolling, first = Rolling(6), _first(hashes)
-        for _, texts in byte_batches(batches):
+        for _, texts in byte_batches(batches, limit=TEXT_AT_ONCE):
             sequence = _Sequence.of(_Batch.of(texts, rolling))
             at = _found(hashes, sequence.hashes, first)
             yield sequence, np.where(at >= 0, places_of[at], -1) if len(places_of) else at
@@ -346,31 +366,32 @@ def _places(ranks_of):
 
 
 def _sums(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
-    at = np.flatnonzero(totals)
-    for low in range(0, len(at), 200_000):
-        some = at[low : low + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some].astype(np.int64))], names=["at", "n"])
+    """Blocks of neighbouring counts, where there are any, as rows: one for each count would be as many rows as the texts have words."""
+    blocks = np.pad(totals, (0, -len(totals) % BLOCK)).reshape(-1, BLOCK)
+    at = np.flatnonzero(blocks.any(1))
+    for low in range(0, len(at), 128):
+        some = at[low : low + 128]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([b.astype("<i8").tobytes() for b in blocks[some]], pa.binary())], names=["at", "counts"])
 
 
 _ONE = np.int32(1)
+_MANY_WORDS = 1 << 26  # a word adds at most one for each bit
 
 
 def _past_counts(ranks_of):
     """Counts of bits by slot over one part of the training texts; slots count on over the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 2 << PAST_BITS
-        totals, new, words = np.zeros((PAST, size), np.int64), np.zeros((PAST, size), np.int32), 0
+        totals, words = np.zeros((PAST, 2 << PAST_BITS), np.int32), 0
         for sequence, ranks in _places(ranks_of())(batches):
             for part in _parts(len(ranks)):
-                for _, _, _, bit, slots in _steps(sequence, ranks, part):
-                    for count, slot in zip(new, slots):
-                        np.add.at(count, (2 * slot + bit).ravel(), _ONE)
-                words += WORDS_IN_TURN
-                if words >= 1 << 26:  # a word adds at most one for each bit
-                    totals += new
-                    new[:], words = 0, 0
-        totals += new
+                for _, _, _, within, places in _steps(sequence, ranks, part):
+                    for count, place in zip(totals, places):
+                        np.add.at(count, (2 * place ^ within).ravel(), _ONE)
+            words += len(ranks)
+            if words >= _MANY_WORDS:
+                yield from _sums(totals.ravel())
+                totals[:], words = 0, 0
         yield from _sums(totals.ravel())
 
     return run
@@ -403,23 +424,31 @@ def _past_cells(known_of):
     """Occurrences of bits in one part of the training texts, by depth, the levels of their predictions, how often the last and the last two words were met, and the bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks_of, levels, codes = known_of()
-        width, flat = levels.shape[1], levels.ravel()
-        totals = np.zeros(RANK_BITS * CELLS, np.int64)
+        ranks_of, levels, (last_codes, two_codes, homely_codes) = known_of()
+        inner = LEVELS * 2  # by level of the class and bit
+        flat = (2 * levels.ravel()[:, None] + np.arange(2, dtype=np.uint8)).ravel()
+        homely_codes = homely_codes.astype(np.uint16) * np.uint16(4 * LEVELS)
+        totals, words = np.zeros(RANK_BITS * CELLS, np.int32), 0
         for sequence, ranks in _places(ranks_of)(batches):
             for part in _parts(len(ranks)):
-                home = sequence.classes[part] * width
+                home = sequence.classes[part] * (2 << RANK_BITS)
                 open_ = np.ones(len(home), bool)
-                for depth, rows, node, bit, slots in _steps(sequence, ranks, part):
-                    last, two, homely = (code.take(2 * slot + bit) for code, slot in zip(codes, slots))
+                for depth, rows, bits, within, places in _steps(sequence, ranks, part):
+                    last, two, homely = (code.take(2 * place ^ within) for code, place in zip((last_codes, two_codes, homely_codes), places))
                     # words go on while the last word was met without this occurrence
                     still = _all_so_far(last >= LEVELS, open_[rows])
-                    cell = depth * LEVELS + homely
-                    for size, level in ((4 * LEVELS, two), (4 * LEVELS, last), (LEVELS, flat.take(home[rows] + node)), (2, bit)):
-                        cell *= size
-                        cell += level
-                    np.add.at(totals, cell.ravel() if still.all() else cell[still], 1)
+                    own = np.multiply(last, inner, dtype=np.uint16)
+                    own += flat.take(bits + home[rows])
+                    homely += two
+                    cell = np.multiply(homely, 4 * LEVELS * inner, dtype=np.int64)
+                    cell += own
+                    cell += depth * CELLS
+                    np.add.at(totals, cell.ravel() if still.all() else cell[still], _ONE)
                     open_[rows] = still[-1]
+            words += len(ranks)
+            if words >= _MANY_WORDS:
+                yield from _sums(totals)
+                totals[:], words = 0, 0
         yield from _sums(totals)
 
     return run
@@ -531,18 +560,16 @@ def _rank_model(counts: np.ndarray) -> np.ndarray:
 
 def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of bits by slot over one part of the words; slots count on over the contexts."""
-    size = 2 << SLOT_BITS
-    totals, rolling = np.zeros(CONTEXTS * size), Rolling(7)
+    totals, rolling = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64), Rolling(7)
     for words, classes, weight in _spelled_words(batches):
         spelling = Spelling(words, classes, rolling)
-        n = weight[spelling.word].astype(float)
+        n = weight[spelling.word].astype(np.int64)
         for bit, slots, _ in spelling.bits():
-            for j, slot in enumerate(slots):
-                totals[j * size : (j + 1) * size] += np.bincount(2 * slot + bit, n, size)
-    at = np.flatnonzero(totals)
-    for low in range(0, len(at), 200_000):
-        some = at[low : low + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], names=["at", "n"])
+            for count, slot in zip(totals, slots):
+                slot *= 2
+                slot += bit
+                np.add.at(count, slot, n)
+    yield from _sums(totals.ravel())
 
 
 def _spelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -584,6 +611,23 @@ def _gathered(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+_BLOCKS = "at int, counts binary"
+
+
+def _one_block(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_buffer(), "<i8") for c in rows.column("counts"))
+    return pa.table([rows.column("at").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
+
+
+def _added(parts: DataFrame, size: int) -> np.ndarray:
+    """Sums of blocks of counts as an array of the model's fixed size."""
+    rows = parts.groupBy("at").applyInArrow(_one_block, _BLOCKS).toArrow()
+    out = np.zeros((-(-size // BLOCK), BLOCK))
+    for at, counts in zip(rows.column("at").to_pylist(), rows.column("counts")):
+        out[at] = np.frombuffer(counts.as_buffer(), "<i8")
+    return out.ravel()[:size]
+
+
 def trained(counts: DataFrame, texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model for counted words and the training ``texts(text, key)`` in turn, and the words it spells: ``word, class, train, c`` (training count in all classes)."""
     spark = counts.sparkSession
@@ -624,8 +668,9 @@ def trained(counts: DataFrame, texts: DataFrame) -> tuple[Model, DataFrame]:
     probabilities = _rank_model(by_rank)
 
     known = rest.where("train > 0")
+    tasks = spark.sparkContext.defaultParallelism  # one table for each, as a table is as large as the counts of many texts
     size = 2 << SLOT_BITS
-    tables = _gathered(known.mapInArrow(_table_rows, "at long, n double"), CONTEXTS * size)
+    tables = _added(known.coalesce(tasks).mapInArrow(_table_rows, _BLOCKS), CONTEXTS * size)
     tables = tables.reshape(CONTEXTS, size // 2, 2).astype(np.float32)
     sent = spark.sparkContext.broadcast(tables)
     learned = _gathered(known.mapInArrow(_mixer_rows(lambda: sent.value), "at long, n double"), GATES * (CONTEXTS + 2) + 8 * STEPS)
@@ -639,10 +684,9 @@ def trained(counts: DataFrame, texts: DataFrame) -> tuple[Model, DataFrame]:
     nodes, bucket = _node_logits(probabilities), probabilities[:, COMMON_RANKS:]
     del probabilities
     ranked = spark.sparkContext.broadcast((hashes[order], order))
-    tasks = spark.sparkContext.defaultParallelism  # one table for each, as a table is as large as the counts of many texts
     size = PAST * 2 << PAST_BITS
     texts = texts.select("text").coalesce(tasks)
-    past = _gathered(texts.mapInArrow(_past_counts(lambda: ranked.value), "at int, n long"), size)
+    past = _added(texts.mapInArrow(_past_counts(lambda: ranked.value), _BLOCKS), size)
     past = past.reshape(PAST, -1, 2).astype(np.float32)
     # every occurrence in all training texts by its cell, so that the weights depend neither on a sample nor on the cluster
     codes, means = _past_codes(past)
@@ -654,7 +698,7 @@ def trained(counts: DataFrame, texts: DataFrame) -> tuple[Model, DataFrame]:
         base_means[depth] = np.bincount(level, met * nodes[:, at].ravel(), LEVELS) / np.maximum(np.bincount(level, met, LEVELS), 1)
     del by_rank
     known_past = spark.sparkContext.broadcast(((hashes[order], order), levels.astype(np.uint8), codes))
-    occurrences = _gathered(texts.mapInArrow(_past_cells(lambda: known_past.value), "at int, n long"), RANK_BITS * CELLS)
+    occurrences = _added(texts.mapInArrow(_past_cells(lambda: known_past.value), _BLOCKS), RANK_BITS * CELLS)
     known_past.destroy()
     past_mixer = _past_mixer()
     past_mixer.weights = _past_weights(occurrences, base_means, means)
@@ -692,7 +736,7 @@ def _text_rows(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rolling = model_of(), Rolling(6)
         base = model.base(model.counts)
-        for part, texts in byte_batches(batches):
+        for part, texts in byte_batches(batches, limit=TEXT_AT_ONCE):
             b, n = _Batch.of(texts, rolling), len(texts)
             keys = part.column("key").to_numpy()
             sequence = _Sequence.of(b)
@@ -732,9 +776,11 @@ def scores(docs: DataFrame, held_out: str) -> DataFrame:
     held = docs.select("doc_id", "text", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), doc_key().alias("key"))
     counts = written(word_counts(held.select("text", (~F.col("held_out")).alias("train"))))
     model, rest = trained(counts, held.where("not held_out").select("text", "key"))
-    sent = spark.sparkContext.broadcast(model.plain())
-    words = rest.mapInArrow(_word_scores(lambda: Model.of(sent.value)), "hash long, class long, c long, word_base double, word_score double, spelled double")
-    rows = held.select("key", "text").mapInArrow(_text_rows(lambda: Model.of(sent.value)), _SUMS)
+    # each kind of row gets its part of the model only, with tables made ready once
+    by_word = spark.sparkContext.broadcast(model.plain("tokens", "distinct", "bucket", "escape", "places", "at_home", "mixer", "refinement", "found"))
+    by_text = spark.sparkContext.broadcast(model.plain("tokens", "distinct", "hashes", "counts", "places_of", "stretched_past"))
+    words = rest.mapInArrow(_word_scores(lambda: Model.of(by_word.value)), "hash long, class long, c long, word_base double, word_score double, spelled double")
+    rows = held.select("key", "text").mapInArrow(_text_rows(lambda: Model.of(by_text.value)), _SUMS)
     joined = rows.join(words, ["hash", "class"], "left")
 
     def added(column: str):

@@ -9,6 +9,7 @@ import numpy as np
 from tablescout.llm.common import Rolling, mixed
 
 RATE = 0.15
+AT_ONCE = 16_384  # rows whose inputs stay in the cache
 LIMIT = 11.0
 STEPS = 33
 
@@ -48,11 +49,17 @@ class Mixer:
         return np.clip(logit, -LIMIT, LIMIT)
 
     def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        logit = self.mix(inputs, gate)
-        gates = len(self.weights)
-        error = (squashed(logit) - bit) * weight
-        total = np.maximum(np.bincount(gate, weight, gates), 1e-9)[:, None]
-        step = np.stack([np.bincount(gate, error * inputs[:, j], gates) for j in range(inputs.shape[1])], 1) / total
+        gates, logit = len(self.weights), np.empty(len(gate))
+        total, step = np.zeros(gates), np.zeros((inputs.shape[1], gates))
+        for low in range(0, len(gate), AT_ONCE):
+            part = slice(low, low + AT_ONCE)
+            x, g, m = inputs[part], gate[part], weight[part]
+            logit[part] = self.mix(x, g)
+            error = (squashed(logit[part]) - bit[part]) * m
+            total += np.bincount(g, m, gates)
+            for j, sums in enumerate(step):
+                sums += np.bincount(g, error * x[:, j], gates)
+        step = (step / np.maximum(total, 1e-9)).T
         self.squares += step * step
         self.weights -= RATE * step / np.sqrt(self.squares)
         return logit
@@ -108,8 +115,9 @@ class Spelling:
         for k in range(7, -1, -1):
             head = (self.data | np.uint64(256)) >> np.uint64(k + 1)
             bit = ((self.data >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-            slots = [(mixed(b + head * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for b in self.base]
-            yield bit, slots, head.astype(np.int64)
+            spread = head * np.uint64(0x9E3779B97F4A7C15)
+            slots = [(mixed(b + spread) >> np.uint64(64 - SLOT_BITS)).view(np.int64) for b in self.base]
+            yield bit, slots, head.view(np.int64)
 
 
 def _predictions(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import WORD, frame, prose
 
@@ -153,3 +154,41 @@ def test_weights_make_the_counted_bits_likeliest():
     weights = lm._past_weights(cells, base_means, means)
     assert weights[3 * 16 + 1 * 4 + 2] == pytest.approx(want, abs=0.05)
     assert (np.delete(weights, 3 * 16 + 6, 0) == lm._past_mixer().weights[0]).all()
+
+
+def test_counts_travel_in_blocks(spark):
+    totals = np.zeros(2 * lm.BLOCK + 9, np.int32)
+    totals[[0, 5, lm.BLOCK - 1, 2 * lm.BLOCK + 8]] = 1, 2, 3, 2**31 - 1
+    rows = [r for b in lm._sums(totals) for r in b.to_pylist()]
+    assert [r["at"] for r in rows] == [0, 2]  # a row for a block, none for an empty one
+    parts = spark.createDataFrame([(r["at"], r["counts"]) for r in rows * 3], lm._BLOCKS)
+    assert (lm._added(parts, len(totals)) == 3 * totals.astype(float)).all()
+    assert not lm._added(parts.limit(0), len(totals)).any()
+
+
+def test_counts_sent_on_before_they_overflow(spark, monkeypatch):
+    ranks_of = np.sort(lm._word_hashes([w.encode() for w in set(prose(1, 900).split())], lm.Rolling(6))), np.zeros(0, int)
+    batch = pa.RecordBatch.from_pylist([{"text": prose(i % 9, 900)} for i in range(40)])
+
+    def sums(run):
+        found = Counter()
+        for b in run(iter([batch] * 3)):
+            for r in b.to_pylist():
+                found.update({(r["at"], i): n for i, n in enumerate(np.frombuffer(r["counts"], "<i8").tolist()) if n})
+        return found
+
+    whole = sums(lm._past_counts(lambda: ranks_of))
+    monkeypatch.setattr(lm, "_MANY_WORDS", 1)
+    assert sums(lm._past_counts(lambda: ranks_of)) == whole and sum(whole.values()) > 3 * 36_000 * 3 * lm.ESCAPE_DEPTH
+
+
+def test_rows_get_their_part_of_the_model():
+    past = np.arange(lm.PAST * 8 << lm.PAST_BITS, dtype=np.float32)[: lm.PAST * 2 << lm.PAST_BITS].reshape(lm.PAST, -1, 2)
+    nodes, places = np.zeros((lm.CLASSES, 1 << lm.RANK_BITS), np.float32), np.zeros(0, int)
+    spelled = np.ones((lm.CONTEXTS, 1 << lm.SLOT_BITS, 2), np.float32)
+    model = lm.Model(3, 2, *[np.zeros(0)] * 6, places, nodes, past, lm._past_mixer(), spelled, Mixer(lm.GATES, lm.CONTEXTS + 1), lm.Refinement(np.zeros(132), np.zeros(132)))
+    texts = lm.Model.of(model.plain("tokens", "places_of", "stretched_past"))
+    assert texts.past is None and texts.tables is None and texts.stretched_past is model.stretched_past
+    words = lm.Model.of(model.plain("mixer", "refinement", "found"))
+    assert words.nodes is None and words.tables is None and words.mixer.weights is model.mixer.weights
+    assert words.spelled([b"ab", b""], np.zeros(2, int)) == pytest.approx(model.spelled([b"ab", b""], np.zeros(2, int)))
