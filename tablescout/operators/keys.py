@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.session import small_frame
 from tablescout.sources.catalog import FACTS, column_facts
 
 SAMPLED = 500  # rows of each sample: pairs of rows are compared within one
 BITS = 62  # columns in one word of an agree set
-SHARE = 64  # composite references are first tried on one in this many values
+SHARE = 64  # composite references, and keys of large tables, are first tried on one in this many values
+HELD = 1 << 22  # hashes that a task holds before it packs them
+PART = 1 << 20  # hashes that are searched for repeats at once; tables of more rows are large
 
 Group = tuple[str, tuple[str, ...]]  # table, columns
 
@@ -25,8 +29,17 @@ def known_facts(tables: dict[str, DataFrame], wanted: tuple[str, ...] = FACTS) -
     return {(r["table_name"], r["column_name"]): r.asDict() for r in column_facts(tables, wanted).collect()}
 
 
-def _hashed(columns: tuple[str, ...]):
-    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
+def _values(table: DataFrame, columns: tuple[str, ...] | list[str]) -> list:
+    """Columns as JSON can tell their values apart: it cuts times to the millisecond."""
+    out = []
+    for name in columns:
+        c, kind = F.col(f"`{name}`"), table.schema[name].dataType
+        out.append((F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("string") if isinstance(kind, T.TimestampNTZType) else c).alias(name))
+    return out
+
+
+def _hashed(table: DataFrame, columns: tuple[str, ...]):
+    return F.unhex(F.sha2(F.to_json(F.struct(*_values(table, columns))), 256))
 
 
 def distinct_counts(tables: dict[str, DataFrame], wanted: list[Group]) -> dict[Group, int]:
@@ -36,7 +49,7 @@ def distinct_counts(tables: dict[str, DataFrame], wanted: list[Group]) -> dict[G
     """
     parts, number = [], {g: i for i, g in enumerate(wanted)}
     for t in sorted({t for t, _ in wanted}):
-        cells = [F.struct(F.lit(number[t, cols]).alias("number"), _hashed(cols).alias("value")) for name, cols in wanted if name == t]
+        cells = [F.struct(F.lit(number[t, cols]).alias("number"), _hashed(tables[t], cols).alias("value")) for name, cols in wanted if name == t]
         parts.append(tables[t].select(F.inline(F.array(*cells))))
     if not parts:
         return {}
@@ -55,7 +68,7 @@ def _largest(sets: set[frozenset[int]]) -> list[frozenset[int]]:
 
 
 def _agreeing(sample: pa.Table) -> pa.Table:
-    """The largest sets of columns in which two rows of one sample agree."""
+    """The largest sets of columns in which two rows of one sample agree; an empty one if none do."""
     codes = sample.column("codes").combine_chunks()
     codes = np.asarray(codes.flatten().dictionary_encode().indices).reshape(sample.num_rows, -1)
     pair = np.triu_indices(len(codes), 1)
@@ -65,8 +78,23 @@ def _agreeing(sample: pa.Table) -> pa.Table:
     agreed = np.unique(words[:, 0])[:, None] if words.shape[1] == 1 else np.unique(words, axis=0)
     bits = (agreed[:, :, None] >> np.arange(BITS)) & 1
     found = {frozenset(np.flatnonzero(row).tolist()) for row in bits.reshape(len(agreed), words.shape[1] * BITS)}
-    sets = pa.array([sorted(s) for s in _largest(found) if s], pa.list_(pa.int32()))
-    return pa.table({"table_name": pa.repeat(sample.column("table_name")[0], len(sets)), "agreeing": sets})
+    sets = pa.array([sorted(s) for s in _largest(found | {frozenset()})], pa.list_(pa.int32()))
+    same = {c: pa.repeat(sample.column(c)[0], len(sets)) for c in ("table_name", "number")}
+    return pa.table({**same, "n_rows": pa.repeat(pa.scalar(sample.num_rows, pa.int32()), len(sets)), "agreeing": sets})
+
+
+def _coded(table: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """A table's columns as c0, c1, ..., and the codes of a row's values, equal for equal values only."""
+    # a filter that names all columns at once would make the planner's work grow exponentially with computed columns
+    given = table.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    return given, F.array(*[F.md5(F.to_json(F.struct(v.alias("v")))) for v in _values(given, given.columns)])
+
+
+def _compared(chosen: list[DataFrame], sampled: int) -> DataFrame:
+    """Sets of columns in which two rows of a sample agree; of each sample only the first ``sampled`` rows by hash."""
+    order = W.partitionBy("table_name", "number").orderBy("hash", F.xxhash64("codes"))
+    samples = reduce(DataFrame.union, chosen).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sampled)
+    return samples.groupBy("table_name", "number").applyInArrow(_agreeing, "table_name STRING, number INT, n_rows INT, agreeing ARRAY<INT>")
 
 
 def agree_sets(tables: dict[str, DataFrame], columns: dict[str, list[str]], n_rows: dict[str, int], sampled: int = SAMPLED) -> dict[str, set[frozenset[str]]]:
@@ -80,24 +108,131 @@ def agree_sets(tables: dict[str, DataFrame], columns: dict[str, list[str]], n_ro
     for t, cols in columns.items():
         if not cols:
             continue
-        # a filter that names all columns at once would make the planner's work grow exponentially with computed columns
-        given = tables[t].select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+        given, codes = _coded(tables[t], cols)
         hashes = F.array(F.xxhash64(*given.columns), *[F.xxhash64(c) for c in given.columns])
-        codes = F.array(*[F.md5(F.to_json(F.struct(F.col(c).alias("v")))) for c in given.columns])
         bound = -(1 << 63) + min((1 << 64) - 1, 2 * sampled * (1 << 64) // n_rows[t])
         chosen = given.select("*", F.posexplode(hashes).alias("number", "hash")).where(F.col("hash") <= bound)
         parts.append(chosen.select(F.lit(t).alias("table_name"), codes.alias("codes"), "number", "hash"))
     if not parts:
         return {}
-    order = W.partitionBy("table_name", "number").orderBy("hash", F.xxhash64("codes"))
-    samples = reduce(DataFrame.union, parts).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sampled)
-    seen = samples.groupBy("table_name", "number").applyInArrow(_agreeing, "table_name STRING, agreeing ARRAY<INT>").distinct().collect()
+    seen = _compared(parts, sampled).select("table_name", "agreeing").distinct().collect()
     out: dict[str, set[frozenset[str]]] = {t: set() for t in columns}
     for r in seen:  # sets of columns
         out[r["table_name"]].add(frozenset(columns[r["table_name"]][i] for i in r["agreeing"]))
     return out
 
 
+def _pack(hashes: np.ndarray, shift: int):
+    """Sorted hashes by part (what is left of the ``shift`` lowest bits): the first one, and the steps to the next in few bytes, byte by byte."""
+    h = np.sort(hashes)
+    h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]  # of equal hashes two are enough
+    for block in np.split(h, np.flatnonzero(np.diff(h >> shift)) + 1) if len(h) else []:
+        steps = np.diff(block)
+        width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+        yield int(block[0]) >> shift, int(block[0]), width, steps.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(first: int, width: int, steps: bytes) -> np.ndarray:
+    """The hashes of a block as ``_pack`` gives it."""
+    wide = np.zeros((len(steps) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(steps, np.uint8).reshape(width, -1).T
+    return first + np.concatenate([[0], np.cumsum(wide.view("<i8")[:, 0])])
+
+
+PACKED = "number INT, part INT, first BIGINT, width INT, steps BINARY"
+
+
+def packed_hashes(hashes: DataFrame, numbers: list[int], shifts: list[int]) -> DataFrame:
+    """The hashes of each column (NULL: none) in blocks, of a few bytes for each hash, that can be searched part by part."""
+    held = HELD // len(numbers)
+
+    def blocks(kept):
+        rows = [(n, *b) for n, shift, arrays in zip(numbers, shifts, zip(*kept)) for b in _pack(np.concatenate(arrays), shift)]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["number", "part", "first", "width", "steps"])
+
+    def packed(batches):
+        kept, n = [], 0
+        for batch in batches:
+            kept.append([c.drop_null().to_numpy() for c in batch.columns])
+            n += max(map(len, kept[-1]))
+            if n >= held:
+                yield blocks(kept)
+                kept, n = [], 0
+        if kept:
+            yield blocks(kept)
+
+    return hashes.mapInArrow(packed, PACKED)
+
+
+def repeated_hashes(blocks: DataFrame, most: int) -> DataFrame:
+    """Hashes that occur more than once under a number, ``most`` of each number: the smallest ones."""
+
+    def repeated(part: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([_unpack(*b) for b in zip(*(part.column(c).to_pylist() for c in ("first", "width", "steps")))]))
+        again = np.unique(h[1:][h[1:] == h[:-1]])[:most]
+        return pa.table({"number": pa.repeat(part.column("number")[0], len(again)), "hash": pa.array(again, pa.int64())})
+
+    found = blocks.groupBy("number", "part").applyInArrow(repeated, "number INT, hash BIGINT")
+    nth = F.row_number().over(W.partitionBy("number").orderBy("hash"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def _bits(n_rows: int) -> int:
+    """Bits of a hash so that about 30 pairs of different values at most have the same one."""
+    return max(16, min(63, 2 * n_rows.bit_length() - 6))
+
+
+def repeats(
+    tables: dict[str, DataFrame], columns: dict[str, list[str]], n_rows: dict[str, int], shares: dict[Group, int], sampled: int = SAMPLED
+) -> dict[str, set[frozenset[str]]]:
+    """Sets of columns in which two rows of a table agree. A group of columns without NULLs repeats if one of them holds it.
+
+    ``shares`` has the groups, and the share of each one's values (one in so many, a power of two) to look at; of 1, no repeat is missed. Values
+    are hashed to twice the bits that the row count has, and sent packed, in about as many bytes as the hash has beyond the rows of a task. The
+    rows of hashes met twice, some of each group, are read in a second scan and compared, so two values with one hash do no harm. Should this
+    not tell for all values of a group, its distinct values are counted.
+    """
+    groups, listed, blocks, hashed = list(shares), max(1, sampled // 4), [], {}
+    for t in sorted({t for t, _ in groups}):
+        given, codes = _coded(tables[t], columns[t])
+        bits, hashes, shifts = _bits(n_rows[t]), {}, []
+        for i, (name, cols) in enumerate(groups):
+            if name == t:
+                value = F.shiftrightunsigned(F.xxhash64(*[F.col(f"c{columns[t].index(c)}") for c in cols]), 64 - bits)
+                top = bits - (shares[t, cols].bit_length() - 1)
+                shifts.append(top - min(top, (n_rows[t] // shares[t, cols] // PART).bit_length()))
+                hashes[i] = value if shares[t, cols] == 1 else F.when(value < 1 << top, value)
+        hashed[t] = given, codes, hashes
+        blocks.append(packed_hashes(given.select(*[h.alias(f"h{i}") for i, h in hashes.items()]), list(hashes), shifts))
+    if not blocks:
+        return {}
+    found = repeated_hashes(reduce(DataFrame.union, blocks), listed + 1).collect()  # some of each group
+    out: dict[str, set[frozenset[str]]] = {t: set() for t in hashed}
+    if not found:
+        return out
+    n_found = Counter(r["number"] for r in found)
+    picked = F.broadcast(small_frame(tables[groups[0][0]].sparkSession, found, "number INT, hash BIGINT"))
+    chosen = []
+    for t, (given, codes, hashes) in hashed.items():
+        cells = [F.struct(F.lit(i).alias("number"), h.alias("hash")) for i, h in hashes.items() if i in n_found]
+        if cells:
+            rows = given.select("*", F.inline(F.array(*cells)).alias("number", "hash")).join(picked, ["number", "hash"])
+            chosen.append(rows.select(F.lit(t).alias("table_name"), codes.alias("codes"), "number", "hash"))
+    n_compared = {}
+    for r in _compared(chosen, sampled).collect():  # sets of columns
+        out[r["table_name"]].add(frozenset(columns[r["table_name"]][i] for i in r["agreeing"]))
+        n_compared[r["number"]] = r["n_rows"]
+    unknown = [
+        (t, cols) for i, (t, cols) in enumerate(groups)
+        if shares[t, cols] == 1 and (n_found[i] > listed or n_compared.get(i, 0) >= sampled) and not any(s.issuperset(cols) for s in out[t])
+    ]
+    for (t, cols), n in distinct_counts(tables, unknown).items():
+        if n < n_rows[t]:
+            out[t].add(frozenset(cols))
+    return out
+
+
 def smallest_hitting(sets: list[frozenset[str]], width: int | None = None) -> set[frozenset[str]]:
     """Smallest groups (of up to ``width`` members) that hold a member of every set."""
     hitting = {frozenset()}
@@ -123,26 +258,25 @@ def candidate_keys(
     """Columns, and groups of up to ``max_width`` columns (None: any width) that hold no smaller key, that are unique and never NULL.
 
     Columns of numbers, text, dates and times can be part of a key. Two sampled rows that agree in some columns rule out every group of these
-    (``agree_sets``); the smallest groups that no pair rules out are counted exactly. One that turns out to repeat is ruled out in turn, until
-    all that are left have been counted. ``counted`` takes the groups that were counted; most columns of a large table are not among them.
-    Empty tables have no keys.
+    (``agree_sets``); the smallest groups that no pair rules out are checked on all rows (``repeats``), those of large tables first on one in
+    ``SHARE`` values. One that turns out to repeat is ruled out in turn, with the other columns its rows agree in, until all that are left have
+    been checked in full. ``counted`` takes the groups that were; most columns of a large table are not among them. Empty tables have no keys.
     """
     facts = facts or known_facts(tables, ("nulls",))
     columns = {t: [c for name, c in facts if name == t and facts[t, c]["family"] and facts[t, c]["n_rows"] and not facts[t, c]["n_nulls"]] for t in tables}
     n_rows = {t: facts[t, cs[0]]["n_rows"] for t, cs in columns.items() if cs}
     agreed = agree_sets(tables, columns, n_rows, sampled)
-    counts: dict[Group, int] = {}
+    looked_at: dict[Group, int] = {}
     while True:
         groups = [(t, g) for t, cs in columns.items() if cs for g in sorted(key_candidates(cs, agreed[t], max_width))]
-        new = [g for g in groups if g not in counts]
+        new = {(t, g): SHARE if n_rows[t] > PART and (t, g) not in looked_at else 1 for t, g in groups if looked_at.get((t, g)) != 1}
         if not new:
             break
-        counts.update(distinct_counts(tables, new))
-        for t, cols in new:
-            if counts[t, cols] < n_rows[t]:
-                agreed[t].add(frozenset(cols))
+        looked_at.update(new)
+        for t, sets in repeats(tables, columns, n_rows, new, sampled).items():
+            agreed[t] |= sets
     if counted is not None:
-        counted.extend(counts)
+        counted.extend(g for g, share in looked_at.items() if share == 1)
     found = [(t, ",".join(cols), len(cols), n_rows[t]) for t, cols in groups]
     return small_frame(spark, found, "table_name STRING, key_columns STRING, width INT, n_rows BIGINT")
 

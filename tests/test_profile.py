@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from helpers import rows
 
@@ -92,6 +93,59 @@ def test_most_columns_are_never_counted(spark):
     assert found == {"id"} and counted == [("t", ("id",))]
 
 
+def test_keys_are_checked_by_few_bytes_a_row(spark, monkeypatch):
+    """No group of columns is sent value by value: neither keys nor one whose two equal rows no sample has."""
+    t = spark.range(200_000).selectExpr("id", "id DIV 500 AS a", "CASE WHEN id = 7 THEN 8 ELSE id % 500 END AS b", "id % 7 AS c")
+    sent, count = [], Y.distinct_counts
+    monkeypatch.setattr(Y, "distinct_counts", lambda tables, wanted: sent.extend(wanted) or count(tables, wanted))
+    counted = []
+    found = {r.key_columns for r in P.candidate_keys(spark, {"t": t}, max_width=3, counted=counted).collect()}
+    assert found == {"id", "a,b,c"} and ("t", ("a", "b")) in counted and sent == []
+    bits = Y._bits(200_000)
+    hashes = t.coalesce(2).selectExpr(f"shiftrightunsigned(xxhash64(id), {64 - bits}) AS h0", f"shiftrightunsigned(xxhash64(a, b), {64 - bits}) AS h1")
+    blocks = Y.packed_hashes(hashes, [0, 1], [bits - 2, bits - 2]).selectExpr("number", "part", "length(steps) + 20 AS n").collect()
+    assert {(r.number, r.part) for r in blocks} == set(itertools.product((0, 1), range(4)))
+    assert sum(r.n for r in blocks) < 4 * 400_000
+
+
+def test_blocks_hold_their_hashes():
+    rng = np.random.default_rng(1)
+    for n, bits in ((0, 20), (1, 16), (2, 16), (3, 63), (5000, 63), (5000, 24), (5000, 16)):
+        h = np.concatenate([rng.integers(0, 1 << bits, n), np.full(min(n, 9), 3)])
+        for shift in (bits, bits - 5):
+            blocks = list(Y._pack(h, shift))
+            got = [x for _, *b in blocks for x in Y._unpack(*b).tolist()]
+            assert got == sorted(x for v in set(h.tolist()) for x in [v] * min(2, (h == v).sum()))
+            assert [p for p, *_ in blocks] == sorted({x >> shift for x in got})
+
+
+@pytest.mark.parametrize("bits", [2, 9, 40])
+@pytest.mark.parametrize("part, held", [(1 << 20, 1 << 22), (20, 30)])
+def test_values_of_one_hash_are_told_apart(spark, monkeypatch, bits, part, held):
+    """Few bits give many different values the same hash; small parts make a table large, so that shares of its values are tried first."""
+    monkeypatch.setattr(Y, "_bits", lambda n: max(bits, 8 if part < 100 else 2))
+    monkeypatch.setattr(Y, "PART", part)
+    monkeypatch.setattr(Y, "HELD", held)
+    rng = random.Random(bits)
+    columns = ["a", "b", "c", "d"]
+    data = list({tuple(rng.randrange(n) for n in (40, 30, 25, 6)) for _ in range(700)})
+    tables = {
+        "t": spark.createDataFrame(data, "a INT, b INT, c INT, d INT"),
+        "u": spark.createDataFrame([(i, "x" if i % 2 else "y", i // 2) for i in range(500)], "k INT, s STRING, h INT"),
+        "one": spark.createDataFrame([(1,)], "o INT"),
+    }
+    got = {(r.table_name, r.key_columns, r.n_rows) for r in P.candidate_keys(spark, tables, max_width=None).collect()}
+    assert got == {("t", k, len(data)) for k in smallest_keys(data, columns)} | {("u", "k", 500), ("u", "s,h", 500), ("one", "o", 1)}
+
+
+def test_times_are_keys_to_the_microsecond(spark):
+    times = spark.range(300).selectExpr("timestamp_micros(1700000000000000 + id * 10) AS z", "CAST(timestamp_micros(id) AS TIMESTAMP_NTZ) AS n", "id DIV 2 AS pair")
+    assert {r.key_columns for r in P.candidate_keys(spark, {"t": times}).collect()} == {"z", "n"}
+    twice = times.union(times.where("pair = 9"))
+    assert P.candidate_keys(spark, {"t": twice}).isEmpty()
+    assert Y.distinct_counts({"t": twice}, [("t", ("z",)), ("t", ("n", "pair"))]) == {("t", ("z",)): 300, ("t", ("n", "pair")): 300}
+
+
 def test_references_by_groups_of_columns(spark, tables):
     parts = spark.createDataFrame([(g, p, g * 10 + p) for g in range(6) for p in range(4) if (g, p) != (5, 3)], "g INT, p BIGINT, v INT")
     good = spark.createDataFrame([(i % 5, i % 4, None if i % 7 else 3) for i in range(60)] + [(None, 9, 1)], "s_g INT, s_p INT, s_x INT")
